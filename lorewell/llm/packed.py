@@ -18,7 +18,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Documents in a block at most: a document is known by ``block << 20 | its place in the block``.
+BLOCK_DOCS = 1 << 19
 
 BLOCK_SCHEMA = "block long, ids array<long>, lens array<long>, data binary"
 EMIT_SCHEMA = "bucket long, block long, keys binary, vals binary"
@@ -70,7 +72,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
             nonlocal seq, ids, lens, parts, held
             data = b"".join(p.tobytes() for p in parts)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([(number << 32) | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(lens)], pa.list_(pa.int64())), pa.array([squeeze(data)], pa.binary())],
+                [pa.array([(number << 20) | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(lens)], pa.list_(pa.int64())), pa.array([squeeze(data)], pa.binary())],
                 ["block", "ids", "lens", "data"],
             )
             seq, ids, lens, parts, held = seq + 1, [], [], [], 0
@@ -81,7 +83,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
             names, lo = batch.column(0).to_pylist(), 0
             while lo < len(names):
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + block_bytes - held, "right")) - 1)
-                hi = min(hi, len(names))
+                hi = min(hi, len(names), lo + BLOCK_DOCS - len(ids))
                 if held and at[hi] - at[lo] + held > block_bytes:
                     yield flush()
                     continue
@@ -90,7 +92,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
                 parts.append(raw[at[lo] : at[hi]].copy())
                 held += int(at[hi] - at[lo])
                 lo = hi
-                if held >= block_bytes:
+                if held >= block_bytes or len(ids) >= BLOCK_DOCS:
                     yield flush()
         if ids:
             yield flush()
@@ -222,3 +224,38 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
     _, down = powers(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+# --- words ------------------------------------------------------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+HASH_CHUNK = (1 << 20) - 4096
+
+
+def word_hashes(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lowered) of documents that stand one after
+    another in ``data``, and where each document's words begin (n + 1)."""
+    inside = ~_SPACE[data]
+    borders = np.concatenate(([0], np.cumsum(lens)))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    cuts = borders[(borders > 0) & (borders < len(data))]
+    first[cuts] |= inside[cuts]
+    last[cuts - 1] |= inside[cuts - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(data), HASH_CHUNK):
+        i, j = np.searchsorted(starts, (lo, lo + HASH_CHUNK))
+        if i < j:
+            out[i:j] = span_hash(prefix_hash(_LOWER[data[lo : ends[j - 1]]]), starts[i:j] - lo, ends[i:j] - lo)
+    return out, np.searchsorted(starts, borders)
+
+
+def chain(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a word sequence that goes on with one more word."""
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(0x632BE59BD9B4E019))

@@ -36,9 +36,11 @@ from lorewell.llm.scratch import Scratch
 PERIOD = 133
 COVER = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
 
-CHUNK = 1 << 22
-#: Hashes per bucket, and bytes of suffix hashes written for one range of buckets.
-BUCKET_ENTRIES, RANGE_BYTES = 500_000, 4 << 30
+CHUNK = (1 << 20) - 4096
+#: Hashes per bucket.
+BUCKET_ENTRIES = 500_000
+#: One range of buckets holds at most so many bytes of suffix hashes for each byte of text.
+RANGE_SHARE = 0.6
 
 
 def _window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -104,7 +106,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", range_share: float = RANGE_SHARE) -> DataFrame:
     """One row per document: doc_id, n_bytes, removed (array of struct<start, end>, the maximal removed
     runs in bytes), kept (binary: the remaining bytes)."""
     if length < PERIOD + 16:
@@ -144,7 +146,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     store.drop(blocks, classes)
     suffixes = marked.agg(F.sum("n_near")).first()[0] or 0
     bits2 = buckets_bits(suffixes, BUCKET_ENTRIES)
-    ranges = 1 << min(bits2, max(0, int(np.ceil(np.log2(max(1, suffixes * 8 / max(1, min(range_bytes, total // 4))))))))
+    ranges = 1 << min(bits2, max(0, int(np.ceil(np.log2(max(1, suffixes * 8 / max(1, total * range_share)))))))
     per = 1 << (bits2 - ranges.bit_length() + 1)  # buckets in a range
 
     def suffix_keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
