@@ -17,52 +17,94 @@ table gives no rows.  Only columns ``id_col`` and ``text_col`` are read, others
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.packed import task_number
 from lorewell.llm.scratch import Scratch
 
-#: A cached word is shorter than this; the cache is emptied when it holds so many words.
-CACHE_WORD_CHARS, CACHE_WORDS = 64, 1 << 20
+#: Words of more characters are not cached; a cache of more words becomes the old generation.
+CACHE_WORD_CHARS, CACHE_WORDS = 64, 600_000
+#: Characters of text that are tokenised together.
+GROUP_CHARS = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank_in_part long, ids binary"
 
 
-class WordTokens(dict):
-    """Token ids (little-endian unsigned 32-bit bytes) by word.
+_stop = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+_plain = re.compile(r"[a-z]+").fullmatch
+_tokenizers: dict[str, WordTokens] = {}
+
+
+class WordTokens:
+    """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer normalises, splits and merges within stretches free of white space, and drops the
-    white space itself, so a text's ids are those of its words one after another."""
+    white space itself, so a text's ids are those of its words one after another.  ASCII capitals
+    are lowered first, and a full stop or comma between letter and space becomes a word of its own: the
+    tokenizer does both anyway, and fewer different words are left.  One object lives as
+    long as its Python worker, so the words that are known serve later tasks too."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> WordTokens:
+        if path not in _tokenizers:
+            _tokenizers[path] = WordTokens(path)
+        return _tokenizers[path]
+
+    def fresh(self, words: set[str]) -> dict[str, bytes]:
+        plain = [w for w in words if _plain(w)]
+        other = list(words.difference(plain))
+        out = {}
+        for lo in range(0, len(plain), 50_000):
+            own = plain[lo : lo + 50_000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            raw = ids.tobytes()
+            if len(ends) == len(own):
+                out.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+            else:  # a vocabulary without word ends
+                other += own
+        out.update(zip(other, (np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(other, add_special_tokens=False))))
+        return out
 
-    def fresh(self, words: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in done]
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words).difference(self) if w]
-        if new:
-            if len(self) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = [w for w in set(words) if w]
-            self.update(zip(new, self.fresh(new)))
-        self[""] = b""
-        out = b"".join(map(self.__getitem__, words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            if "<|" not in text:  # else a special token's name could be made or broken
+                text = _stop.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+            split.append(text.replace("\n", " ").split(" "))
+        words = set().union(*split)
+        new = words.difference(self.young)
+        known = new.intersection(self.old)
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {w: self.young[w] for w in words.intersection(self.young)}, self.young
+        self.young.update((w, self.old[w]) for w in known if w in self.old)
+        new = {w for w in words if w not in self.young and w}
+        self.young.update(self.fresh(new))
+        self.young[""] = b""
+        out = [b"".join(map(self.young.__getitem__, own)) for own in split]
         for w in new:
-            if len(w) >= CACHE_WORD_CHARS:
-                del self[w]
+            if len(w) > CACHE_WORD_CHARS:
+                del self.young[w]
         return out
 
 
@@ -110,21 +152,23 @@ def plan_best_fit(counts: dict[int, int], seq_len: int) -> list[tuple[int, int,
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, seq_len: int, end_id: int, keep_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end, part = WordTokens(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), task_number()
+        tokens, end, part = WordTokens.of(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), task_number()
         seen = np.zeros(seq_len + 1, np.int64)
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            out: list[tuple] = []
-            for i, name in enumerate(names):
-                ids = tokens.encode(batch.column(1)[i].as_py() or "") + end
-                for piece, lo in enumerate(range(0, len(ids), 4 * seq_len)):
-                    own = ids[lo : lo + 4 * seq_len]
-                    n = len(own) // 4
-                    out.append((name, piece, lo // 4, n, zlib.crc32(own), part, int(seen[n]), own if keep_ids else None))
-                    seen[n] += 1
-            cols = list(zip(*out)) or [[]] * 8
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part", "ids"])
+            names, size, lo = batch.column(0).to_pylist(), np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))), 0
+            while lo < len(names):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + GROUP_CHARS)))
+                out: list[tuple] = []
+                for name, ids in zip(names[lo:hi], tokens.encode([t or "" for t in batch.column(1)[lo:hi].to_pylist()])):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * seq_len)):
+                        own = ids[at : at + 4 * seq_len]
+                        n = len(own) // 4
+                        out.append((name, piece, at // 4, n, zlib.crc32(own), part, int(seen[n]), own if keep_ids else None))
+                        seen[n] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part", "ids"])
+                lo = hi
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
