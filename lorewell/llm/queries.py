@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,56 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.ngram_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens", "copies")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.langid import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.line_dedup import drop_boilerplate
+
+    done = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("source"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.vector_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.chat import format_chats
+
+    done = format_chats(table(spark, sf_dir, "conversations"))
+    return done.select("conv_id", "part", "n_turns", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.fingerprint import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.suffix_dedup import kept_digest, repeated_spans
 
@@ -30,8 +81,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_best_fit_packing": op1_best_fit_packing,
-    "op10_suffix_dedup": op10_suffix_dedup,
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_ngram_jaccard_join, op3_source_mixing, op4_language_id, op5_line_dedup, op6_embedding_near_dedup, op7_lm_scoring, op8_chat_formatting, op9_merkle_fingerprints, op10_suffix_dedup,
+    )
 }
 
 SQL: dict[str, str] = {}
