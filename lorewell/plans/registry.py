@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lorewell.plans import conversations, vector_graph
+from lorewell.plans import conversations, texts, vector_graph
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (vector_graph, conversations):
+for _part in (vector_graph, conversations, texts):
     QUERIES.update(_part.QUERIES)
     SQL.update(_part.SQL)
