@@ -79,7 +79,7 @@ def bridges(found: DataFrame, keys: list[str]) -> DataFrame:
     a, b = found.alias("a"), found.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.sentence_no") == F.col("b.sentence_no"), F.col("a.end") < F.col("b.at")]
     pairs = a.join(b, on).filter((F.col("a.filename") != F.col("b.filename")) | (F.col("a.source") != F.col("b.source")))
-    between = F.slice(F.col("a._w"), F.col("a.end") + 1, F.col("b.at") - F.col("a.end") - 1)
+    between = F.slice(F.col("a._w"), F.col("a.end") + 1, F.greatest(F.lit(0), F.col("b.at") - F.col("a.end") - 1))
     linking = F.exists(between, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE))
     pairs = pairs.filter(linking).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.sentence_no").alias("sentence_no"), F.col("a.sentence").alias("evidence"), F.col("a.at").alias("at"), F.col("a.source").alias("subject_source"), F.col("a.filename").alias("subject_file"), F.col("b.source").alias("object_source"), F.col("b.filename").alias("object_file"), F.col("a.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
     first = F.min_by(F.struct("evidence", "subject_match", "object_match"), F.struct("sentence_no", "at"))

@@ -31,7 +31,7 @@ def pages(spark, sf_dir):
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 LINES = "lines AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents)"
-SUMMARY = (r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), x -> " + STRIP.format("x") + r"), x -> x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '---') AND NOT starts_with(x, '|') AND NOT regexp_matches(x, '^[-*] \[[^\]]*\]\(#')) AS p FROM documents)"
+SUMMARY = (r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: " + STRIP.format("x") + r"), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '---') AND NOT starts_with(x, '|') AND NOT regexp_matches(x, '^[-*] \[[^\]]*\]\(#')) AS p FROM documents)"
            " SELECT doc_id, CASE WHEN coalesce(len(p), 0) = 0 THEN '(no summary)' WHEN length(p[1]) > {0} THEN left(p[1], {0}) || '...' ELSE p[1] END AS summary FROM l")
 TOKENS = "(CASE WHEN length({0}) > 0 THEN greatest(1, length({0}) // 4) ELSE 0 END)"
 
@@ -81,7 +81,7 @@ def subtree_tokens(spark, sf_dir):
     return markdown.subtree_sums(tree, ["doc_id"], "tokens").select("doc_id", "ord", "subtree_tokens")
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), x -> x <> '') AS w FROM documents),
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
  p AS (SELECT *, CAST(greatest(1, ceil((len(w) - 200) / 150) + 1) AS INTEGER) AS n_parts FROM w WHERE len(w) > 0), e AS (SELECT *, unnest(range(n_parts)) AS part FROM p)
  SELECT doc_id, CAST(part AS INTEGER) AS part, n_parts, CAST(len(list_slice(w, part * 150 + 1, part * 150 + 200)) AS INTEGER) AS n_tokens, md5(array_to_string(list_slice(w, part * 150 + 1, part * 150 + 200), ' ')) AS content FROM e""")
 def token_windows_overlap(spark, sf_dir):
@@ -123,7 +123,7 @@ def heading_collisions(spark, sf_dir):
     return lint.heading_collisions(first).select("heading", "n_files", F.array_join("files", ",").alias("files"))
 
 
-SENTENCES = r"s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), x -> " + STRIP.format("x") + "), x -> x <> '') AS s FROM documents)"
+SENTENCES = r"s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: " + STRIP.format("x") + "), lambda x: x <> '') AS s FROM documents)"
 
 
 @query("WITH " + SENTENCES + " SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS sentences FROM s")
@@ -140,7 +140,7 @@ def page_links(spark, sf_dir):
 
 LINKS = r"""href AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages),
  k AS (SELECT DISTINCT page_id, href, lower(regexp_replace(href, '^/+', '')) AS path FROM href WHERE NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:')),
- known AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1) AS source, regexp_extract(html, '<a href="/([^"]+)"', 1) AS filename FROM pages WHERE regexp_matches(html, '<a href="/[^"]+"')),
+ known AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN 'web' ELSE 'alt' END AS source, regexp_extract(html, '<a href="/([^"]+)"', 1) AS filename FROM pages WHERE regexp_matches(html, '<a href="/[^"]+"')),
  p1 AS (SELECT lower(filename) AS path, count(*) AS n, min(source || '|' || filename) AS p FROM known GROUP BY 1),
  r AS (SELECT k.page_id, k.href, CASE WHEN n = 1 THEN p END AS p FROM k LEFT JOIN p1 USING (path))"""
 
@@ -148,7 +148,7 @@ LINKS = r"""href AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(
 def _href(spark, sf_dir):
     p = pages(spark, sf_dir)
     href = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), 1)).alias("href")).filter("not href rlike '^[A-Za-z][A-Za-z0-9+.-]*:'").distinct()
-    known = p.select(T.url_host(F.col("url")).alias("source"), F.regexp_extract("html", '<a href="/([^"]+)"', 1).alias("filename")).filter("filename <> ''").distinct()
+    known = p.select(F.when(F.col("page_id") % 2 == 0, "web").otherwise("alt").alias("source"), F.regexp_extract("html", '<a href="/([^"]+)"', 1).alias("filename")).filter("filename <> ''").distinct()
     return href.withColumn("target", F.regexp_replace("href", "^/+", "")), known
 
 
@@ -215,7 +215,7 @@ def fuzzy_suggest(spark, sf_dir):
 def fuzzy_suggest_blocks(spark, sf_dir):
     """The same queries by matching blocks."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    asked = p.select(F.col("p_brand").alias("query")).distinct()
+    asked = p.select(F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), "p_brand").alias("query")).distinct()
     return fuzzy.suggest(asked, p.select(F.col("p_name").alias("name")).distinct(), 0.45, 3)
 
 
@@ -258,7 +258,7 @@ def _files(spark, sf_dir):
     return pages(spark, sf_dir).select(T.url_host(F.col("url")).alias("source"), F.regexp_replace(T.url_path(F.col("url")), "^/+", "").alias("filename"), T.url_path(F.col("url")).alias("p")).filter("p <> ''").drop("p")
 
 
-@query("WITH " + FOLDERS + ", a AS (SELECT DISTINCT source, unnest(list_transform(range(1, len(s)), i -> array_to_string(s[1:i], '/'))) AS folder FROM p), r AS (SELECT DISTINCT source, '.' AS folder FROM p WHERE len(s) = 1)"
+@query("WITH " + FOLDERS + ", a AS (SELECT DISTINCT source, unnest(list_transform(range(1, len(s)), lambda i: array_to_string(s[1:i], '/'))) AS folder FROM p), r AS (SELECT DISTINCT source, '.' AS folder FROM p WHERE len(s) = 1)"
        " SELECT source, folder, CASE WHEN folder LIKE '%/%' THEN regexp_replace(folder, '/[^/]*$', '') END AS parent FROM (SELECT * FROM a UNION SELECT * FROM r)")
 def folder_hierarchy(spark, sf_dir):
     return index.folders(_files(spark, sf_dir)).select("source", "folder", "parent")
