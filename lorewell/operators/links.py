@@ -70,7 +70,9 @@ def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str =
     runs = own.withColumn("_w", words).filter(F.size("_w") > 0).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("_w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - F.col("at") + 1))))
     named = runs.withColumn("alias", F.array_join(F.slice("_w", F.col("at"), F.col("n")), " ")).join(aliases, "alias").withColumn("end", F.col("at") + F.col("n") - 1)
     w = Window.partitionBy(*keys, "sentence_no").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    return named.withColumn("_far", F.max("end").over(w)).filter("_far is null or at > _far").select(*keys, "sentence_no", "sentence", "_w", "at", "end", "alias", "source", "filename")
+    kept = named.withColumn("_far", F.max("end").over(w)).filter("_far is null or at > _far")
+    named_words = F.array_distinct(F.flatten(F.collect_list(F.split("alias", " ")).over(Window.partitionBy(*keys, "sentence_no"))))  # of one sentence
+    return kept.withColumn("_named", named_words).select(*keys, "sentence_no", "sentence", "_w", "_named", "at", "end", "alias", "source", "filename")
 
 
 def bridges(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,7 +82,7 @@ def bridges(found: DataFrame, keys: list[str]) -> DataFrame:
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.sentence_no") == F.col("b.sentence_no"), F.col("a.end") < F.col("b.at")]
     pairs = a.join(b, on).filter((F.col("a.filename") != F.col("b.filename")) | (F.col("a.source") != F.col("b.source")))
     between = F.slice(F.col("a._w"), F.col("a.end") + 1, F.greatest(F.lit(0), F.col("b.at") - F.col("a.end") - 1))
-    linking = F.exists(between, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE))
+    linking = F.exists(between, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE) & ~F.array_contains(F.col("a._named"), x))
     pairs = pairs.filter(linking).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.sentence_no").alias("sentence_no"), F.col("a.sentence").alias("evidence"), F.col("a.at").alias("at"), F.col("a.source").alias("subject_source"), F.col("a.filename").alias("subject_file"), F.col("b.source").alias("object_source"), F.col("b.filename").alias("object_file"), F.col("a.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
     first = F.min_by(F.struct("evidence", "subject_match", "object_match"), F.struct("sentence_no", "at"))
     return pairs.groupBy(*keys, "subject_source", "subject_file", "object_source", "object_file").agg(first.alias("f")).select(*keys, "subject_source", "subject_file", "object_source", "object_file", F.left("f.evidence", F.lit(500)).alias("evidence"), "f.subject_match", "f.object_match")

@@ -33,7 +33,7 @@ def read_markdown(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
         base = spark._jvm.org.apache.hadoop.fs.Path(root)
         whole = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
         path = F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z]+:(//[^/]*)?(?=/)", "")
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
         rel = F.substring(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), len(whole) + 2, 1 << 20)
         out = out.unionByName(files.select(F.lit(source).alias("source"), rel.alias("filename"), F.col("value").alias("text"), F.unix_seconds("_metadata.file_modification_time").alias("mtime")))
     return out
