@@ -1,19 +1,79 @@
-"""A corpus pipeline of five operators, each stage written as Parquet and read by the next."""
+"""A corpus pipeline of five operators.  Each stage is written as Parquet and read again as the next one's ``docs``.
+
+Stages work on every row their predecessor kept and, but for the last, return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorewell.llm.langid import identify, train
+from lorewell.llm.line_dedup import drop_boilerplate
+from lorewell.llm.mixing import mix_sources
+from lorewell.llm.ngram_join import similar_documents
+from lorewell.llm.packing import pack_documents
+from lorewell.llm.queries import tokenizer_path
+from lorewell.llm.scratch import Scratch
+
+#: Below this probability of the best language a document is rejected, as is one without letters.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; the model learns from the labelled ones."""
+    marked = identify(docs, train(docs), "text", "_lang", "_score")
+    return marked.filter((F.col("_lang") != "und") & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the boilerplate lines of each source; documents of which nothing is left go."""
+    done = drop_boilerplate(docs, F.col("source"), lines_name="_lines", dropped_name="_dropped")
+    kept = done.filter((F.col("_dropped") == 0) | (F.trim("text") != ""))
+    return kept.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones (five words, a similarity of 0.8 or more)."""
+    store = Scratch(spark, "kept")
+    found = store.write(similar_documents(docs, width=5, percent=80).select("doc_id", "kept"), "found")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    kept = found.filter("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
+    out = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    if again.limit(1).count():  # ids that stand in several rows: one row for each text
+        again = again.withColumnRenamed("doc_id", "_id")
+        same = docs.doc_id.eqNullSafe(F.col("_id"))
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it."""
+    taken = mix_sources(docs).filter("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path())
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
+]
 
-#: SQL cannot express these stages.
+#: SQL cannot express the learned model nor the tokenizer.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = store.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

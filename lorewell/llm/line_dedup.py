@@ -2,13 +2,14 @@
 
 For each host, the number of its pages that contain a line is divided by the host's pages; lines
 above ``ratio`` on at least ``min_pages`` pages are boilerplate and are dropped from that host's
-pages.  A host has at most (mean lines of its pages) / ratio such lines, so they travel as one short
+pages.  Pages of a host with the same text are one page, so copies of a page do not turn its lines into
+boilerplate.  A host has at most (mean lines of its pages) / ratio such lines, so they travel as one short
 array per host.
 
 Lines are divided by line feeds and compared after trimming spaces, tabs and carriage returns; blank
 lines are never dropped.  Nulls and edges: a null text stays null and has no lines; a page without a
 host (null) counts with the host ''; a line that repeats within a page counts once; repeated rows
-are separate pages; an empty table gives no rows; columns with clashing names are replaced.
+are counted once and all edited; an empty table gives no rows; columns with clashing names are replaced.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ def bare(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host: Column, text_col: str, ratio: float, min_pages: int) -> DataFrame:
     """(host, lines): the hashes of every host's boilerplate lines."""
-    sited = pages.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    totals = sited.groupBy("host").agg(F.count("*").alias("pages"))
+    sited = pages.filter(F.col(text_col).isNotNull()).select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("page"))
+    totals = sited.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: bare(x) != ""), lambda x: F.xxhash64(bare(x))))
-    counts = sited.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("lines"))
+    counts = sited.select("host", "page", F.explode(lines).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    return counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("_lines"))
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, lines_name: str = "n_lines", dropped_name: str = "n_dropped") -> DataFrame:
@@ -39,13 +40,13 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", rat
     found = store.write(boilerplate(pages, host, text_col, ratio, min_pages), "boilerplate")
     kept = [c for c in pages.columns if c not in (lines_name, dropped_name)]
     sited = pages.select(*kept, F.coalesce(host.cast("string"), F.lit("")).alias("_host"))
-    size = found.agg(F.sum(F.size("lines") + 8)).first()[0] or 0
+    size = found.agg(F.sum(F.size("_lines") + 8)).first()[0] or 0
     small = F.broadcast(found) if size <= 1_000_000 else found  # 8 bytes each: 8 MB at most
     joined = sited.join(small.withColumnRenamed("host", "_host"), "_host", "left")
     split = F.split(F.col(text_col), "\n")
-    left = F.filter(split, lambda x: ~F.array_contains("lines", F.xxhash64(bare(x))))
-    text = F.when(F.col("lines").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(split, lambda x: ~F.array_contains("_lines", F.xxhash64(bare(x))))
+    text = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     out = joined.withColumn("_text", text)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
-    gone = F.when(F.col("lines").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size(left))
+    gone = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size(left))
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in kept], n_lines.cast("long").alias(lines_name), gone.cast("long").alias(dropped_name))
