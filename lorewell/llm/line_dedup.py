@@ -31,7 +31,7 @@ def boilerplate(pages: DataFrame, host: Column, text_col: str, ratio: float, min
     totals = sited.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: bare(x) != ""), lambda x: F.xxhash64(bare(x))))
     counts = sited.select("host", "page", F.explode(lines).alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("_lines"))
+    return counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("__lines"))
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, lines_name: str = "n_lines", dropped_name: str = "n_dropped") -> DataFrame:
@@ -39,14 +39,14 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", rat
     store = Scratch(pages.sparkSession, "lines")
     found = store.write(boilerplate(pages, host, text_col, ratio, min_pages), "boilerplate")
     kept = [c for c in pages.columns if c not in (lines_name, dropped_name)]
-    sited = pages.select(*kept, F.coalesce(host.cast("string"), F.lit("")).alias("_host"))
-    size = found.agg(F.sum(F.size("_lines") + 8)).first()[0] or 0
+    sited = pages.select(*kept, F.coalesce(host.cast("string"), F.lit("")).alias("__host"))
+    size = found.agg(F.sum(F.size("__lines") + 8)).first()[0] or 0
     small = F.broadcast(found) if size <= 1_000_000 else found  # 8 bytes each: 8 MB at most
-    joined = sited.join(small.withColumnRenamed("host", "_host"), "_host", "left")
+    joined = sited.join(small.withColumnRenamed("host", "__host"), "__host", "left")
     split = F.split(F.col(text_col), "\n")
-    left = F.filter(split, lambda x: ~F.array_contains("_lines", F.xxhash64(bare(x))))
-    text = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("_text", text)
+    left = F.filter(split, lambda x: ~F.array_contains("__lines", F.xxhash64(bare(x))))
+    text = F.when(F.col("__lines").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    out = joined.withColumn("__text", text)
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
-    gone = F.when(F.col("_lines").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size(left))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in kept], n_lines.cast("long").alias(lines_name), gone.cast("long").alias(dropped_name))
+    gone = F.when(F.col("__lines").isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size(left))
+    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in kept], n_lines.cast("long").alias(lines_name), gone.cast("long").alias(dropped_name))
