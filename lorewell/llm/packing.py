@@ -40,8 +40,11 @@ GROUP_CHARS = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank_in_part long, ids binary"
 
 
-_stop = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
-_plain = re.compile(r"[a-z]+").fullmatch
+#: Lower-case letters that no normalisation changes while only such letters and spaces stand about them.
+_LETTERS = "a-zß-öø-ÿ"
+_stop = re.compile(rf"(?<=[{_LETTERS}])([!-/:-@\[-`{{-~]+)(?=[ \n])")
+_plain = re.compile(f"[{_LETTERS}]+").fullmatch
+_latin = re.compile("[\\x00-\\xff]*").fullmatch
 _tokenizers: dict[str, WordTokens] = {}
 
 
@@ -49,8 +52,8 @@ class WordTokens:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer normalises, splits and merges within stretches free of white space, and drops the
-    white space itself, so a text's ids are those of its words one after another.  ASCII capitals
-    are lowered first, and a full stop or comma between letter and space becomes a word of its own: the
+    white space itself, so a text's ids are those of its words one after another.  Capitals
+    are lowered first, and punctuation between letter and space becomes a word of its own: the
     tokenizer does both anyway, and fewer different words are left.  One object lives as
     long as its Python worker, so the words that are known serve later tasks too."""
 
@@ -76,21 +79,21 @@ class WordTokens:
         out = {}
         for lo in range(0, len(plain), 50_000):
             own = plain[lo : lo + 50_000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
             raw = ids.tobytes()
             if len(ends) == len(own):
                 out.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
             else:  # a vocabulary without word ends
                 other += own
-        out.update(zip(other, (np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(other, add_special_tokens=False))))
+        out.update(zip(other, (np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
         for text in texts:
             if "<|" not in text:  # else a special token's name could be made or broken
-                text = _stop.sub(r" \1", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+                text = _stop.sub(r" \1", text.lower() if _latin(text) else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
             split.append(text.replace("\n", " ").split(" "))
         words = set().union(*split)
         new = words.difference(self.young)
