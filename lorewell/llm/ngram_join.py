@@ -8,11 +8,12 @@ shingles and looks for one.  Each document lengthens its prefix as long as this
 cost, the summed frequencies of the shingles it looks up; frequencies are exact, counted over all documents.
 
 Documents with equal sets are one node.  Candidates that share a looked-up shingle form a group.  Groups
-are not expanded into pairs: all members are compared with the most central one; a group whose members are
-now connected is done; by the triangle inequality of the Jaccard distance, linked members that are too
-close to the centre to reach any other member leave; the others go on with a new centre, and are compared
-pair by pair once they are few.  A comparison first bounds the distance by the two prefixes, then
-takes the whole sets.
+are not expanded into pairs.  All members are compared with the most central one: a comparison first
+bounds the Jaccard distance by the two prefixes, then takes the whole sets.  Members near a centre form its cluster,
+whatever shingles brought them there; the symmetric difference of two members is that of their differences from the
+centre, which are small, so a cluster is settled exactly in blocks of these differences, of which only
+links come out.  By the triangle inequality members near the centre cannot link with far ones, but for those in between;
+these and the far ones are compared in blocks, too, by the known parts of their prefixes, and what passes is compared whole.
 
 Nulls and edges: null or blank text has the empty set and links with nothing; texts with fewer words than
 a shingle have their whole sequence as the one shingle; documents with equal sets are linked; rows with
@@ -35,9 +36,10 @@ from lorewell.llm.scratch import Scratch
 
 #: Frequency above which a shingle's group is divided by classes of set size.
 HOT = 16
-#: Groups of at most so many members are compared pair by pair; others get a centre, at most so many times
-#: in a row before they, too, are compared pair by pair.
-FEW, CENTRES = 24, 8
+#: Members of a group that meet in one task on either side.
+BLOCK = 1024
+#: Prefix cuts at which the pairs of a block are judged.
+CUTS = 8
 BUCKET_ENTRIES = 500_000
 
 
@@ -89,7 +91,7 @@ def choose_level(df: np.ndarray, first: int) -> tuple[int, np.ndarray]:
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links of a
-    Jaccard index of at least ``percent`` / 100)."""
+    Jaccard index of at least ``percent`` / 100), kept (one row of each component)."""
     store = Scratch(docs.sparkSession, "ngrams")
     far = 1 - percent / 100
     blocks = store.write(pack_blocks(docs, id_col, text_col), "blocks", "none")
@@ -184,69 +186,47 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     store.drop(nodes, replies)
     members = active.select("rid", "n", "score", "level", F.explode(F.arrays_zip("groups", "marks")).alias("x")).select(F.col("x.groups").alias("g"), "rid", "n", "score", "level", F.shiftright("x.marks", 1).alias("pos"), F.col("x.marks").bitwiseAND(1).alias("probe"))
 
-    links, done, scraps = [], [], []
-    roots: DataFrame | None = None
-    for turn in range(CENTRES + 1):
-        # the centre of each group that someone looks up
-        centre = members.groupBy("g").agg(F.max(F.struct("score", "rid", "n")).alias("c"), F.count("*").alias("size"), F.max("probe").alias("looked"), *([F.min("root").alias("r0"), F.max("root").alias("r1")] if roots is not None else []))
-        centre = centre.filter("size > 1 and looked = 1" + (" and r0 < r1" if roots is not None else ""))
-        last = turn == CENTRES
-        several = centre.filter(F.lit(turn == 0) | (F.col("size") > FEW)).select("g", F.col("c.rid").alias("c"), F.col("c.n").alias("cn"))
-        pairs = []
-        if turn:
-            some = members.join(centre.filter(F.lit(last) | (F.col("size") <= FEW)).select("g"), "g")
-            a, b = some.filter("probe = 1").alias("a"), some.alias("b")
-            direct = a.join(b, F.col("a.g") == F.col("b.g")).filter(
-                (F.col("a.root") != F.col("b.root")) & ((F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.rid") < F.col("a.rid")))) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-                & (F.col("b.pos") < F.col("b.n") - F.ceil(F.col("b.n") * percent / 100) + F.col("a.level"))
-            )
-            pairs.append(direct.select(F.least("a.rid", "b.rid").alias("a"), F.greatest("a.rid", "b.rid").alias("b")))
-        placed = None
-        if not last:
-            placed = store.write(members.join(several, "g"), "placed")
-            scraps.append(placed)
-            pairs.append(placed.filter((F.col("rid") != F.col("c")) & (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)).select(F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b")))
-        asked = pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1])
-        asked = asked.distinct()
-        for d in done:
-            asked = asked.join(d.select("a", "b"), ["a", "b"], "left_anti")
-        known = _compare(asked, active, blocks, by_block, store, width, percent)
-        done.append(known)
-        links.append(known.filter("linked").select("a", "b"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        new_roots = components(every, store)
-        if roots is not None:
-            store.drop(roots)
-        roots = new_roots
-        if last or placed is None:
-            break
-        # who goes on: no centres, and linked members only if another one may be within reach
-        results = done[0].select("a", "b", "d", "linked")
-        for d in done[1:]:
-            results = results.union(d.select("a", "b", "d", "linked"))
-        keyed = placed.drop("root").withColumn("a", F.least("rid", "c")).withColumn("b", F.greatest("rid", "c")).join(results, ["a", "b"], "left")
-        keyed = keyed.withColumn("d", F.coalesce("d", 1 - F.least("n", "cn") / F.greatest("n", "cn"))).withColumn("linked", F.coalesce("linked", F.lit(False)))
-        rooted = keyed.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")).filter("rid <> c")
-        reach = rooted.groupBy("g").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("near"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("looked")).filter("r0 < r1 and looked = 1 and near is not null").select("g", "near")
-        rest = rooted.join(reach, "g").filter(~F.col("linked") | (F.col("d") + far + 1e-9 >= F.col("near"))).select("g", "rid", "n", "score", "level", "pos", "probe", "root")
-        members = store.write(rest, "rest")
-        scraps.append(members)
-        if not members.limit(1).count():
-            break
-    store.drop(blocks, *scraps)
+    # every member of a group that someone looks up against the group's centre
+    near = min(0.5, 3.5 * far)  # the radius of a cluster
+    centre = members.groupBy("g").agg(F.max(F.struct("score", "rid", "n")).alias("c"), F.count("*").alias("size"), F.max("probe").alias("looked")).filter("size > 1 and looked = 1").select("g", F.col("c.rid").alias("c"), F.col("c.n").alias("cn"))
+    placed = store.write(members.join(centre, "g").filter("rid <> c").select("g", "rid", "n", "probe", "c", "cn"), "placed")
+    alike = F.least("n", "cn") >= F.greatest("n", "cn") * (1 - near)
+    asked = placed.filter(alike).select(F.least("rid", "c").alias("a"), F.greatest("rid", "c").alias("b")).distinct()
+    known = _compare(asked, active, blocks, by_block, store, width, percent, near)
+    links = [known.filter("linked").select("a", "b")]
+    roots = _roots(links, store, None)
+    # clusters of members near a centre
+    spots = placed.select("rid", "n", "c", "cn").distinct().join(known.select("a", "b", "d", "diff"), (F.least("rid", "c") == F.col("a")) & (F.greatest("rid", "c") == F.col("b")), "left")
+    spots = store.write(spots.select("rid", "n", "c", F.coalesce("d", 1 - F.least("n", "cn") / F.greatest("n", "cn")).alias("d"), "diff"), "spots", "none")
+    links.append(_within(spots.filter("diff is not null"), roots, store, percent))
+    roots = _roots(links, store, roots)
+    # the rest: far members, and near ones that may reach them
+    keyed = placed.drop("n").join(spots.select("rid", "c", "n", "d", F.col("diff").isNull().alias("away")), ["rid", "c"])
+    rooted = keyed.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    rooted = rooted.filter(F.col("away") | (F.col("d") > near - far - 1e-9))
+    going = rooted.groupBy("g").agg(F.max(F.col("away").cast("int")).alias("away"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("looked")).filter("r0 < r1 and looked = 1 and away = 1").select("g")
+    # groups with the same centre go on as one
+    rest = store.write(rooted.join(going, "g", "left_semi").select("c", "rid", "n", "root", "away").distinct(), "rest")
+    store.drop(placed, spots)
+    more = _candidates(rest, active, store, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    known2 = _compare(more, active, blocks, by_block, store, width, percent, far + 1e-9)
+    links.append(known2.filter("linked").select("a", "b"))
+    roots = _roots(links, store, roots)
+    done, scraps = [known, known2], [rest]
+    store.drop(blocks, *scraps, *done)
     classes = reps.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = store.write(classes.join(least, "root").select("s1", "s2", "n", "component_id"), "classes")
+    least = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("k"))
+    named = store.write(classes.join(least, "root").select("s1", "s2", "n", F.col("k.doc_id").alias("component_id"), F.col("k.rid").alias("keeper")), "classes")
     store.drop(active, reps)
     found = documents.join(named, ["s1", "s2", "n"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), ((F.col("n") == 0) | F.col("keeper").eqNullSafe(F.col("rid"))).alias("kept")
+    )
 
 
-def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, store: Scratch, width: int, percent: int) -> DataFrame:
-    """(a, b, d, linked): d is the distance, or a lower bound of it where that exceeds the limit."""
-    far = 1 - percent / 100
+def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, store: Scratch, width: int, percent: int, near: float) -> DataFrame:
+    """(a, b, d, linked, diff): d is the distance, or a lower bound of it above ``near``; diff is the
+    symmetric difference, of near pairs only."""
     side = lambda k: active.select(F.col("rid").alias(k), F.col("n").alias(f"n_{k}"), F.col("top").alias(f"top_{k}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +243,7 @@ def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low)], ["a", "b", "low"])
 
     bounded = store.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "top_a", "top_b").mapInArrow(bound, "a long, b long, low double"), "bounded")
-    close = bounded.filter(F.col("low") <= far + 1e-9)
+    close = bounded.filter(F.col("low") <= near)
 
     def texts(row: dict, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not replies:
@@ -287,14 +267,135 @@ def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, s
             return sets[rid]
 
         for batch in batches:
-            d, linked = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            d, linked, diff = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool), []
             for i, r in enumerate(rows([batch])):
-                same, union = distance(of(r["a"], r["z_a"]), of(r["b"], r["z_b"]))
+                x, y = of(r["a"], r["z_a"]), of(r["b"], r["z_b"])
+                same, union = distance(x, y)
                 d[i], linked[i] = 1 - same / union, 100 * same >= percent * union
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d), pa.array(linked)], ["a", "b", "d", "linked"])
+                diff.append(np.setxor1d(x, y, assume_unique=True).tobytes() if d[i] <= near else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d), pa.array(linked), pa.array(diff, pa.binary())], ["a", "b", "d", "linked", "diff"])
 
     held = lambda k: fetched.select(F.col("rid").alias(k), F.col("z").alias(f"z_{k}"))
-    verified = store.write(close.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(exact, "a long, b long, d double, linked boolean"), "verified")
-    out = store.write(verified.union(bounded.filter(F.col("low") > far + 1e-9).select("a", "b", F.col("low").alias("d"), F.lit(False).alias("linked"))), "known")
+    verified = store.write(close.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(exact, "a long, b long, d double, linked boolean, diff binary"), "verified", "none")
+    out = store.write(verified.union(bounded.filter(F.col("low") > near).select("a", "b", F.col("low").alias("d"), F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff"))), "known", "none")
     store.drop(bounded, fetched, verified)
     return out
+
+
+def _roots(links: list[DataFrame], store: Scratch, old: DataFrame | None) -> DataFrame:
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    roots = components(every, store)
+    if old is not None:
+        store.drop(old)
+    return roots
+
+
+def _blocks(rows_: DataFrame, key: str, sizes: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of each key dealt into pairs (i <= j) of blocks, sorted by them; ``sizes``: key and m."""
+    own = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    parts = sizes.select(key, F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    dealt = rows_.join(parts, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(F.col(key).alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _by_block(fn):
+    """``fn(rows of a pair of blocks, places of the left, places of the right)`` gives pairs (a, b)."""
+
+    def batch(held: list[dict]) -> pa.RecordBatch:
+        side = np.array([r["own"] for r in held])
+        left, right = (np.flatnonzero(side == held[0][k]) for k in ("i", "j"))
+        found = fn(held, left, right) if len(left) and len(right) else []
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for row in rows(batches):
+            key = (row["key"], row["i"], row["j"])
+            if held and key != now:
+                yield batch(held)
+                held = []
+            now = key
+            held.append(row)
+        if held:
+            yield batch(held)
+
+    return run
+
+
+def _differences(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the symmetric differences of sets (each of distinct values)."""
+    size = np.array([len(d) for d in sets])
+    tokens, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    often = np.flatnonzero(times > 1)  # others are common to no two
+    place = np.full(len(tokens), -1)
+    place[often] = np.arange(len(often))
+    column = place[at]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(often), 4096):
+        dense = np.zeros((len(sets), min(4096, len(often) - lo)), np.float32)
+        hit = (column >= lo) & (column < lo + 4096)
+        dense[owner[hit], column[hit] - lo] = 1
+        common += dense[left] @ dense[right].T
+    return size[left][:, None] + size[right][None] - 2 * np.rint(common).astype(np.int64)
+
+
+def _within(spots: DataFrame, roots: DataFrame, store: Scratch, percent: int) -> DataFrame:
+    """Links (a, b), enough to connect what is linked, among the members (rid, n, diff) of each cluster c."""
+    rooted = spots.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    sizes = rooted.groupBy("c").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+
+    def settle(held: list[dict], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        n = np.array([r["n"] for r in held])
+        root = np.unique([r["root"] for r in held], return_inverse=True)[1]
+        apart = _differences([np.frombuffer(r["diff"], np.uint64) for r in held], left, right)
+        both = n[left][:, None] + n[right][None]
+        # overlap (both - apart) / 2 of union (both + apart) / 2
+        a, b = np.nonzero((100 * (both - apart) >= percent * (both + apart)) & (root[left][:, None] != root[right][None]))
+        up = np.arange(root.max() + 1)
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        out = []
+        for x, y in zip(left[a], right[b]):
+            p, q = top(root[x]), top(root[y])
+            if p != q:
+                up[p] = q
+                out.append((held[x]["rid"], held[y]["rid"]))
+        return out
+
+    return store.write(_blocks(rooted, "c", sizes, ["rid", "n", "root", "diff"]).mapInArrow(_by_block(settle), "a long, b long"), "within")
+
+
+def _candidates(rest: DataFrame, active: DataFrame, store: Scratch, percent: int) -> DataFrame:
+    """Pairs (a < b) of the groups around a centre c, at least one of them away from the centre, that are not known to be too
+    far apart by their prefixes."""
+    sizes = rest.groupBy("c").agg(F.count("*").alias("m"))
+    tops = rest.join(active.select("rid", "top"), "rid")
+
+    def bound(held: list[dict], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        n = np.array([r["n"] for r in held])
+        root = np.unique([r["root"] for r in held], return_inverse=True)[1]
+        away = np.array([r["away"] for r in held])
+        tops = [np.frombuffer(r["top"], np.uint32) for r in held]
+        # below its last hash a set is known, so a pair is judged below a cut that neither last hash is under;
+        # equal halves of different hashes only lower the bound
+        ends = np.array([int(t[-1]) if len(t) < k else 1 << 32 for t, k in zip(tops, n)])
+        apart = np.zeros((len(left), len(right)), np.int64)
+        for cut in np.unique(np.quantile(ends, np.linspace(0, 1, CUTS), method="lower")):
+            l, r = np.flatnonzero(ends[left] >= cut), np.flatnonzero(ends[right] >= cut)
+            own = np.flatnonzero(ends >= cut)
+            back = np.cumsum(ends >= cut) - 1
+            if len(l) and len(r):
+                apart[np.ix_(l, r)] = _differences([np.unique(tops[k][tops[k] < cut]) for k in own], back[left[l]], back[right[r]])
+        a, b = n[left][:, None], n[right][None]
+        ok = (100 * (a + b - apart) >= percent * (a + b + apart)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (root[left][:, None] != root[right][None]) & (away[left][:, None] | away[right][None])
+        return list({(min(p, q), max(p, q)) for p, q in ((held[left[x]]["rid"], held[right[y]]["rid"]) for x, y in zip(*np.nonzero(ok)))})
+
+    return store.write(_blocks(tops, "c", sizes, ["rid", "n", "root", "away", "top"]).mapInArrow(_by_block(bound), "a long, b long").distinct(), "candidates")
