@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.scratch import Scratch
 
-#: Exponents tried in one pass over the sources, and passes: the interval shrinks to 32**-6.
-GRID, PASSES = 32, 6
+#: Exponents tried in one pass over the sources, and passes: the interval shrinks to 32**-9.
+GRID, PASSES = 32, 9
 
 
 def words(text: Column) -> Column:

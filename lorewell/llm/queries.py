@@ -87,4 +87,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "w AS (SELECT doc_id, regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+') AS w FROM documents)"
+_BARE = r"regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')"
+
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": "WITH RECURSIVE " + _WORDS + """,
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+ r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u),
+ c AS (SELECT v AS doc_id, min(u) AS component_id FROM r GROUP BY 1)
+ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op3_source_mixing": r"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, md5('1|' || CAST(doc_id AS VARCHAR)) AS key FROM documents),
+ t AS (SELECT s, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY 1), p AS (SELECT s, tokens, tokens / (SELECT sum(tokens) FROM t) AS p FROM t WHERE tokens > 0), one AS (SELECT list(p) AS ps, count(*) AS k FROM p),
+ b AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi UNION ALL
+   SELECT step + 1, CASE WHEN h >= 0.9 * ln(k) - 1e-12 THEN mid ELSE lo END, CASE WHEN h >= 0.9 * ln(k) - 1e-12 THEN hi ELSE mid END FROM (
+     SELECT step, lo, hi, mid, k, ln(z) - list_sum(list_transform(ws, lambda x: x * ln(x))) / z AS h FROM (
+       SELECT *, list_sum(ws) AS z FROM (SELECT step, lo, hi, k, (lo + hi) / 2 AS mid, list_transform(ps, lambda x: pow(x, (lo + hi) / 2)) AS ws FROM b, one WHERE step < 48)))),
+ c AS (SELECT step, lo, hi FROM b WHERE step = 48),
+ nat AS (SELECT -list_sum(list_transform(ps, lambda x: x * ln(x))) >= 0.9 * ln(k) - 1e-12 AS even FROM one),
+ e1 AS (SELECT CASE WHEN even THEN 1.0 ELSE lo END AS a FROM c, nat),
+ e AS (SELECT CASE WHEN list_max(ps) > 0 AND greatest(pow(list_min(ps), a - 1), pow(list_max(ps), a - 1)) / least(pow(list_min(ps), a - 1), pow(list_max(ps), a - 1)) <= 2 THEN a ELSE 1 - ln(2) / ln(list_max(ps) / list_min(ps)) END AS a FROM e1, one),
+ w AS (SELECT s, tokens, pow(p, a) / (SELECT sum(pow(p, a)) FROM p, e) AS w FROM p, e), g AS (SELECT max(ceil(round(tokens / w, 3))) AS budget FROM w),
+ q AS (SELECT s, CAST(floor(round(w * budget, 3)) AS BIGINT) // tokens AS epochs, CAST(floor(round(w * budget, 3)) AS BIGINT) % tokens AS rest FROM w, g),
+ r AS (SELECT d.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY d.s ORDER BY key RANGE UNBOUNDED PRECEDING) AS run FROM d LEFT JOIN q ON q.s = d.s)
+ SELECT doc_id, source, n_tokens, CAST(coalesce(epochs + CASE WHEN n_tokens > 0 AND run <= rest THEN 1 ELSE 0 END, 1) AS BIGINT) AS copies FROM r""",
+    "op5_line_dedup": "WITH pages AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),"
+    " l AS (SELECT DISTINCT host, text, " + _BARE + " AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS x FROM pages) WHERE " + _BARE + " <> ''),"
+    " b AS (SELECT host, list(line) AS lines FROM (SELECT host, line, count(*) AS n FROM l GROUP BY 1, 2) JOIN (SELECT host, count(*) AS pages FROM pages GROUP BY 1) USING (host) WHERE n >= 5 AND n > CAST(0.1 AS DOUBLE) * pages GROUP BY 1),"
+    " k AS (SELECT doc_id, text, string_split(text, chr(10)) AS a, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(lines, []), " + _BARE + ")) AS kept FROM documents d LEFT JOIN b ON b.host = coalesce(d.source, ''))"
+    " SELECT doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(a) - len(kept), 0) AS BIGINT) AS n_dropped, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k",
+    "op7_lm_scoring": "WITH " + _WORDS + """, p AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+ g AS (SELECT doc_id, 1 AS k, c AS g FROM p UNION ALL SELECT doc_id, 2, b || ' ' || c FROM p WHERE i > 1 UNION ALL SELECT doc_id, 3, a || ' ' || b || ' ' || c FROM p WHERE i > 2),
+ own AS (SELECT doc_id, k, g, count(*) AS n FROM g GROUP BY 1, 2, 3), al AS (SELECT k, g, sum(n) AS n FROM own GROUP BY 1, 2),
+ rest AS (SELECT doc_id, o.k, o.g, al.n - o.n AS n FROM own o JOIN al ON al.k = o.k AND al.g = o.g),
+ nd AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), na AS (SELECT count(*) AS n FROM p),
+ v AS (SELECT p.doc_id, i, greatest(na.n - nd.n, 1) AS others, r1.n AS n1, r2.n AS n2, r3.n AS n3, q1.n AS m1, q2.n AS m2 FROM p JOIN nd USING (doc_id), na
+   JOIN rest r1 ON r1.doc_id = p.doc_id AND r1.k = 1 AND r1.g = c LEFT JOIN rest r2 ON r2.doc_id = p.doc_id AND r2.k = 2 AND r2.g = b || ' ' || c LEFT JOIN rest r3 ON r3.doc_id = p.doc_id AND r3.k = 3 AND r3.g = a || ' ' || b || ' ' || c
+   LEFT JOIN rest q1 ON q1.doc_id = p.doc_id AND q1.k = 1 AND q1.g = b LEFT JOIN rest q2 ON q2.doc_id = p.doc_id AND q2.k = 2 AND q2.g = a || ' ' || b),
+ s1 AS (SELECT *, CASE WHEN n1 > 0 THEN n1 ELSE 0.5 END / others AS s FROM v), s2 AS (SELECT * REPLACE (CASE WHEN i < 2 THEN s WHEN n2 > 0 THEN n2 / m1 ELSE CAST(0.4 AS DOUBLE) * s END AS s) FROM s1),
+ s3 AS (SELECT * REPLACE (CASE WHEN i < 3 THEN s WHEN n3 > 0 THEN n3 / m2 ELSE CAST(0.4 AS DOUBLE) * s END AS s) FROM s2),
+ z AS (SELECT doc_id, count(CASE WHEN n3 > 0 THEN 1 END) AS n_seen, round(avg(log10(s)), 6) AS score FROM s3 GROUP BY 1)
+ SELECT d.doc_id, CAST(coalesce(nd.n, 0) AS BIGINT) AS n_words, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen, score FROM documents d LEFT JOIN nd USING (doc_id) LEFT JOIN z USING (doc_id)""",
+    "op8_chat_formatting": """WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ h AS (SELECT conv_id, turn, string_agg(turn || '|' || length(role) || '|' || role || '|' || length(text) || '|' || text, chr(1)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS prefix,
+   count(*) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS n, count(*) OVER (PARTITION BY conv_id) AS n_all, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text DESC) AS last FROM t),
+ whole AS (SELECT prefix, min(conv_id) AS conv_id FROM h WHERE n = n_all GROUP BY 1),
+ kept AS (SELECT conv_id FROM whole WHERE prefix NOT IN (SELECT prefix FROM h WHERE n < n_all AND last = 1)),
+ r AS (SELECT conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text FROM t WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY 1, 2)
+ SELECT conv_id, part, n_turns, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM r""",
+}
