@@ -24,15 +24,15 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; the model learns from the labelled ones."""
-    marked = identify(docs, train(docs), "text", "_lang", "_score")
-    return marked.filter((F.col("_lang") != "und") & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    marked = identify(docs, train(docs), "text", "__lang", "__score")
+    return marked.filter((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the boilerplate lines of each source; documents of which nothing is left go."""
-    done = drop_boilerplate(docs, F.col("source"), lines_name="_lines", dropped_name="_dropped")
-    kept = done.filter((F.col("_dropped") == 0) | (F.trim("text") != ""))
-    return kept.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    done = drop_boilerplate(docs, F.col("source"), lines_name="__stage_lines", dropped_name="__stage_dropped")
+    kept = done.filter((F.col("__stage_dropped") == 0) | (F.trim("text") != ""))
+    return kept.withColumn("n_chars", F.when(F.col("__stage_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     store = Scratch(spark, "kept")
     found = store.write(similar_documents(docs, width=5, percent=80).select("doc_id", "kept"), "found")
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = found.filter("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-    out = docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    kept = found.filter("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
+    out = docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
     if again.limit(1).count():  # ids that stand in several rows: one row for each text
-        again = again.withColumnRenamed("doc_id", "_id")
-        same = docs.doc_id.eqNullSafe(F.col("_id"))
+        again = again.withColumnRenamed("doc_id", "__id")
+        same = docs.doc_id.eqNullSafe(F.col("__id"))
         out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out
 
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it."""
     taken = mix_sources(docs).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,30 +81,30 @@ def mix_sources(
     extra = ("n_tokens", "copies")
     kept = [c for c in docs.columns if c not in extra]
     # blocks: the leading 3 digits of the permutation's key, so that a hot source is 4096 windows
-    named = docs.select(*kept, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), words(F.col(text_col)).alias("n_tokens"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("_key")).withColumn("_block", F.substring("_key", 1, 3))
-    blocks = store.write(named.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
-    sources = store.write(blocks.groupBy("_source").agg(F.sum("tokens").alias("tokens")), "sources")
+    named = docs.select(*kept, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__mix_source"), words(F.col(text_col)).alias("n_tokens"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("__mix_key")).withColumn("__mix_block", F.substring("__mix_key", 1, 3))
+    blocks = store.write(named.groupBy("__mix_source", "__mix_block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    sources = store.write(blocks.groupBy("__mix_source").agg(F.sum("tokens").alias("tokens")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
-    shares = sources.filter("tokens > 0").select("_source", "tokens", (F.col("tokens") / F.lit(max(1, total))).alias("p"))
+    shares = sources.filter("tokens > 0").select("__mix_source", "tokens", (F.col("tokens") / F.lit(max(1, total))).alias("p"))
     a = bisect_exponent(shares, entropy_share, max_epochs)
     weights = shares.withColumn("w", F.pow("p", F.lit(a)))
     norm = weights.agg(F.sum("w")).first()[0] or 1.0
     weights = weights.withColumn("w", F.col("w") / norm)
     if budget is None:
         budget = weights.agg(F.max(F.ceil(F.round(F.col("tokens") / F.col("w"), 3)))).first()[0] or 0
-    quotas = weights.select("_source", "tokens", F.floor(F.round(F.col("w") * budget, 3)).cast("long").alias("quota"))
-    quotas = quotas.select("_source", F.expr("quota div tokens").alias("_epochs"), F.expr("quota % tokens").alias("_rest"))
-    over = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("_source", "_block", "tokens", F.coalesce(F.sum("tokens").over(over), F.lit(0)).alias("_start")).join(quotas, "_source", "left")
+    quotas = weights.select("__mix_source", "tokens", F.floor(F.round(F.col("w") * budget, 3)).cast("long").alias("quota"))
+    quotas = quotas.select("__mix_source", F.expr("quota div tokens").alias("__mix_epochs"), F.expr("quota % tokens").alias("__mix_rest"))
+    over = Window.partitionBy("__mix_source").orderBy("__mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("__mix_source", "__mix_block", "tokens", F.coalesce(F.sum("tokens").over(over), F.lit(0)).alias("__mix_start")).join(quotas, "__mix_source", "left")
     # a permutation's beginning is all keys up to a cut, which lies in one block of each source
-    whole = starts.filter(F.col("_start") + F.col("tokens") <= F.col("_rest")).groupBy("_source").agg(F.max("_block").alias("_whole"))
-    split = few(starts.filter((F.col("tokens") > 0) & (F.col("_start") <= F.col("_rest")) & (F.col("_start") + F.col("tokens") > F.col("_rest"))).select("_source", "_block", "_start", "_rest"), store)
-    inside = Window.partitionBy("_source").orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
-    running = named.join(split, ["_source", "_block"]).select("_source", "_key", "_rest", (F.col("_start") + F.sum("n_tokens").over(inside)).alias("_run"))
-    last = running.filter("_run <= _rest").groupBy("_source").agg(F.max("_key").alias("_cut"))
-    cuts = few(quotas.join(whole, "_source", "left").join(last, "_source", "left").select("_source", "_epochs", F.greatest(F.concat("_whole", F.lit("~")), "_cut").alias("_cut")), store)
-    once_more = F.when((F.col("n_tokens") > 0) & (F.col("_key") <= F.col("_cut")), 1).otherwise(0)
-    return named.join(cuts, "_source", "left").select(*kept, "n_tokens", F.coalesce(F.col("_epochs") + once_more, F.lit(1)).cast("long").alias("copies"))
+    whole = starts.filter(F.col("__mix_start") + F.col("tokens") <= F.col("__mix_rest")).groupBy("__mix_source").agg(F.max("__mix_block").alias("__mix_whole"))
+    split = few(starts.filter((F.col("tokens") > 0) & (F.col("__mix_start") <= F.col("__mix_rest")) & (F.col("__mix_start") + F.col("tokens") > F.col("__mix_rest"))).select("__mix_source", "__mix_block", "__mix_start", "__mix_rest"), store)
+    inside = Window.partitionBy("__mix_source").orderBy("__mix_key").rangeBetween(Window.unboundedPreceding, 0)
+    running = named.join(split, ["__mix_source", "__mix_block"]).select("__mix_source", "__mix_key", "__mix_rest", (F.col("__mix_start") + F.sum("n_tokens").over(inside)).alias("__mix_run"))
+    last = running.filter("__mix_run <= __mix_rest").groupBy("__mix_source").agg(F.max("__mix_key").alias("__mix_cut"))
+    cuts = few(quotas.join(whole, "__mix_source", "left").join(last, "__mix_source", "left").select("__mix_source", "__mix_epochs", F.greatest(F.concat("__mix_whole", F.lit("~")), "__mix_cut").alias("__mix_cut")), store)
+    once_more = F.when((F.col("n_tokens") > 0) & (F.col("__mix_key") <= F.col("__mix_cut")), 1).otherwise(0)
+    return named.join(cuts, "__mix_source", "left").select(*kept, "n_tokens", F.coalesce(F.col("__mix_epochs") + once_more, F.lit(1)).cast("long").alias("copies"))
 
 
 def few(rows: DataFrame, store: Scratch) -> DataFrame:
