@@ -76,18 +76,21 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int = 2, exclude: tuple
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 2, allowed: tuple[str, ...] = EDGE_TYPES, max_nodes: int = 120, max_edges: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within reach of the seeds (column id).  Nodes are taken in order of discovery up to the cap,
+    """(nodes, edges) within reach of the seeds (column id, five at most).  Nodes are taken in order of discovery up to the cap,
     seeds always; edges between taken nodes by weight up to their cap; column capped says that a cap bit."""
     if not (1 <= depth <= 3 and 1 <= max_nodes <= 250 and 1 <= max_edges <= 800):
         raise ValueError("depth 1 to 3, max_nodes 1 to 250, max_edges 1 to 800")
     own = edges.filter(F.col("edge_type").isin(*allowed))
     reach = traverse(own, seeds.select(F.col("id").alias("start")), depth).groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"), F.max("weight").alias("w"))
     reach = reach.join(seeds, "id", "left_anti").unionByName(seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("double").alias("w")))
-    n_nodes = reach.count()
-    nodes = reach.orderBy("depth", F.desc("w"), "id").limit(max(max_nodes, seeds.count())).select("id", "depth", F.lit(n_nodes > max_nodes).alias("capped"))
+    # one row more than the cap shows whether it bites; these windows see so many rows at most
+    order = ("depth", F.desc("w"), "id")
+    first = reach.orderBy(*order).limit(max_nodes + 6).withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.count("*").over(Window.partitionBy()))
+    nodes = first.filter(f"_n <= {max_nodes} or depth = 0").select("id", "depth", (F.col("_all") > max_nodes).alias("capped"))
     within = own.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    n_edges = within.count()
-    return nodes, within.orderBy(F.desc("weight"), "edge_type", "src", "dst").limit(max_edges).withColumn("capped", F.lit(n_edges > max_edges))
+    order = (F.desc("weight"), "edge_type", "src", "dst")
+    first = within.orderBy(*order).limit(max_edges + 1).withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.count("*").over(Window.partitionBy()))
+    return nodes, first.filter(f"_n <= {max_edges}").withColumn("capped", F.col("_all") > max_edges).drop("_n", "_all")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

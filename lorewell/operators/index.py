@@ -146,3 +146,14 @@ def catalog(chunks: DataFrame) -> DataFrame:
     own = chunks.filter(~F.element_at(F.split("filename", "/"), -1).isin("index.md", "log.md"))
     first = own.groupBy("source", "filename").agg(F.min_by("summary", "chunk_index").alias("summary"), F.max("mtime").alias("mtime"), F.first("tier").alias("tier"))
     return first.select("source", "filename", F.left("summary", F.lit(120)).alias("summary"), F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd").alias("modified"), "tier").orderBy("source", "filename")
+
+
+def list_sections(chunks: DataFrame) -> DataFrame:
+    """The sections of each file, in order."""
+    return chunks.filter("type = 'section'").select("source", "filename", "chunk_index", "heading", "summary", "token_count").orderBy("source", "filename", "chunk_index")
+
+
+def indexed_files(chunks: DataFrame) -> DataFrame:
+    """Files that are indexed, with their tier, tiers in order."""
+    files = chunks.groupBy("source", "filename").agg(F.min_by("tier", "chunk_index").alias("tier"))
+    return files.withColumn("rank", X.tier_rank(F.col("tier"))).orderBy("rank", "source", "filename")

@@ -27,7 +27,8 @@ def resolve_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     found = found.unionByName(hit((F.col("_q") == F.col("_f")), 2).withColumn("stage", F.when(F.col("source") == "knowledge", 2).otherwise(3)))
     found = found.unionByName(hit((F.col("_s") == F.col("_f")) & (F.col("_s") != F.col("_q")), 4)).unionByName(hit(F.col("_base") == F.col("_b"), 5))
     text = F.regexp_replace("_q", r"\.md$", "")
-    found = found.unionByName(hit(F.col("_f").contains(text) & (F.length(text) > 0), 6))  # a stated set of names against all files
+    left = bare.join(found.select("name").distinct(), "name", "left_anti")  # of a stated set of names, the few without a file
+    found = found.unionByName(left.join(f, F.col("_f").contains(text) & (F.length(text) > 0)).select("name", "source", "filename", F.lit(6).alias("stage")))
     first = found.withColumn("_m", F.min("stage").over(Window.partitionBy("name"))).filter("stage = _m")
     one = first.groupBy("name", "stage").agg(F.countDistinct("source", "filename").alias("n"), F.min(F.struct(F.when(F.col("source") == "knowledge", 0).otherwise(1).alias("o"), "source", "filename")).alias("p"))
     clear = (F.col("n") == 1) | (F.col("stage") <= 4)

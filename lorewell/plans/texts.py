@@ -324,3 +324,42 @@ def folder_listing(spark, sf_dir):
     n = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(read("customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     listed = n.select(F.concat_ws("/", "r_name", "n_name").alias("path"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     return listed.withColumn("line", F.row_number().over(Window.orderBy("path")))  # one row per nation
+
+
+def _table(spark, sf_dir):
+    """Lines as the chunk table: every line a section of its document, headed by its first word."""
+    d = documents(spark, sf_dir).select("source", "doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "raw/d").otherwise("d"), F.col("doc_id").cast("string")).alias("filename"), "text")
+    rows = markdown.lines_of(d, ["source", "filename"])
+    return rows.select("source", "filename", F.col("line_no").cast("long").alias("chunk_index"), F.lit("section").alias("type"), F.split_part("line", F.lit(" "), F.lit(1)).alias("heading"), F.left("line", F.lit(30)).alias("summary"), T.token_count(F.col("line")).alias("token_count"), T.tier(F.col("source"), F.col("filename")).alias("tier"))
+
+
+TABLE = "WITH " + LINES + ", c AS (SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'raw/d' ELSE 'd' END || doc_id AS filename, line_no AS chunk_index, split_part(line, ' ', 1) AS heading, left(line, 30) AS summary, CAST(" + TOKENS.format("line") + " AS BIGINT) AS token_count, CASE WHEN doc_id % 4 = 0 THEN 'raw' ELSE 'wiki' END AS tier FROM lines) "
+
+
+@query(TABLE + "SELECT source, filename, CAST(chunk_index AS BIGINT) AS chunk_index, heading, summary, token_count FROM c")
+def list_sections(spark, sf_dir):
+    return index.list_sections(_table(spark, sf_dir))
+
+
+@query(TABLE + "SELECT DISTINCT source, filename, tier, CAST(CASE tier WHEN 'wiki' THEN 1 ELSE 3 END AS INTEGER) AS rank FROM c")
+def indexed_files(spark, sf_dir):
+    return index.indexed_files(_table(spark, sf_dir))
+
+
+@query(TABLE + ", s AS (SELECT source, filename, heading, arg_max(summary, chunk_index) AS summary FROM c WHERE summary <> '' GROUP BY 1, 2, 3) SELECT * FROM s")
+def heading_summaries(spark, sf_dir):
+    found = index.heading_summaries(_table(spark, sf_dir))
+    return found.select("source", "filename", F.explode("summaries").alias("heading", "summary"))
+
+
+@query("WITH f AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'knowledge' ELSE 'canon' END AS source, 'p' || doc_id % 300 || '/d' || doc_id // 3 || '.md' AS filename FROM documents), q AS (SELECT DISTINCT 'd' || doc_id // 3 AS name FROM documents),"
+       " m AS (SELECT q.name, f.source, f.filename FROM q JOIN f ON split_part(f.filename, '/', 2) = q.name || '.md'), n AS (SELECT name, count(*) AS n, min(source) AS source, min(filename) AS filename FROM m GROUP BY 1)"
+       " SELECT name, CASE WHEN n = 1 THEN source END AS source, CASE WHEN n = 1 THEN filename END AS filename, CAST(n AS BIGINT) AS n_candidates FROM n")
+def resolve_files(spark, sf_dir):
+    """Every base name as a query; names that several files have stay unresolved."""
+    from lorewell.operators import resolve
+
+    d = documents(spark, sf_dir)
+    base = F.concat(F.lit("d"), F.expr("doc_id div 3").cast("string"))
+    files = d.select(F.when(F.col("doc_id") % 2 == 0, "knowledge").otherwise("canon").alias("source"), F.concat(F.lit("p"), (F.col("doc_id") % 300).cast("string"), F.lit("/"), base, F.lit(".md")).alias("filename")).distinct()
+    return resolve.resolve_files(d.select(base.alias("name")).distinct(), files).select("name", "source", "filename", "n_candidates")

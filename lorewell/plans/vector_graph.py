@@ -130,19 +130,19 @@ BFS_SQL = """, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM
 
 @query("WITH RECURSIVE " + EDGES_SQL + BFS_SQL.format(only=""))
 def bfs_depth2(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    e = edges(spark, sf_dir).cache()  # read at every level
     return G.traverse(e, _starts(e), 2).select("start", "node", "depth")
 
 
 @query("WITH RECURSIVE " + EDGES_SQL + BFS_SQL.format(only="AND n.edge_type <> 'cross_domain'"))
 def bfs_exclude_type(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    e = edges(spark, sf_dir).cache()  # read at every level
     return G.traverse(e, _starts(e), 2, exclude=("cross_domain",)).select("start", "node", "depth")
 
 
 @query(None)
 def subgraph_bounded(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    e = edges(spark, sf_dir).cache()  # read at every level
     nodes, within = G.subgraph(e, _starts(e).withColumnRenamed("start", "id"), 2)
     return within.select("src", "dst", "edge_type", "weight", "capped")
 
