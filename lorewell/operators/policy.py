@@ -83,3 +83,10 @@ def frame_results(results: DataFrame, caps: dict[str, int], default: int = 8000)
     cap = F.coalesce(F.try_element_at(own, F.col("tool")), F.lit(default)) if caps else F.lit(default)
     state = F.when(~F.col("executed"), "NOT_EXECUTED").when(F.length("text") > cap, "TRUNCATED").otherwise("COMPLETE")
     return results.withColumn("frame", state).withColumn("delivered", F.when(F.col("frame") == "NOT_EXECUTED", "").otherwise(F.left("text", cap)))
+
+
+def context_window(model, windows: dict[str, int], default: int = 32_000):
+    """A model's context window: by its name, else by what stands before its first colon or hyphen, else the default."""
+    known = F.create_map(*[F.lit(x) for kv in windows.items() for x in kv])
+    family = F.regexp_extract(model, "^[^:-]*", 0)
+    return F.coalesce(F.try_element_at(known, model), F.try_element_at(known, family), F.lit(default))

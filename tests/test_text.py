@@ -145,3 +145,19 @@ def test_pages(spark):
 def test_fuzzy(spark):
     q, n = spark.createDataFrame([("regulaton",)], "query string"), spark.createDataFrame([("A > Regulation",), ("Other",)], "name string")
     assert [r["name"] for r in fuzzy.suggest(q, n).collect()] == ["A > Regulation"]
+
+
+def test_table_functions(spark):
+    from lorewell.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([("f.md", "# A\nx\n# B\ny")], "filename string, text string").createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT heading, chunk_index FROM some_files, LATERAL chunk_markdown(text, filename, 100)").collect()
+    assert [tuple(r) for r in got] == [("A", 0), ("B", 1)]
+    assert [tuple(r) for r in spark.sql("SELECT level, title FROM some_files, LATERAL markdown_headings(text)").collect()] == [(1, "A"), (1, "B")]
+
+
+def test_context_windows(spark):
+    assert one(spark, lambda m: policy.context_window(m, {"a": 1, "b-x": 2}), "a-7b") == 1
+    assert one(spark, lambda m: policy.context_window(m, {"a": 1, "b-x": 2}), "b-x") == 2
+    assert one(spark, lambda m: policy.context_window(m, {"a": 1}), "zzz") == 32_000
