@@ -36,8 +36,10 @@ from lorewell.llm.scratch import Scratch
 
 #: Frequency above which a shingle's group is divided by classes of set size.
 HOT = 16
-#: Members of a group that meet in one task on either side.
-BLOCK = 1024
+#: Members of a group, and bytes of their sets, that meet in one task on either side (about as many).
+BLOCK, BLOCK_SET_BYTES = 1024, 4 << 20
+#: Pairs whose comparisons leave a task together.
+PAIRS = 256
 #: Prefix cuts at which the pairs of a block are judged.
 CUTS = 8
 BUCKET_ENTRIES = 500_000
@@ -203,10 +205,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the rest: far members, and near ones that may reach them
     keyed = placed.drop("n").join(spots.select("rid", "c", "n", "d", F.col("diff").isNull().alias("away")), ["rid", "c"])
     rooted = keyed.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    rooted = rooted.filter(F.col("away") | (F.col("d") > near - far - 1e-9))
+    reach = rooted.filter("away").groupBy("c").agg(F.min("d").alias("least"))
+    rooted = rooted.join(reach, "c").filter(F.col("away") | (F.col("d") > F.col("least") - far - 1e-9))
     going = rooted.groupBy("g").agg(F.max(F.col("away").cast("int")).alias("away"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("looked")).filter("r0 < r1 and looked = 1 and away = 1").select("g")
     # groups with the same centre go on as one
-    rest = store.write(rooted.join(going, "g", "left_semi").select("c", "rid", "n", "root", "away").distinct(), "rest")
+    rest = store.write(rooted.join(going, "g", "left_semi").select("c", "rid", "n", "root", "away", "d").distinct(), "rest")
     store.drop(placed, spots)
     more = _candidates(rest, active, store, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
     known2 = _compare(more, active, blocks, by_block, store, width, percent, far + 1e-9)
@@ -225,13 +228,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, store: Scratch, width: int, percent: int, near: float) -> DataFrame:
-    """(a, b, d, linked, diff): d is the distance, or a lower bound of it above ``near``; diff is the
-    symmetric difference, of near pairs only."""
+    """(a, b, d, linked, diff): the distance and, if that is at most ``near``, the symmetric difference; for
+    pairs that by their prefixes neither can link nor seem near, a lower bound of the distance."""
     side = lambda k: active.select(F.col("rid").alias(k), F.col("n").alias(f"n_{k}"), F.col("top").alias(f"top_{k}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = np.zeros(batch.num_rows)
+            low, guess = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for i, r in enumerate(rows([batch])):
                 x, y = np.frombuffer(r["top_a"], np.uint32), np.frombuffer(r["top_b"], np.uint32)
                 # below the smaller of the last hashes both sets are known
@@ -240,10 +243,13 @@ def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, s
                 same = distance(x, y)[0]  # equal halves of different hashes only lower the bound
                 differ, both = len(x) + len(y) - 2 * same, r["n_a"] + r["n_b"]
                 low[i] = 1 - (both - differ) / (both + differ) if differ < both else 1.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low)], ["a", "b", "low"])
+                guess[i] = differ / (same + differ) if differ else 0.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(guess)], ["a", "b", "low", "guess"])
 
-    bounded = store.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "top_a", "top_b").mapInArrow(bound, "a long, b long, low double"), "bounded")
-    close = bounded.filter(F.col("low") <= near)
+    bounded = store.write(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "top_a", "top_b").mapInArrow(bound, "a long, b long, low double, guess double"), "bounded")
+    far = 1 - percent / 100 + 1e-9
+    asked = (F.col("low") <= far) | (F.col("guess") <= near)
+    close = bounded.filter(asked)
 
     def texts(row: dict, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not replies:
@@ -267,17 +273,19 @@ def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, s
             return sets[rid]
 
         for batch in batches:
-            d, linked, diff = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool), []
-            for i, r in enumerate(rows([batch])):
-                x, y = of(r["a"], r["z_a"]), of(r["b"], r["z_b"])
-                same, union = distance(x, y)
-                d[i], linked[i] = 1 - same / union, 100 * same >= percent * union
-                diff.append(np.setxor1d(x, y, assume_unique=True).tobytes() if d[i] <= near else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d), pa.array(linked), pa.array(diff, pa.binary())], ["a", "b", "d", "linked", "diff"])
+            for lo in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(lo, PAIRS)
+                d, linked, diff = np.zeros(part.num_rows), np.zeros(part.num_rows, bool), []
+                for i, r in enumerate(rows([part])):
+                    x, y = of(r["a"], r["z_a"]), of(r["b"], r["z_b"])
+                    same, union = distance(x, y)
+                    d[i], linked[i] = 1 - same / union, 100 * same >= percent * union
+                    diff.append(np.setxor1d(x, y, assume_unique=True).tobytes() if d[i] <= near else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d), pa.array(linked), pa.array(diff, pa.binary())], ["a", "b", "d", "linked", "diff"])
 
     held = lambda k: fetched.select(F.col("rid").alias(k), F.col("z").alias(f"z_{k}"))
     verified = store.write(close.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(exact, "a long, b long, d double, linked boolean, diff binary"), "verified", "none")
-    out = store.write(verified.union(bounded.filter(F.col("low") > near).select("a", "b", F.col("low").alias("d"), F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff"))), "known", "none")
+    out = store.write(verified.union(bounded.filter(~asked).select("a", "b", F.col("low").alias("d"), F.lit(False).alias("linked"), F.lit(None).cast("binary").alias("diff"))), "known", "none")
     store.drop(bounded, fetched, verified)
     return out
 
@@ -293,9 +301,9 @@ def _roots(links: list[DataFrame], store: Scratch, old: DataFrame | None) -> Dat
 
 
 def _blocks(rows_: DataFrame, key: str, sizes: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of each key dealt into pairs (i <= j) of blocks, sorted by them; ``sizes``: key and m."""
+    """Rows of each key dealt into pairs (i <= j) of blocks, sorted by them; ``sizes``: key, m and size in bytes."""
     own = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
-    parts = sizes.select(key, F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    parts = sizes.select(key, F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SET_BYTES)).cast("int").alias("parts"))
     dealt = rows_.join(parts, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select(F.col(key).alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -345,7 +353,7 @@ def _differences(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
 def _within(spots: DataFrame, roots: DataFrame, store: Scratch, percent: int) -> DataFrame:
     """Links (a, b), enough to connect what is linked, among the members (rid, n, diff) of each cluster c."""
     rooted = spots.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    sizes = rooted.groupBy("c").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+    sizes = rooted.groupBy("c").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.length("diff")).alias("size")).filter("r0 < r1")
 
     def settle(held: list[dict], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         n = np.array([r["n"] for r in held])
@@ -376,8 +384,8 @@ def _within(spots: DataFrame, roots: DataFrame, store: Scratch, percent: int) ->
 def _candidates(rest: DataFrame, active: DataFrame, store: Scratch, percent: int) -> DataFrame:
     """Pairs (a < b) of the groups around a centre c, at least one of them away from the centre, that are not known to be too
     far apart by their prefixes."""
-    sizes = rest.groupBy("c").agg(F.count("*").alias("m"))
     tops = rest.join(active.select("rid", "top"), "rid")
+    sizes = tops.groupBy("c").agg(F.count("*").alias("m"), F.sum(F.length("top")).alias("size"))
 
     def bound(held: list[dict], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         n = np.array([r["n"] for r in held])
@@ -395,7 +403,11 @@ def _candidates(rest: DataFrame, active: DataFrame, store: Scratch, percent: int
             if len(l) and len(r):
                 apart[np.ix_(l, r)] = _differences([np.unique(tops[k][tops[k] < cut]) for k in own], back[left[l]], back[right[r]])
         a, b = n[left][:, None], n[right][None]
-        ok = (100 * (a + b - apart) >= percent * (a + b + apart)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (root[left][:, None] != root[right][None]) & (away[left][:, None] | away[right][None])
+        # by the triangle inequality: d bounds the distance from the centre, and is that of members near it
+        low = np.array([r["d"] for r in held])
+        up = np.where(away, 1.0, low)
+        beyond = np.maximum(low[left][:, None] - up[right][None], low[right][None] - up[left][:, None]) > 1 - percent / 100 + 1e-9
+        ok = ~beyond & (100 * (a + b - apart) >= percent * (a + b + apart)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (root[left][:, None] != root[right][None]) & (away[left][:, None] | away[right][None])
         return list({(min(p, q), max(p, q)) for p, q in ((held[left[x]]["rid"], held[right[y]]["rid"]) for x, y in zip(*np.nonzero(ok)))})
 
-    return store.write(_blocks(tops, "c", sizes, ["rid", "n", "root", "away", "top"]).mapInArrow(_by_block(bound), "a long, b long").distinct(), "candidates")
+    return store.write(_blocks(tops, "c", sizes, ["rid", "n", "root", "away", "d", "top"]).mapInArrow(_by_block(bound), "a long, b long").distinct(), "candidates")
