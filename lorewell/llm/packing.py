@@ -35,14 +35,14 @@ from lorewell.llm.scratch import Scratch
 #: Words of more characters are not cached; a cache of more words becomes the old generation.
 CACHE_WORD_CHARS, CACHE_WORDS = 64, 600_000
 #: Characters of text that are tokenised together.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 12 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank_in_part long, ids binary"
 
 
 #: Lower-case letters that no normalisation changes while only such letters and spaces stand about them.
 _LETTERS = "a-zß-öø-ÿ"
-_stop = re.compile(rf"(?<=[{_LETTERS}])([!-/:-@\[-`{{-~]+)(?=[ \n])")
+_ended = re.compile(rf"([{_LETTERS}]+)([!-/:-@\[-`{{-~]+)").fullmatch
 _plain = re.compile(f"[{_LETTERS}]+").fullmatch
 _latin = re.compile("[\\x00-\\xff]*").fullmatch
 _tokenizers: dict[str, WordTokens] = {}
@@ -53,9 +53,9 @@ class WordTokens:
 
     The tokenizer normalises, splits and merges within stretches free of white space, and drops the
     white space itself, so a text's ids are those of its words one after another.  Capitals
-    are lowered first, and punctuation between letter and space becomes a word of its own: the
-    tokenizer does both anyway, and fewer different words are left.  One object lives as
-    long as its Python worker, so the words that are known serve later tasks too."""
+    are lowered first, and a word that ends with punctuation is letters and punctuation apart: the
+    tokenizer does both anyway, and fewer different words are left.  The tokenizer
+    is loaded once per Python worker; the words are forgotten with every task."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -73,6 +73,9 @@ class WordTokens:
             _tokenizers[path] = WordTokens(path)
         return _tokenizers[path]
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def fresh(self, words: set[str]) -> dict[str, bytes]:
         plain = [w for w in words if _plain(w)]
         other = list(words.difference(plain))
@@ -89,27 +92,47 @@ class WordTokens:
         out.update(zip(other, (np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False))))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            if "<|" not in text:  # else a special token's name could be made or broken
-                text = _stop.sub(r" \1", text.lower() if _latin(text) else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-            split.append(text.replace("\n", " ").split(" "))
-        words = set().union(*split)
-        new = words.difference(self.young)
-        known = new.intersection(self.old)
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {w: self.young[w] for w in words.intersection(self.young)}, self.young
-        self.young.update((w, self.old[w]) for w in known if w in self.old)
-        new = {w for w in words if w not in self.young and w}
-        self.young.update(self.fresh(new))
-        self.young[""] = b""
-        out = [b"".join(map(self.young.__getitem__, own)) for own in split]
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; what is new is tokenised."""
+        out = list(map(self.young.get, words))
+        missing = [w for w, ids in zip(words, out) if ids is None]
+        if not missing:
+            return out
+        if len(self.young) + len(missing) > CACHE_WORDS:
+            self.young, self.old, missing = {}, self.young, words
+        back = {w: ids for w, ids in zip(missing, map(self.old.get, missing)) if ids is not None}
+        self.young.update(back)
+        new = [w for w in missing if w not in back]
+        parts = {w: m.groups() for w in new if (m := _ended(w))}
+        wanted = {x for p in parts.values() for x in p if x not in self.young}
+        self.young.update(self.fresh(wanted.union(w for w in new if w not in parts)))
+        get = self.young.__getitem__
+        self.young.update((w, get(a) + get(b)) for w, (a, b) in parts.items())
+        out = list(map(get, words))
         for w in new:
             if len(w) > CACHE_WORD_CHARS:
-                del self.young[w]
+                self.young.pop(w, None)
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = []
+        for text in texts:
+            if "<|" not in text:  # else a special token's name could be made or broken
+                text = text.lower() if _latin(text) else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            whole.append(text.replace("\n", " "))
+        words = pc.list_flatten(pc.split_pattern(pa.array([" ".join(whole)], pa.large_string()), " "))
+        coded = words.dictionary_encode()
+        which, ids = np.asarray(coded.indices), self.known(coded.dictionary.to_pylist())
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        start = np.cumsum(size) - size
+        each = size[which]
+        until = np.cumsum(each)
+        at = np.repeat(start[which] - until + each, each) + np.arange(until[-1] if len(until) else 0)
+        raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        last = np.cumsum([t.count(" ") + 1 for t in whole])  # words up to the end of each text
+        ends = [0, *(until[last - 1] * 4).tolist()]
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
 
 def plan_best_fit(counts: dict[int, int], seq_len: int) -> list[tuple[int, int, int, int, int, int]]:
     """Where each rank of each length goes: rows (length, rank from, rank to, pieces per sequence,
@@ -172,6 +195,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part", "ids"])
                 lo = hi
+        tokens.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
