@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm.packed import prefix_hash, span_hash
+from lorewell.llm.scratch import modest_batches
 
 GRAIN_WORDS = 5
 _SPACE = np.zeros(256, bool)
@@ -152,6 +153,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if out:
             yield _batch(out)
 
+    modest_batches(docs.sparkSession)
     return with_next(docs, id_col, text_col).select("id", "text", "bucket", "ghost").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -22,6 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.llm.packed import trim
+from lorewell.llm.scratch import modest_batches
+
 PIECE_CHARS = 1 << 20
 _letters: list[np.ndarray] = []
 
@@ -155,7 +158,8 @@ def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 16, max_n: int = 3, max_train: int = 4000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.001, seed: int = 1
 ) -> LanguageModel:
     """Learns only from text and non-null language of the rows of ``docs``."""
-    spark, dim = docs.sparkSession, 1 << bits
+    dim = 1 << bits
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id")).filter("text is not null and lang is not null and id is not null").drop("id")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +202,12 @@ def train(
             model.learn(*learned[i])
     w = model.weights()
     t = fit_temperature(np.array([x @ w[at] for at, x, _ in back]).reshape(len(back), -1), np.array([y for *_, y in back], np.int64)) if langs else 1.0
-    del spark
     return LanguageModel(langs, idf.astype(np.float32), w[:dim].astype(np.float32), w[dim], t, bits, max_n)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its calibrated probability."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits features x languages
     kept = [c for c in docs.columns if c not in (lang_name, score_name)]
     docs = docs.select(*kept)
@@ -215,6 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
         for batch in batches:
             got = [own.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, lang_name, score_name])
+        trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm.components import components
-from lorewell.llm.packed import EMIT_SCHEMA, buckets_bits, chain, emit_batch, exchange, mix, pack_blocks, rows, squeeze, unsqueeze, with_replies, word_hashes
+from lorewell.llm.packed import EMIT_SCHEMA, buckets_bits, chain, emit_batch, exchange, mix, pack_blocks, rows, squeeze, trim, unsqueeze, with_replies, word_hashes
 from lorewell.llm.scratch import Scratch
 
 #: Frequency above which a shingle's group is divided by classes of set size.
@@ -109,6 +109,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             sig = np.array([[mix(s).sum(), mix(s + np.uint64(99)).sum()] for s in sets], np.uint64)
             prefix = np.concatenate([s[: longest(len(s))] for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["ids"]], pa.list_(pa.int64())), *(pa.array([v.tobytes()], pa.binary()) for v in (n, sig, prefix))], ["block", "ids", "n", "sig", "prefix"])
+        trim()
 
     packed = store.write(blocks.mapInArrow(prepare, "block long, ids array<long>, n binary, sig binary, prefix binary"), "prefixes", "none")
 
@@ -282,6 +283,8 @@ def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, s
                     d[i], linked[i] = 1 - same / union, 100 * same >= percent * union
                     diff.append(np.setxor1d(x, y, assume_unique=True).tobytes() if d[i] <= near else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d), pa.array(linked), pa.array(diff, pa.binary())], ["a", "b", "d", "linked", "diff"])
+        sets.clear()
+        trim()
 
     held = lambda k: fetched.select(F.col("rid").alias(k), F.col("z").alias(f"z_{k}"))
     verified = store.write(close.select("a", "b").join(held("a"), "a").join(held("b"), "b").select("a", "b", "z_a", "z_b").mapInArrow(exact, "a long, b long, d double, linked boolean, diff binary"), "verified", "none")
@@ -328,6 +331,7 @@ def _by_block(fn):
             held.append(row)
         if held:
             yield batch(held)
+        trim()
 
     return run
 

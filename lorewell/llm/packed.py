@@ -10,6 +10,8 @@ meet again by block number.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +52,17 @@ def text_views(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system at a task's end, as Python workers live on and share their
+    executor's memory with the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 
@@ -96,6 +109,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
                     yield flush()
         if ids:
             yield flush()
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, BLOCK_SCHEMA)
 
@@ -148,6 +162,7 @@ def exchange(emitted: DataFrame, reduce: Callable[[list[np.ndarray], list[bytes]
                 [pa.array([r["block"] for r in held], pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array(replies, pa.binary())],
                 ["block", "bucket", "reply"],
             )
+        trim()
 
     return emitted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLY_SCHEMA)
 
@@ -170,6 +185,7 @@ def with_replies(blocks: DataFrame, replies: DataFrame, fn: Callable[[dict, list
             else:
                 yield from fn({n: row[n] for n in names}, held)
                 held = []
+        trim()
 
     both = left.unionByName(right).repartition("block").sortWithinPartitions("block", "kind", "bucket")
     return both.mapInArrow(run, schema)

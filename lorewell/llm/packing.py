@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm.packed import task_number
+from lorewell.llm.packed import task_number, trim
 from lorewell.llm.scratch import Scratch
 
 #: Words of more characters are not cached; a cache of more words becomes the old generation.
@@ -196,6 +196,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part", "ids"])
                 lo = hi
         tokens.forget()
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -26,11 +26,22 @@ def base_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches be small, as rows here may be large: a batch is held by the JVM and by
+    each Python worker, besides what is made of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Written tables of one operator run; ``drop`` removes those no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
+        modest_batches(spark)
         self.root = f"{base_dir(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
