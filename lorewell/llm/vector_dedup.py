@@ -1,13 +1,14 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-Vectors are compared within their label.  Equal vectors are one representative with a count.  Each
+Vectors are compared within their label and length.  Equal vectors are one representative with a count.  Each
 representative is normalised and turned by random rotations; the signs are its code, and the inner
 product of code and turned vector is stored as its correction factor.  Banded code bits name the
 cells in which candidates meet.  Within a cell, <code of x, turned y> / factor of x is an
 unbiased estimate of the cosine; pairs whose confidence bound lies below the threshold
 are rejected, all others are recomputed exactly in double precision.  A pair counts in the first
-band in which its cells agree.  Bands and their number follow from the number of vectors and the
-wanted recall.  A cell of more than ``block`` members is dealt into pairs of blocks.
+band in which its cells agree.  Every length has rotations and bands of its own, which follow from the number of
+its vectors and the wanted recall; up to ``block`` vectors of a label and length are one cell and all compared exactly.
+A cell of more than ``block`` members is dealt into pairs of blocks.
 
 Nulls and edges: vectors that are null, zero, or hold null or non-finite components, and those
 with a null label, link with nothing; vectors of different length link with nothing; repeated rows
@@ -70,17 +71,24 @@ def near_vectors(
     rows = store.write(given.mapInArrow(checked, "vec_id long, label string, key string, x binary"), "rows")
     # equal vectors: one representative each, with the smallest id and the number of rows
     reps = store.write(rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("x").alias("x")), "reps")
-    size = reps.groupBy("label").agg(F.count("*").alias("n"), F.max(F.length("x")).alias("d")).agg(F.max("n"), F.max("d")).first()
-    most, dim = size[0] or 1, (size[1] or 8) // 8
-    bits, bands = band_plan(most, threshold, recall, cell)
-    turned = rotations(dim, max(code_rotations, ceil(bits * bands / dim)), seed)
-    shared = spark.sparkContext.broadcast(turned.astype(np.float32))  # dim x dim each
-    # the length of other vectors differs: only vectors of the same length meet, by a cell of their own
-    weight = (1 << np.arange(bits)).astype(np.int64)
+    # for each length that two vectors of a label share: bits, bands and rotations (none where one cell takes all)
+    most = reps.groupBy("label", (F.length("x") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).filter("n > 1")
+    plans = {}
+    for dim, n in sorted(most.collect()):
+        if n <= block:
+            plans[dim] = 0, 1, None
+        else:
+            bits, bands = band_plan(n, threshold, recall, cell)
+            turned = rotations(dim, max(code_rotations, ceil(bits * bands / dim)), seed)
+            plans[dim] = bits, bands, spark.sparkContext.broadcast(turned.astype(np.float32))  # dim x dim each
 
     def cells_of(unit: np.ndarray) -> np.ndarray:
+        dim = unit.shape[1]
+        bits, bands, shared = plans[dim]
+        if shared is None:
+            return np.zeros((len(unit), 1), np.int64)
         signs = np.concatenate([unit @ r.T for r in shared.value[: ceil(bits * bands / dim)]], 1)[:, : bits * bands] > 0
-        return signs.reshape(len(unit), bands, bits) @ weight
+        return signs.reshape(len(unit), bands, bits) @ (1 << np.arange(bits)).astype(np.int64)
 
     def units(blobs: list[bytes]) -> np.ndarray:
         x = np.stack([np.frombuffer(b, "<f8") for b in blobs])
@@ -89,27 +97,30 @@ def near_vectors(
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [r for r in rows_of([batch]) if len(r["x"]) == 8 * dim]
-            if not own:
-                continue
-            cells = cells_of(units([r["x"] for r in own]))
-            for lo in range(0, len(own), 1000):
-                part = own[lo : lo + 1000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["label"] for r in part for _ in range(bands)]), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(part))), pa.array(cells[lo : lo + 1000].ravel()), pa.array([r["key"] for r in part for _ in range(bands)]), pa.array([r["n"] for r in part for _ in range(bands)], pa.int64()), pa.array([r["x"] for r in part for _ in range(bands)], pa.binary())],
-                    ["label", "band", "cell", "key", "n", "x"],
-                )
-
-    in_cells = reps.select("label", "key", "n", "x").mapInArrow(banded, "label string, band int, cell long, key string, n long, x binary")
-    sizes = store.write(in_cells.groupBy("label", "band", "cell").agg(F.count("*").alias("m")).filter("m > 1"), "cells")
+            lengths: dict[int, list[dict]] = {}
+            for r in rows_of([batch]):
+                lengths.setdefault(len(r["x"]) // 8, []).append(r)
+            for dim in sorted(lengths.keys() & plans.keys()):
+                own, bands, step = lengths[dim], plans[dim][1], max(1, 64_000 // dim)
+                for lo in range(0, len(own), step):
+                    part = own[lo : lo + step]
+                    cells = cells_of(units([r["x"] for r in part]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r["label"] for r in part for _ in range(bands)]), pa.array(np.full(len(part) * bands, dim, np.int32)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(part))), pa.array(cells.ravel()), pa.array([r["key"] for r in part for _ in range(bands)]), pa.array([r["n"] for r in part for _ in range(bands)], pa.int64()), pa.array([r["x"] for r in part for _ in range(bands)], pa.binary())],
+                        ["label", "dim", "band", "cell", "key", "n", "x"],
+                    )
+
+    cell_key = ["label", "dim", "band", "cell"]
+    in_cells = reps.select("label", "key", "n", "x").mapInArrow(banded, "label string, dim int, band int, cell long, key string, n long, x binary")
+    sizes = store.write(in_cells.groupBy(*cell_key).agg(F.count("*").alias("m")).filter("m > 1"), "cells")
     # block pairs (i <= j) of large cells; small ones have the one pair (0, 0)
     parts = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     dealt = (
-        in_cells.join(sizes.withColumn("parts", parts), ["label", "band", "cell"]).withColumn("own", own)
+        in_cells.join(sizes.withColumn("parts", parts), cell_key).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("label", "band", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "x")
-        .repartition("label", "band", "cell", "i", "j").sortWithinPartitions("label", "band", "cell", "i", "j")
+        .select(*cell_key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "x")
+        .repartition(*cell_key, "i", "j").sortWithinPartitions(*cell_key, "i", "j")
     )
     limit = np.float64(threshold)
 
@@ -123,19 +134,24 @@ def near_vectors(
             if not len(left) or not len(right):
                 return None
             same_block = held[0]["i"] == held[0]["j"]
-            code_t = np.concatenate([unit @ r.T for r in shared.value[:code_rotations]], 1) / np.sqrt(code_rotations)
-            codes = np.where(code_t > 0, 1.0, -1.0) / np.sqrt(code_t.shape[1])
-            factor = (codes * code_t).sum(1)
-            estimate = codes[left] @ code_t[right].T / factor[left][:, None]
-            bound = sigmas * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, code_t.shape[1] - 1))
-            maybe = estimate + bound[left][:, None] >= limit
+            shared = plans[unit.shape[1]][2]
+            if shared is None:
+                maybe = np.ones((len(left), len(right)), bool)
+            else:
+                code_t = np.concatenate([unit @ r.T for r in shared.value[:code_rotations]], 1) / np.sqrt(code_rotations)
+                codes = np.where(code_t > 0, 1.0, -1.0) / np.sqrt(code_t.shape[1])
+                factor = (codes * code_t).sum(1)
+                estimate = codes[left] @ code_t[right].T / factor[left][:, None]
+                bound = sigmas * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, code_t.shape[1] - 1))
+                maybe = estimate + bound[left][:, None] >= limit
             if same_block:
                 maybe = np.triu(maybe | maybe.T, 1)
             a, b = np.nonzero(maybe)
             a, b = left[a], right[b]
             exact = np.empty(len(a))
-            for lo in range(0, len(a), 1 << 16):
-                exact[lo : lo + (1 << 16)] = (unit[a[lo : lo + (1 << 16)]] * unit[b[lo : lo + (1 << 16)]]).sum(1)
+            step = max(1, (1 << 22) // unit.shape[1])
+            for lo in range(0, len(a), step):
+                exact[lo : lo + step] = (unit[a[lo : lo + step]] * unit[b[lo : lo + step]]).sum(1)
             a, b = a[exact >= limit], b[exact >= limit]
             cells = cells_of(unit)
             new = (cells[a] == cells[b]).argmax(1) == held[0]["band"]
@@ -163,7 +179,7 @@ def near_vectors(
 
         now, held = None, []
         for row in rows_of(batches):
-            key = (row["label"], row["band"], row["cell"], row["i"], row["j"])
+            key = (row["label"], row["dim"], row["band"], row["cell"], row["i"], row["j"])
             if held and key != now:
                 out = group(held)
                 if out is not None:

@@ -138,3 +138,18 @@ def test_near_vectors(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert np.mean([got[k]["component_id"] == comp[k] for k in comp]) > 0.98
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_near_vectors_of_several_lengths(spark):
+    rows = [(1000 * k + i, v, lab) for k, dim in enumerate((64, 16, 3)) for i, v, lab in vectors(300, 5, dim)[:300]]
+    rows += [(9000, np.random.default_rng(1).standard_normal(5000).astype(np.float32).tolist(), 0)]  # one malformed longer vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want, comp = brute(rows, 0.93)
+    assert all(sum(want[r[0]] for r in rows if len(r[1]) == dim) for dim in (64, 16, 3))
+    got = {r["vec_id"]: r for r in near_vectors(df).collect()}  # a label and length is one cell: nothing is missed
+    assert {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {k: (want[k], comp[k]) for k in want}
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, block=32).collect()}
+    assert all(got[k] <= want[k] for k in want)
+    for dim in (64, 16, 3):
+        of = [r[0] for r in rows if len(r[1]) == dim]
+        assert sum(got[k] for k in of) >= 0.98 * sum(want[k] for k in of)
