@@ -1,11 +1,13 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
 A document's tree has its sections (divided by blank lines), their paragraphs (lines) and, below
-each paragraph, grains of up to ``GRAIN_WORDS`` words that start anew with every sentence.  A
+each paragraph, grains cut by content: one starts where the hash of the next ``WINDOW`` bytes is the least
+of as many places to either side (ties: the first), so grains realign after an edit in any script, with or without
+spaces.  A stretch of more than ``GRAIN_BYTES`` without such a place is cut by length.  A
 paragraph's node is a cryptographic hash of its text, a section's that of its paragraphs' nodes, the
 root that of the sections' nodes; equal roots mean equal texts, and where roots differ only differing
 branches need a closer look.  A fingerprint is the string ``root|section/section...``, a section
-``paragraph;paragraph...``, a paragraph the base64 of its node (6 bytes) and grains (4 bytes of hash, 1 of length).
+``paragraph;paragraph...``, a paragraph the base64 of its node (6 bytes) and grains (4 bytes of hash of the whole grain, 1 of its length).
 
 Nulls and edges: null text is empty; the empty text has a fingerprint too; repeated rows are
 separate documents; ties of the id are ordered by the text's hash; a null id comes first; a single
@@ -24,38 +26,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm.packed import prefix_hash, span_hash
+from lorewell.llm.packed import powers, prefix_hash, span_hash
 from lorewell.llm.scratch import modest_batches
 
-GRAIN_WORDS = 5
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
-PIECE = 1 << 22
+#: Bytes of a window (a power of two; no less than the places compared, so that lines don't influence each other).
+WINDOW = 16
+#: Longest grain; its length takes one byte.
+GRAIN_BYTES = 255
+PIECE = 1 << 20
+_MOST = np.uint64(2**64 - 1)
+
+
+def _minima(data: np.ndarray) -> np.ndarray:
+    """Where the hash of the next WINDOW bytes, all of one line, is the least of WINDOW places to either side."""
+    n = len(data) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    prefix = prefix_hash(data)
+    h = (prefix[WINDOW:] - prefix[:-WINDOW]) * powers(len(data))[1][:n]
+    line = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))
+    h[line[WINDOW:] != line[:-WINDOW]] = _MOST
+    edge = np.full(WINDOW, _MOST)
+    least, step = np.concatenate((edge, h, edge)), 1
+    while step < WINDOW:
+        least, step = np.minimum(least[:-step], least[step:]), 2 * step
+    return np.flatnonzero((h < least[:n]) & (h <= least[WINDOW + 1 :][:n]))
 
 
 def _grains(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """4 bytes of hash and 1 of length (255 at most) for each grain, and the number of its line."""
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros((0, 5), np.uint8), starts
-    line = np.cumsum(data == 10)[starts]
-    n = np.arange(len(starts))
-    first = np.concatenate(([True], _STOP[data[ends[:-1] - 1]] | (line[1:] != line[:-1])))
-    at = np.flatnonzero((n - np.maximum.accumulate(np.where(first, n, 0))) % GRAIN_WORDS == 0)
-    a, b = starts[at], ends[np.append(at[1:], len(starts)) - 1]
+    """4 bytes of hash and 1 of length for each grain, and the number of its line."""
+    size = len(data)
+    feeds = np.flatnonzero(data == 10)
+    lines, stops = np.concatenate(([0], feeds + 1)), np.append(feeds, size)
+    cuts = [lines[lines < stops]]
+    for lo in range(0, size, PIECE):
+        first = max(0, lo - WINDOW)
+        at = _minima(data[first : lo + PIECE + 2 * WINDOW]) + first
+        cuts.append(at[(at >= lo) & (at < lo + PIECE)])
+    a = np.unique(np.concatenate(cuts))
+    line = np.searchsorted(feeds, a)
+    b = np.minimum(np.append(a[1:], size), stops[line])
+    n = -(-(b - a) // GRAIN_BYTES)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a, b, line = np.repeat(a, n) + nth * GRAIN_BYTES, np.repeat(b, n), np.repeat(line, n)
+    b = np.minimum(b, a + GRAIN_BYTES)
     out = np.zeros((len(a), 5), np.uint8)
-    for lo in range(0, len(data), PIECE):  # of a grain that goes beyond two pieces only these are hashed
+    for lo in range(0, size, PIECE):
         i, j = np.searchsorted(a, (lo, lo + PIECE))
         if i < j:
-            prefix = prefix_hash(data[lo : lo + 2 * PIECE])
-            h = span_hash(prefix, a[i:j] - lo, np.minimum(b[i:j] - lo, len(prefix) - 1))
+            h = span_hash(prefix_hash(data[lo : lo + PIECE + GRAIN_BYTES]), a[i:j] - lo, b[i:j] - lo)
             out[i:j, :4] = h.astype("<u4").view(np.uint8).reshape(-1, 4)
-    out[:, 4] = np.minimum(b - a, 255)
-    return out, line[at]
+    out[:, 4] = b - a
+    return out, line
 
 
 def fingerprint(text: str) -> str:

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import Counter
 from math import log, log10
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,6 +159,31 @@ def test_fingerprints(make_docs):
     assert FP.fingerprint_documents(make_docs([(1, "alone")])).first()["near_next"] == 1.0
 
 
+def test_likeness_without_spaces_or_stops():
+    def like(a, b):
+        return FP.likeness(FP.fingerprint(a), FP.fingerprint(b))
+
+    r = random.Random(5)
+    chinese, other = ("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(2000)) for _ in range(2))
+    assert 0.45 < like(chinese, chinese[:1000] + other[:1000]) < 0.55
+    long, new = (r.randbytes(5_000_000).hex() for _ in range(2))  # 10 MB without a space
+    assert 0.49 < like(long, long[:5_000_000] + new[:5_000_000]) < 0.51
+    line = prose(4, 2000)
+    assert like(line, line[:40] + " inserted" + line[40:]) > 0.98
+    mixed = long[:6000] + " " + prose(6, 100)  # a long stretch counts by its length
+    assert like(mixed, long[:6000] + " " + prose(7, 100)) > 0.8
+
+
+def test_grains_are_whole_and_keep_to_their_lines():
+    texts = ["", "\n", "a", "x" * 3000, "\n\n" + prose(1, 300) + "\n" + prose(2, 3) + "\n\n", prose(3, 40_000) + "\n" + prose(4, 260_000), "ab\n" * 5000]
+    for text in texts:
+        grains, line = FP._grains(np.frombuffer(text.encode(), np.uint8))
+        lengths = np.bincount(line, grains[:, 4], minlength=text.count("\n") + 1)
+        assert lengths.tolist() == [len(x) for x in text.split("\n")]
+    marks = [FP.fingerprint(x + prose(5, 30) + y).partition("|")[2] for x, y in (("", ""), (prose(6, 90) + "\n", "\n" + prose(7, 9)))]
+    assert marks[1].split(";")[1] == marks[0]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     vocab = {"en": "the and house street water light".split(), "de": "der und haus straße wasser öffnung".split(), "fr": "le et maison été lumière français".split()}
