@@ -38,15 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones (five words, a similarity of 0.8 or more)."""
     store = Scratch(spark, "kept")
-    found = store.write(similar_documents(docs, width=5, percent=80).select("doc_id", "kept"), "found")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = found.filter("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
-    out = docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
-    if again.limit(1).count():  # ids that stand in several rows: one row for each text
-        again = again.withColumnRenamed("doc_id", "__id")
-        same = docs.doc_id.eqNullSafe(F.col("__id"))
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+    row = "__stage_row"  # ids may be null or stand in several rows: the decision comes back by row
+    keyed = store.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = similar_documents(keyed.select(row, "text"), id_col=row, width=5, percent=80)
+    kept = store.write(found.filter("kept").select(F.col("doc_id").alias(row)), "found")
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,17 @@ def test_stages(spark, tmp_path):
     assert docs.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 4096
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    base, other = prose(1, 200), prose(2, 200)
+    rows = [(1, base), (2, base + " end"), (2, other), (3, other + " end"), (3, other + " more"), (None, prose(3, 80)), (None, prose(3, 80) + " end"), (None, prose(4, 80)), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert kept.columns == COLUMNS
+    texts = [r["text"] for r in kept.collect()]
+    groups = [sum(t is not None and t.startswith(x) for t in texts) for x in (base, other, prose(3, 80), prose(4, 80))]
+    assert groups == [1, 1, 1, 1] and texts.count(None) == 2
+
+
 def test_registered():
     import __spark_entry__
 
