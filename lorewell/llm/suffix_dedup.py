@@ -1,23 +1,23 @@
-"""Removal of repeated byte strings by blockwise suffix sorting over a difference cover.
+"""Removal of repeated byte strings by hash counting of suffixes behind a difference-cover filter.
 
 A byte goes if it is covered by a string of ``length`` bytes which also starts anywhere else.
 
 1.  Cover samples.  D is a perfect difference cover modulo v = 133 (12 residues): for any two
     positions i and j some shift s < v puts both i + s and j + s into the cover.  The strings of
-    length - (v - 1) bytes at cover positions are ranked into classes; a class with one member
-    proves that no string which contains it repeats.  Only suffixes near a repeated sample stay.
+    length - (v - 1) bytes at cover positions are told repeated or not by their hash (they get no ranks); one
+    that isn't repeated proves that no string which contains it repeats.  Only suffixes near a repeated sample stay.
 2.  Blocks of suffixes.  The remaining suffixes are dealt into buckets, and the buckets are taken
     one range at a time, so that disk and memory hold one range, never all suffixes.  Within a bucket
-    the suffixes are sorted by a 64-bit hash of their first ``length`` bytes (long ties cost
-    nothing to compare; order among different strings is not needed, only equality).
+    64-bit hashes of the suffixes' first ``length`` bytes are sorted, not the suffixes (only equality is
+    needed, not their order, so there are no ties to resolve by ranks).
 3.  Equal neighbours in that order are repeats; each suffix's answer goes back to its block, where
     covered bytes are removed.
 
 Nulls and edges: null text is empty; strings never cross documents; repeated rows are separate
 documents, so they repeat each other; documents shorter than ``length`` lose nothing; an empty table
 gives no rows; very long documents are worked on in pieces of ``CHUNK`` bytes.  Columns other than
-``id_col`` and ``text_col`` are ignored.  Two different strings are taken for equal with a
-probability of about (suffixes near repeats)**2 / 2**65 for the whole table.
+``id_col`` and ``text_col`` are ignored.  Equal hashes are not verified by bytes: about
+(suffixes near repeats)**2 / 2**65 wrong equalities are expected in the whole table.
 """
 
 from __future__ import annotations
