@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from lorewell.operators.markdown import MAX_TOKENS, chunk_text, heading_levels, rough_tokens
+from lorewell.functions.tokens import DEFAULT
+from lorewell.operators.markdown import MAX_TOKENS, chunk_text, heading_levels
 
 
 @udtf(returnType="heading string, content string, chunk_index int, token_count int")
@@ -16,7 +17,7 @@ class ChunkMarkdown:
 
     def eval(self, text: str, filename: str, max_tokens: int = MAX_TOKENS) -> Iterator[tuple]:
         for i, (heading, content) in enumerate(chunk_text(text or "", filename or "", max_tokens or MAX_TOKENS)):
-            yield heading, content, i, rough_tokens(content)
+            yield heading, content, i, len(DEFAULT.encode(content))
 
 
 @udtf(returnType="line_no int, level int, title string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.text import snippet, title, token_count
 from lorewell.functions.vectors import cosine
+from lorewell.operators.graph import next_page
 
 KEY = ("conv_id", "turn")
 
@@ -16,6 +17,36 @@ def rollup(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count("*").alias("turn_count"), F.max("turn").alias("last_turn"))
 
 
+def recent(sessions: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """Sessions (id, title, created_at, updated_at, turns) by recency, one page, with their turns and how many sessions there are."""
+    rows = sessions.select("id", "title", "created_at", "updated_at", F.size("turns").alias("turn_count"))
+    return next_page(rows, [F.desc("updated_at"), "id"], offset, limit)
+
+
+def rendered(turns: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """conv_id, body, first_user, first_text: turns by place from ``first`` to ``last`` as one text, each under its place and role, and the
+    first texts in it (of the user, of anyone)."""
+    own = turn_range(turns, first, 2**31 - 1 if last is None else last)
+    text = F.trim(F.coalesce("text", F.lit("")))
+    part = F.struct("pos", F.concat(F.lit("### turn["), F.col("pos").cast("string"), F.lit("] "), F.coalesce("role", F.lit("?")), F.lit("\n"), text, F.lit("\n")).alias("t"))
+    body = F.rtrim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n"), r"\s+$", ""))
+    at = lambda keep: F.min_by(F.when(keep, text), F.when(keep, F.col("pos")))
+    return own.groupBy("conv_id").agg(body.alias("body"), at(F.col("role") == "user").alias("first_user"), at(text != "").alias("first_text"))
+
+
+def query_of_talk(first_user, body):
+    """What to search for when a conversation is compiled: 500 characters of the first user turn, else of all."""
+    return F.left(F.when(F.coalesce(first_user, F.lit("")) != "", first_user).otherwise(body), F.lit(500))
+
+
+def history_for_model(turns: DataFrame, window: int = 32_000, share: float = 0.15, always_full: int = 2) -> DataFrame:
+    """The newest turns within ``share`` of a model's window, without a last user turn that repeats the one before it."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    ranked = turns.withColumns({"_rn": F.row_number().over(w), "_before": F.lead(F.struct("role", "text")).over(w)})
+    again = (F.col("_rn") == 1) & (F.col("role") == "user") & (F.col("_before") == F.struct("role", "text"))
+    return history_within_budget(ranked.filter(~F.coalesce(again, F.lit(False))).drop("_rn", "_before"), int(window * share), always_full)
+
+
 def titles(turns: DataFrame) -> DataFrame:
     """A title from the first user turn."""
     return turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t")).select("conv_id", title(F.col("t")).alias("title"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.functions.text import canonical, leaf, strip, tier
+
 EDGE_TYPES = ("similar", "cross_domain", "parent_child", "references", "relates_to", "inter_file")
 #: Edge types that make a chunk no orphan.
 SEMANTIC = ("similar", "inter_file", "cross_domain", "references", "relates_to")
@@ -49,6 +53,32 @@ def neighbors(edges: DataFrame, nodes: DataFrame | None = None, edge_type: str |
     return near.groupBy("node", "neighbor", "edge_type").agg(best.alias("b")).select("node", "neighbor", "edge_type", F.col("b.weight").alias("weight"), F.col("b.direction").alias("direction"))
 
 
+def parse_edge_types(text: str, known: tuple[str, ...] = EDGE_TYPES) -> tuple[tuple[str, ...], bool]:
+    """The edge types of a comma list, and whether parent_child, which is never shown, was among them; an unknown one is an error."""
+    asked = [t for t in (x.strip().lower() for x in (text or "").split(",")) if t]
+    unknown = sorted(set(asked) - set(known))
+    if unknown:
+        raise ValueError(f"unknown edge types: {', '.join(unknown)}; known: {', '.join(sorted(set(known) - {'parent_child'}))}")
+    return tuple(dict.fromkeys(t for t in asked if t != "parent_child")), "parent_child" in asked
+
+
+def other_types(allowed: tuple[str, ...], known: tuple[str, ...] = EDGE_TYPES) -> tuple[str, ...]:
+    """The edge types that are not allowed."""
+    return tuple(t for t in known if t not in allowed)
+
+
+def starts_of(candidates: DataFrame, order: list, most: int = 5) -> DataFrame:
+    """The first ``most`` resolved nodes (column id) from which a graph query starts."""
+    return candidates.orderBy(*order).limit(most).select(F.col("id").alias("start"))
+
+
+def next_page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> DataFrame:
+    """One page of a totally ordered result, with the number of all rows and the offset of the next page (null on the last)."""
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    after = max(0, offset) + max(0, limit)
+    return page(rows, order, offset, limit).join(F.broadcast(total)).withColumn("next_offset", F.when(F.col("total") > after, F.lit(after)))
+
+
 def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> DataFrame:
     """One page of a totally ordered result."""
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(0, limit))
@@ -80,6 +110,10 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 2, allowed: tuple[
     seeds always; edges between taken nodes by weight up to their cap; column capped says that a cap bit."""
     if not (1 <= depth <= 3 and 1 <= max_nodes <= 250 and 1 <= max_edges <= 800):
         raise ValueError("depth 1 to 3, max_nodes 1 to 250, max_edges 1 to 800")
+    unknown = set(allowed) - set(EDGE_TYPES)
+    if unknown:
+        raise ValueError(f"unknown edge types: {sorted(unknown)}")
+    seeds = seeds.orderBy("id").limit(5)
     own = edges.filter(F.col("edge_type").isin(*allowed))
     reach = traverse(own, seeds.select(F.col("id").alias("start")), depth).groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"), F.max("weight").alias("w"))
     reach = reach.join(seeds, "id", "left_anti").unionByName(seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("double").alias("w")))
@@ -141,14 +175,27 @@ def provenance_shares(edges: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("provenance", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("percent"))
 
 
+def reference_kinds(edges: DataFrame) -> DataFrame:
+    """references edges by the kind of link, with their share in per cent."""
+    own = edges.filter("edge_type = 'references'").groupBy(F.coalesce("link_kind", F.lit("other")).alias("link_kind")).agg(F.count("*").alias("n"))
+    total = own.agg(F.sum("n").alias("total"))  # one row
+    return own.join(F.broadcast(total)).select("link_kind", "n", F.round(100 * F.col("n") / F.col("total")).cast("int").alias("percent"))
+
+
 def node_profile(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:
-    """Per node: edges out and in, distinct neighbours, and edges below the weight limit."""
+    """Per node: edges out and in, distinct neighbours, and edges below the weight limit; with a column link_kind also
+    references by kind, as a map."""
     near = adjacency(edges)
     shown = F.col("weight") >= min_weight
-    return near.groupBy("node").agg(
+    out = near.groupBy("node").agg(
         F.count(F.when(shown & (F.col("direction") == "out"), 1)).alias("n_out"), F.count(F.when(shown & (F.col("direction") == "in"), 1)).alias("n_in"),
         F.countDistinct(F.when(shown, F.col("neighbor"))).alias("n_neighbors"), F.count(F.when(~shown, 1)).alias("n_suppressed"),
     )
+    if "link_kind" not in edges.columns:
+        return out
+    kinds = near.filter(shown & (F.col("edge_type") == "references")).groupBy("node", F.coalesce("link_kind", F.lit("other")).alias("kind")).agg(F.count("*").alias("n"))
+    by_node = kinds.groupBy("node").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("references_by_kind"))  # a few kinds
+    return out.join(by_node, "node", "left").withColumn("references_by_kind", F.coalesce("references_by_kind", F.create_map().cast("map<string,bigint>")))
 
 
 def top_edges(edges: DataFrame, most: int = 12) -> DataFrame:
@@ -187,3 +234,65 @@ def spread_heat(edges: DataFrame, heat: DataFrame, conductance: dict[str, float]
 def search_entities(nodes: DataFrame, query: str, top: int = 10) -> DataFrame:
     """Nodes other than chunks whose name holds the query, by number of tags."""
     return nodes.filter((F.col("node_type") != "chunk") & F.lower("name").contains(query.lower())).orderBy(F.desc(F.size("tags")), "id").limit(top)
+
+
+def find_chunk(chunks: DataFrame, filename: str, heading: str) -> DataFrame:
+    """The first chunk of a file whose heading holds ``heading``, ignoring case."""
+    return chunks.filter((F.col("filename") == filename) & F.lower("heading").contains(heading.lower())).orderBy("chunk_index", "id").limit(1)
+
+
+def node_by_id(nodes: DataFrame, node_id) -> DataFrame:
+    return nodes.filter(F.col("id") == node_id)
+
+
+def with_key(edges: DataFrame) -> DataFrame:
+    """Edges with a key: source, target and type."""
+    return edges.withColumn("key", F.concat_ws(":", F.col("src").cast("string"), F.col("dst").cast("string"), "edge_type"))
+
+
+def node_records(nodes: DataFrame) -> DataFrame:
+    """What a viewer shows of nodes: the last part of the heading, the canonical file, the tier."""
+    head = F.coalesce("heading", F.lit(""))
+    label = F.when(leaf(head) != "", leaf(head)).otherwise(F.coalesce("name", F.lit("")))
+    file = F.coalesce(canonical(F.col("source"), F.col("filename")), F.col("filename"))
+    return nodes.select(
+        F.concat(F.lit("node:"), F.col("id").cast("string")).alias("id"), label.alias("label"), F.coalesce("name", F.lit("")).alias("name"), file.alias("file"), head.alias("heading"), tier(F.col("source"), F.col("filename")).alias("tier"), "source",
+        F.coalesce("summary", F.lit("")).alias("summary"), "tags", "node_type",
+    )
+
+
+def edge_records(edges: DataFrame, shown: int = 140) -> DataFrame:
+    """What a viewer shows of edges: ends, type, weight to three digits, the head of the evidence, the link."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in edges.columns else F.lit("")
+    name = lambda c: F.concat(F.lit("node:"), F.col(c).cast("string"))
+    key = F.concat_ws(":", F.lit("edge"), F.col("src").cast("string"), F.col("dst").cast("string"), "edge_type")
+    return edges.select(key.alias("id"), name("src").alias("source"), name("dst").alias("target"), F.col("edge_type").alias("type"), F.round("weight", 3).alias("weight"), F.left(text("evidence"), F.lit(shown)).alias("evidence"), text("link_kind").alias("link_kind"), text("link_text").alias("link_text"))
+
+
+def merge_client(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A viewer's graph with more loaded: new nodes replace those of the same id, new edges come in once."""
+    kept = nodes.join(new_nodes.select("id").distinct(), "id", "left_anti")
+    last = new_nodes.dropDuplicates(["id"])
+    fresh = new_edges.dropDuplicates(["src", "dst", "edge_type"]).join(edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+    every = edges.unionByName(fresh, allowMissingColumns=True)
+    counts = degrees(every)
+    return kept.unionByName(last, allowMissingColumns=True).drop("degree").join(counts, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))), every
+
+
+def with_fallback(reached: DataFrame, starts: DataFrame, search: Callable[[str], DataFrame], most: int = 3) -> DataFrame:
+    """start, node, depth, edge_type, score: what a traversal reached, and for starts (start, heading; five at most) without a neighbour
+    the ``most`` best of a search for the last part of their heading."""
+    none = F.lit(None)
+    out = reached.select("start", "node", "depth", "edge_type", F.col("weight").alias("score"))
+    for row in starts.join(reached.select("start").distinct(), "start", "left_anti").limit(5).collect():  # the start nodes' own limit
+        found = search((row["heading"] or "").split(" > ")[-1]).limit(most)
+        out = out.unionByName(found.select(F.lit(row["start"]).cast(dict(reached.dtypes)["start"]).alias("start"), F.col("id").alias("node"), none.cast("int").alias("depth"), F.lit("search").alias("edge_type"), F.col("score")))
+    return out
+
+
+def hits_to_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Search hits (filename, source, heading) with the id of their chunk node, the first one whose heading is the same but for case and
+    spacing; hits without a node stay, with a null node."""
+    norm = lambda c: strip(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    own = nodes.groupBy("filename", "source", norm(F.col("heading")).alias("_h")).agg(F.min("id").alias("node"))
+    return hits.withColumn("_h", norm(F.col("heading"))).join(own, ["filename", "source", "_h"], "left").drop("_h")

@@ -7,12 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lorewell.functions import text as X
-from lorewell.operators import markdown
+from lorewell.operators import graph, links, markdown, vector_search
 
 KEYS = ["source", "filename"]
 
@@ -55,14 +54,25 @@ def folders(files: DataFrame) -> DataFrame:
 
 
 def folder_rollup(files: DataFrame, most: int = 20) -> DataFrame:
-    """source, folder, file_count, files: the files directly in a folder, the first ``most`` by name."""
+    """source, folder, file_count, files, about: the files directly in a folder, the first ``most`` by name; with a column text, also what the
+    folder's README.md, else index.md, else _index.md begins with (300 characters of its first line that is no heading or rule)."""
     own = files.select("source", "filename", folder_of(F.col("filename")).alias("folder")).distinct()
-    return own.groupBy("source", "folder").agg(F.count("*").alias("file_count"), F.slice(F.array_sort(F.collect_list("filename")), 1, most).alias("files"))
+    counts = own.groupBy("source", "folder").agg(F.count("*").alias("file_count"))
+    rank = F.row_number().over(Window.partitionBy("source", "folder").orderBy("filename"))  # tasks keep the first of a folder before they meet
+    first = own.withColumn("_n", rank).filter(F.col("_n") <= most).groupBy("source", "folder").agg(F.array_sort(F.collect_list("filename")).alias("files"))
+    out = counts.join(first, ["source", "folder"])
+    if "text" not in files.columns:
+        return out
+    base = F.element_at(F.split("filename", "/"), -1)
+    order = F.array_position(F.array(F.lit("README.md"), F.lit("index.md"), F.lit("_index.md")), base)
+    line = F.get(F.filter(F.transform(F.split("text", "\n"), X.strip), lambda s: (s != "") & ~s.startswith("#") & ~s.startswith("---")), 0)
+    about = files.filter(order > 0).groupBy("source", folder_of(F.col("filename")).alias("folder")).agg(F.min_by(F.coalesce(F.left(line, F.lit(300)), F.lit("")), order).alias("about"))
+    return out.join(about, ["source", "folder"], "left").withColumn("about", F.coalesce("about", F.lit("")))
 
 
 def folder_tree(files: DataFrame, root: str | None = None) -> DataFrame:
     """Folders in the order of a tree, with depth and a line to print; of one subtree if ``root`` is given."""
-    counts = folder_rollup(files).select("source", "folder", "file_count")
+    counts = files.select("source", "filename", folder_of(F.col("filename")).alias("folder")).distinct().groupBy("source", "folder").agg(F.count("*").alias("file_count"))
     tree = folders(files).join(counts, ["source", "folder"], "left").withColumn("file_count", F.coalesce("file_count", F.lit(0)))
     if root:
         tree = tree.filter((F.col("folder") == root) | F.col("folder").startswith(root + "/"))
@@ -84,32 +94,81 @@ def hash_embedding(dim: int = 768) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed_column(column: Column, embed: Callable[[list[str]], np.ndarray], batch: int = 100, most_chars: int = 8000, dim: int = 768) -> Column:
-    """Vectors of texts cut to ``most_chars``, in batches; a batch that fails is done one by one, a text that fails is
-    the zero vector."""
+class Embedder:
+    """What an embedding function is called and how it is set up, besides the call: a list of texts to as many vectors."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def __init__(self, call: Callable[[list[str]], np.ndarray], name: str = "hash", dim: int = 768, batch: int = 100, most_chars: int = 8000):
+        self.call, self._name, self.dim, self.batch, self.most_chars = call, name, dim, batch, most_chars
+
+    def name(self) -> str:
+        return self._name
+
+    def get_config(self) -> dict:
+        return {"name": self._name, "dim": self.dim, "batch": self.batch, "most_chars": self.most_chars}
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        """Vectors of texts cut to ``most_chars``, in batches; a batch that fails is done one by one, a text that fails is the zero vector."""
+        return [v for v, _ in self.vectors(texts)]
+
+    def vectors(self, texts: list[str]) -> list[tuple[list[float], bool]]:
+        """The same, each with whether it is a vector of the model."""
+        own, out = [(t or "")[: self.most_chars] for t in texts], []
+        for lo in range(0, len(own), self.batch):
+            some = own[lo : lo + self.batch]
+            try:
+                out += [(v, True) for v in np.asarray(self.call(some), np.float32).tolist()]
+            except Exception:  # noqa: BLE001  the model's own failures, whatever they are
+                for t in some:
+                    try:
+                        out.append((np.asarray(self.call([t]), np.float32)[0].tolist(), True))
+                    except Exception:  # noqa: BLE001
+                        out.append(([0.0] * self.dim, False))
+        return out
+
+
+def embed_column(column: Column, embed: Callable[[list[str]], np.ndarray] | Embedder, batch: int = 100, most_chars: int = 8000, dim: int = 768) -> Column:
+    """Vectors by an ``Embedder``; a text that fails is the zero vector."""
+    return embed_checked(column, embed, batch, most_chars, dim)["vector"]
+
+
+def embed_checked(column: Column, embed: Callable[[list[str]], np.ndarray] | Embedder, batch: int = 100, most_chars: int = 8000, dim: int = 768) -> Column:
+    """struct<vector, embedded>: ``embedded`` is false where the model failed and the vector is zero."""
+    own = embed if isinstance(embed, Embedder) else Embedder(embed, "custom", dim, batch, most_chars)
+
+    @F.pandas_udf("vector array<float>, embedded boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            own, out = [(t or "")[:most_chars] for t in texts], []
-            for lo in range(0, len(own), batch):
-                some = own[lo : lo + batch]
-                try:
-                    out += list(np.asarray(embed(some), np.float32))
-                except Exception:  # noqa: BLE001  the model's own failures, whatever they are
-                    for t in some:
-                        try:
-                            out.append(np.asarray(embed([t]), np.float32)[0])
-                        except Exception:  # noqa: BLE001
-                            out.append(np.zeros(dim, np.float32))
-            yield pd.Series([v.tolist() for v in out])
+            yield pd.DataFrame(own.vectors([t if isinstance(t, str) else "" for t in texts]), columns=["vector", "embedded"])
 
     return run(column)
 
 
-def build_chunks(files: DataFrame, prior: DataFrame | None = None, embed: Callable[[list[str]], np.ndarray] | None = None, max_tokens: int = markdown.MAX_TOKENS, dim: int = 768) -> DataFrame:
-    """The chunk table of files (source, filename, text, mtime): chunks with deterministic ids, tier, folder, summaries (those of
-    ``prior`` carried over), file rollups, context header and vector."""
+def summarized(text: Column, call: Callable[[str], str]) -> Column:
+    """A model's summaries, cleaned; null where the model fails or has nothing to say."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t: str | None) -> str | None:
+            try:
+                return call(t) if t else None
+            except Exception:  # noqa: BLE001  the model's own failures, whatever they are
+                return None
+
+        for texts in parts:
+            yield pd.Series([one(t if isinstance(t, str) else None) for t in texts], dtype=object)
+
+    return F.nullif(X.clean_summary(run(text)), F.lit(""))
+
+
+def overviews(files: DataFrame, call: Callable[[str], str]) -> DataFrame:
+    """A chunk 'Document Overview' for each file that the model can summarise: source, filename, heading, content."""
+    own = files.select("source", "filename", F.lit("Document Overview").alias("heading"), summarized(F.col("text"), call).alias("content"))
+    return own.filter("content is not null")
+
+
+def build_chunks(files: DataFrame, prior: DataFrame | None = None, embed: Callable[[list[str]], np.ndarray] | None = None, max_tokens: int = markdown.MAX_TOKENS, dim: int = 768, summarize: Callable[[str], str] | None = None) -> DataFrame:
+    """The chunk table of files (source, filename, text, mtime): chunks with deterministic ids, tier, folder, summaries (fresh ones of
+    ``summarize``, else those of ``prior`` carried over), file rollups, context header and vector."""
     chunks = markdown.chunk_files(files, max_tokens)
     mechanical = X.summary(F.col("content"))
     chunks = chunks.withColumn("mechanical", mechanical)
@@ -123,10 +182,13 @@ def build_chunks(files: DataFrame, prior: DataFrame | None = None, embed: Callab
     rows = chunks.join(rolled, KEYS).join(files.select(*KEYS, "mtime"), KEYS)
     rows = rows.select(
         F.sha2(F.concat_ws("\u0001", "source", "filename", F.col("chunk_index").cast("string")), 256).alias("id"), F.concat_ws("\n\n", header, "content").alias("document"), "content", "filename", "source", "heading", "chunk_index",
-        best_summary(F.lit(None).cast("string"), F.col("prior"), F.col("mechanical")).alias("summary"), "token_count", "mtime", "file_tokens", "section_count", "file_outline", F.concat_ws(":", "source", "filename").alias("path"),
+        best_summary(summarized(F.col("content"), summarize) if summarize else F.lit(None).cast("string"), F.col("prior"), F.col("mechanical")).alias("summary"), "token_count", "mtime", "file_tokens", "section_count", "file_outline", F.concat_ws(":", "source", "filename").alias("path"),
         folder_of(F.col("filename")).alias("folder"), F.lit("section").alias("type"), X.tier(F.col("source"), F.col("filename")).alias("tier"),
     )
-    return rows.withColumn("vector", embed_column(F.col("document"), embed, dim=dim)) if embed else rows
+    if not embed:
+        return rows
+    made = rows.withColumn("_e", embed_checked(F.col("document"), embed, dim=dim))
+    return made.select("*", "_e.vector", "_e.embedded").drop("_e")
 
 
 def structure_nodes(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,6 +203,31 @@ def structure_nodes(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, Dat
     return chunk_nodes.unionByName(folder_nodes), edges
 
 
+def build_graph(chunks: DataFrame, files: DataFrame, k: int = 12, similar: DataFrame | None = None, **limits: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a chunk table and its files (source, filename, text): structure, similarity, shared headings, hierarchy, links and
+    prose bridges, one edge for each pair and type.  ``similar``: similarity edges, if they are made otherwise."""
+    title = F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*$", 1)
+    pages = files.select("source", "filename", (title if "text" in files.columns else F.lit("")).alias("title"))
+    nodes, structure = structure_nodes(chunks, files)
+    parts = [structure, vector_search.similarity_edges(chunks, k, **limits) if similar is None else similar, links.heading_edges(chunks), links.hierarchy_edges(chunks), links.link_edges(chunks, pages), links.prose_edges(chunks, links.page_aliases(pages))]
+    every = parts[0].withColumn("seq", F.lit(0))
+    for i, part in enumerate(parts[1:], 1):
+        every = every.unionByName(part.withColumn("seq", F.lit(i)), allowMissingColumns=True)
+    return nodes, graph.merge_edges(every).drop("seq")
+
+
+def statistics(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files and vectors of the index, nodes, edges, orphans and average degree of the graph."""
+    own = chunks.agg(F.countDistinct(F.struct("source", "filename")).alias("n_files"), F.count("*").alias("n_vectors"))
+    return own.join(F.broadcast(graph.graph_stats(nodes, edges)))
+
+
+def file_list(files: DataFrame, source: str) -> DataFrame:
+    """name, path, folder, last_modified_by of a source's files, by path."""
+    own = files.filter(F.col("source") == source)
+    return own.select(F.element_at(F.split("filename", "/"), -1).alias("name"), F.col("filename").alias("path"), folder_of(F.col("filename")).alias("folder"), X.front_matter_value(F.col("text"), "last_modified_by").alias("last_modified_by")).orderBy("path")
+
+
 def catalog(chunks: DataFrame) -> DataFrame:
     """File, tags, first summary and day of change, by path, without the catalog and the log themselves."""
     own = chunks.filter(~F.element_at(F.split("filename", "/"), -1).isin("index.md", "log.md"))

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions.text import anchor, blank_code, leaf, link_anchor, link_target, page_name, prose, sentences, stem, strip
+from lorewell.functions.text import MARKDOWN_LINK, WIKI_LINK, anchor, blank_code, leaf, link_anchor, link_target, page_name, prose, sentences, spans, stem, strip
 
 #: Words that connect no two pages (fixed values).
-GLUE = ("and", "the", "for", "with", "from", "that", "this", "but", "nor", "also", "such", "like", "via", "per", "etc", "into", "onto", "than", "then", "are", "was", "were", "has", "have", "had", "its", "their")
-
-_WIKI = r"(?<!!)\[\[[^\[\]]+\]\]"
-_MARKDOWN = r"(?<!!)\[[^\[\]]*\]\([^()\s]+(?:\s+\"[^\"]*\")?\)"
+GLUE = ("and", "or", "the", "with", "for", "from", "into", "onto")
 
 
 def parse_links(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, start, kind (wiki, markdown), raw, target, anchor, display: the internal links outside of code."""
+    """keys, start, kind (wiki, markdown), raw, target, anchor, display: every internal link outside of code, images apart, with its place
+    in the text."""
     clean = docs.select(*keys, blank_code(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    found = clean.select(*keys, "_t", F.explode(F.array_union(F.transform(F.regexp_extract_all("_t", F.lit(_WIKI), 0), lambda x: F.struct(F.lit("wiki").alias("kind"), x.alias("raw"))), F.transform(F.regexp_extract_all("_t", F.lit(_MARKDOWN), 0), lambda x: F.struct(F.lit("markdown").alias("kind"), x.alias("raw"))))).alias("l"))
-    inner = F.when(F.col("l.kind") == "wiki", F.regexp_extract("l.raw", r"^\[\[([^|\]]*)", 1)).otherwise(F.regexp_extract("l.raw", r"\]\(([^()\s]+)", 1))
-    shown = F.when(F.col("l.kind") == "wiki", F.regexp_extract("l.raw", r"\|([^\]]*)\]\]$", 1)).otherwise(F.regexp_extract("l.raw", r"^\[([^\]]*)\]", 1))
-    out = found.select(*keys, (F.instr("_t", F.col("l.raw")) - 1).alias("start"), "l.kind", "l.raw", link_target(inner).alias("target"), link_anchor(inner).alias("anchor"), strip(shown).alias("display"))
+    of = lambda kind, pattern: F.transform(spans(F.col("_t"), pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["raw"].alias("raw")))
+    found = clean.select(*keys, F.inline(F.concat(of("wiki", WIKI_LINK), of("markdown", MARKDOWN_LINK))))
+    wiki = F.col("kind") == "wiki"
+    part = lambda i: F.regexp_extract("raw", WIKI_LINK, i)
+    url = F.regexp_extract("raw", MARKDOWN_LINK, 2)
+    page = F.when(wiki, part(1)).otherwise(F.regexp_replace(url, "#.*$", ""))
+    shown = F.when(wiki, F.when(part(3) != "", part(3)).otherwise(part(1))).otherwise(F.regexp_extract("raw", MARKDOWN_LINK, 1))
+    out = found.select(*keys, "start", "kind", "raw", link_target(page).alias("target"), strip(F.when(wiki, part(2)).otherwise(link_anchor(url))).alias("anchor"), strip(shown).alias("display"))
     return out.filter("target <> ''")
 
 
@@ -62,32 +66,50 @@ def page_aliases(pages: DataFrame) -> DataFrame:
     return every.groupBy("alias").agg(F.min(F.struct("source", "filename")).alias("p")).select("alias", "p.source", "p.filename")
 
 
-def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str = "content", longest: int = 6) -> DataFrame:
-    """keys, sentence_no, sentence, at, alias, source, filename: pages named in sentences.  Every run of up to
-    ``longest`` words is looked up by an equi-join; a mention within a longer one goes."""
+def _sentences(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, sentence_no, sentence, _w: the sentences of the prose, with their words in lower case."""
     own = texts.select(*keys, F.posexplode(sentences(prose(F.coalesce(F.col(text), F.lit(""))))).alias("sentence_no", "sentence"))
-    words = F.regexp_extract_all(F.lower(F.regexp_replace("sentence", r"[-_]", " ")), F.lit(r"[\p{L}\p{N}]+"), 0)
-    runs = own.withColumn("_w", words).filter(F.size("_w") > 0).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("_w")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - F.col("at") + 1))))
-    named = runs.withColumn("alias", F.array_join(F.slice("_w", F.col("at"), F.col("n")), " ")).join(aliases, "alias").withColumn("end", F.col("at") + F.col("n") - 1)
+    return own.withColumn("_w", F.regexp_extract_all(F.lower(F.regexp_replace("sentence", r"[-_]", " ")), F.lit(r"[\p{L}\p{N}]+"), 0)).filter(F.size("_w") > 0)
+
+
+def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str = "content", longest: int = 6, bound: int = 200_000) -> DataFrame:
+    """keys, sentence_no, sentence, _w, at, end, alias, source, filename: pages named in sentences.  Every run of up to
+    ``longest`` words is looked up by an equi-join; a mention within a longer one goes.
+
+    A sentence's words are looked up as they are read where the aliases (at most ``bound`` names) fit a broadcast; then only hits leave
+    the scan.  Otherwise the places alone, without the sentence, meet the aliases by the name's hash, and the hits fetch their sentence."""
+    own = _sentences(texts, keys, text)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - at + 1)), lambda n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("_w", at, n), " ").alias("alias")))))
+    few = aliases.limit(bound + 1).count() <= bound
+    runs = own.select(*keys, "sentence_no", F.explode(every).alias("x")).select(*keys, "sentence_no", "x.at", (F.col("x.at") + F.col("x.n") - 1).alias("end"), "x.alias")
+    named = runs.join(F.broadcast(aliases) if few else aliases, "alias")
     w = Window.partitionBy(*keys, "sentence_no").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = named.withColumn("_far", F.max("end").over(w)).filter("_far is null or at > _far")
-    named_words = F.array_distinct(F.flatten(F.collect_list(F.split("alias", " ")).over(Window.partitionBy(*keys, "sentence_no"))))  # of one sentence
-    return kept.withColumn("_named", named_words).select(*keys, "sentence_no", "sentence", "_w", "_named", "at", "end", "alias", "source", "filename")
+    kept = named.withColumn("_far", F.max("end").over(w)).filter("_far is null or at > _far").drop("_far")
+    back = [F.col(f"k.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "sentence_no")]
+    return kept.alias("k").join(own.alias("s"), back).select(*[F.col(f"k.{k}").alias(k) for k in keys], F.col("k.sentence_no").alias("sentence_no"), "s.sentence", "s._w", "k.at", "k.end", "k.alias", "k.source", "k.filename")
 
 
 def bridges(found: DataFrame, keys: list[str]) -> DataFrame:
     """Ordered pairs of different pages in a sentence with a connecting word between them, one for
-    each pair and text: the first sentence.  A connecting word has three letters and is neither glue nor another mention."""
-    a, b = found.alias("a"), found.alias("b")
+    each pair and text: the first sentence.  A connecting word has three letters and is neither glue nor another mention of the sentence."""
+    a, b = found.alias("a"), found.select(*keys, "sentence_no", "at", "end", "alias", "source", "filename").alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.sentence_no") == F.col("b.sentence_no"), F.col("a.end") < F.col("b.at")]
-    pairs = a.join(b, on).filter((F.col("a.filename") != F.col("b.filename")) | (F.col("a.source") != F.col("b.source")))
+    named = found.groupBy(*keys, "sentence_no").agg(F.collect_set("alias").alias("_named"))  # names of one sentence
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"n.{k}")) for k in (*keys, "sentence_no")]
+    pairs = a.join(b, on).filter((F.col("a.filename") != F.col("b.filename")) | (F.col("a.source") != F.col("b.source"))).join(named.alias("n"), same)
     between = F.slice(F.col("a._w"), F.col("a.end") + 1, F.greatest(F.lit(0), F.col("b.at") - F.col("a.end") - 1))
-    linking = F.exists(between, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE) & ~F.array_contains(F.col("a._named"), x))
-    pairs = pairs.filter(linking).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.sentence_no").alias("sentence_no"), F.col("a.sentence").alias("evidence"), F.col("a.at").alias("at"), F.col("a.source").alias("subject_source"), F.col("a.filename").alias("subject_file"), F.col("b.source").alias("object_source"), F.col("b.filename").alias("object_file"), F.col("a.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
-    first = F.min_by(F.struct("evidence", "subject_match", "object_match"), F.struct("sentence_no", "at"))
+    linking = F.exists(between, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE) & ~F.array_contains(F.col("n._named"), x))
+    pairs = pairs.filter(linking).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.sentence_no").alias("sentence_no"), F.col("a.sentence").alias("evidence"), F.col("a.at").alias("at"), F.col("b.at").alias("at_b"), F.col("a.source").alias("subject_source"), F.col("a.filename").alias("subject_file"), F.col("b.source").alias("object_source"), F.col("b.filename").alias("object_file"), F.col("a.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
+    first = F.min_by(F.struct("evidence", "subject_match", "object_match"), F.struct("sentence_no", "at", "at_b"))
     return pairs.groupBy(*keys, "subject_source", "subject_file", "object_source", "object_file").agg(first.alias("f")).select(*keys, "subject_source", "subject_file", "object_source", "object_file", F.left("f.evidence", F.lit(500)).alias("evidence"), "f.subject_match", "f.object_match")
 
 
+def mention_pattern(name: str) -> str:
+    """A pattern (ignoring case) for whole-word mentions of a page's name; hyphens, underscores and spaces are one."""
+    parts = [p for p in re.split(r"[-_\s]+", name.strip()) if p]
+    return r"(?i)(?<!\w)" + r"[-_\s]+".join(re.escape(p) for p in parts) + r"(?!\w)" if parts else "(?!x)x"
+
+
 def prose_edges(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
     """References of weight 0.5 from a chunk to the first chunk of a page that its own page is bridged with."""
     keys = ["id", "own_source", "own_file"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import token_count
+from lorewell.functions.tokens import DEFAULT, Encoder
 
 MAX_TOKENS, OVERLAP = 8000, 50
 CHUNK_SCHEMA = "source string, filename string, heading string, content string, chunk_index long, token_count long, total_chunks long, doc_summary string"
@@ -79,6 +80,21 @@ def section_text(docs: DataFrame, keys: list[str], wanted: str, text: str = "tex
     return inside.groupBy(*keys).agg(F.first("h.title").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x.line), "\n").alias("section"))
 
 
+def find_section(chunks: DataFrame, docs: DataFrame, keys: list[str], wanted: str, text: str = "text") -> DataFrame:
+    """keys, heading, section: the first chunk (keys, heading, content, chunk_index) whose heading holds ``wanted``, ignoring case; for
+    documents without one, the first such section of the text."""
+    hits = chunks.filter(F.lower("heading").contains(wanted.lower())).groupBy(*keys).agg(F.min_by(F.struct("heading", "content"), "chunk_index").alias("h"))
+    first = hits.select(*keys, F.col("h.heading").alias("heading"), F.col("h.content").alias("section"))
+    rest = docs.join(first.select(*keys), keys, "left_anti")
+    return first.unionByName(section_text(rest, keys, wanted, text).select(*keys, "heading", "section"))
+
+
+def with_summaries(headings: DataFrame, summaries: DataFrame, keys: list[str], title: str = "title") -> DataFrame:
+    """Headings with the summary that the index has for them, ignoring case; of several that differ in case only, the last."""
+    known = summaries.groupBy(*keys, F.lower("heading").alias("_h")).agg(F.max_by("summary", "heading").alias("summary"))
+    return headings.withColumn("_h", F.lower(title)).join(known, [*keys, "_h"], "left").drop("_h")
+
+
 def token_windows(docs: DataFrame, keys: list[str], size: int, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
     """Windows of ``size`` words, each beginning size - overlap after the one before, up to the first that
     reaches the end: keys, part, n_parts, first, n_tokens, content."""
@@ -103,18 +119,14 @@ def outline(chunks: DataFrame, most: int = 500) -> DataFrame:
 
 
 def context_header(filename: Column, index: Column, total: Column, heading: Column, doc_summary: Column) -> Column:
-    """What stands above a chunk's text: file, position, the headings above, and the document's summary."""
-    above = F.regexp_extract(heading, "^(.*) > [^>]*$", 1)
-    return F.concat_ws("\n", F.concat(F.lit("file: "), filename), F.concat(F.lit("position: "), (index + 1).cast("string"), F.lit("/"), total.cast("string")), F.when(above != "", F.concat(F.lit("ancestors: "), above)), F.when(doc_summary != "", F.concat(F.lit("doc_summary: "), doc_summary)))
+    """What stands above a chunk's text, between rules: file, position, the headings above, and the document's summary if it has one."""
+    above = F.when(heading.contains(" > "), F.regexp_replace(heading, "(?s) > (?:(?! > ).)*$", ""))
+    return F.concat_ws("\n", F.lit("---"), F.concat(F.lit("file: "), filename), F.concat(F.lit("position: "), (index + 1).cast("string"), F.lit("/"), total.cast("string")), F.concat(F.lit("ancestors: "), above), F.when(~F.coalesce(doc_summary, F.lit("")).isin("", "(no summary)"), F.concat(F.lit("doc_summary: "), doc_summary)), F.lit("---"))
 
 
 # --- the chunker: recursive, so a function of one file's text ------------------------------------
 
 
-def rough_tokens(text: str) -> int:
-    return max(1, len(text) // 4) if text else 0
-
-
 @dataclass
 class Section:
     heading: str
@@ -151,7 +163,8 @@ def split_at(lines: list[str], level: int) -> list[Section]:
     out = [Section("(preamble)")]
     for line, own in zip(lines, heading_levels(lines)):
         if own == level:
-            out.append(Section(_heading.match(line)[2]))
+            title, leaked = repair_heading(_heading.match(line)[2])
+            out.append(Section(title, leaked.split("\n") if leaked else []))
         else:
             out[-1].body.append(line)
     for s in out:
@@ -162,21 +175,29 @@ def split_at(lines: list[str], level: int) -> list[Section]:
     return [s for s in out if s.heading != "(preamble)" or any(x.strip() for x in s.body)]
 
 
-def hard_split(text: str, most: int, overlap: int, count: Callable[[str], int]) -> list[str]:
-    """Overlapping parts of at most ``most`` tokens, cut between words (the encoder's unit of count)."""
-    words = re.findall(r"\S+\s*", text)
-    share = max(1, int(most * len(words) / max(1, count(text))))
-    step = max(1, share - max(0, int(overlap * share / most)))
-    out = []
-    for lo in range(0, max(1, len(words)), step):
-        out.append("".join(words[lo : lo + share]).rstrip())
-        if lo + share >= len(words):
+def hard_split(text: str, most: int, overlap: int, encoder: Encoder = DEFAULT) -> list[str]:
+    """Overlapping parts of at most ``most`` tokens, up to the first that reaches the end."""
+    tokens, step, out = encoder.encode(text), max(1, most - overlap), []
+    for lo in range(0, max(1, len(tokens)), step):
+        out.append(encoder.decode(tokens[lo : lo + most]))
+        if lo + most >= len(tokens):
             break
     return out
 
 
-def chunk_text(text: str, filename: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, count: Callable[[str], int] = rough_tokens) -> list[tuple[str, str]]:
+def repair_heading(heading: str) -> tuple[str, str]:
+    r"""(heading, body) of a heading into which a spelled-out \n, \r or \t brought its body."""
+    for mark in ("\\n", "\\r", "\\t"):
+        head, found, _ = heading.partition(mark)
+        if found:
+            body = heading[len(head) :].replace("\\n", "\n").replace("\\r", "\n").replace("\\t", "    ")
+            return head.rstrip() or "(unknown)", body.lstrip()
+    return heading, ""
+
+
+def chunk_text(text: str, filename: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, encoder: Encoder = DEFAULT) -> list[tuple[str, str]]:
     """(heading path, content) of a markdown file's chunks."""
+    count = lambda t: len(encoder.encode(t))
     body = split_frontmatter(text or "")[1].strip()
     if not body:
         return []
@@ -185,7 +206,7 @@ def chunk_text(text: str, filename: str, max_tokens: int = MAX_TOKENS, overlap:
     lines = body.split("\n")
     level = min((x for x in heading_levels(lines) if x), default=0)
     if not level:
-        return [(name, part) for part in (hard_split(body, max_tokens, overlap, count) if count(body) > max_tokens else [body])]
+        return [(name, part) for part in (hard_split(body, max_tokens, overlap, encoder) if count(body) > max_tokens else [body])]
     out: list[tuple[str, str]] = []
 
     def walk(path: str, section: Section, own: int) -> None:
@@ -200,7 +221,7 @@ def chunk_text(text: str, filename: str, max_tokens: int = MAX_TOKENS, overlap:
             for s in split_at(section.body, below):
                 walk(path if s.heading == "(preamble)" else f"{path} > {s.heading}", s, below)
             return
-        parts = hard_split(content, max_tokens, overlap, count)
+        parts = hard_split(content, max_tokens, overlap, encoder)
         out.extend((f"{path} (part {i}/{len(parts)})", p) for i, p in enumerate(parts, 1))
 
     for s in split_at(lines, level):
@@ -213,19 +234,19 @@ def first_prose(text: str, most: int = 150) -> str:
         line = line.strip()
         if line and not line.startswith(("#", "---", "|", "- [")):
             return line if len(line) <= most else line[:most] + "..."
-    return ""
+    return "(no summary)"
 
 
-def chunk_files(files: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, count: Callable[[str], int] = rough_tokens) -> DataFrame:
+def chunk_files(files: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, encoder: Encoder = DEFAULT) -> DataFrame:
     """Chunks of every file (source, filename, text), numbered from 0.  Null text has no chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for source, filename, text in zip(*(c.to_pylist() for c in batch.columns)):
-                got = chunk_text(text or "", filename or "", max_tokens, overlap, count)
+                got = chunk_text(text or "", filename or "", max_tokens, overlap, encoder)
                 about = first_prose(text or "")
-                out += [(source, filename, h, c, i, count(c), len(got), about) for i, (h, c) in enumerate(got)]
+                out += [(source, filename, h, c, i, len(encoder.encode(c)), len(got), about) for i, (h, c) in enumerate(got)]
             kinds = [*[pa.string()] * 4, *[pa.int64()] * 3, pa.string()]
             cols = list(zip(*out)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["source", "filename", "heading", "content", "chunk_index", "token_count", "total_chunks", "doc_summary"])

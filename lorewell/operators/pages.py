@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorewell.functions.text import contents, distinct_ignoring_case, placeholder_host, provenance, strip, url_host, wiki_path
+from lorewell.functions.text import anchor, contents, distinct_ignoring_case, iso_date, leaf, placeholder_host, provenance, stem, strip, url_host, wiki_path
 
 BEGIN, END = "<!-- related:begin -->", "<!-- related:end -->"
 CITATION = r"conversation:([A-Za-z0-9_-]+):turn:(\d+)(?:-(\d+))?"
@@ -26,7 +26,7 @@ def tag_error(tags: Column) -> Column:
 
 def bad_urls(pages: DataFrame, key: str = "filename", text: str = "content") -> DataFrame:
     """key, url: links to placeholder hosts, each once, without trailing punctuation."""
-    urls = F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s<>()\[\]\"']+"), 0), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    urls = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)https?://[^\s<>\"')\]}]+"), 0), lambda u: F.regexp_replace(u, r"""[.,;:!?)'"]+$""", ""))
     found = pages.select(key, F.explode(F.array_distinct(urls)).alias("url"))
     return found.filter(placeholder_host(url_host(F.col("url"))))
 
@@ -44,6 +44,82 @@ def front_matter(title: Column, tags: Column, created: Column, updated: Column,
     return F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), title), lines("tags", tags), lines("aliases", aliases) if aliases is not None else F.lit(None), F.concat(F.lit("created: "), F.coalesce(created, updated)), F.concat(F.lit("updated: "), updated), F.lit("---"))
 
 
+def yaml_list(key: str, items: Column) -> Column:
+    """A key with its items, one a line, quoted where needed; null without items."""
+    item = lambda x: F.when(x.rlike(r"""^['"-]|[:{}\[\]#,&*|>!%\s]"""), F.concat(F.lit('  - "'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(F.concat(F.lit("  - "), x))
+    own = F.filter(F.transform(items, strip), lambda x: x != "")
+    return F.when(F.size(own) > 0, F.concat(F.lit(f"{key}:\n"), F.array_join(F.transform(own, item), "\n")))
+
+
+def merged_front(today: Column, tags: Column, aliases: Column, old: dict[str, Column], source: Column | None = None, tier: Column | None = None) -> Column:
+    """Front matter to write: aliases and tags with those that the page has already, the day of its making kept, today's as that of the
+    last change.  ``old``: columns of the present page's created, date_created, tags, aliases, source, tier and project, as far as it has them."""
+    have = lambda k, kind="string": old[k] if k in old else F.lit(None).cast(kind)
+    both = lambda new, k: distinct_ignoring_case(F.concat(F.coalesce(F.lit(None).cast("array<string>") if new is None else new, F.array().cast("array<string>")), F.coalesce(have(k, "array<string>"), F.array().cast("array<string>"))))
+    day = F.coalesce(iso_date(have("created")), have("created"), iso_date(have("date_created")), have("date_created"), today)
+    line = lambda k, v: F.concat(F.lit(f"{k}: "), v)
+    named = lambda k, given, default: F.coalesce(F.nullif(have(k), F.lit("")), given if given is not None else F.lit(default))
+    return F.concat_ws("\n", F.lit("---"), yaml_list("aliases", both(aliases, "aliases")), yaml_list("tags", both(tags, "tags")), line("created", day), line("updated", today), line("source", named("source", source, "knowledge")), line("tier", named("tier", tier, "wiki")), line("project", F.nullif(have("project"), F.lit(""))), F.lit("---"))
+
+
+def parse_front_matter(text: str | None) -> tuple[dict, str]:
+    """(values, body) of the YAML at a text's top: scalars, quoted or plain, and lists in either form.  What can't be read is
+    no front matter."""
+    if not text or not text.startswith("---"):
+        return {}, text or ""
+    parts = text.split("---", 2)
+    if len(parts) < 3:
+        return {}, text
+    out: dict = {}
+    key = None
+    for line in parts[1].split("\n"):
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        item = re.match(r"\s*- (.*)$", line)
+        pair = re.match(r"([^\s:#-][^:]*):(?:\s+(.*)|\s*)$", line)
+        if item and key is not None and isinstance(out.get(key), list | None):
+            out[key] = [*(out[key] or []), _scalar(item[1])]
+        elif pair:
+            key, value = pair[1].strip(), (pair[2] or "").strip()
+            inner = re.fullmatch(r"\[(.*)\]", value)
+            out[key] = [_scalar(x) for x in _items(inner[1])] if inner else _scalar(value) if value else None
+        else:
+            return {}, text
+    return out, parts[2].strip()
+
+
+def _items(inner: str) -> list[str]:
+    return [x for x in re.findall(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]+)\s*(?:,|$)""", inner) if x.strip()]
+
+
+def _scalar(x: str) -> str:
+    x = x.strip()
+    if len(x) > 1 and x[0] == x[-1] == '"':
+        return re.sub(r"\\(.)", r"\1", x[1:-1])
+    if len(x) > 1 and x[0] == x[-1] == "'":
+        return x[1:-1].replace("''", "'")
+    return re.sub(r"\s+#.*$", "", x)
+
+
+def front_matter_of(text: Column) -> Column:
+    """struct<meta, body>: front matter as a map of lists of strings (a scalar is a list of one), and the text below it."""
+
+    @F.udf("meta map<string,array<string>>, body string", useArrow=True)
+    def run(t: str):
+        meta, body = parse_front_matter(t)
+        return {"meta": {k: [] if v is None else [str(x) for x in v] if isinstance(v, list) else [str(v)] for k, v in meta.items()}, "body": body}
+
+    return run(text)
+
+
+def citation_lines(hits: DataFrame, page: str, most: int = 5) -> DataFrame:
+    """rank, line: canon hits (rank, filename, heading) as links that can be copied into a wiki page."""
+    name = F.initcap(F.replace(stem(F.col("filename")), F.lit("-"), F.lit(" ")))
+    frag = anchor(leaf(F.coalesce("heading", F.lit(""))))
+    href = F.concat(canon_href(F.lit(page), F.col("filename")), F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""))
+    return hits.filter(F.trim("filename") != "").orderBy("rank").limit(most).select("rank", F.concat(F.lit("- ["), name, F.lit("]("), href, F.lit(")")).alias("line"))
+
+
 def dividers(body: Column) -> Column:
     """A rule above every second-level heading but one at the top or below a rule."""
     return F.regexp_replace(body, r"(?<!---)\n\n+(## )", "\n\n---\n\n$1")

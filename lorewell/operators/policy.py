@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,46 @@ CLASS_BUDGETS = {"orient": 5, "explore": 10, "write": 2, "maintenance": 3}
 HARD_CAP = sum(CLASS_BUDGETS.values()) + 4
 
 
+#: The class of each tool (fixed values).
+TOOL_CLASSES = {
+    "list_knowledge": "orient", "folder_tree": "orient", "graph_stats": "orient", "read_knowledge": "explore", "read_knowledge_section": "explore", "search_knowledge": "explore", "graph_neighbors": "explore",
+    "graph_traverse": "explore", "graph_search": "explore", "describe_node": "explore", "search_conversations": "explore", "read_conversation": "explore", "save_knowledge": "write", "compile_knowledge": "write", "lint_knowledge": "maintenance",
+}
+
+
+@dataclass
+class Budget:
+    """The budget of one answer: loads, room and the model's window."""
+
+    loads: int = 0
+    available: int = 999_999
+    window: int = 32_000
+    used: int = 0
+    most_loads: int = 15
+    share: float = 0.5
+
+    def reset(self) -> None:
+        self.loads, self.available, self.used = 0, 999_999, 0
+
+    def set_available(self, tokens: int) -> None:
+        self.available = max(0, int(tokens))
+
+    def set_window(self, tokens: int) -> None:
+        self.window = max(1024, int(tokens))
+
+    def charge(self, tokens: int) -> None:
+        self.loads, self.used, self.available = self.loads + 1, self.used + tokens, max(0, self.available - tokens)
+
+    def state(self) -> dict:
+        return {"kb_loads": self.loads, "kb_loads_max": self.most_loads, "available_tokens": self.available, "context_window": self.window, "tool_tokens_used": self.used, "tool_token_cap": int(self.window * self.share)}
+
+
+def class_counts(calls: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:
+    """turn_id, class, n, exceeded: calls of each class in a turn, and whether they are more than its budget."""
+    budget = F.create_map(*[F.lit(x) for kv in (budgets or CLASS_BUDGETS).items() for x in kv])
+    return calls.groupBy("turn_id", "class").agg(F.count("*").alias("n")).withColumn("exceeded", F.col("n") > F.coalesce(F.try_element_at(budget, F.col("class")), F.lit(0)))
+
+
 def class_of(name, classes: dict[str, str]):
     """A tool's class; unknown tools explore."""
     known = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])

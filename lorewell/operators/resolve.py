@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions.text import leaf, slug, token_count
+from lorewell.functions.text import conversation_ref, leaf, query_of_file, slug, slug_of_file, slug_of_talk, token_count
+from lorewell.functions.tokens import Encoder, slice_tokens
 from lorewell.functions.vectors import cosine
+from lorewell.operators.vector_search import search
 
 ENTITY_SCHEMA = "chunk_id string, kind string, name string, other string, relation string"
 
@@ -109,13 +111,16 @@ def entity_edges(found: DataFrame) -> DataFrame:
     return to_chunks.unionByName(out.groupBy("src", "dst", "edge_type").agg(F.max("weight").alias("weight")))
 
 
-def load_slice(sections: DataFrame, offset: int = 0, most: int = 8000, text: str = "section") -> DataFrame:
-    """Words offset to offset + most of each section, with the state and the next offset."""
-    words = F.split(F.col(text), r"(?<=\s)(?=\S)")
-    n = F.size(words)
-    part = F.slice(words, F.lit(offset + 1), F.lit(most))
-    done = n <= offset + most
-    return sections.withColumns({"content": F.array_join(part, ""), "state": F.when(done, "COMPLETE").otherwise("TRUNCATED"), "next_offset": F.when(~done, F.lit(offset + most))})
+def load_slice(sections: DataFrame, offset: int = 0, most: int = 8000, text: str = "section", encoder: Encoder | None = None) -> DataFrame:
+    """Tokens offset to offset + most of each section, with the state and the next offset; without an encoder a token is four
+    characters, the last one what is left over."""
+    if encoder is not None:
+        cut = sections.withColumn("_s", slice_tokens(F.col(text), offset, most, encoder))
+        return cut.withColumns({"content": F.col("_s.content"), "state": F.when(F.col("_s.more"), "TRUNCATED").otherwise("COMPLETE"), "next_offset": F.when(F.col("_s.more"), F.lit(offset + most))}).drop("_s")
+    done = token_count(F.col(text)) <= offset + most
+    begins = F.lit(4 * offset + 1)
+    part = F.when(F.lit(offset) >= token_count(F.col(text)), "").when(done, F.substring(text, begins, F.length(text))).otherwise(F.substring(text, begins, F.lit(4 * most)))
+    return sections.withColumns({"content": part, "state": F.when(done, "COMPLETE").otherwise("TRUNCATED"), "next_offset": F.when(~done, F.lit(offset + most))})
 
 
 def tree_lines(tree: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,5 +151,50 @@ def plan_compilation(chunks: DataFrame, hits: DataFrame, source: str, filename:
     return ranked.filter(F.col("rank") <= top).select("tier", "rank", "source", "filename", "heading", "weighted")
 
 
+def compile_plan(chunks: DataFrame, hits: DataFrame, own_file: str | None = None, top: int = 8) -> DataFrame:
+    """What to read before a page is written: of search hits (id, weighted) the best of every wiki and canon file other than ``own_file``,
+    by tier."""
+    meta = chunks.select("id", "source", "filename", "heading", "summary", "tier")
+    own = hits.select("id", "weighted").join(meta, "id").filter(F.col("tier").isin("wiki", "canon"))
+    if own_file is not None:
+        own = own.filter(F.col("filename") != own_file)
+    best = own.withColumn("_n", F.row_number().over(Window.partitionBy("tier", "filename").orderBy(F.desc("weighted"), "id"))).filter("_n = 1")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("weighted"), "id")))
+    return ranked.filter(F.col("rank") <= top).select("tier", "rank", "source", "filename", "heading", "summary", "weighted")
+
+
+def compile_from_file(chunks: DataFrame, files: DataFrame, name: str, embed: Callable[[list[str]], list], query: str = "", top: int = 8) -> tuple[dict, DataFrame]:
+    """({source, filename, query, slug}, plan) for a page to be written about a file (files: source, filename, text); an unknown or
+    ambiguous name is an error."""
+    found = resolve_files(files.sparkSession.createDataFrame([(name,)], "name string"), files).first()
+    if found["filename"] is None:
+        raise ValueError(f"no file for '{name}'" if not found["n_candidates"] else f"'{name}' means {found['n_candidates']} files")
+    own = files.filter((F.col("source") == found["source"]) & (F.col("filename") == found["filename"]))
+    row = own.select(query_of_file(F.col("filename"), F.col("text")).alias("query"), slug_of_file(F.col("filename")).alias("slug")).first()
+    asked = query.strip() or row["query"]
+    hits = search(chunks, list(embed([asked])[0]), 20)
+    return {"source": found["source"], "filename": found["filename"], "query": asked, "slug": row["slug"]}, compile_plan(chunks, hits, found["filename"], top)
+
+
+def compile_from_conversation(chunks: DataFrame, turns: DataFrame, ref: str, embed: Callable[[list[str]], list], query: str = "", top: int = 8) -> tuple[dict, DataFrame]:
+    """({conv_id, query, slug, body}, plan) for a page to be written about turns of a conversation, named as by ``conversation_ref``; a bad
+    reference, an unknown conversation or an empty range is an error."""
+    from lorewell.operators.conversations import query_of_talk, rendered
+
+    spark = turns.sparkSession
+    r = spark.createDataFrame([(ref,)], "ref string").select(conversation_ref(F.col("ref")).alias("r")).first()["r"]
+    if r["kind"] == "invalid":
+        raise ValueError(f"bad reference '{ref}'")
+    own = turns.filter(F.col("conv_id").cast("string") == r["id"])
+    total = own.count()
+    first, last = {"all": (0, total - 1), "last": (max(0, total - (r["first"] or 0)), total - 1), "range": (r["first"], r["last"])}[r["kind"]]
+    if not total or first >= total:
+        raise ValueError(f"conversation '{r['id']}' has {total} turns")
+    text = rendered(own, first, last)
+    row = text.select("body", query_of_talk(F.col("first_user"), F.col("body")).alias("query"), slug_of_talk(F.col("first_text"), F.lit(r["id"])).alias("slug")).first()
+    asked = query.strip() or row["query"]
+    return {"conv_id": r["id"], "query": asked, "slug": row["slug"], "body": row["body"]}, compile_plan(chunks, search(chunks, list(embed([asked])[0]), 20), None, top)
+
+
 def column_or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions.text import tier_weight
+from lorewell.functions.text import canonical, tier_weight
 from lorewell.functions.vectors import cosine
 
 #: Rows of one side that meet in a task of the neighbour join.
@@ -42,6 +42,45 @@ def best_per(rows: DataFrame, by: list[str], order: list[Column], n: int | None
     return best if n is None else best.orderBy(*order).limit(n)
 
 
+def _unit(vs: list, dim: int | None = None) -> np.ndarray:
+    """Vectors of length 1; those that cannot be used are zero."""
+    dim = dim or max((len(v) for v in vs if v), default=1)
+    out = np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in vs], float).reshape(len(vs), dim)
+    out = np.where(np.isfinite(out), out, 0.0)
+    length = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(length > 0, length, 1.0)
+
+
+def _meet(k: int):
+    """Rows (i, j, side, key, v), sorted by i and j: the k best of side 1 for every row of side 0 in the same (i, j)."""
+
+    def flush(a: list, b: list) -> Iterator[pa.RecordBatch]:
+        if a and b:
+            ka, kb = np.array([x[0] for x in a]), np.array([x[0] for x in b])
+            by_key = np.argsort(kb, kind="stable")
+            kb, dim = kb[by_key], max((len(x[1]) for x in (*a, *b) if x[1]), default=1)
+            x, y = _unit([r[1] for r in a], dim), _unit([b[i][1] for i in by_key], dim)
+            for lo in range(0, len(a), 512):
+                c = x[lo : lo + 512] @ y.T
+                c[ka[lo : lo + 512, None] == kb[None]] = -np.inf
+                top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
+                cos = np.take_along_axis(c, top, 1)
+                at = np.isfinite(cos)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ka[lo : lo + 512], at.sum(1))), pa.array(kb[top][at]), pa.array(cos[at])], ["src", "dst", "cos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+        for batch in batches:
+            for i, j, side, key_, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if (i, j) != now:
+                    yield from flush(*held)
+                    now, held = (i, j), ([], [])
+                held[side].append((key_, v))
+        yield from flush(*held)
+
+    return run
+
+
 def nearest(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector") -> DataFrame:
     """(src, dst, cos, rank): the k most similar other rows of every row, ties to the smaller key.
 
@@ -50,46 +89,59 @@ def nearest(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector
     the block size.  Zero, null and otherwise unusable vectors have cosine 0."""
     n = rows.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
-    own = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    kind = "string" if dict(rows.dtypes)[key] == "string" else "long"
+    own = rows.select(F.col(key).cast(kind).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
     left = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "key", "v")
     right = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("other").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "key", "v")
 
-    def unit(vs: list) -> np.ndarray:
-        dim = max((len(v) for v in vs if v), default=1)
-        out = np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in vs], float)
-        out = np.where(np.isfinite(out), out, 0.0)
-        length = np.sqrt((out * out).sum(1, keepdims=True))
-        return out / np.where(length > 0, length, 1.0)
+    met = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j")
+    found = met.mapInArrow(_meet(k), f"src {kind}, dst {kind}, cos double")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("cos", 9)), "dst"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            a, b = held
-            if a and b:
-                ka, kb = np.array([x[0] for x in a]), np.array([x[0] for x in b])
-                by_key = np.argsort(kb, kind="stable")
-                kb, y = kb[by_key], unit([b[i][1] for i in by_key])
-                x = unit([r[1] for r in a])
-                for lo in range(0, len(a), 512):
-                    c = x[lo : lo + 512] @ y.T
-                    c[ka[lo : lo + 512, None] == kb[None]] = -np.inf
-                    top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
-                    cos = np.take_along_axis(c, top, 1)
-                    at = np.isfinite(cos)
-                    src = np.repeat(ka[lo : lo + 512], at.sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(kb[top][at]), pa.array(cos[at])], ["src", "dst", "cos"])
+def nearest_in_cells(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector", cells: int | None = None, probes: int = 8, sample: int = 20_000, seed: int = 1) -> DataFrame:
+    """(src, dst, cos, rank) as ``nearest``, but every row meets only the rows of the ``probes`` cells nearest to it, so that a row is
+    sent ``probes`` + 1 times whatever the number of rows.
 
+    Cells are those of ``cells`` centres (about the square root of the number of rows), drawn from a bounded sample and moved to the mean of what they attract;
+    all rows are in a cell.  Approximate: a neighbour in a cell that is not looked at is missed (see the test for the recall);
+    a cell of many rows is dealt into blocks, each compared in a task of its own."""
+    n = rows.count()
+    cells = cells or max(1, min(sample, int(n**0.5)))
+    kind = "string" if dict(rows.dtypes)[key] == "string" else "long"
+    drawn = rows.select(F.col(vector).cast("array<double>")).orderBy(F.xxhash64(F.lit(seed), key)).limit(sample)  # the sample's own bound
+    points = _unit([r[0] for r in drawn.collect()])
+    centres = points[np.random.default_rng(seed).permutation(len(points))[:cells]] if len(points) else np.zeros((1, 1))
+    for _ in range(5):
+        of = (points @ centres.T).argmax(1) if len(points) else np.zeros(0, int)
+        for c in range(len(centres)):
+            if (of == c).any():
+                mean = points[of == c].mean(0)
+                centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # at most ``sample`` vectors
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, side, key_, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if (i, j) != now:
-                    yield from flush()
-                    now, held = (i, j), ([], [])
-                held[side].append((key_, v))
-        yield from flush()
-
-    met = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j")
-    found = met.mapInArrow(run, "src long, dst long, cos double")
+            keys, vs = batch.column(0), batch.column(1).to_pylist()
+            x = _unit(vs, shared.value.shape[1])
+            order = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :probes]
+            m = order.shape[1]
+            every = np.repeat(np.arange(len(vs)), m)
+            side = np.zeros(len(every), np.int32)
+            # the row's own cell is where it can be found; it looks in all of its cells
+            at = np.concatenate([every, np.arange(len(vs))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([order.ravel(), order[:, 0]]).astype(np.int64)), pa.array(np.concatenate([side, np.ones(len(vs), np.int32)])), keys.take(pa.array(at)), batch.column(1).take(pa.array(at))], ["cell", "side", "key", "v"])
+
+    own = rows.select(F.col(key).cast(kind).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    dealt = own.mapInArrow(deal, f"cell long, side int, key {kind}, v array<double>")
+    sizes = dealt.groupBy("cell").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    parts = sizes.select("cell", F.ceil(F.col("n0") / BLOCK_ROWS).cast("int").alias("p0"), F.greatest(F.lit(1), F.ceil(F.col("n1") / BLOCK_ROWS)).cast("int").alias("p1"))
+    joined = dealt.join(F.broadcast(parts), "cell")  # one row a cell, at most ``sample``
+    mine = F.pmod(F.xxhash64("key"), F.when(F.col("side") == 0, F.greatest("p0", F.lit(1))).otherwise(F.col("p1"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("p1")).otherwise(F.greatest("p0", F.lit(1))) - 1))
+    met = joined.withColumn("mine", mine).withColumn("other", others).select("cell", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine")).alias("j"), "side", "key", "v")
+    found = met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").select(F.concat_ws("/", F.col("cell").cast("string"), F.col("i").cast("string")).alias("i"), "j", "side", "key", "v").mapInArrow(_meet(k), f"src {kind}, dst {kind}, cos double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("cos", 9)), "dst"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -122,3 +174,24 @@ def similarity_edges(chunks: DataFrame, k: int = 12, key: str = "id", vector: st
     near = nearest(chunks, k, key, vector)
     pairs = near.join(meta("a"), near.src == F.col("a")).join(meta("b"), near.dst == F.col("b")).drop("a", "b")
     return cap_similar(classify(pairs, **limits)).select("src", "dst", "edge_type", F.round("cos", 3).alias("weight"), "cos", "intra_rank", "intra_total")
+
+
+def with_file_headers(hits: DataFrame, order: list[Column]) -> DataFrame:
+    """Ranked hits (source, filename) with their rank and, where a run of hits of one file begins, the file's canonical name."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a search's few hits
+    file = F.coalesce(canonical(F.col("source"), F.col("filename")), F.col("filename"))
+    before = F.lag(file).over(Window.orderBy("rank"))
+    return ranked.withColumn("header", F.when(~before.eqNullSafe(file), F.concat(F.lit("== "), file, F.lit(" ["), F.coalesce("tier", F.lit("wiki")), F.lit("]"))))
+
+
+def excerpts(chunks: DataFrame, query: list[float], k: int = 3, most: int = 500, vector: str = "vector", key: str = "id") -> DataFrame:
+    """What goes into a model's context: the k best chunks by rank with label, position, score and the head of their text."""
+    hits = search(chunks, query, k, vector, key)
+    label = F.when(F.coalesce("heading", F.lit("")) != "", F.concat("path", F.lit(" > "), "heading")).otherwise(F.col("path"))
+    rank = F.row_number().over(Window.orderBy(F.desc("weighted"), F.desc("score"), key))  # k rows
+    return hits.select(rank.alias("rank"), label.alias("label"), (F.col("chunk_index") + 1).alias("position"), F.col("section_count").alias("total"), "score", F.left(F.coalesce("content", F.lit("")), F.lit(most)).alias("excerpt"))
+
+
+def search_records(chunks: DataFrame, query: list[float], k: int = 5, most: int = 200, vector: str = "vector", key: str = "id") -> DataFrame:
+    """path, snippet, score of the k best chunks."""
+    return search(chunks, query, k, vector, key).select("path", F.left(F.coalesce("content", F.lit("")), F.lit(most)).alias("snippet"), "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,61 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    """Makes a folder, and those above it, unless it is there."""
+    fs, p = filesystem(spark, path)
+    fs.mkdirs(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def sweep(spark: SparkSession, path: str, keep: set[str]) -> None:
+    """Removes what lies directly in a folder, but for the names to keep."""
+    fs, p = filesystem(spark, path)
+    for found in fs.listStatus(p) if fs.exists(p) else ():
+        if found.getPath().getName() not in keep:
+            fs.delete(found.getPath(), True)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """A small text file through Spark's file systems; null if there is none."""
+    fs, p = filesystem(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written beside and renamed into its place."""
+    fs, p = filesystem(spark, path)
+    _, beside = filesystem(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(p, False)
+    fs.rename(beside, p)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The table, written and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_markdown(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """source, filename, text, mtime of every .md file below the roots (by source); absent roots are skipped."""
     out = spark.createDataFrame([], FILE_SCHEMA)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import os
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,30 +25,52 @@ class Changes(InputPartition):
         self.rows = rows
 
 
+def _mark(path: str) -> bytes:
+    return hashlib.blake2b(path.encode(), digest_size=6).digest()
+
+
 class FileChangeReader(DataSourceStreamReader):
-    """The offset is a snapshot {path: mtime}; a batch holds what was created or modified between two."""
+    """The offset is the newest change seen, in milliseconds, the paths changed in that very millisecond, and six bytes for every known
+    path, which tell created files from modified ones; a batch holds what was changed between two offsets.  A file that is put in
+    place with an older time comes as created; one that is changed and given an older time is not seen."""
 
     def __init__(self, root: str):
         self.root = root
 
-    def _snapshot(self) -> dict[str, int]:
-        out = {}
+    def _files(self) -> Iterator[tuple[str, int]]:
         for folder, _, names in os.walk(self.root):
             for name in names:
                 if name.endswith(".md"):
                     path = os.path.join(folder, name)
-                    out[os.path.relpath(path, self.root)] = int(os.stat(path).st_mtime_ns // 1_000_000)
-        return out
+                    yield os.path.relpath(path, self.root), int(os.stat(path).st_mtime_ns // 1_000_000)
 
     def initialOffset(self) -> dict:
-        return {"files": "{}"}
+        return {"ms": -1, "paths": "[]", "known": ""}
 
     def latestOffset(self) -> dict:
-        return {"files": json.dumps(self._snapshot(), sort_keys=True)}
+        newest, paths, known = -1, [], []
+        for path, ms in self._files():
+            known.append(_mark(path))
+            if ms > newest:
+                newest, paths = ms, []
+            if ms == newest:
+                paths.append(path)
+        return {"ms": newest, "paths": json.dumps(sorted(paths)), "known": base64.b64encode(zlib.compress(b"".join(sorted(known)))).decode()}
+
+    @staticmethod
+    def _known(offset: dict) -> set[bytes]:
+        raw = zlib.decompress(base64.b64decode(offset["known"])) if offset["known"] else b""
+        return {raw[i : i + 6] for i in range(0, len(raw), 6)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        old, new = json.loads(start["files"]), json.loads(end["files"])
-        rows = [(p, "created" if p not in old else "modified", t) for p, t in sorted(new.items()) if old.get(p) != t]
+        old, last = set(json.loads(start["paths"])), set(json.loads(end["paths"]))
+        before, upto, rows = self._known(start), self._known(end), []
+        for path, ms in sorted(self._files()):
+            own = _mark(path)
+            if own in upto and own not in before:
+                rows.append((path, "created", ms))
+            elif start["ms"] < ms < end["ms"] or ms == end["ms"] and path in last and not (ms == start["ms"] and path in old):
+                rows.append((path, "modified", ms))
         return [Changes(rows[i : i + 1000]) for i in range(0, len(rows), 1000)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -89,6 +114,35 @@ def upsert(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def reindex_stream(changes: DataFrame, index_, source: str, checkpoint: str, once: bool = True):
+    """Every micro-batch of changed paths (relative to the root of ``source``) into a ``KnowledgeIndex``, whose lock keeps other writers out."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        files = [(source, r["path"]) for r in batch.select("path").collect()]  # of one micro-batch
+        if files:
+            index_.reindex(files)
+
+    return upsert(changes, apply, checkpoint, once)
+
+
+def heartbeat_stream(events: DataFrame, silence_ms: int = 3000, key: str = "user_id") -> DataFrame:
+    """key, last_ms, silent_ms: a beat for every key that has been silent for ``silence_ms``, once for each silence, by the clock of the
+    stream's processing; events: key and ts."""
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({key: [name[0]], "last_ms": [last], "silent_ms": [silence_ms]})
+            return
+        last = max(int(p["ms"].max()) for p in parts if len(p))
+        state.update((max(last, state.get[0]) if state.exists else last,))
+        state.setTimeoutDuration(silence_ms)
+
+    own = events.select(F.col(key).cast("string").alias(key), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return own.groupBy(key).applyInPandasWithState(step, f"{key} string, last_ms long, silent_ms long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def debounce(events: DataFrame, gap: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
     """Bursts of changes (path, ts) as one row each, with late events up to ``delay``."""
     own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)

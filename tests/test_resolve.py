@@ -43,5 +43,18 @@ def test_trees_and_slices(spark):
     assert lines == ["# A (11 tokens)", "  ## B (10 tokens)", "# C (0 tokens)"]
     s = M.section_text(docs, ["d"], "b")
     assert s.first()["heading"] == "B" and s.first()["section"].startswith("## B")
-    part = R.load_slice(spark.createDataFrame([("one two  three",)], "section string"), 1, 1).first()
+
+    class Words:
+        def encode(self, text):
+            import re
+
+            return re.findall(r"\S+\s*", text)
+
+        def decode(self, tokens):
+            return "".join(tokens)
+
+    sections = spark.createDataFrame([("one two  three",)], "section string")
+    part = R.load_slice(sections, 1, 1, encoder=Words()).first()
     assert (part["content"], part["state"], part["next_offset"]) == ("two  ", "TRUNCATED", 2)
+    part = R.load_slice(sections, 1, 5).first()
+    assert (part["content"], part["state"], part["next_offset"]) == ("two  three", "COMPLETE", None)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,9 +64,20 @@ def test_chunker():
     assert deep[0][0] == "A" and any(h.startswith("A > B (part 1/") for h, _ in deep) and deep[-1][0] == "A > C"
 
 
+class Words:
+    """An encoder whose tokens are words."""
+
+    def encode(self, text):
+        return re.findall(r"\S+\s*", text)
+
+    def decode(self, tokens):
+        return "".join(tokens)
+
+
 def test_hard_split_covers_every_word():
     words = [f"w{i}" for i in range(503)]
-    parts = markdown.hard_split(" ".join(words), 100, 10, markdown.rough_tokens)
+    parts = markdown.hard_split(" ".join(words), 100, 10, Words())
+    assert all(len(p.split()) <= 100 for p in parts) and markdown.hard_split("abcdefghij", 1, 0) == ["abcd", "efghij"]
     seen = [w for p in parts for w in p.split()]
     assert set(seen) == set(words) and parts[0].split()[0] == "w0" and parts[-1].split()[-1] == "w502"
 
