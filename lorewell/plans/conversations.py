@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import conversation_ref, snippet
@@ -123,11 +122,12 @@ def duplicate_calls(spark, sf_dir):
 
 @query("WITH " + CALLS_SQL + " SELECT turn_id, class, count(*) AS n, count(*) > CASE class WHEN 'orient' THEN 5 WHEN 'explore' THEN 10 WHEN 'write' THEN 2 ELSE 3 END AS exceeded FROM calls GROUP BY 1, 2")
 def class_usage(spark, sf_dir):
-    budget = F.create_map(*[F.lit(x) for kv in P.CLASS_BUDGETS.items() for x in kv])
-    return calls(spark, sf_dir).groupBy("turn_id", "class").agg(F.count("*").alias("n")).withColumn("exceeded", F.col("n") > F.element_at(budget, F.col("class")))
+    return P.class_counts(calls(spark, sf_dir))
 
 
-@query(None)
+@query("WITH " + CALLS_SQL + """, f AS (SELECT turn_id, class, signature, min(seq) AS first FROM calls GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY turn_id, class ORDER BY first) AS nth, CASE class WHEN 'orient' THEN 5 WHEN 'explore' THEN 10 WHEN 'write' THEN 2 ELSE 3 END AS budget FROM f),
+ l AS (SELECT turn_id, class, min(first) AS full_at FROM n WHERE nth = budget GROUP BY 1, 2)
+ SELECT c.turn_id, c.seq, CASE WHEN c.seq > l.full_at THEN 'REFUSED' WHEN c.seq = n.first THEN 'EXECUTED' ELSE 'SKIPPED' END AS decision FROM calls c JOIN n ON n.turn_id = c.turn_id AND n.class = c.class AND n.signature = c.signature LEFT JOIN l ON l.turn_id = c.turn_id AND l.class = c.class""")
 def call_budget_admission(spark, sf_dir):
     return P.admit(calls(spark, sf_dir)).select("turn_id", "seq", "decision")
 
@@ -140,36 +140,6 @@ def load_gate(spark, sf_dir):
     return P.load_gate(loads, most=3, window=16_000).select("turn_id", "seq", "gate")
 
 
-@query("WITH g AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, user_id, CAST(epoch_us(ts) - epoch_us(before) AS BIGINT) AS gap_us FROM g WHERE epoch_us(ts) - epoch_us(before) > 3000000")
-def heartbeat_gaps(spark, sf_dir):
-    """Silences of more than three seconds."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gaps = e.withColumn("gap_us", us - F.lag(us).over(w))
-    return gaps.filter("gap_us > 3000000").select("event_id", "user_id", "gap_us")
-
-
-@query("""WITH w AS (SELECT event_id, user_id, event_type, ts, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS registered FROM events)
- SELECT event_id, user_id FROM w WHERE NOT coalesce(epoch_us(ts) - epoch_us(registered) <= 3600000000, false)""")
-def suppressed_events(spark, sf_dir):
-    """Events that remain if those within an hour after a user's purchase are suppressed."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    registered = F.max(F.when(F.col("event_type") == "purchase", us)).over(w)
-    return e.withColumn("late", us - registered).filter("not coalesce(late <= 3600000000, false)").select("event_id", "user_id")
-
-
-@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 600000000 THEN 0 ELSE 1 END AS new FROM events),
- s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
- SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY user_id, session""")
-def debounced_sessions(spark, sf_dir):
-    """Bursts of a user's events that are less than ten minutes apart."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "10 minutes").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("s.start").alias("start_us"), "n")
-
-
 @query("""SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type, CAST(date_trunc('day', ts) AS DATE))""")
 def event_rollup(spark, sf_dir):
     """An extra beyond the knowledge-base operators: grouping sets."""

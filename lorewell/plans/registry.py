@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lorewell.plans import conversations, texts, vector_graph
+from lorewell.plans import conversations, library, storage, texts, vector_graph
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (vector_graph, conversations, texts):
+for _part in (vector_graph, conversations, texts, library, storage):
     QUERIES.update(_part.QUERIES)
     SQL.update(_part.SQL)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
@@ -132,12 +131,6 @@ def sentence_split(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "\n")).alias("sentences"))
 
 
-@query(r"""WITH href AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM href GROUP BY 1, 2""")
-def page_links(spark, sf_dir):
-    p = pages(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), 1)).alias("href"))
-    return p.groupBy("page_id", "href").agg(F.count("*").alias("n"))
-
-
 LINKS = r"""href AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages),
  k AS (SELECT DISTINCT page_id, href, lower(regexp_replace(href, '^/+', '')) AS path FROM href WHERE NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:')),
  known AS (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN 'web' ELSE 'alt' END AS source, regexp_extract(html, '<a href="/([^"]+)"', 1) AS filename FROM pages WHERE regexp_matches(html, '<a href="/[^"]+"')),
@@ -283,49 +276,6 @@ def lint_report(spark, sf_dir):
     return kinds.join(found.groupBy("finding").agg(F.count("*").alias("n")), "finding", "left").select("finding", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-#: Words of two letters and more that stand for pages in the prose queries, by how many documents use them.
-WORDS = r"w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-zäöüßàâçéèêëîïôûùñáíóú]{4,}')) AS word FROM documents), top AS (SELECT word FROM w GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 40)"
-
-
-def _dictionary(d):
-    words = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zäöüßàâçéèêëîïôûùñáíóú]{4,}"), 0))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(40)
-    return top.select(F.col("word").alias("alias"), F.lit("knowledge").alias("source"), F.concat("word", F.lit(".md")).alias("filename"))
-
-
-@query(None)
-def prose_bridges(spark, sf_dir):
-    """Bridges between the 40 most used words, as if they were pages."""
-    d = documents(spark, sf_dir)
-    found = links.mentions(d.select("doc_id", F.col("text").alias("content")), ["doc_id"], _dictionary(d), longest=1)
-    return links.bridges(found, ["doc_id"]).select("doc_id", "subject_file", "object_file", "evidence")
-
-
-@query("WITH " + WORDS + ", " + SENTENCES + r""", e AS (SELECT doc_id, unnest(s) AS sentence FROM s), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(sentence, '[-_]', ' ', 'g')), '[\p{L}\p{N}]+')) AS word FROM e)
- SELECT doc_id, word AS alias, count(*) AS n FROM t WHERE word IN (SELECT word FROM top) GROUP BY 1, 2""")
-def mentions(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    found = links.mentions(d.select("doc_id", F.col("text").alias("content")), ["doc_id"], _dictionary(d), longest=1)
-    return found.groupBy("doc_id", "alias").agg(F.count("*").alias("n"))
-
-
-@query(None)
-def chunked_documents(spark, sf_dir):
-    """Documents through the chunker; those above the limit are split."""
-    d = documents(spark, sf_dir).select("source", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), "text")
-    return markdown.chunk_files(d, 400).select("source", "filename", "heading", "chunk_index", "token_count", "total_chunks", F.md5("content").alias("content"))
-
-
-@query("""WITH c AS (SELECT n_nationkey, r_name || '/' || n_name AS path, count(c_custkey) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)
- SELECT path, n, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS line FROM c""")
-def folder_listing(spark, sf_dir):
-    """Nations as folders below regions, in the order of a tree."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    n = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(read("customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    listed = n.select(F.concat_ws("/", "r_name", "n_name").alias("path"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    return listed.withColumn("line", F.row_number().over(Window.orderBy("path")))  # one row per nation
-
-
 def _table(spark, sf_dir):
     """Lines as the chunk table: every line a section of its document, headed by its first word."""
     d = documents(spark, sf_dir).select("source", "doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "raw/d").otherwise("d"), F.col("doc_id").cast("string")).alias("filename"), "text")

@@ -118,7 +118,7 @@ def paged_neighbors(spark, sf_dir):
 
 def _starts(e: DataFrame) -> DataFrame:
     """The five best-connected nodes."""
-    return G.degrees(e).orderBy(F.desc("degree"), "id").limit(5).select(F.col("id").alias("start"))
+    return G.starts_of(G.degrees(e), [F.desc("degree"), "id"])
 
 
 BFS_SQL = """, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1),
@@ -140,7 +140,12 @@ def bfs_exclude_type(spark, sf_dir):
     return G.traverse(e, _starts(e), 2, exclude=("cross_domain",)).select("start", "node", "depth")
 
 
-@query(None)
+@query("WITH RECURSIVE " + EDGES_SQL + BFS_SQL.format(only="").rsplit(" SELECT start, node", 1)[0] + """, near AS (SELECT start, node, min(depth) AS depth FROM reach GROUP BY 1, 2),
+ found AS (SELECT n.start, n.node, n.depth, max(b.weight) AS weight FROM near n JOIN near p ON p.start = n.start AND p.depth = n.depth - 1 JOIN nb b ON b.node = p.node AND b.neighbor = n.node GROUP BY 1, 2, 3),
+ every AS (SELECT node AS id, min(depth) AS depth, max(weight) AS w FROM found WHERE node NOT IN (SELECT id FROM starts) GROUP BY 1 UNION ALL SELECT id, 0, NULL FROM starts),
+ nodes AS (SELECT id FROM every QUALIFY row_number() OVER (ORDER BY depth, w DESC NULLS LAST, id) <= 120),
+ within AS (SELECT src, dst, edge_type, weight, row_number() OVER (ORDER BY weight DESC, edge_type, src, dst) AS n, count(*) OVER () > 400 AS capped FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))
+ SELECT src, dst, edge_type, weight, capped FROM within WHERE n <= 400""")
 def subgraph_bounded(spark, sf_dir):
     e = edges(spark, sf_dir).cache()  # read at every level
     nodes, within = G.subgraph(e, _starts(e).withColumnRenamed("start", "id"), 2)
@@ -170,14 +175,6 @@ def graph_stats(spark, sf_dir):
     return G.graph_stats(chunks(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query("WITH " + CHUNKS_SQL + ", nodes AS (SELECT 'chunk' AS node_type, CAST(id AS VARCHAR) AS id FROM chunks UNION ALL SELECT DISTINCT 'folder', source || ':' || filename FROM chunks) SELECT node_type, count(*) AS n FROM nodes GROUP BY 1")
-def node_type_counts(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    folders = c.select(F.concat_ws(":", "source", "filename").alias("id")).distinct()
-    nodes = c.select(F.lit("chunk").alias("node_type"), F.col("id").cast("string").alias("id")).unionByName(folders.select(F.lit("folder").alias("node_type"), "id"))
-    return nodes.groupBy("node_type").agg(F.count("*").alias("n"))
-
-
 @query("WITH " + EDGES_SQL + """, tagged AS (SELECT CASE WHEN edge_type IN ('similar', 'inter_file', 'cross_domain') THEN 'similarity' WHEN edge_type = 'parent_child' THEN 'hierarchy' ELSE 'entity' END AS provenance FROM
    (SELECT edge_type FROM edges UNION ALL SELECT 'parent_child' FROM chunks))
  SELECT provenance, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM tagged), 1) AS percent FROM tagged GROUP BY 1""")
