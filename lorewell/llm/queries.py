@@ -114,9 +114,9 @@ SQL: dict[str, str] = {
  q AS (SELECT s, CAST(floor(round(w * budget, 3)) AS BIGINT) // tokens AS epochs, CAST(floor(round(w * budget, 3)) AS BIGINT) % tokens AS rest FROM w, g),
  r AS (SELECT d.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY d.s ORDER BY key RANGE UNBOUNDED PRECEDING) AS run FROM d LEFT JOIN q ON q.s = d.s)
  SELECT doc_id, source, n_tokens, CAST(coalesce(epochs + CASE WHEN n_tokens > 0 AND run <= rest THEN 1 ELSE 0 END, 1) AS BIGINT) AS copies FROM r""",
-    "op5_line_dedup": "WITH pages AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),"
-    " l AS (SELECT DISTINCT host, text, " + _BARE + " AS line FROM (SELECT host, text, unnest(string_split(text, chr(10))) AS x FROM pages) WHERE " + _BARE + " <> ''),"
-    " b AS (SELECT host, list(line) AS lines FROM (SELECT host, line, count(*) AS n FROM l GROUP BY 1, 2) JOIN (SELECT host, count(*) AS pages FROM pages GROUP BY 1) USING (host) WHERE n >= 5 AND n > CAST(0.1 AS DOUBLE) * pages GROUP BY 1),"
+    "op5_line_dedup": "WITH pages AS (SELECT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),"
+    " l AS (SELECT host, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: " + _BARE + "), lambda y: y <> ''))) AS line FROM pages),"
+    " b AS (SELECT host, list(line) AS lines FROM (SELECT host, line, count(*) AS n FROM l GROUP BY 1, 2) JOIN (SELECT host, count(*) AS pages FROM pages GROUP BY 1) USING (host) WHERE n > 1 AND n > CAST(0.05 AS DOUBLE) * pages GROUP BY 1),"
     " k AS (SELECT doc_id, text, string_split(text, chr(10)) AS a, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(lines, []), " + _BARE + ")) AS kept FROM documents d LEFT JOIN b ON b.host = coalesce(d.source, ''))"
     " SELECT doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(a) - len(kept), 0) AS BIGINT) AS n_dropped, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k",
     "op7_lm_scoring": "WITH " + _WORDS + """, p AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
@@ -136,6 +136,7 @@ SQL: dict[str, str] = {
    count(*) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS n, count(*) OVER (PARTITION BY conv_id) AS n_all, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text DESC) AS last FROM t),
  whole AS (SELECT prefix, min(conv_id) AS conv_id FROM h WHERE n = n_all GROUP BY 1),
  kept AS (SELECT conv_id FROM whole WHERE prefix NOT IN (SELECT prefix FROM h WHERE n < n_all AND last = 1)),
- r AS (SELECT conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text FROM t WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY 1, 2)
+ q AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 256 AS part FROM t WHERE conv_id IN (SELECT conv_id FROM kept)),
+ r AS (SELECT conv_id, CAST(part AS BIGINT) AS part, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text FROM q GROUP BY 1, 2)
  SELECT conv_id, part, n_turns, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM r""",
 }
