@@ -1,10 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Characters are lower-cased letters; everything else is a single space.  The n-grams of 1 to
-``max_n`` characters are hashed into ``2**bits`` features.  Document frequencies come from all
+Characters are lower-cased letters; everything else is a single space.  The n-grams of 2 to
+``max_n`` characters (single characters if that is 1) are hashed into ``2**bits`` features.  Document frequencies come from all
 labelled documents of the learning fold.  The weights are trained with follow-the-regularised-leader
-and elastic-net penalties on at most ``max_train`` of these documents (those with the smallest hash
-of their id, a documented bound), a fifth of which is held back to fit the temperature.
+and elastic-net penalties on a bounded sample of these documents, a fifth of which is held back to fit the temperature:
+the ``max_train`` with the smallest hash of their id, and of each language at least the ``each`` with the smallest, so that a
+rare language is learned, too.
 
 Nulls and edges: a null text, or one without a letter, gets ``und`` with score 0; rows with null
 language are never learned from; a null id is never held out nor learned from; without any labelled
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.packed import trim
@@ -42,36 +43,37 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def letters_only(text: str) -> np.ndarray:
-    """Code points: lower-case letters and single spaces."""
+def letters_only(text: str, after_space: bool = False) -> np.ndarray:
+    """Code points: lower-case letters and single spaces; no space at the start if one stands before."""
     at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = letter_table()
     out = table[np.minimum(at, 0xFFFF)]
     for i in np.flatnonzero(at > 0xFFFF):
         c = chr(at[i])
         out[i] = ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else 32
-    return out[(out != 32) | np.concatenate(([True], out[:-1] != 32))] if len(out) else out
+    return out[(out != 32) | np.concatenate(([not after_space], out[:-1] != 32))] if len(out) else out
 
 
 def feature_counts(text: str, bits: int, max_n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a text and how often each occurs."""
-    dim = 1 << bits
-    every: np.ndarray | None = None
-    shift = np.uint32(32 - bits)
-    pieces = range(0, max(1, len(text)), PIECE_CHARS)
-    for lo in pieces:
-        # a piece starts with the last characters of the one before it, for n-grams across the border
-        own = letters_only(" " + text[lo : lo + PIECE_CHARS] + " " if len(pieces) == 1 else text[max(0, lo - max_n + 1) : lo + PIECE_CHARS])
-        ids, h = [], np.zeros(len(own), np.uint32)
+    """Features of a text and how often each occurs; the text stands between two spaces."""
+    dim, shift, least = 1 << bits, np.uint32(32 - bits), min(2, max_n)
+    text = f" {text} "
+    every, held = None, np.zeros(0, np.uint32)  # the last characters of the piece before, for n-grams across the border
+    for lo in range(0, len(text), PIECE_CHARS):
+        new = letters_only(text[lo : lo + PIECE_CHARS], len(held) > 0 and held[-1] == 32)
+        own, ids = np.concatenate([held, new]), []
+        h = np.zeros(len(own), np.uint32)
         for n in range(1, max_n + 1):
             h = (h[: len(own) - n + 1] * np.uint32(0x9E3779B1) + own[n - 1 :] + np.uint32(n)) if len(own) >= n else h[:0]
-            if n > 1 or max_n == 1:
-                ids.append((h * np.uint32(0x85EBCA6B) ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> shift)
-        at = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        if len(pieces) == 1 and len(at) < 6000:
+            if n >= least:
+                fresh = h[max(0, len(held) - n + 1) :]  # those that end in this piece
+                ids.append((fresh * np.uint32(0x85EBCA6B) ^ (fresh >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> shift)
+        at = np.concatenate(ids)
+        if len(text) <= PIECE_CHARS and len(at) < 6000:
             return np.unique(at, return_counts=True)
         counted = np.bincount(at, minlength=dim)
         every = counted if every is None else every + counted
+        held = own[max(0, len(own) - max(1, max_n - 1)) :]
     found = np.flatnonzero(every)
     return found, every[found]
 
@@ -155,7 +157,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 16, max_n: int = 3, max_train: int = 4000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.001, seed: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 16, max_n: int = 3, max_train: int = 4000, each: int = 50, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.001, seed: int = 1
 ) -> LanguageModel:
     """Learns only from text and non-null language of the rows of ``docs``."""
     dim = 1 << bits
@@ -179,7 +181,10 @@ def train(
             df[r["feature"]] = r["n"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     least = rows.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
-    sample = [] if least is None else rows.filter(F.col("h") <= least).limit(max_train).select("h", "lang", "text")
+    # each task keeps its smallest of a language before they meet
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rare = rows.withColumn("r", rank).filter(F.col("r") <= each).filter(F.col("h") > least) if least is not None else None
+    sample = [] if least is None else rows.filter(F.col("h") <= least).limit(max_train).select("h", "lang", "text").unionByName(rare.select("h", "lang", "text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
