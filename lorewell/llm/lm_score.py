@@ -13,7 +13,7 @@ an unseen word counting as ``unseen`` occurrences.  A document's score is the me
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; n-grams do not cross documents.  Nulls and edges: null
 or blank text has no words and a null score; repeated rows count as different documents, so they
 have seen each other; a corpus of one document has seen nothing; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored.  N-grams are told apart by 64-bit hashes: of g different ones, about g**2 / 2**65 pairs share a count.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 which = every >> np.uint64(64 - bits)
                 keys, n = np.unique(every[(which >= k * per) & (which < (k + 1) * per)], return_counts=True)
                 if len(keys):
-                    yield emit_batch(row["block"], keys, np.minimum(n, 2**32 - 1).astype(np.uint32), bits)
+                    yield emit_batch(row["block"], keys, n.astype(np.uint32), bits)  # a block has fewer words
 
         return run
 
@@ -83,7 +83,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         total = np.empty(len(every), np.int64)
         total[order_of] = sums[np.cumsum(new) - 1]
         ends = np.cumsum([len(k) for k in keys])
-        return [squeeze(total[e - len(k) : e].astype("<u4").tobytes()) for k, e in zip(keys, ends)]
+        return [squeeze(total[e - len(k) : e].astype("<u8").tobytes()) for k, e in zip(keys, ends)]
 
     found = []
     for k in range(ranges):
@@ -99,7 +99,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_docs, out = len(at) - 1, np.full(len(at) - 1, np.nan)
         seen = np.zeros(n_docs, np.int64)
         if len(every):
-            total = np.concatenate([np.frombuffer(unsqueeze(r), "<u4") for r in replies]).astype(np.int64)
+            total = np.concatenate([np.frombuffer(unsqueeze(r), "<u8") for r in replies]).astype(np.int64)
             _, inverse = np.unique(every, return_inverse=True)
             _, own_at, own = np.unique(inverse * np.int64(n_docs) + owners, return_inverse=True, return_counts=True)
             rest = total[inverse] - own[own_at]  # what other documents hold
