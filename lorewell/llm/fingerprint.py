@@ -6,7 +6,8 @@ of as many places to either side (ties: the first), so grains realign after an e
 spaces.  A stretch of more than ``GRAIN_BYTES`` without such a place is cut by length.  A
 paragraph's node is a cryptographic hash of its text, a section's that of its paragraphs' nodes, the
 root that of the sections' nodes; equal roots mean equal texts, and where roots differ only differing
-branches need a closer look.  A fingerprint is the string ``root|section/section...``, a section
+branches are looked into: sections that both trees hold are alike as a whole, then the paragraphs of the other sections, and only
+below differing paragraphs grains are compared.  A fingerprint is the string ``root|size|section/section...``, ``size`` the bytes of all paragraphs, a section
 ``paragraph;paragraph...``, a paragraph the base64 of its node (6 bytes) and grains (4 bytes of hash of the whole grain, 1 of its length).
 
 Nulls and edges: null text is empty; the empty text has a fingerprint too; repeated rows are
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm.packed import powers, prefix_hash, span_hash
@@ -95,42 +96,69 @@ def fingerprint(text: str) -> str:
             root.update(hashlib.blake2b(b"".join(nodes), digest_size=16).digest())
             sections.append(";".join(paragraphs))
             paragraphs, nodes = [], []
-    return f"{root.hexdigest()}|{'/'.join(sections)}"
+    return f"{root.hexdigest()}|{len(raw) - len(lines) + 1}|{'/'.join(sections)}"
 
 
-def grain_counts(mark: str) -> Counter:
-    """Grains of a fingerprint and how often each occurs."""
-    out: Counter = Counter()
-    for section in mark.partition("|")[2].split("/"):
-        for paragraph in section.split(";"):
-            raw = base64.b64decode(paragraph, b"+_")[6:]
-            out.update(raw[i : i + 5] for i in range(0, len(raw), 5))
-    return out
+def parts_of(mark: str) -> tuple[str, int, list[str]]:
+    """Root, size and sections of a fingerprint."""
+    root, size, tree = mark.split("|", 2)
+    return root, int(size), tree.split("/")
+
+
+def _decoded(paragraph: str) -> bytes:
+    return base64.b64decode(paragraph, b"+_")[6:]
+
 
+def _size(paragraphs: Counter) -> int:
+    """Bytes of paragraphs: the lengths of their grains."""
+    return sum(sum(_decoded(p)[4::5]) * n for p, n in paragraphs.items())
 
-def likeness(a: str, b: str, counts_a: Counter | None = None, counts_b: Counter | None = None) -> float:
-    """Share of length in common grains, of the longer one's length; 1 for equal roots."""
-    if a.partition("|")[0] == b.partition("|")[0]:
+
+def likeness(a: str, b: str) -> float:
+    """Share of length in common branches, of the longer one's length; 1 for equal roots.  What stands in both several times counts as
+    often as in the one that has it less often."""
+    (root_a, size_a, x), (root_b, size_b, y) = parts_of(a), parts_of(b)
+    if root_a == root_b:
         return 1.0
-    x, y = counts_a if counts_a is not None else grain_counts(a), counts_b if counts_b is not None else grain_counts(b)
-    size = lambda c: sum(k[4] * n for k, n in c.items())
-    most = max(size(x), size(y))
-    return size(x & y) / most if most else 0.0
+    most = max(size_a, size_b)
+    if not most:
+        return 0.0
+    x, y = Counter(x), Counter(y)
+    shared = x & y
+    same = sum(_size(Counter({p: n * m for p, n in Counter(s.split(";")).items()})) for s, m in shared.items())
+    below = lambda nodes, cut: Counter(part for s, n in (nodes - shared).items() for part in s.split(cut) for _ in range(n))
+    x, y = below(x, ";"), below(y, ";")
+    shared = x & y
+    same += _size(shared)
+    grains = lambda nodes: Counter(raw[i : i + 5] for p, n in (nodes - shared).items() for raw in [_decoded(p)] for i in range(0, len(raw), 5) for _ in range(n))
+    same += sum(g[4] * n for g, n in (grains(x) & grains(y)).items())
+    return same / most
 
 
 def edit_spans(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) of ``b`` whose branches differ from ``a``'s at the same place."""
-    out = []
-    if a.partition("|")[0] == b.partition("|")[0]:
+    (root_a, _, left), (root_b, _, right) = parts_of(a), parts_of(b)
+    out: list[tuple[int, int]] = []
+    if root_a == root_b:
         return out
-    left, right = ([s.split(";") for s in m.partition("|")[2].split("/")] for m in (a, b))
     for i, section in enumerate(right):
-        other = left[i] if i < len(left) else []
-        if section != other:
-            out += [(i, j) for j, p in enumerate(section) if j >= len(other) or other[j] != p]
+        if i >= len(left) or section != left[i]:
+            other = left[i].split(";") if i < len(left) else []
+            out += [(i, j) for j, p in enumerate(section.split(";")) if j >= len(other) or other[j] != p]
     return out
 
 
+def _ranked(cuts: list[int], x: Column) -> Column:
+    """How many of the ascending cuts are no greater: first among every k-th, then among the k from there on."""
+    if not cuts:
+        return F.lit(0)
+    k = max(1, int(len(cuts) ** 0.5))
+    every = lambda cs: F.array(*[F.lit(c).cast("long") for c in cs])
+    block = F.size(F.filter(every(cuts[::k]), lambda c: c <= x))
+    inside = F.size(F.filter(F.slice(every(cuts), (F.greatest(block, F.lit(1)) - 1) * k + 1, F.lit(k)), lambda c: c <= x))
+    return F.when(block == 0, 0).otherwise((block - 1) * k + inside)
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, id, text, ghost: rows dealt by ranges of the id; the first row of a range is also
     the last, as a ghost, of the range before it (of the last range for the first one)."""
@@ -139,7 +167,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+    bucket = _ranked(cuts, F.col("id"))
     rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(bucket)).withColumn("tie", F.xxhash64("text"))
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("f")).orderBy("bucket").collect()  # one row a range
     first = {r["bucket"]: (r["f"]["id"], r["f"]["tie"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)}
@@ -152,23 +180,23 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text (the last half of its code points
-    replaced by the first as many of the next document), and how alike they and the next one's are."""
+    replaced by the first as many of the next document), how alike they and the next one's are, and how many branches (paragraphs) the
+    edit changed, from which section and paragraph on (from 0, null if none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # bucket, id, text, fingerprint, grains
+        held = None  # bucket, id, text, fingerprint
         out: list[tuple] = []
         size = 0
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(4)]
             for name, text, bucket, ghost in zip(*cols):
                 if held is not None and held[0] == bucket:
-                    row, mark, grains = _compare(held, text)
+                    row, mark = _compare(held, text)
                     out.append(row)
                     size += len(row[3]) + len(row[4])
                 elif not ghost:
                     mark = fingerprint(text)
-                    grains = grain_counts(mark)
-                held = None if ghost else (bucket, name, text, mark, grains)
+                held = None if ghost else (bucket, name, text, mark)
             if size > 1 << 24:
                 yield _batch(out)
                 out, size = [], 0
@@ -176,19 +204,19 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield _batch(out)
 
     modest_batches(docs.sparkSession)
-    return with_next(docs, id_col, text_col).select("id", "text", "bucket", "ghost").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, id_col, text_col).select("id", "text", "bucket", "ghost").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_changed long, first_changed string")
 
 
-def _compare(held: tuple, after: str) -> tuple[tuple, str, Counter]:
-    _, name, text, mark, grains = held
+def _compare(held: tuple, after: str) -> tuple[tuple, str]:
+    _, name, text, mark = held
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     other, mark_next = fingerprint(edited), fingerprint(after)
-    grains_next = grain_counts(mark_next)
-    row = (name, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, other, likeness(mark, other, grains), likeness(mark, mark_next, grains, grains_next))
-    return row, mark_next, grains_next
+    spans = edit_spans(mark, other)
+    first = f"{spans[0][0]}:{spans[0][1]}" if spans else None
+    return (name, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, other, likeness(mark, other), likeness(mark, mark_next), len(spans), first), mark_next
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_changed", "first_changed"])
