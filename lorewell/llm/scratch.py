@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -54,6 +55,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def few(self, df: DataFrame, most: int = 50_000) -> DataFrame:
+        """A table of a few numbers a row, written, and broadcast if it has at most ``most`` rows."""
+        out = self.write(df, "few")
+        shared = F.broadcast(out) if out.count() <= most else out
+        shared._scratch_path = out._scratch_path
+        return shared
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables and let Spark's cleaner remove the shuffle files of finished jobs."""
         jvm = self.spark._jvm

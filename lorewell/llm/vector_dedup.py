@@ -2,11 +2,12 @@
 
 Vectors are compared within their label and length.  Equal vectors are one representative with a count.  Each
 representative is normalised and turned by random rotations; the signs are its code, and the inner
-product of code and turned vector is stored as its correction factor.  Banded code bits name the
-cells in which candidates meet.  Within a cell, <code of x, turned y> / factor of x is an
-unbiased estimate of the cosine; pairs whose confidence bound lies below the threshold
-are rejected, all others are recomputed exactly in double precision.  A pair counts in the first
-band in which its cells agree.  Every length has rotations and bands of its own, which follow from the number of
+product of code and turned vector is its correction factor.  Code and factor are stored once, beside the vector rounded to one
+byte a component and what the rounding left.  Banded code bits name the
+cells in which candidates meet, by their codes: <code of x, turned y> / factor of x is an
+unbiased estimate of the cosine, taken of the rounded y; a pair whose confidence bound (with all that the rounding can make up) lies below the threshold
+needs no more work.  Only vectors with another pair are fetched into their cell, where their pairs are recomputed exactly in double
+precision.  A pair counts in the first band in which its cells agree.  Every length has rotations and bands of its own, which follow from the number of
 its vectors and the wanted recall; up to ``block`` vectors of a label and length are one cell and all compared exactly.
 A cell of more than ``block`` members is dealt into pairs of blocks.
 
@@ -95,7 +96,7 @@ def near_vectors(
         x = x / np.abs(x).max(1, keepdims=True)
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths: dict[int, list[dict]] = {}
             for r in rows_of([batch]):
@@ -104,99 +105,136 @@ def near_vectors(
                 own, bands, step = lengths[dim], plans[dim][1], max(1, 64_000 // dim)
                 for lo in range(0, len(own), step):
                     part = own[lo : lo + step]
-                    cells = cells_of(units([r["x"] for r in part]))
+                    unit = units([r["x"] for r in part])
+                    shared = plans[dim][2]
+                    if shared is None:
+                        bits, factor = np.zeros((len(part), 0), np.uint8), np.zeros(len(part))
+                    else:
+                        turned = np.concatenate([unit @ r.T for r in shared.value[:code_rotations]], 1) / np.sqrt(code_rotations)
+                        bits, factor = np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
+                    scale = np.abs(unit).max(1) / 127
+                    round_ = np.rint(unit / scale[:, None]).astype(np.int8)
+                    left = np.sqrt(((unit - round_ * scale[:, None]) ** 2).sum(1))
+                    cells = cells_of(unit).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["label"] for r in part for _ in range(bands)]), pa.array(np.full(len(part) * bands, dim, np.int32)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(part))), pa.array(cells.ravel()), pa.array([r["key"] for r in part for _ in range(bands)]), pa.array([r["n"] for r in part for _ in range(bands)], pa.int64()), pa.array([r["x"] for r in part for _ in range(bands)], pa.binary())],
-                        ["label", "dim", "band", "cell", "key", "n", "x"],
+                        [pa.array([r["label"] for r in part]), pa.array(np.full(len(part), dim, np.int32)), pa.array([r["key"] for r in part]), pa.array([c.tolist() for c in cells], pa.list_(pa.int64())), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(factor), pa.array([b.tobytes() for b in round_], pa.binary()), pa.array(scale), pa.array(left)],
+                        ["label", "dim", "key", "cells", "code", "factor", "rounded", "scale", "left"],
                     )
 
     cell_key = ["label", "dim", "band", "cell"]
-    in_cells = reps.select("label", "key", "n", "x").mapInArrow(banded, "label string, dim int, band int, cell long, key string, n long, x binary")
+    codes = store.write(reps.select("label", "key", "x").mapInArrow(coded, "label string, dim int, key string, cells array<long>, code binary, factor double, rounded binary, scale double, left double"), "codes")
+    in_cells = codes.select("label", "dim", F.posexplode("cells").alias("band", "cell"), "key", "code", "factor", "rounded", "scale", "left")
     sizes = store.write(in_cells.groupBy(*cell_key).agg(F.count("*").alias("m")).filter("m > 1"), "cells")
     # block pairs (i <= j) of large cells; small ones have the one pair (0, 0)
     parts = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    met = [*cell_key, "i", "j"]
     dealt = (
         in_cells.join(sizes.withColumn("parts", parts), cell_key).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(*cell_key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "x")
-        .repartition(*cell_key, "i", "j").sortWithinPartitions(*cell_key, "i", "j")
+        .select(*cell_key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "code", "factor", "rounded", "scale", "left")
+        .repartition(*met).sortWithinPartitions(*met)
     )
     limit = np.float64(threshold)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group(held: list[dict]) -> pa.RecordBatch | None:
-            if len(held) < 2:
-                return None
-            unit = units([r["x"] for r in held])
-            side = np.array([r["own"] for r in held])
-            left, right = (np.flatnonzero(side == held[0][k]) for k in ("i", "j"))
-            if not len(left) or not len(right):
-                return None
-            same_block = held[0]["i"] == held[0]["j"]
-            shared = plans[unit.shape[1]][2]
-            if shared is None:
-                maybe = np.ones((len(left), len(right)), bool)
-            else:
-                code_t = np.concatenate([unit @ r.T for r in shared.value[:code_rotations]], 1) / np.sqrt(code_rotations)
-                codes = np.where(code_t > 0, 1.0, -1.0) / np.sqrt(code_t.shape[1])
-                factor = (codes * code_t).sum(1)
-                estimate = codes[left] @ code_t[right].T / factor[left][:, None]
-                bound = sigmas * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, code_t.shape[1] - 1))
-                maybe = estimate + bound[left][:, None] >= limit
-            if same_block:
-                maybe = np.triu(maybe | maybe.T, 1)
-            a, b = np.nonzero(maybe)
-            a, b = left[a], right[b]
-            exact = np.empty(len(a))
-            step = max(1, (1 << 22) // unit.shape[1])
-            for lo in range(0, len(a), step):
-                exact[lo : lo + step] = (unit[a[lo : lo + step]] * unit[b[lo : lo + step]]).sum(1)
-            a, b = a[exact >= limit], b[exact >= limit]
-            cells = cells_of(unit)
-            new = (cells[a] == cells[b]).argmax(1) == held[0]["band"]
-            a, b = a[new], b[new]
-            if not len(a):
-                return None
-            n = np.array([r["n"] for r in held])
-            links = np.zeros(len(held), np.int64)
-            np.add.at(links, a, n[b])
-            np.add.at(links, b, n[a])
-            root = np.arange(len(held))
-
-            def find(k: int) -> int:
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            for x, y in zip(a, b):
-                x, y = find(x), find(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-            at = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array([held[k]["key"] for k in at], pa.string()), pa.array([held[find(k)]["key"] for k in at], pa.string()), pa.array(links[at], pa.int64())], ["key", "root", "links"])
-
-        now, held = None, []
-        for row in rows_of(batches):
-            key = (row["label"], row["dim"], row["band"], row["cell"], row["i"], row["j"])
-            if held and key != now:
-                out = group(held)
-                if out is not None:
-                    yield out
-                held = []
-            now = key
-            held.append(row)
-        if held and (out := group(held)) is not None:
-            yield out
-
-    found = store.write(dealt.mapInArrow(compare, "key string, root string, links long"), "found")
+    def by_cell(fn):
+        """``fn(rows of a block pair, places of the left, places of the right)`` gives a batch or nothing."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def done(held: list[dict]) -> pa.RecordBatch | None:
+                side = np.array([r["own"] for r in held])
+                left, right = (np.flatnonzero(side == held[0][k]) for k in ("i", "j"))
+                return fn(held, left, right) if len(held) > 1 and len(left) and len(right) else None
+
+            now, held = None, []
+            for row in rows_of(batches):
+                key = tuple(row[k] for k in met)
+                if held and key != now:
+                    if (out := done(held)) is not None:
+                        yield out
+                    held = []
+                now = key
+                held.append(row)
+            if held and (out := done(held)) is not None:
+                yield out
+
+        return run
+
+    def reject(held: list[dict], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+        """The members of a block pair that have a pair which the bound lets pass."""
+        dim = held[0]["dim"]
+        shared = plans[dim][2]
+        if shared is None:
+            at = np.arange(len(held))
+        else:
+            turns = shared.value[:code_rotations]
+            width = code_rotations * dim
+            code = np.unpackbits(np.frombuffer(b"".join(r["code"] for r in held), np.uint8).reshape(len(held), -1), axis=1, count=width) * 2.0 - 1
+            # <code, turned y> is <code turned back, y>
+            back = sum(code[:, k * dim : (k + 1) * dim] @ turns[k] for k in range(code_rotations)) / np.sqrt(code_rotations * width)
+            factor, rest = np.array([r["factor"] for r in held]), np.array([r["left"] for r in held])
+            back /= factor[:, None]
+            y = np.frombuffer(b"".join(r["rounded"] for r in held), np.int8).reshape(len(held), dim) * np.array([r["scale"] for r in held])[:, None]
+            bound = sigmas * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, width - 1))
+            size = np.sqrt((back * back).sum(1))
+            maybe = back[left] @ y[right].T + bound[left][:, None] + size[left][:, None] * rest[right][None] >= limit
+            if held[0]["i"] == held[0]["j"]:
+                maybe |= maybe.T
+                np.fill_diagonal(maybe, False)
+            at = np.union1d(left[maybe.any(1)], right[maybe.any(0)])
+        if not len(at):
+            return None
+        return pa.RecordBatch.from_arrays([*(pa.array([held[k][c] for k in at], kind) for c, kind in zip((*met, "own", "key"), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())))], [*met, "own", "key"])
+
+    passed = store.write(dealt.mapInArrow(by_cell(reject), "label string, dim int, band int, cell long, i int, j int, own int, key string"), "passed")
+    again = passed.join(reps.select("key", "n", "x"), "key").select(*met, "own", "key", "n", "x").repartition(*met).sortWithinPartitions(*met)
+
+    def compare(held: list[dict], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+        unit = units([r["x"] for r in held])
+        near = unit[left] @ unit[right].T >= limit - 1e-9
+        if held[0]["i"] == held[0]["j"]:
+            near = np.triu(near, 1)
+        a, b = np.nonzero(near)
+        a, b = left[a], right[b]
+        exact = np.empty(len(a))
+        step = max(1, (1 << 22) // unit.shape[1])
+        for lo in range(0, len(a), step):
+            exact[lo : lo + step] = (unit[a[lo : lo + step]] * unit[b[lo : lo + step]]).sum(1)
+        a, b = a[exact >= limit], b[exact >= limit]
+        cells = cells_of(unit)
+        new = (cells[a] == cells[b]).argmax(1) == held[0]["band"]
+        a, b = a[new], b[new]
+        if not len(a):
+            return None
+        n = np.array([r["n"] for r in held])
+        links = np.zeros(len(held), np.int64)
+        np.add.at(links, a, n[b])
+        np.add.at(links, b, n[a])
+        root = np.arange(len(held))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for x, y in zip(a, b):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        at = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array([held[k]["key"] for k in at], pa.string()), pa.array([held[find(k)]["key"] for k in at], pa.string()), pa.array(links[at], pa.int64())], ["key", "root", "links"])
+
+    found = store.write(again.mapInArrow(by_cell(compare), "key string, root string, links long"), "found")
+    store.drop(codes, sizes, passed)
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")), store)
     ids = reps.select("key", "rep", "n")
     groups = store.write(ids.join(roots, ids.key == roots.node, "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root")), "groups")
-    least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    done = groups.join(least, "root").join(counts, "key", "left").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
+    least = store.few(groups.groupBy("root").agg(F.min("rep").alias("component_id")))
+    counts = store.write(found.groupBy("key").agg(F.sum("links").alias("links")), "counts")
+    named = groups.join(least, "root").join(counts, "key", "left").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
+    done = store.write(named, "named")
+    store.drop(reps, found, roots, groups, least, counts)
     out = rows.select("vec_id", "key").join(done, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
