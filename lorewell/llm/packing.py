@@ -1,13 +1,12 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best fit.  Lengths are integers of at most ``seq_len``, so documents and gaps,
-range-sorted by size, form at most ``seq_len`` runs of equal size each.  In every superstep the
-longest run of waiting pieces is matched with its successor, the smallest run of gaps that still
-fits; pieces that want the same gap are resolved by rank (rank r of the pieces takes the gap of
-rank r // k, k pieces fitting in one), the gaps are updated to their new sizes, and the sweep goes on.
-The outcome is that of sequential best-fit decreasing.  The sweep sees only run lengths, at most
-``seq_len`` of them whatever the input; ranks within runs are computed in parallel, from counts per
-task and run, and pieces find their places by rank.
+Best fit on runs.  Lengths are integers of at most ``seq_len``, so documents and gaps, range-sorted by size, form at most
+``seq_len`` runs of equal size each.  A step matches the longest run of waiting pieces with its successor, the smallest run of gaps that
+still fits; pieces that want the same gap are resolved by rank (rank r of the pieces takes the gap of
+rank r // k, k pieces fitting in one), the gaps are updated to their new sizes, and the next run follows.
+The outcome is that of sequential best-fit decreasing.  The dealt method sweeps over documents and gaps as distributed tables in
+supersteps; here the steps see only run lengths, at most ``seq_len`` of them whatever the input, and are taken one after another on the driver.  What
+grows with the input is distributed: tokens, the ranks within runs (from counts per task and run), and the place of every piece by its rank.
 
 Nulls and edges: null text is empty; every document, the empty one too, gets the closing id, so it
 has at least one token; repeated rows and repeated doc_ids are separate documents; equal lengths
