@@ -41,6 +41,26 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert groups == [1, 1, 1, 1] and texts.count(None) == 2
 
 
+def test_copies_are_no_boilerplate(spark):
+    copy, near = prose(1, 30) + "\n" + prose(2, 30), [prose(3, 30), prose(4, 30), prose(5, 30)]
+    rows = [(i, "menu\n" + copy, "en", "small", 0) for i in (7, 5, None)] + [(20, "menu", "en", "small", 4)] + [(30 + i, f"menu\n{prose(i, 9)}", "en", "small", 0) for i in range(10, 13)]
+    rows += [(40 + i, "\n".join([*near, f"edited {i}"]), "en", "near", 0) for i in range(9)] + [(60, None, "en", "small", None), (61, "", "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as host")
+    got = corpus_pipeline.line_dedup(spark, docs, None)
+    assert got.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()), key=repr)
+    want = [(i, copy, len(copy)) for i in (7, 5, None)] + [(30 + i, prose(i, 9), len(prose(i, 9))) for i in range(10, 13)] + [(r[0], r[1], 0) for r in rows if r[3] == "near"] + [(60, None, None), (61, "", 0)]
+    assert found == sorted(want, key=repr)
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark):
+    full = spark.createDataFrame([(1, prose(1, 50), "en", "s", 0), (1, prose(1, 50), "en", "s", 0), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as n", "'x' as key", "2 as block", "3 as copies", "4 as n_tokens", "5 as score")
+    for docs in (full, full.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, None)
+            assert out.count() >= 0 and (name == "packing" or set(COLUMNS) <= set(out.columns))
+
+
 def test_registered():
     import __spark_entry__
 
