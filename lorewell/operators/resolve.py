@@ -16,6 +16,15 @@ from lorewell.operators.vector_search import search
 ENTITY_SCHEMA = "chunk_id string, kind string, name string, other string, relation string"
 
 
+def holding(asked: DataFrame, needle: str, rows: DataFrame, hay: str) -> DataFrame:
+    """Pairs of ``asked`` and ``rows`` whose ``hay`` holds the ``needle``, met by the needle's first three characters among those of the hay;
+    needles of one or two characters are held against all rows."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - 2, F.lit(1))), lambda i: F.substring(F.col(hay), i, F.lit(3))))
+    spread = rows.withColumn("_g", F.explode(grams))
+    met = asked.filter(F.length(needle) >= 3).withColumn("_g", F.left(F.col(needle), F.lit(3))).join(spread, "_g").filter(F.col(hay).contains(F.col(needle))).drop("_g")
+    return met.unionByName(asked.filter(F.length(needle) < 3).join(rows, F.col(hay).contains(F.col(needle))))
+
+
 def resolve_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     """asked (name) with source, filename and stage of the first stage that has candidates: 1 the canonical address,
     2 the path in knowledge, 3 in canon, 4 the path without its first folder, 5 the only one with the base name,
@@ -30,7 +39,8 @@ def resolve_files(asked: DataFrame, files: DataFrame) -> DataFrame:
     found = found.unionByName(hit((F.col("_s") == F.col("_f")) & (F.col("_s") != F.col("_q")), 4)).unionByName(hit(F.col("_base") == F.col("_b"), 5))
     text = F.regexp_replace("_q", r"\.md$", "")
     left = bare.join(found.select("name").distinct(), "name", "left_anti")  # of a stated set of names, the few without a file
-    found = found.unionByName(left.join(f, F.col("_f").contains(text) & (F.length(text) > 0)).select("name", "source", "filename", F.lit(6).alias("stage")))
+    inside = holding(left.withColumn("_n", text).filter("_n <> ''"), "_n", f, "_f")
+    found = found.unionByName(inside.select("name", "source", "filename", F.lit(6).alias("stage")))
     first = found.withColumn("_m", F.min("stage").over(Window.partitionBy("name"))).filter("stage = _m")
     one = first.groupBy("name", "stage").agg(F.countDistinct("source", "filename").alias("n"), F.min(F.struct(F.when(F.col("source") == "knowledge", 0).otherwise(1).alias("o"), "source", "filename")).alias("p"))
     clear = (F.col("n") == 1) | (F.col("stage") <= 4)
@@ -56,9 +66,13 @@ def resolve_sections(asked: DataFrame, chunks: DataFrame, most: int = 10) -> Dat
     own = asked.select("address").distinct().withColumn("_file", F.when(whole, F.lower(F.regexp_replace(F.split_part("address", F.lit(" > "), F.lit(1)), "^(knowledge|canon):", "")))).withColumn("_head", F.when(whole, F.regexp_extract("address", "^.*? > (.*)$", 1)).otherwise(F.col("address")))
     c = chunks.select("id", F.lower("filename").alias("_f"), slug(F.col("heading")).alias("_h"), slug(leaf(F.col("heading"))).alias("_l"), F.lower("heading").alias("_t"))
     here = F.col("_file").isNull() | (F.col("_file") == F.col("_f")) | F.col("_f").endswith(F.concat(F.lit("/"), F.col("_file")))
-    h = slug(F.col("_head"))
-    stage = F.when(here & ((F.col("_h") == h) | (F.col("_l") == h)), 1).when(here & F.col("_t").contains(F.lower("_head")), 2).when(F.col("_t").contains(F.lower("_head")), 3)
-    met = own.join(c, F.col("_t").contains(F.lower("_head")) | (F.col("_h") == h) | (F.col("_l") == h)).withColumn("stage", stage).filter("stage is not null")  # a stated set of addresses
+    own = own.withColumn("_s", slug(F.col("_head"))).withColumn("_low", F.lower("_head"))
+    same = (F.col("_h") == F.col("_s")) | (F.col("_l") == F.col("_s"))
+    held = F.col("_t").contains(F.col("_low"))
+    stage = F.when(here & same, 1).when(here & held, 2).when(held, 3)
+    # each way to meet is a join by equality; what met in several ways counts once
+    ways = own.join(c, F.col("_s") == F.col("_h")).unionByName(own.join(c, F.col("_s") == F.col("_l"))).unionByName(holding(own, "_low", c, "_t"))
+    met = ways.withColumn("stage", stage).filter("stage is not null").dropDuplicates(["address", "id"])
     first = met.withColumn("_m", F.min("stage").over(Window.partitionBy("address"))).filter("stage = _m")
     ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("address").orderBy("id"))).withColumn("n", F.count("*").over(Window.partitionBy("address")))
     some = ranked.filter(F.col("_n") <= most).groupBy("address").agg(F.max("n").alias("n"), F.min("stage").alias("stage"), F.array_sort(F.collect_list("id")).alias("ids"))
@@ -102,7 +116,8 @@ def entity_edges(found: DataFrame) -> DataFrame:
     related = found.filter("kind = 'relationship'").select(F.lower("name").alias("a"), F.lower("other").alias("b"), "relation").distinct()
     ends = related.select(F.explode(F.array("a", "b")).alias("end")).filter("end is not null").distinct()
     exact = ends.join(names, F.col("end") == F.col("e"))
-    loose = ends.join(names, F.col("end") == F.col("e"), "left_anti").join(names, F.col("e").contains(F.col("end")) | F.col("end").contains(F.col("e")))
+    rest = ends.join(names, F.col("end") == F.col("e"), "left_anti")
+    loose = holding(rest, "end", names, "e").unionByName(holding(names, "e", rest, "end"))
     known = exact.unionByName(loose).groupBy("end").agg(F.min("e").alias("e"))
     side = lambda k: known.select(F.col("end").alias(k), F.col("e").alias(f"e_{k}"))
     joined = related.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("e_a is not null or e_b is not null")

@@ -651,3 +651,31 @@ def compile_plan(spark, sf_dir):
     c = _vectors(spark, sf_dir).withColumns({"tier": F.when(F.col("source") == "canon", "canon").otherwise("wiki"), "summary": F.lit("s")})
     hits = V.search(c, _first(c), 20)
     return resolve.compile_plan(c, hits, "f5.md").select("tier", "rank", "filename", F.round("weighted", 6).alias("weighted"))
+
+
+@query("WITH " + REFS + """, a AS (SELECT src AS node, dst AS neighbor, 1 AS o FROM e WHERE edge_type = 'references' UNION ALL SELECT dst, src, 0 FROM e WHERE edge_type = 'references' AND src <> dst)
+ SELECT node, neighbor, CASE max(o) WHEN 1 THEN 'out' ELSE 'in' END AS direction FROM a WHERE neighbor % 2 = 0 GROUP BY 1, 2""")
+def known_neighbors(spark, sf_dir):
+    """Neighbours by one type of edge, as far as they are nodes."""
+    e = _references(spark, sf_dir)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().filter("id % 2 = 0")
+    return G.neighbors(e, nodes, "references").select("node", "neighbor", "direction")
+
+
+@query("WITH " + FILES + " SELECT filename, source || CASE WHEN filename LIKE 'raw/%' THEN '|raw/s' WHEN filename LIKE 'wiki/%' THEN '|wiki' ELSE '' END || '|tier:' || CASE WHEN source = 'canon' THEN 'canon' WHEN filename LIKE 'raw/%' THEN 'raw' ELSE 'wiki' END AS tags FROM f")
+def node_tags(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    folder = F.when(index.folder_of(F.col("filename")) == ".", "").otherwise(index.folder_of(F.col("filename")))
+    return f.select("filename", F.array_join(T.tags(F.col("source"), folder, T.tier(F.col("source"), F.col("filename"))), "|").alias("tags"))
+
+
+@query("""WITH t AS (SELECT doc_id, 'a ' || left(replace(coalesce(text, ''), chr(10), ' '), 40) AS a FROM documents),
+ u AS (SELECT *, '# Title ' || doc_id || chr(10) || chr(10) || 'about' || chr(10) || '## Part ' || doc_id % 3 || chr(10) || a || chr(10) || '### Deep' || chr(10) || 'b' || chr(10) || '## Last' || chr(10) || 'c' AS whole FROM t)
+ SELECT doc_id, 'Title ' || doc_id AS heading, md5(whole) AS content FROM u WHERE length(whole) // 4 <= 20 UNION ALL SELECT doc_id, 'Title ' || doc_id, md5('about') FROM u WHERE length(whole) // 4 > 20
+ UNION ALL SELECT doc_id, 'Title ' || doc_id || ' > Part ' || doc_id % 3, md5('## Part ' || doc_id % 3 || chr(10) || chr(10) || a || chr(10) || '### Deep' || chr(10) || 'b') FROM u WHERE length(whole) // 4 > 20
+ UNION ALL SELECT doc_id, 'Title ' || doc_id || ' > Last', md5('## Last' || chr(10) || chr(10) || 'c') FROM u WHERE length(whole) // 4 > 20""")
+def chunked_headings(spark, sf_dir):
+    """Texts with headings through the chunker: front matter goes, and what is too long is divided at the next headings."""
+    d = _headed(spark, sf_dir)
+    files = d.select(F.lit("knowledge").alias("source"), F.col("doc_id").cast("string").alias("filename"), F.concat(F.lit("---\ntitle: x\n---\n"), "text").alias("text"))
+    return markdown.chunk_files(files, 20).select(F.col("filename").cast("long").alias("doc_id"), "heading", F.md5("content").alias("content"))

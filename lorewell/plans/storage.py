@@ -6,9 +6,6 @@ temporary one.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lorewell.operators import index, lifecycle
@@ -29,13 +26,7 @@ def query(sql: str | None):
     return add
 
 
-def work(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='lorewell-')}"
-    return f"{base.rstrip('/')}/lorewell/{name}-{uuid.uuid4().hex}"
+work = S.work_folder
 
 
 @query("WITH " + FILES_SQL + " SELECT source, CASE WHEN source = 'canon' THEN 'canon' WHEN filename LIKE 'raw/%' THEN 'raw' ELSE 'wiki' END AS tier, count(*) AS n, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM f GROUP BY 1, 2")

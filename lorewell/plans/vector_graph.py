@@ -13,6 +13,7 @@ from lorewell.functions.text import tier_weight
 from lorewell.functions.vectors import cosine
 from lorewell.operators import graph as G
 from lorewell.operators import vector_search as V
+from lorewell.sources import files as S
 
 LIMITS = {"similar": 0.32, "inter": 0.30, "cross": 0.31}
 
@@ -130,13 +131,13 @@ BFS_SQL = """, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM
 
 @query("WITH RECURSIVE " + EDGES_SQL + BFS_SQL.format(only=""))
 def bfs_depth2(spark, sf_dir):
-    e = edges(spark, sf_dir).cache()  # read at every level
+    e = S.stored(edges(spark, sf_dir), S.work_folder(spark, "edges"))  # read at every level
     return G.traverse(e, _starts(e), 2).select("start", "node", "depth")
 
 
 @query("WITH RECURSIVE " + EDGES_SQL + BFS_SQL.format(only="AND n.edge_type <> 'cross_domain'"))
 def bfs_exclude_type(spark, sf_dir):
-    e = edges(spark, sf_dir).cache()  # read at every level
+    e = S.stored(edges(spark, sf_dir), S.work_folder(spark, "edges"))  # read at every level
     return G.traverse(e, _starts(e), 2, exclude=("cross_domain",)).select("start", "node", "depth")
 
 
@@ -147,7 +148,7 @@ def bfs_exclude_type(spark, sf_dir):
  within AS (SELECT src, dst, edge_type, weight, row_number() OVER (ORDER BY weight DESC, edge_type, src, dst) AS n, count(*) OVER () > 400 AS capped FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))
  SELECT src, dst, edge_type, weight, capped FROM within WHERE n <= 400""")
 def subgraph_bounded(spark, sf_dir):
-    e = edges(spark, sf_dir).cache()  # read at every level
+    e = S.stored(edges(spark, sf_dir), S.work_folder(spark, "edges"))  # read at every level
     nodes, within = G.subgraph(e, _starts(e).withColumnRenamed("start", "id"), 2)
     return within.select("src", "dst", "edge_type", "weight", "capped")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_temporary: list[str] = []
+
 FILE_SCHEMA = "source string, filename string, text string, mtime long"
 CHUNK_SCHEMA = (
     "id string, vector array<float>, document string, filename string, source string, heading string, chunk_index long, summary string, token_count long, mtime long, "
@@ -75,6 +80,20 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(beside, p)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below ``spark.checkpoint.dir``, which all executors share; where that is unset and Spark runs inside one
+    machine, below a temporary one that goes when Python ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _temporary:
+            _temporary.append(tempfile.mkdtemp(prefix="lorewell-"))
+            atexit.register(shutil.rmtree, _temporary[0], ignore_errors=True)
+        base = f"file://{_temporary[0]}"
+    return f"{base.rstrip('/')}/lorewell/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """The table, written and read again."""
     df.write.parquet(path)

@@ -112,6 +112,29 @@ def test_compile_plans(spark, vault):
             resolve.compile_from_conversation(own.chunks(), turns, ref, EMBED)
 
 
+def test_tools(spark, vault):
+    from lorewell import tools
+
+    _, _, own = vault
+    own.build()
+    turns = spark.createDataFrame([("c1", 0, "user", "stress", EMBED(["stress"])[0].tolist())], "conv_id string, turn long, role string, text string, vector array<float>")
+    known = tools.registry(tools.Tools(own, "2024-05-06", turns))
+    assert len(known) == 15 and "search_conversations" not in tools.registry(tools.Tools(own, "2024-05-06"))
+    assert tools.schema(known["search_knowledge"])["required"] == ["query"] and tools.schema(known["graph_traverse"])["parameters"]["depth"] == {"type": "integer", "default": 2}
+    run = lambda name, **args: tools.execute(known, name, args)
+    assert run("list_knowledge").count() == 3 and run("search_knowledge", query=" ").count() == 3
+    assert tools.execute(known, "search_knowledge", {"0": "stress", "k": "2"}).count() == 2
+    assert [r["line"] for r in run("read_knowledge", filename="stress").collect()] == ["# Stress (2 tokens)"]
+    assert run("read_knowledge_section", filename="stress", heading="stress").first()["content"].startswith("# Stress")
+    assert {r["edge_type"] for r in run("graph_neighbors", filename="cortisol", edge_type="references").collect()} == {"references"}
+    assert run("graph_traverse", filename="law").count() >= 1 and run("graph_search", query="stress").count() >= 3
+    assert run("describe_node", filename="cortisol").count() == 1 and run("graph_stats").first()["n_files"] == 3
+    assert run("lint_knowledge").count() >= 0 and run("folder_tree").count() == 2
+    assert run("compile_knowledge", source="stress").count() == 2 and run("compile_knowledge", source="conversation:c1").count() == 3
+    assert run("search_conversations", query="stress").count() == 1 and run("read_conversation", conv_id="c1").count() == 1
+    assert "unknown tool" in run("nothing") and "no file" in run("read_knowledge", filename="nothing") and "failed" in run("graph_traverse", filename="law", exclude_edge_types="bad")
+
+
 def test_a_start_without_neighbours_is_searched_for(spark):
     edges = spark.createDataFrame([(1, 2, "similar", 0.5)], "src long, dst long, edge_type string, weight double")
     starts = spark.createDataFrame([(1, "A"), (9, "X > Leaf")], "start long, heading string")
