@@ -75,9 +75,9 @@ def test_a_very_long_text(make_docs):
 
 def test_a_costly_prefix_grows():
     light = np.array([1] * 5 + [1] * 20)
-    assert choose_level(light, 5)[0] == 1
+    assert choose_level(light, 5, 21)[0] == 1
     heavy = np.array([1000] * 4 + [1] * 21)
-    level, where = choose_level(heavy, 5)
+    level, where = choose_level(heavy, 5, 21)
     assert level >= 5 - 1 and not set(where) & {0, 1, 2, 3}
 
 
