@@ -34,7 +34,7 @@ from lorewell.llm.scratch import Scratch
 #: Words of more characters are not cached; a cache of more words becomes the old generation.
 CACHE_WORD_CHARS, CACHE_WORDS = 64, 600_000
 #: Characters of text that are tokenised together.
-GROUP_CHARS = 12 << 20
+GROUP_CHARS = 8 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank_in_part long, ids binary"
 
