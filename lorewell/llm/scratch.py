@@ -1,12 +1,15 @@
 """Tables that cut lineage, kept in the folder which all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``.  Where that is unset and Spark runs
-inside one machine (tests), a temporary folder is made; on a cluster the setting is required.
+inside one machine (tests), a temporary folder is made, which goes when Python ends; on a cluster the setting is required.
+Tables that a returned DataFrame still reads stay until that folder is cleaned.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +27,7 @@ def base_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="lorewell-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return f"file://{_local[0]}"
 
 
