@@ -1,6 +1,8 @@
 """A corpus pipeline of five operators.  Each stage is written as Parquet and read again as the next one's ``docs``.
 
-Stages work on every row their predecessor kept and, but for the last, return the columns of documents.
+Stages work on every row their predecessor kept and, but for the last, return the columns of documents.  An empty table
+gives an empty table; rows may repeat, ids may be null or repeat: rows are judged one by one; texts are taken whole, however
+long; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,35 +25,49 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; the model learns from the labelled ones."""
+    """Documents with a recognised language; the model learns from the labelled ones.  A null or empty text, or one without a
+    letter, goes; a null language is not learned from; equal texts get equal answers."""
     marked = identify(docs, train(docs), "text", "__lang", "__score")
     return marked.filter((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the boilerplate lines of each source; documents of which nothing is left go."""
-    done = drop_boilerplate(docs, F.col("source"), lines_name="__stage_lines", dropped_name="__stage_dropped")
-    kept = done.filter((F.col("__stage_dropped") == 0) | (F.trim("text") != ""))
-    return kept.withColumn("n_chars", F.when(F.col("__stage_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Without the boilerplate lines of each source (null: the source '').  Lines are counted on the different texts of a source, so
+    that copies, which the next stage settles, do not turn their own lines into boilerplate.  Nor are lines furniture where two or more of
+    them make up most of a text: these are near copies of one text, and stay whole.  Documents of which nothing is left go; a null or empty text
+    has no lines and stays."""
+    whole, dropped = "__stage_whole", F.col("__stage_dropped")
+    done = drop_boilerplate(docs.withColumn(whole, F.col("text")), F.col("source"), lines_name="__stage_lines", dropped_name="__stage_dropped", counted=docs.select("source", "text").distinct())
+    copied = (dropped > 1) & (2 * F.length("text") < F.length(whole))
+    text = F.when(copied, F.col(whole)).otherwise(F.col("text"))
+    n_chars = F.when(copied | (dropped == 0), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    done = done.filter(copied | (dropped == 0) | F.col("text").rlike("\\S"))
+    return done.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones (five words, a similarity of 0.8 or more)."""
+    """One document of each group of similar ones (five words, a similarity of 0.8 or more).  Documents without a word, null
+    texts among them, are similar to none; of equal texts one row stays."""
     store = Scratch(spark, "kept")
     row = "__stage_row"  # ids may be null or stand in several rows: the decision comes back by row
-    keyed = store.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    if docs._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LogicalRelation":
+        keyed = store.write(keyed, "rows")  # rows of files that are read as they are have the same number each time
     found = similar_documents(keyed.select(row, "text"), id_col=row, width=5, percent=80)
     kept = store.write(found.filter("kept").select(F.col("doc_id").alias(row)), "found")
     return keyed.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it."""
+    """Every document as often as the mixture takes it.  Documents without a word, null texts among them, come once a whole epoch;
+    rows with equal id are taken together."""
     taken = mix_sources(docs).filter("copies > 0")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null text is
+    empty and has its closing id only; repeated rows are packed one by one; equal lengths may change places."""
     return pack_documents(docs, tokenizer_path())
 
 
