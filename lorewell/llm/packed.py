@@ -133,13 +133,10 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield now, held
 
 
-def emit_batch(block: int, keys: np.ndarray, vals: np.ndarray | None, bits: int, low: int | None = None, which: np.ndarray | None = None) -> pa.RecordBatch:
+def emit_batch(block: int, keys: np.ndarray, vals: np.ndarray | None, bits: int, low: int | None = None) -> pa.RecordBatch:
     """One row for each bucket of the sorted, distinct ``keys``.  The bucket is the top ``bits`` of the 64, or, with
-    ``low`` = 32, all but the lowest 32 bits, and then only these 32 are sent as the key, or what ``which`` says, by which the keys then are
-    sorted first."""
-    if which is not None:
-        which = which.astype(np.int64)
-    elif low is None:
+    ``low`` = 32, all but the lowest 32 bits, and then only these 32 are sent as the key."""
+    if low is None:
         which = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     else:
         which, keys = (keys >> np.uint64(low)).astype(np.int64), keys.astype(np.uint32)
@@ -215,36 +212,34 @@ def _byte_values(seed: int) -> np.ndarray:
     return mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed * 1000)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-#: Two independent families of hashes: the base and the bytes' values of each.
-_BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-BYTE_VALUES = (_byte_values(1), _byte_values(2))
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[str, np.ndarray] = {}
+BYTE_VALUES = _byte_values(1)
 
 
-def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
-    if family not in _powers or len(_powers[family][0]) < n:
-        size, both = 1 << int(np.ceil(np.log2(max(n, 1 << 16)))), []
-        for base in (_BASES[family], pow(_BASES[family], -1, 1 << 64)):
+    if len(_powers.get("up", ())) < n:
+        size = 1 << int(np.ceil(np.log2(max(n, 1 << 16))))
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _powers[family] = tuple(both)
-    up, down = _powers[family]
-    return up[:n], down[:n]
+            _powers[name] = np.cumprod(p, dtype=np.uint64)
+    return _powers["up"][:n], _powers["down"][:n]
 
 
-def prefix_hash(data: np.ndarray, family: int = 0) -> np.ndarray:
+def prefix_hash(data: np.ndarray) -> np.ndarray:
     """P with P[j] - P[i] = the sum over data[i:j] of value * base**position."""
-    up, _ = powers(len(data), family)
+    up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[family][data] * up, out=out[1:])
+    np.cumsum(BYTE_VALUES[data] * up, out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    _, down = powers(len(prefix), family)
+    _, down = powers(len(prefix))
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -29,9 +29,8 @@ def test_words_across_chunks_of_hashing():
 def test_windows_across_chunks_of_hashing():
     one = np.frombuffer(prose(2, 160_000).encode()[: (1 << 20) + 5000], np.uint8)
     both = np.concatenate([one, one])
-    for family in (0, 1):
-        h = _window_hashes(both, np.arange(len(both) - 199), 200, family)
-        assert (h[: len(one) - 199] == h[len(one) :]).all() and len(np.unique(h[: len(one) - 199])) == len(one) - 199
+    h = _window_hashes(both, np.arange(len(both) - 199), 200)
+    assert (h[: len(one) - 199] == h[len(one) :]).all() and len(np.unique(h[: len(one) - 199])) == len(one) - 199
 
 
 def test_long_and_periodic_texts_lose_what_repeats(make_docs):
