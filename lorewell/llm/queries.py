@@ -80,10 +80,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(repeated_spans(table(spark, sf_dir, "documents"), 200))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.quality_rules import judge_documents
+
+    return judge_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.collocations import mine_phrases
+
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_ngram_jaccard_join, op3_source_mixing, op4_language_id, op5_line_dedup, op6_embedding_near_dedup, op7_lm_scoring, op8_chat_formatting, op9_merkle_fingerprints, op10_suffix_dedup,
+        op11_quality_rules, op12_phrase_collocations, op13_spelling_variants,
     )
 }
 
@@ -139,4 +158,40 @@ SQL: dict[str, str] = {
  q AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 256 AS part FROM t WHERE conv_id IN (SELECT conv_id FROM kept)),
  r AS (SELECT conv_id, CAST(part AS BIGINT) AS part, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text FROM q GROUP BY 1, 2)
  SELECT conv_id, part, n_turns, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM r""",
+    "op11_quality_rules": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ m AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols FROM t),
+ g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM m WHERE len(w) > 2),
+ f AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+ c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM f, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+ x AS (SELECT m.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+   len(l) AS n_lines, len(list_filter(w, lambda y: regexp_matches(y, '\pL'))) AS lettered, len(list_filter(l, lambda y: regexp_matches(y, '^[\x20\x09-\x0D]*[-*•]'))) AS bullets, len(list_filter(l, lambda y: regexp_matches(y, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS dots FROM m LEFT JOIN c USING (doc_id)),
+ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (word_chars < 3 * n_words OR word_chars > 10 * n_words)::INT + 8 * (10 * n_symbols > n_words)::INT + 16 * (100 * lettered < 80 * n_words)::INT
+   + 32 * (100 * n_dup_lines > 50 * n_lines)::INT + 64 * (100 * n_dup_lines > 30 * n_lines)::INT + 128 * (100 * bullets > 90 * n_lines)::INT + 256 * (100 * dots > 30 * n_lines)::INT AS BIGINT) AS fails FROM x)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails & 3 <> 0 AS base_failed, fails & 63 = 0 AS kept, fails, CAST(2 AS INT) AS policy FROM b""",
+    "op12_phrase_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(""" + _LOWER + r""", '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ w AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+ t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+ g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+ f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+ c AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+ s AS (SELECT c.*, x.f AS l, y.f AS r, t.n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1:] JOIN t ON t.lang = c.lang),
+ m AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS nth FROM s),
+ h AS (SELECT lang, g[i:j] AS g, max(f) AS longer FROM (SELECT lang, g, f, k, unnest(range(1, k)) AS i FROM f WHERE k > 2), (SELECT unnest(range(2, 6)) AS j) WHERE j > i AND j <= k AND j - i < k - 1 GROUP BY 1, 2),
+ q AS (SELECT m.lang, array_to_string(m.g, ' ') AS phrase, a, l, r, n, score FROM m LEFT JOIN h ON h.lang = m.lang AND h.g = m.g WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 100 * a)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+ SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
+    "op13_spelling_variants": r"""WITH RECURSIVE tab AS (SELECT 0 AS step, i::BIGINT AS i, i::BIGINT AS v FROM range(256) t(i) UNION ALL SELECT step + 1, i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM tab WHERE step < 8),
+ crc AS (SELECT list(v ORDER BY i) AS tab FROM tab WHERE step = 8),
+ o AS (SELECT doc_id, r, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(""" + _LOWER + r""", '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 7 GROUP BY 1, 2),
+ b AS (SELECT r, k, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r) AS b FROM o),
+ h AS (SELECT r, k, xor(list_reduce(list_transform(range(1, 2 * octet_length(b), 2), lambda i: ('0x' || hex(b)[i:i + 1])::BIGINT), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, crc),
+ x AS (SELECT CASE WHEN h % 31 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS w, k FROM h),
+ v AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM x WHERE length(w) >= 7 GROUP BY 1 HAVING sum(k) > 1),
+ d AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM v), e AS (SELECT w, i, w[:i - 1] || w[i + 1:] AS e FROM d),
+ near AS (SELECT e.w AS a, v.w AS b FROM e JOIN v ON v.w = e.e UNION SELECT v.w, e.w FROM e JOIN v ON v.w = e.e UNION SELECT y.w, z.w FROM e y JOIN e z ON y.e = z.e AND y.i = z.i AND y.w <> z.w),
+ best AS (SELECT a, count(*) AS n_near, first(near.b ORDER BY n DESC, near.b) AS b, max(n) AS m FROM near JOIN v ON v.w = near.b GROUP BY 1),
+ f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN b END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON best.a = v.w),
+ up AS (SELECT w, w AS root, 0 AS step FROM f UNION ALL SELECT up.w, f.form, step + 1 FROM up JOIN f ON f.w = up.root WHERE f.form IS NOT NULL),
+ last AS (SELECT w, first(root ORDER BY step DESC) AS root FROM up GROUP BY 1)
+ SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN last USING (w)""",
 }
