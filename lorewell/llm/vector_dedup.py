@@ -6,9 +6,10 @@ product of code and turned vector is its correction factor.  Code and factor are
 byte a component and what the rounding left.  Banded code bits name the
 cells in which candidates meet, by their codes: <code of x, turned y> / factor of x is an
 unbiased estimate of the cosine, taken of the rounded y; a pair whose confidence bound (with all that the rounding can make up) lies below the threshold
-needs no more work.  Only vectors with another pair are fetched into their cell, where their pairs are recomputed exactly in double
-precision.  A pair counts in the first band in which its cells agree.  Every length has rotations and bands of its own, which follow from the number of
-its vectors and the wanted recall; up to ``block`` vectors of a label and length are one cell and all compared exactly.
+needs no more work.  The pairs that the bound lets pass are kept as bits, one row of bits for each vector and cell; only vectors with such a pair are
+fetched into their cell, and exactly these pairs are recomputed in double precision.  A pair counts in the first band in which its cells agree.
+Every length has rotations and bands of its own, which follow from the number of its vectors and the wanted recall, however few they
+are; only where ``exact_upto`` is given, labels of up to so many vectors of a length are compared without codes (for tests).
 A cell of more than ``block`` members is dealt into pairs of blocks.
 
 Nulls and edges: vectors that are null, zero, or hold null or non-finite components, and those
@@ -52,7 +53,7 @@ def band_plan(n: int, threshold: float, recall: float, cell: int) -> tuple[int,
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = 0.995, cell: int = 24, block: int = 512, code_rotations: int = 4, sigmas: float = 3.5, seed: int = 7
+    vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = 0.995, cell: int = 24, block: int = 512, code_rotations: int = 4, sigmas: float = 3.5, seed: int = 7, exact_upto: int = 0
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -76,7 +77,7 @@ def near_vectors(
     most = reps.groupBy("label", (F.length("x") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).filter("n > 1")
     plans = {}
     for dim, n in sorted(most.collect()):
-        if n <= block:
+        if n <= exact_upto:
             plans[dim] = 0, 1, None
         else:
             bits, bands = band_plan(n, threshold, recall, cell)
@@ -161,11 +162,12 @@ def near_vectors(
         return run
 
     def reject(held: list[dict], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
-        """The members of a block pair that have a pair which the bound lets pass."""
+        """The members of a block pair that have a pair which the bound lets pass, in the order of their keys, each with the bits of its later partners."""
         dim = held[0]["dim"]
         shared = plans[dim][2]
+        pairs = np.zeros((len(held), len(held)), bool)
         if shared is None:
-            at = np.arange(len(held))
+            pairs[:] = True
         else:
             turns = shared.value[:code_rotations]
             width = code_rotations * dim
@@ -178,24 +180,22 @@ def near_vectors(
             bound = sigmas * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(1, width - 1))
             size = np.sqrt((back * back).sum(1))
             maybe = back[left] @ y[right].T + bound[left][:, None] + size[left][:, None] * rest[right][None] >= limit
-            if held[0]["i"] == held[0]["j"]:
-                maybe |= maybe.T
-                np.fill_diagonal(maybe, False)
-            at = np.union1d(left[maybe.any(1)], right[maybe.any(0)])
-        if not len(at):
+            pairs[np.ix_(left, right)] = maybe
+            pairs |= pairs.T
+        np.fill_diagonal(pairs, False)
+        at = sorted(np.flatnonzero(pairs.any(1)), key=lambda k: held[k]["key"])
+        if not at:
             return None
-        return pa.RecordBatch.from_arrays([*(pa.array([held[k][c] for k in at], kind) for c, kind in zip((*met, "own", "key"), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())))], [*met, "own", "key"])
+        bits = np.packbits(np.triu(pairs[np.ix_(at, at)], 1), axis=1)
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([*(pa.array([held[k][c] for k in at], kind) for c, kind in zip((*met, "own", "key"), kinds)), pa.array([b.tobytes() for b in bits], pa.binary())], [*met, "own", "key", "pairs"])
 
-    passed = store.write(dealt.mapInArrow(by_cell(reject), "label string, dim int, band int, cell long, i int, j int, own int, key string"), "passed")
-    again = passed.join(reps.select("key", "n", "x"), "key").select(*met, "own", "key", "n", "x").repartition(*met).sortWithinPartitions(*met)
+    passed = store.write(dealt.mapInArrow(by_cell(reject), "label string, dim int, band int, cell long, i int, j int, own int, key string, pairs binary"), "passed")
+    again = passed.join(reps.select("key", "n", "x"), "key").select(*met, "own", "key", "pairs", "n", "x").repartition(*met).sortWithinPartitions(*met, "key")
 
     def compare(held: list[dict], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
         unit = units([r["x"] for r in held])
-        near = unit[left] @ unit[right].T >= limit - 1e-9
-        if held[0]["i"] == held[0]["j"]:
-            near = np.triu(near, 1)
-        a, b = np.nonzero(near)
-        a, b = left[a], right[b]
+        a, b = np.nonzero(np.unpackbits(np.frombuffer(b"".join(r["pairs"] for r in held), np.uint8).reshape(len(held), -1), axis=1, count=len(held)))
         exact = np.empty(len(a))
         step = max(1, (1 << 22) // unit.shape[1])
         for lo in range(0, len(a), step):

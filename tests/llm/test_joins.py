@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -146,10 +148,38 @@ def test_near_vectors_of_several_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     want, comp = brute(rows, 0.93)
     assert all(sum(want[r[0]] for r in rows if len(r[1]) == dim) for dim in (64, 16, 3))
-    got = {r["vec_id"]: r for r in near_vectors(df).collect()}  # a label and length is one cell: nothing is missed
+    got = {r["vec_id"]: r for r in near_vectors(df, exact_upto=512).collect()}  # without codes: nothing is missed
     assert {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {k: (want[k], comp[k]) for k in want}
     got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, block=32).collect()}
     assert all(got[k] <= want[k] for k in want)
     for dim in (64, 16, 3):
         of = [r[0] for r in rows if len(r[1]) == dim]
         assert sum(got[k] for k in of) >= 0.98 * sum(want[k] for k in of)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables here")
+def test_codes_decide_on_the_given_table(spark, monkeypatch):
+    """The given vectors with noisy copies of them: few a label, and yet all by codes."""
+    from lorewell.llm import vector_dedup
+
+    made = []
+    monkeypatch.setattr(vector_dedup, "rotations", lambda *a, f=vector_dedup.rotations: made.append(a) or f(*a))
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    draw = np.random.default_rng(4)
+    rows = given + [(10**6 + i, (np.asarray(v) + draw.standard_normal(len(v)) * np.linalg.norm(v) * s / np.sqrt(len(v))).tolist(), lab) for i, v, lab in given for s in (0.1, 0.3, 0.36)]
+    want, _ = brute(rows, 0.93)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.93)
+    links = Counter()
+    for r in got.collect():
+        links[r["vec_id"]] += r["n_links"]
+    assert made and sum(want.values()) > 500
+    assert all(links[k] <= n for k, n in want.items() if k < 10**6) and sum(links.values()) >= 0.98 * sum(want.values())
+
+
+def test_words_of_two_letters_do_not_share_hashes(spark):
+    """Words which agree in every sum modulo 2**64 of powers of an odd base."""
+    word, other = "a", "b"
+    for _ in range(10):
+        word, other = word + other, other + word
+    rows = similar_documents(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 2, 3: 1}

@@ -53,6 +53,20 @@ def test_copies_are_no_boilerplate(spark):
     assert found == sorted(want, key=repr)
 
 
+def test_menus_of_short_pages_go_and_near_copies_stay(spark):
+    """40 pages with a two-line menu and one own line each; copies of a text of four lines, another word changed in each."""
+    own = [f"{prose(i, 5)} own {i}" for i in range(40)]
+    rows = [(i, f"Home | Products | About us | Contact\nTerms of use and privacy policy apply\n{own[i]}", "en", "pages", 0) for i in range(40)]
+    base = [prose(900 + k, 30).split() for k in range(4)]
+    for i in range(30):
+        lines = [list(x) for x in base]
+        lines[i % 4][i % 29] = f"changed{i}"
+        rows.append((100 + i, "\n".join(map(" ".join, lines)), "en", "copies", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, None).collect()}
+    assert got == {i: own[i] for i in range(40)} | {r[0]: r[1] for r in rows if r[3] == "copies"}
+
+
 def test_stages_take_empty_tables_and_clashing_columns(spark):
     full = spark.createDataFrame([(1, prose(1, 50), "en", "s", 0), (1, prose(1, 50), "en", "s", 0), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as n", "'x' as key", "2 as block", "3 as copies", "4 as n_tokens", "5 as score")
     for docs in (full, full.limit(0)):
@@ -65,4 +79,4 @@ def test_registered():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(names, key=str)[-1] == "pipeline" and len(names) == 11
+    assert sorted(names, key=str)[-1] == "pipeline" and len(names) == 14

@@ -1,5 +1,6 @@
 """The registered queries of the subpackage against their SQL, on the smallest tables, and the pipeline against a brute-force version."""
 
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -32,7 +33,7 @@ def test_query(spark, name):
 
 
 def boilerplate_dropped(rows):
-    """Line dedup by brute force: different texts of a source are counted; a text mostly of repeated lines stays."""
+    """Line dedup by brute force: different texts of a source are counted; a text of which most would go, and that has little of its own, stays."""
     sites = {}
     for r in rows:
         if r["text"] is not None:
@@ -41,15 +42,23 @@ def boilerplate_dropped(rows):
     for site, texts in sites.items():
         n = Counter(line for t in texts for line in {x.strip(" \t\r") for x in t.split("\n")} - {""})
         bad[site] = {line for line, k in n.items() if k > 1 and k > 0.05 * len(texts)}
-    out = []
+
+    def pairs(lines):
+        return [p for x in lines for w in [[y for y in re.split("[ \t\r]+", x) if y]] for p in zip(w, [*w[1:], None])]
+
+    cut = []
     for r in rows:
-        if r["text"] is None:
-            out.append(r)
-            continue
-        lines = r["text"].split("\n")
-        kept = [x for x in lines if x.strip(" \t\r") not in bad[r["source"] or ""]]
+        lines = (r["text"] or "").split("\n")
+        kept = [x for x in lines if x.strip(" \t\r") not in bad.get(r["source"] or "", ())]
+        cut.append((r, lines, kept, len(lines) - len(kept) > 1 and 2 * len("\n".join(kept)) <= len(r["text"] or "")))
+    known = {}
+    for r, lines, kept, suspect in cut:
+        if suspect:
+            known.setdefault(r["source"] or "", set()).update(pairs([x for x in lines if x not in kept]))
+    out = []
+    for r, lines, kept, suspect in cut:
         text = "\n".join(kept)
-        if len(lines) - len(kept) > 1 and 2 * len(text) < len(r["text"]) or len(kept) == len(lines):
+        if r["text"] is None or len(kept) == len(lines) or suspect and 9 * len(set(pairs(kept)) - known[r["source"] or ""]) <= len(pairs(lines)):
             out.append(r)
         elif text.strip():
             out.append({**r, "text": text, "n_chars": len(text)})
