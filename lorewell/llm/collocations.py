@@ -33,14 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm.packed import REPLY_SCHEMA, chain, emit_batch, mix, prefix_hash, rows, span_hash, squeeze, task_number, trim, unsqueeze, with_replies
+from lorewell.llm.packed import REPLY_SCHEMA, chain, emit_batch, mix, mixed_hash, rows, squeeze, task_number, trim, unsqueeze, with_replies
 from lorewell.llm.scratch import Scratch
 
 BORDERS = "[.,;:!?\\x0A-\\x0D]"
 #: Bytes of pieces in a block; bits of hash buckets in the filter; duckdb's memory in a task before it spills.
-BLOCK_BYTES, FILTER_BITS, DUCKDB_MB = 4 << 20, 6, 256
+BLOCK_BYTES, FILTER_BITS, DUCKDB_MB = 2 << 20, 6, 128
 #: Rows handed to duckdb at a time.
-ROWS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 17
 
 _BLOCK = "block long, langs array<string>, words array<long>, lang array<int>, n array<long>, lens array<long>, data binary"
 _COUNTED = "lang string, k int, phrase string, n long"
@@ -130,12 +130,11 @@ class Grams:
         self.word, self.kinds = np.asarray(coded.indices, np.int64), len(coded.dictionary)
         first = np.zeros(self.kinds, np.int64)
         first[self.word[::-1]] = np.arange(len(self.word))[::-1]
-        prefix = prefix_hash(raw)
-        self.word_hash = span_hash(prefix, self.starts[first], self.ends[first])
+        self.word_hash = mixed_hash(raw, self.starts[first], self.ends[first])
         of_lang = pa.array([x.encode() for x in self.langs], pa.binary())
         joined, sizes = b"".join(of_lang.to_pylist()), np.asarray(pc.binary_length(of_lang), np.int64)
         at = np.concatenate(([0], np.cumsum(sizes)))
-        self.lang_hash = span_hash(prefix_hash(np.frombuffer(joined, np.uint8)), at[:-1], at[1:])
+        self.lang_hash = mixed_hash(np.frombuffer(joined, np.uint8), at[:-1], at[1:])
 
     def inside(self, k: int) -> np.ndarray:
         """Places where k words of one piece begin."""
@@ -270,8 +269,9 @@ def phrase_counts(blocks: DataFrame, store: Scratch, longest: int = 5, least: in
             new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sums = np.minimum(np.add.reduceat(sums, new), least).astype(np.uint32) if len(keys) else sums.astype(np.uint32)
             sent = emit_batch(row["block"], keys[new] if len(keys) else keys, sums, 0, 32)
+            del found, keys, sums, order, new
             yield pa.RecordBatch.from_arrays([*sent.columns[:3], pa.array([squeeze(v.as_py()) for v in sent.column(3)], pa.binary())], sent.schema.names)
-        trim()
+            trim()
 
     replies = store.write(frequent_hashes(blocks.mapInArrow(emit, "bucket long, block long, keys binary, vals binary"), least), "frequent")
 
@@ -291,6 +291,8 @@ def phrase_counts(blocks: DataFrame, store: Scratch, longest: int = 5, least: in
             run = run[:-1] & passes[k - 2 :] if len(run) > 1 else run[:0]
             _, first, sums = grams.counted(k, np.flatnonzero(run))
             yield from grams.written(k, first, sums)
+        del grams, at, numbers, first, sums, keys, place, there
+        trim()
 
     return store.write(count_phrases(with_replies(blocks, replies, write, _COUNTED, numbered=True), least), "counts")
 
