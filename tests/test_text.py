@@ -174,3 +174,20 @@ def test_context_windows(spark):
     assert one(spark, lambda m: policy.context_window(m, {"a": 1, "b-x": 2}), "a-7b") == 1
     assert one(spark, lambda m: policy.context_window(m, {"a": 1, "b-x": 2}), "b-x") == 2
     assert one(spark, lambda m: policy.context_window(m, {"a": 1}), "zzz") == 32_000
+
+
+@pytest.mark.parametrize(("given", "want"), [
+    ("<|start|>actual summary content<|end|>", ""), ("**Plan:**\nThe summary about cortisol regulation.", "The summary about cortisol regulation."),
+    ("Cortisol is regulated by the HPA axis. Vagal tone modulates this.", "Cortisol is regulated by the HPA axis. Vagal tone modulates this."), ("", ""),
+    ("<think>no<think> It is", "It is"), ("<|start|>kept", "kept"), ("a <b> c", "a <b> c"), ("1 < 2 and <x> y", "1 < 2 and <x> y"), ("<a> x < y <b> z", "<a> x < y <b> z"), ("<|a|>x<b", "x<b"), ("<a>x<|b|>y<|c|>z", "yz"),
+    ("Plan: first\nthen", "first\nthen"), ("1. first step\nKept.", "Kept."), ("1. one. two. three. four.", "two. three. four."), ("12) no step\nx", "12) no step\nx"), ("  PLAN\n\nb", "b"),
+])
+def test_summaries_are_cleaned(spark, given, want):
+    assert one(spark, T.clean_summary, given) == want
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ("---\ntitle: x\n---\n# Heading of it. Body  here", "my page . Body here"), ("plain", "my page plain"), ("# " + "t" * 100, "my page " + "t" * 19), ("--- open", "my page --- open"), ("## Two\nx", "my page ## Two x"),
+])
+def test_query_of_a_file(spark, body, want):
+    assert one(spark, lambda x: T.query_of_file(F.lit("w/my-page.md"), x), body) == want
