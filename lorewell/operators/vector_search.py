@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,108 +42,155 @@ def best_per(rows: DataFrame, by: list[str], order: list[Column], n: int | None
     return best if n is None else best.orderBy(*order).limit(n)
 
 
-def _unit(vs: list, dim: int | None = None) -> np.ndarray:
-    """Vectors of length 1; those that cannot be used are zero."""
-    dim = dim or max((len(v) for v in vs if v), default=1)
-    out = np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in vs], float).reshape(len(vs), dim)
-    out = np.where(np.isfinite(out), out, 0.0)
-    length = np.sqrt((out * out).sum(1, keepdims=True))
-    return out / np.where(length > 0, length, 1.0)
-
-
-def _meet(k: int):
-    """Rows (i, j, side, key, v), sorted by i and j: the k best of side 1 for every row of side 0 in the same (i, j)."""
+def unit_rows(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, dim, unit (doubles as bytes) of the rows whose vector can be used: not null or zero, no null or non-finite component."""
+    kind = "string" if dict(rows.dtypes)[key] == "string" else "long"
 
-    def flush(a: list, b: list) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, dims, units = [], [], []
+            for i, v in enumerate(batch.column(1).to_pylist()):
+                if v and not any(e is None for e in v):
+                    x = np.asarray(v, float)
+                    length = np.sqrt((x * x).sum())
+                    if np.isfinite(length) and length > 0:
+                        at.append(i)
+                        dims.append(len(v))
+                        units.append((x / length).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["key", "dim", "unit"])
+
+    return rows.select(F.col(key).cast(kind).alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"key {kind}, dim int, unit binary")
+
+
+def matrix(blobs: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), float).reshape(len(blobs), dim)
+
+
+def best_pairs(asked: np.ndarray, x: np.ndarray, keys: np.ndarray, y: np.ndarray, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """src, dst, cos: the k rows of y most similar to each of x, ties to the smaller key, none to itself."""
+    order = np.argsort(keys, kind="stable")
+    keys, y = keys[order], y[order]
+    for lo in range(0, len(asked), 512):
+        cos = x[lo : lo + 512] @ y.T
+        cos[asked[lo : lo + 512, None] == keys[None]] = -np.inf
+        top = np.argsort(-np.round(cos, 9), axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(cos, top, 1)
+        there = np.isfinite(value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[lo : lo + 512], there.sum(1)), kind), pa.array(keys[top][there], kind), pa.array(value[there])], ["src", "dst", "cos"])
+
+
+def _meet(k: int, kind: str):
+    """Rows (dim, i, j, side, key, unit), sorted by the first three: the k best of side 1 for every row of side 0 of the same three."""
+    arrow = pa.string() if kind == "string" else pa.int64()
+
+    def flush(dim: int, a: list, b: list) -> Iterator[pa.RecordBatch]:
         if a and b:
-            ka, kb = np.array([x[0] for x in a]), np.array([x[0] for x in b])
-            by_key = np.argsort(kb, kind="stable")
-            kb, dim = kb[by_key], max((len(x[1]) for x in (*a, *b) if x[1]), default=1)
-            x, y = _unit([r[1] for r in a], dim), _unit([b[i][1] for i in by_key], dim)
-            for lo in range(0, len(a), 512):
-                c = x[lo : lo + 512] @ y.T
-                c[ka[lo : lo + 512, None] == kb[None]] = -np.inf
-                top = np.argsort(-np.round(c, 9), axis=1, kind="stable")[:, :k]
-                cos = np.take_along_axis(c, top, 1)
-                at = np.isfinite(cos)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ka[lo : lo + 512], at.sum(1))), pa.array(kb[top][at]), pa.array(cos[at])], ["src", "dst", "cos"])
+            yield from best_pairs(np.array([x[0] for x in a]), matrix([x[1] for x in a], dim), np.array([x[0] for x in b]), matrix([x[1] for x in b], dim), k, arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
         for batch in batches:
-            for i, j, side, key_, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if (i, j) != now:
-                    yield from flush(*held)
-                    now, held = (i, j), ([], [])
-                held[side].append((key_, v))
-        yield from flush(*held)
+            for dim, i, j, side, key_, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                if (dim, i, j) != now:
+                    yield from flush(now[0] if now else 0, *held)
+                    now, held = (dim, i, j), ([], [])
+                held[side].append((key_, unit))
+        yield from flush(now[0] if now else 0, *held)
 
     return run
 
 
-def nearest(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector") -> DataFrame:
-    """(src, dst, cos, rank): the k most similar other rows of every row, ties to the smaller key.
-
-    Exact, hence quadratic in arithmetic: rows are dealt into blocks, every pair of blocks is one
-    matrix product in a task, which passes on k rows for each of its left rows; memory is bounded by
-    the block size.  Zero, null and otherwise unusable vectors have cosine 0."""
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    kind = "string" if dict(rows.dtypes)[key] == "string" else "long"
-    own = rows.select(F.col(key).cast(kind).alias("key"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    left = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "key", "v")
-    right = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("other").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "key", "v")
-
-    met = left.unionByName(right).repartition("i", "j").sortWithinPartitions("i", "j")
-    found = met.mapInArrow(_meet(k), f"src {kind}, dst {kind}, cos double")
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """src, dst, cos, rank: the k best of each src."""
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("cos", 9)), "dst"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest_in_cells(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector", cells: int | None = None, probes: int = 8, sample: int = 20_000, seed: int = 1) -> DataFrame:
+def _blocks(units: DataFrame) -> DataFrame:
+    """dim, blocks: how many blocks the rows of each vector length are dealt into."""
+    return units.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+
+
+def nearest(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector", asked: DataFrame | None = None) -> DataFrame:
+    """(src, dst, cos, rank): the k most similar other rows of every row, or of every row of ``asked``, ties to the smaller key.
+
+    Vectors meet those of their own length; null, zero and otherwise unusable ones have no neighbours and are nobody's.  Exact, hence quadratic in
+    arithmetic (asked times all): rows are dealt into blocks, every pair of blocks is one
+    matrix product in a task, which passes on k rows for each of its left rows; memory is bounded by
+    the block size.  See ``neighbour_index`` for an index that skips what cannot hold neighbours."""
+    own = unit_rows(rows, key, vector)
+    ask = own if asked is None else unit_rows(asked, key, vector)
+    kind = dict(own.dtypes)["key"]
+
+    def dealt(these: DataFrame, mine: str, other: str, side: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("key"), F.col(f"{mine}_blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+        both = these.join(parts, "dim").withColumn(mine, block).withColumn(other, every)
+        return both.select("dim", "i", "j", F.lit(side).alias("side"), "key", "unit")
+
+    parts = F.broadcast(_blocks(ask).withColumnRenamed("blocks", "i_blocks").join(_blocks(own).withColumnRenamed("blocks", "j_blocks"), "dim"))  # one row for each vector length
+    met = dealt(ask, "i", "j", 0).unionByName(dealt(own, "j", "i", 1)).repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j")
+    return ranked(met.mapInArrow(_meet(k, kind), f"src {kind}, dst {kind}, cos double"), k)
+
+
+def draw_centres(sample: np.ndarray, n: int, seed: int, rounds: int = 4) -> np.ndarray:
+    """``n`` centres of a bounded sample, moved to the mean of what they attract."""
+    centres = sample[np.random.default_rng(seed).permutation(len(sample))[:n]].copy()
+    for _ in range(rounds):
+        of = np.concatenate([(sample[lo : lo + 2048] @ centres.T).argmax(1) for lo in range(0, len(sample), 2048)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, sample)
+        size = np.sqrt((sums * sums).sum(1))
+        centres[size > 0] = sums[size > 0] / size[size > 0, None]
+    return centres
+
+
+#: Rows that centres are drawn from, bytes of these, and centres at most; all of one vector length.
+SAMPLE_ROWS, SAMPLE_BYTES, MOST_CENTRES = 20_000, 32 << 20, 1024
+
+
+def centres_by_length(units: DataFrame, wanted: Callable[[int, int], int], seed: int = 1) -> dict[int, np.ndarray]:
+    """For each vector length its centres, as many as ``wanted(length, rows)``, from a bounded sample."""
+    out = {}
+    for r in units.groupBy("dim").agg(F.count("*").alias("n")).collect():  # one for each vector length
+        dim = r["dim"]
+        n = max(1, min(MOST_CENTRES, wanted(dim, r["n"])))
+        drawn = units.filter(F.col("dim") == dim).select("unit").orderBy(F.xxhash64(F.lit(seed), "key")).limit(max(n, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim))))  # the sample's own bound
+        out[dim] = draw_centres(matrix([x["unit"] for x in drawn.collect()], dim), n, seed)
+    return out
+
+
+def nearest_in_cells(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector", cells: int | None = None, probes: int = 8, seed: int = 1) -> DataFrame:
     """(src, dst, cos, rank) as ``nearest``, but every row meets only the rows of the ``probes`` cells nearest to it, so that a row is
     sent ``probes`` + 1 times whatever the number of rows.
 
-    Cells are those of ``cells`` centres (about the square root of the number of rows), drawn from a bounded sample and moved to the mean of what they attract;
-    all rows are in a cell.  Approximate: a neighbour in a cell that is not looked at is missed (see the test for the recall);
-    a cell of many rows is dealt into blocks, each compared in a task of its own."""
-    n = rows.count()
-    cells = cells or max(1, min(sample, int(n**0.5)))
-    kind = "string" if dict(rows.dtypes)[key] == "string" else "long"
-    drawn = rows.select(F.col(vector).cast("array<double>")).orderBy(F.xxhash64(F.lit(seed), key)).limit(sample)  # the sample's own bound
-    points = _unit([r[0] for r in drawn.collect()])
-    centres = points[np.random.default_rng(seed).permutation(len(points))[:cells]] if len(points) else np.zeros((1, 1))
-    for _ in range(5):
-        of = (points @ centres.T).argmax(1) if len(points) else np.zeros(0, int)
-        for c in range(len(centres)):
-            if (of == c).any():
-                mean = points[of == c].mean(0)
-                centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
-    shared = rows.sparkSession.sparkContext.broadcast(centres)  # at most ``sample`` vectors
+    Cells are those of ``cells`` centres (about the square root of the number of rows); all rows are in a cell.  Approximate: a neighbour in a cell that is
+    not looked at is missed (see the test for the recall); a cell of many rows is dealt into blocks, each compared in a task of its own."""
+    own = unit_rows(rows, key, vector)
+    kind = dict(own.dtypes)["key"]
+    shared = rows.sparkSession.sparkContext.broadcast(centres_by_length(own, lambda _, n: cells or int(n**0.5), seed))  # MOST_CENTRES vectors of a length at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, vs = batch.column(0), batch.column(1).to_pylist()
-            x = _unit(vs, shared.value.shape[1])
-            order = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :probes]
-            m = order.shape[1]
-            every = np.repeat(np.arange(len(vs)), m)
-            side = np.zeros(len(every), np.int32)
-            # the row's own cell is where it can be found; it looks in all of its cells
-            at = np.concatenate([every, np.arange(len(vs))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([order.ravel(), order[:, 0]]).astype(np.int64)), pa.array(np.concatenate([side, np.ones(len(vs), np.int32)])), keys.take(pa.array(at)), batch.column(1).take(pa.array(at))], ["cell", "side", "key", "v"])
-
-    own = rows.select(F.col(key).cast(kind).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    dealt = own.mapInArrow(deal, f"cell long, side int, key {kind}, v array<double>")
-    sizes = dealt.groupBy("cell").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
-    parts = sizes.select("cell", F.ceil(F.col("n0") / BLOCK_ROWS).cast("int").alias("p0"), F.greatest(F.lit(1), F.ceil(F.col("n1") / BLOCK_ROWS)).cast("int").alias("p1"))
-    joined = dealt.join(F.broadcast(parts), "cell")  # one row a cell, at most ``sample``
-    mine = F.pmod(F.xxhash64("key"), F.when(F.col("side") == 0, F.greatest("p0", F.lit(1))).otherwise(F.col("p1"))).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("p1")).otherwise(F.greatest("p0", F.lit(1))) - 1))
-    met = joined.withColumn("mine", mine).withColumn("other", others).select("cell", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine")).alias("j"), "side", "key", "v")
-    found = met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").select(F.concat_ws("/", F.col("cell").cast("string"), F.col("i").cast("string")).alias("i"), "j", "side", "key", "v").mapInArrow(_meet(k), f"src {kind}, dst {kind}, cos double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("cos", 9)), "dst"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+            dims = np.asarray(batch.column(1))
+            for dim in np.unique(dims):
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                n = part.num_rows
+                order = np.argsort(-(matrix(part.column(2).to_pylist(), int(dim)) @ shared.value[int(dim)].T), axis=1, kind="stable")[:, :probes]
+                # the row's own cell is where it can be found; it looks in all of its cells
+                at = pa.array(np.concatenate([np.repeat(np.arange(n), order.shape[1]), np.arange(n)]))
+                side = np.repeat(np.array([0, 1], np.int32), [order.size, n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([order.ravel(), order[:, 0]]).astype(np.int64)), pa.array(side), *(part.column(i).take(at) for i in range(3))], ["cell", "side", "key", "dim", "unit"])
+
+    dealt = own.mapInArrow(deal, f"cell long, side int, key {kind}, dim int, unit binary")
+    sizes = dealt.groupBy("dim", "cell").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    parts = sizes.select("dim", "cell", F.greatest(F.lit(1), F.ceil(F.col("n0") / BLOCK_ROWS)).cast("int").alias("p0"), F.greatest(F.lit(1), F.ceil(F.col("n1") / BLOCK_ROWS)).cast("int").alias("p1"))
+    joined = dealt.join(F.broadcast(parts), ["dim", "cell"])  # MOST_CENTRES rows of a length at most
+    left = F.col("side") == 0
+    mine = F.pmod(F.xxhash64("key"), F.when(left, F.col("p0")).otherwise(F.col("p1"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(left, F.col("p1")).otherwise(F.col("p0")) - 1))
+    met = joined.withColumn("mine", mine).withColumn("other", others).select("dim", F.concat_ws("/", "cell", F.when(left, F.col("mine")).otherwise(F.col("other"))).alias("i"), F.when(left, F.col("other")).otherwise(F.col("mine")).alias("j"), "side", "key", "unit")
+    return ranked(met.repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j").mapInArrow(_meet(k, kind), f"src {kind}, dst {kind}, cos double"), k)
 
 
 def classify(pairs: DataFrame, similar: float = 0.78, inter: float = 0.55, cross: float = 0.60) -> DataFrame:
@@ -167,11 +214,11 @@ def cap_similar(edges: DataFrame, most: int = 5) -> DataFrame:
     return rest.unionByName(top)
 
 
-def similarity_edges(chunks: DataFrame, k: int = 12, key: str = "id", vector: str = "vector", **limits: float) -> DataFrame:
-    """Directed edges src, dst, edge_type, weight, cos, intra_rank, intra_total: top k over the whole corpus,
-    then classified, then capped."""
+def similarity_edges(chunks: DataFrame, k: int = 12, key: str = "id", vector: str = "vector", near: DataFrame | None = None, **limits: float) -> DataFrame:
+    """Directed edges src, dst, edge_type, weight, cos, intra_rank, intra_total: top k over the whole corpus (or those of ``near``, where they
+    are kept or come from an index), then classified, then capped."""
     meta = lambda p: chunks.select(F.col(key).alias(p), F.col("source").alias(f"{p}_source"), F.col("filename").alias(f"{p}_filename"))
-    near = nearest(chunks, k, key, vector)
+    near = nearest(chunks, k, key, vector) if near is None else near
     pairs = near.join(meta("a"), near.src == F.col("a")).join(meta("b"), near.dst == F.col("b")).drop("a", "b")
     return cap_similar(classify(pairs, **limits)).select("src", "dst", "edge_type", F.round("cos", 3).alias("weight"), "cos", "intra_rank", "intra_total")
 

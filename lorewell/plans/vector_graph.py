@@ -87,6 +87,25 @@ def knn_top12(spark, sf_dir):
     return V.nearest(chunks(spark, sf_dir), 12).select("src", "dst", F.round("cos", 6).alias("cos"), "rank")
 
 
+@query("WITH " + KNN_SQL + " SELECT src, dst, round(cos, 6) AS cos, CAST(rank AS INTEGER) AS rank FROM knn")
+def knn_by_index(spark, sf_dir):
+    """The same by a neighbour index of small cells, which skips those that cannot hold a neighbour."""
+    from lorewell.operators.neighbour_index import NeighbourIndex
+
+    own = NeighbourIndex(spark, S.work_folder(spark, "cells")).build(chunks(spark, sf_dir), cell_bytes=1 << 15)
+    return own.nearest(12)[0].select("src", "dst", F.round("cos", 6).alias("cos"), "rank")
+
+
+@query(CHUNKS_SQL.replace("CAST(embedding AS DOUBLE[]) AS v", "CASE WHEN vec_id % 3 = 0 THEN CAST(embedding AS DOUBLE[])[:len(embedding) // 2] ELSE CAST(embedding AS DOUBLE[]) END AS v").replace("chunks AS", "WITH chunks AS", 1) + """,
+ pairs AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.v, b.v) AS cos FROM chunks a JOIN chunks b ON a.id <> b.id AND (a.id % 3 = 0) = (b.id % 3 = 0)),
+ knn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(cos, 9) DESC, dst) AS rank FROM pairs QUALIFY rank <= 5) SELECT src, dst, round(cos, 6) AS cos, CAST(rank AS INTEGER) AS rank FROM knn""")
+def knn_mixed_lengths(spark, sf_dir):
+    """Vectors of two lengths: each meets those of its own."""
+    c = chunks(spark, sf_dir)
+    half = F.slice("vector", 1, F.floor(F.size("vector") / 2).cast("int"))
+    return V.nearest(c.withColumn("vector", F.when(F.col("id") % 3 == 0, half).otherwise(F.col("vector"))), 5).select("src", "dst", F.round("cos", 6).alias("cos"), "rank")
+
+
 @query("WITH " + EDGES_SQL + " SELECT src, dst, edge_type, weight FROM edges")
 def edges_classified(spark, sf_dir):
     return edges(spark, sf_dir).select("src", "dst", "edge_type", "weight")
