@@ -203,16 +203,31 @@ def structure_nodes(chunks: DataFrame, files: DataFrame) -> tuple[DataFrame, Dat
     return chunk_nodes.unionByName(folder_nodes), edges
 
 
+def page_table(files: DataFrame) -> DataFrame:
+    """source, filename, title: what links and mentions look pages up by."""
+    title = F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*$", 1)
+    return files.select("source", "filename", (title if "text" in files.columns else F.lit("")).alias("title"))
+
+
+#: Columns of an edge with what it came from; ``seq`` tells the rules apart: 0 structure, 1 similarity, 2 headings, 3 hierarchy, 4 links, 5 prose.
+RAW_EDGE = "src string, dst string, edge_type string, weight double, cos double, intra_rank int, intra_total int, evidence string, link_text string, link_kind string, target_file string, target_anchor string, seq int"
+
+
+def raw_edges(seq: int, edges: DataFrame) -> DataFrame:
+    """Edges of one rule with all columns of RAW_EDGE."""
+    wanted = [c.split(" ") for c in RAW_EDGE.split(", ")]
+    return edges.select(*[(F.lit(seq) if c == "seq" else F.col(c) if c in edges.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted])
+
+
 def build_graph(chunks: DataFrame, files: DataFrame, k: int = 12, similar: DataFrame | None = None, **limits: float) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a chunk table and its files (source, filename, text): structure, similarity, shared headings, hierarchy, links and
     prose bridges, one edge for each pair and type.  ``similar``: similarity edges, if they are made otherwise."""
-    title = F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*$", 1)
-    pages = files.select("source", "filename", (title if "text" in files.columns else F.lit("")).alias("title"))
+    pages = page_table(files)
     nodes, structure = structure_nodes(chunks, files)
     parts = [structure, vector_search.similarity_edges(chunks, k, **limits) if similar is None else similar, links.heading_edges(chunks), links.hierarchy_edges(chunks), links.link_edges(chunks, pages), links.prose_edges(chunks, links.page_aliases(pages))]
-    every = parts[0].withColumn("seq", F.lit(0))
+    every = raw_edges(0, parts[0])
     for i, part in enumerate(parts[1:], 1):
-        every = every.unionByName(part.withColumn("seq", F.lit(i)), allowMissingColumns=True)
+        every = every.unionByName(raw_edges(i, part))
     return nodes, graph.merge_edges(every).drop("seq")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import MARKDOWN_LINK, WIKI_LINK, anchor, blank_code, leaf, link_anchor, link_target, page_name, prose, sentences, spans, stem, strip
@@ -43,22 +43,31 @@ def broken(links: DataFrame, pages: DataFrame) -> DataFrame:
     return resolve(links, pages).filter("to_filename is null").drop("to_source", "to_filename")
 
 
-def link_edges(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+def link_edges(chunks: DataFrame, pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """References of weight 1 from chunks (id, source, filename, heading, chunk_index, content) to the first chunk
-    of the target page whose heading fits the anchor, else to the page's first chunk; none to itself."""
-    links = resolve(parse_links(chunks, ["id", "chunk_index"], "content"), pages).filter("to_filename is not null")
+    of the target page whose heading fits the anchor, else to the page's first chunk; none to itself.  ``parsed``: the links (id, ...), where they are
+    kept; ``chunks`` then needs no content.  Goals are found once for each page and anchor, however many links there are."""
+    found = parse_links(chunks, ["id"], "content") if parsed is None else parsed
+    links = resolve(found, pages).filter("to_filename is not null").withColumn("_a", anchor(F.col("anchor")))
+    page = ["to_source", "to_filename"]
     norm, tail = anchor(F.col("heading")), anchor(leaf(F.col("heading")))
     goals = chunks.select(F.col("id").alias("dst"), F.col("source").alias("to_source"), F.col("filename").alias("to_filename"), F.col("chunk_index").alias("pos"), norm.alias("_h"), tail.alias("_l"))
-    a = anchor(F.col("anchor"))
+    a = F.col("_a")
     fits = (a != "") & ((F.col("_h") == a) | (F.col("_l") == a) | F.col("_h").contains(a))
-    w = Window.partitionBy("id", "start", "raw").orderBy(F.desc(fits), "pos", "dst")
-    best = links.join(goals, ["to_source", "to_filename"]).withColumn("_n", F.row_number().over(w)).filter("_n = 1 and id <> dst")
+    best = links.select(*page, "_a").distinct().join(goals, page).groupBy(*page, "_a").agg(F.min_by("dst", F.struct(~F.coalesce(fits, F.lit(False)), "pos", "dst")).alias("dst"))
+    met = links.join(best, [*page, "_a"]).filter("id <> dst")
     first = F.row_number().over(Window.partitionBy("id", "dst").orderBy("start", "raw"))
-    out = best.withColumn("_k", first).filter("_k = 1")
+    out = met.withColumn("_k", first).filter("_k = 1")
     text = F.when(F.col("display") != "", F.col("display")).otherwise(F.regexp_replace("target", r"\.md$", ""))
     return out.select(F.col("id").alias("src"), "dst", F.lit("references").alias("edge_type"), F.lit(1.0).alias("weight"), text.alias("link_text"), F.col("kind").alias("link_kind"), F.col("to_filename").alias("target_file"), F.col("anchor").alias("target_anchor"))
 
 
+def link_names(target: Column) -> Column:
+    """struct<path, base>: the names by which ``resolve`` looks a target up."""
+    low = F.lower(F.regexp_replace(target, r"^(knowledge|canon)[:/]", ""))
+    return F.struct(low.alias("path"), F.element_at(F.split(low, "/"), -1).alias("base"))
+
+
 def page_aliases(pages: DataFrame) -> DataFrame:
     """(alias, source, filename): names of at least three characters; a name of several pages means the first."""
     names = F.array(stem(F.col("filename")), F.coalesce(F.col("title"), F.lit(""))) if "title" in pages.columns else F.array(stem(F.col("filename")))
@@ -110,16 +119,18 @@ def mention_pattern(name: str) -> str:
     return r"(?i)(?<!\w)" + r"[-_\s]+".join(re.escape(p) for p in parts) + r"(?!\w)" if parts else "(?!x)x"
 
 
-def prose_edges(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
-    """References of weight 0.5 from a chunk to the first chunk of a page that its own page is bridged with."""
+def prose_edges(chunks: DataFrame, aliases: DataFrame, goals_in: DataFrame | None = None) -> DataFrame:
+    """References of weight 0.5 from a chunk to the first chunk of a page that its own page is bridged with; that is among ``goals_in`` where
+    ``chunks`` are some of all chunks."""
     keys = ["id", "own_source", "own_file"]
     own = chunks.select("id", F.col("source").alias("own_source"), F.col("filename").alias("own_file"), "content")
     found = bridges(mentions(own, keys, aliases), keys)
     subject = (F.col("subject_file") == F.col("own_file")) & (F.col("subject_source") == F.col("own_source"))
     object_ = (F.col("object_file") == F.col("own_file")) & (F.col("object_source") == F.col("own_source"))
     other = F.when(subject, F.struct(F.col("object_source").alias("source"), F.col("object_file").alias("filename"))).when(object_, F.struct(F.col("subject_source").alias("source"), F.col("subject_file").alias("filename")))
+    everything = chunks if goals_in is None else goals_in
     goals = found.withColumn("o", other).filter("o is not null").select("id", "o.source", "o.filename", "evidence")
-    first = chunks.groupBy("source", "filename").agg(F.min_by("id", "chunk_index").alias("dst"))
+    first = everything.groupBy("source", "filename").agg(F.min_by("id", "chunk_index").alias("dst"))
     out = goals.join(first, ["source", "filename"]).filter("id <> dst").groupBy("id", "dst").agg(F.min("evidence").alias("evidence"), F.min("filename").alias("target_file"))
     return out.select(F.col("id").alias("src"), "dst", F.lit("references").alias("edge_type"), F.lit(0.5).alias("weight"), "evidence", F.lit("prose").alias("link_kind"), "target_file")
 

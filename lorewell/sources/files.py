@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _temporary: list[str] = []
@@ -76,8 +76,10 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(p, False)
-    fs.rename(beside, p)
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE  # at no time is there no file
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), options)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -115,6 +117,37 @@ def read_markdown(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return out
 
 
+def list_markdown(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """source, filename, mtime, size of every .md file below the roots, listed by Spark without reading them."""
+    out = spark.createDataFrame([], "source string, filename string, mtime long, size long")
+    for source, root in roots.items():
+        if exists(spark, root):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+            out = out.unionByName(files.select(F.lit(source).alias("source"), relative(spark, F.col("path"), root).alias("filename"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size")))
+    return out
+
+
+def relative(spark: SparkSession, path: Column, root: str) -> Column:
+    """A file's path below a root, from its URI."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    return F.substring(F.regexp_replace(path, "^[A-Za-z]+:(//[^/]*)?(?=/)", ""), len(whole) + 2, 1 << 20)
+
+
+def read_some(spark: SparkSession, roots: dict[str, str], files: list[tuple[str, str]]) -> DataFrame:
+    """The rows of ``read_markdown`` of a few files (source, filename), without walking the folders; absent ones are left out."""
+    out = spark.createDataFrame([], FILE_SCHEMA)
+    for source, name in files:
+        path = f"{roots[source].rstrip('/')}/{name}"
+        if exists(spark, path):
+            escaped = path  # a name with characters that globs use is taken as it is
+            for c in "\\{}[]*?":
+                escaped = escaped.replace(c, "\\" + c)
+            text = spark.read.text(escaped, wholetext=True)
+            out = out.unionByName(text.select(F.lit(source).alias("source"), F.lit(name).alias("filename"), F.col("value").alias("text"), F.unix_seconds("_metadata.file_modification_time").alias("mtime")))
+    return out
+
+
 def read_file(files: DataFrame, path: str) -> DataFrame:
     """A file by relative path: from knowledge if it is there, else from canon."""
     own = files.filter(F.col("filename") == path)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from lorewell.operators import graph as G
 from lorewell.operators import index, links, pages, policy, resolve
 from lorewell.operators import vector_search as V
-from lorewell.operators.lifecycle import Busy, KnowledgeIndex, save_page, write_raw, writer
+from lorewell.operators.lifecycle import Busy, Conflict, KnowledgeIndex, save_page, write_raw
+from lorewell.sources.commits import CommitLog
 from lorewell.sources import files as S
 from lorewell.streaming import changes as ST
 
@@ -58,13 +59,110 @@ def test_neighbours_after_a_build(spark, vault):
     assert ("wiki/cortisol.md", "wiki/stress.md") in found
 
 
-def test_one_writer(spark, tmp_path):
-    with writer(spark, str(tmp_path / "x")):
+def test_writers_take_turns(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "x"), lease_s=1000)
+    with log.lease():
         with pytest.raises(Busy):
-            with writer(spark, str(tmp_path / "x")):
+            with log.lease():
                 pass
-    with writer(spark, str(tmp_path / "x")):
-        pass
+    short = CommitLog(spark, log.path, lease_s=-1)  # a writer that crashed: its lease has run out
+    gone = short.lease()
+    gone.__enter__()
+    with log.lease():
+        assert log.commit({"a": 1}, 0) == 1
+    with pytest.raises(Conflict):  # the one that was taken for dead goes on
+        short.commit({"a": 2}, 0)
+    assert log.state() == {"a": 1} and log.versions() == [1]
+
+
+class Killed(BaseException):
+    pass
+
+
+def files_of(own):
+    return sorted({r["filename"] for r in own.chunks().collect()})
+
+
+@pytest.mark.parametrize("step", ["chunks", "links", "edges", "commit"])
+def test_a_killed_build_changes_nothing(spark, vault, monkeypatch, step):
+    path, roots, own = vault
+    own.build()
+    before, edges = files_of(own), own.graph()[1].count()
+    write(path / "k/wiki/late.md", "# Late\nSee [[stress]].")
+
+    def replace(self, state, name, *rest, f=KnowledgeIndex._replace):
+        out = f(self, state, name, *rest)
+        if name == step:
+            raise Killed
+        return out
+
+    def commit(self, *rest, f=CommitLog.commit):
+        if step == "commit":
+            raise Killed
+        return f(self, *rest)
+
+    with monkeypatch.context() as m:
+        m.setattr(KnowledgeIndex, "_replace", replace)
+        m.setattr(CommitLog, "commit", commit)
+        with pytest.raises(Killed):
+            own.build()
+    assert files_of(own) == before and own.graph()[1].count() == edges
+    assert own.build() == 1 and "wiki/late.md" in files_of(own) and own.graph()[1].count() > edges
+    left = {p.name for p in (path / "index/chunks").iterdir() if not p.name.startswith(".")}
+    assert left <= {g for v in own.log.versions() for g in own.log.state(v)["tables"]["chunks"].values()}  # nothing of the killed one
+
+
+def test_readers_keep_their_version(spark, vault):
+    path, roots, first = vault
+    first.build()
+    own = KnowledgeIndex(spark, first.path, roots, first.embed, dim=DIM, parts=4, keep_s=0)
+    with own.reading() as state:
+        chunks, (_, edges) = own.chunks(state), own.graph(state)
+        n = edges.count()
+        write(path / "k/wiki/stress.md", "# Stress\nNow with [[cortisol]].")
+        own.build(force=True)
+        assert chunks.filter("content like '%cortisol%'").count() == 0 and edges.count() == n
+        assert own.chunks().filter("content like '%Now with%'").count() == 1
+    own.build(force=True)
+    assert own.log.versions() == [3]
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|FILE_NOT_EXIST"):
+        chunks.collect()
+
+
+def comparable(own):
+    edges = own.graph()[1]
+    return (
+        sorted(tuple(str(v) for v in r) for r in edges.select("src", "dst", "edge_type", F.round("weight", 6), F.round("cos", 6), "intra_rank", "intra_total", "evidence", "link_text", "link_kind", "target_file", "target_anchor").collect()),
+        sorted((r["src"], r["dst"], round(r["cos"], 6), r["rank"]) for r in own.table("knn").collect()),
+        sorted(r["id"] for r in own.graph()[0].collect()),
+    )
+
+
+def test_deltas_equal_a_new_build(spark, tmp_path):
+    """One file edited, one new, one gone, one with another title; then the graph is that of a build from nothing."""
+    topics = "sleep stress cortisol memory attention mood diet exercise light breath vagus rhythm".split()
+    for i, t in enumerate(topics):
+        other, third = topics[(i + 1) % 12], topics[(i + 5) % 12]
+        write(tmp_path / f"{'c' if i % 4 == 0 else 'k'}/{'wiki/' if i % 2 else ''}{t}.md", f"# {t.title()}\n{t.title()} strongly shapes {third} in adults. See [[{other}#Notes]] and [x](wiki/{third}.md).\n## Notes\n{t} notes.\n### Deep\nmore {i}.\n## Shared {i % 5}\ntext")
+    roots, limits = {"knowledge": str(tmp_path / "k"), "canon": str(tmp_path / "c")}, {"similar": 0.1, "inter": 0.1, "cross": 0.1}
+    make = lambda name: KnowledgeIndex(spark, str(tmp_path / name), roots, index.Embedder(EMBED, dim=DIM), dim=DIM, parts=8, k=4, **limits)
+    own = make("index")
+    assert own.build() == 12
+    write(tmp_path / "k/wiki/stress.md", "# Strain\nStrain strongly shapes mood in adults. See [[diet#Deep]].\n## Shared 1\nother")
+    write(tmp_path / "k/wiki/new-page.md", "# New Page\nNew page gently changes breath too. See [[sleep]].\n## Notes\nx")
+    (tmp_path / "k/wiki/memory.md").unlink()
+    assert own.build() == 2
+    again = make("again")
+    again.build()
+    assert comparable(own) == comparable(again)
+    assert {t for t in (r["edge_type"] for r in own.graph()[1].collect())} >= {"inter_file", "cross_domain", "parent_child", "references"}
+    # an edit that touches little
+    write(tmp_path / "k/wiki/light.md", (tmp_path / "k/diet.md").read_text() if (tmp_path / "k/diet.md").exists() else "# Light\nLight.\n")
+    assert own.reindex([("knowledge", "wiki/light.md")]) == 1
+    assert own.touched["neighbours"] < own.chunks().count() and own.touched["mentions"] < own.chunks().count()
+    third = make("third")
+    third.build()
+    assert comparable(own) == comparable(third)
 
 
 def test_changes_are_indexed_by_a_stream(spark, vault):
