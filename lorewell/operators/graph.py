@@ -201,9 +201,10 @@ def node_profile(edges: DataFrame, min_weight: float = 0.0) -> DataFrame:
 def top_edges(edges: DataFrame, most: int = 12) -> DataFrame:
     """Per node and edge type the heaviest ``most`` edges, and how many more there are."""
     near = adjacency(edges)
-    w = Window.partitionBy("node", "edge_type")
-    ranked = near.withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "neighbor", "direction"))).withColumn("n", F.count("*").over(w))
-    return ranked.filter(F.col("rank") <= most).withColumn("n_more", F.greatest(F.col("n") - most, F.lit(0).cast("long"))).drop("n")
+    counts = near.groupBy("node", "edge_type").agg(F.greatest(F.count("*") - most, F.lit(0)).cast("long").alias("n_more"))
+    order = Window.partitionBy("node", "edge_type").orderBy(F.desc("weight"), "neighbor", "direction")
+    first = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)  # tasks keep the first of a hub before they meet
+    return first.join(counts, ["node", "edge_type"])
 
 
 def related_files(edges: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
@@ -270,10 +271,18 @@ def edge_records(edges: DataFrame, shown: int = 140) -> DataFrame:
 
 
 def merge_client(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A viewer's graph with more loaded: new nodes replace those of the same id, new edges come in once."""
+    """A viewer's graph with more loaded: new nodes replace those of the same id, new edges come in once.  Of several new rows with one id, or of one edge,
+    the last in order of their column ``seq`` stands (without that column, the greatest by their values), whatever the partitions."""
+
+    def last_of(rows: DataFrame, by: list[str]) -> DataFrame:
+        rest = [c for c in rows.columns if c not in by]
+        comparable = [F.to_json(F.struct(c)) if rows.schema[c].dataType.typeName() == "map" else F.col(c) for c in rest]
+        order = F.struct(*[F.col("seq")] * ("seq" in rest), *comparable) if rest else F.lit(0)
+        return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_l")).select(*by, *[F.col(f"_l.{c}") for c in rest]) if rest else rows.distinct()
+
     kept = nodes.join(new_nodes.select("id").distinct(), "id", "left_anti")
-    last = new_nodes.dropDuplicates(["id"])
-    fresh = new_edges.dropDuplicates(["src", "dst", "edge_type"]).join(edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+    last = last_of(new_nodes, ["id"])
+    fresh = last_of(new_edges, ["src", "dst", "edge_type"]).join(edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
     every = edges.unionByName(fresh, allowMissingColumns=True)
     counts = degrees(every)
     return kept.unionByName(last, allowMissingColumns=True).drop("degree").join(counts, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))), every

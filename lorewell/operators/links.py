@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions.text import MARKDOWN_LINK, WIKI_LINK, anchor, blank_code, leaf, link_anchor, link_target, page_name, prose, sentences, spans, stem, strip
+from lorewell.functions.text import MARKDOWN_LINK, WIKI_LINK, anchor, blank_code, leaf, let, link_anchor, link_target, page_name, prose, sentences, spans, stem, strip
 
 #: Words that connect no two pages (fixed values).
 GLUE = ("and", "or", "the", "with", "for", "from", "into", "onto")
@@ -77,40 +77,69 @@ def page_aliases(pages: DataFrame) -> DataFrame:
 
 def _sentences(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, sentence_no, sentence, _w: the sentences of the prose, with their words in lower case."""
-    own = texts.select(*keys, F.posexplode(sentences(prose(F.coalesce(F.col(text), F.lit(""))))).alias("sentence_no", "sentence"))
-    return own.withColumn("_w", F.regexp_extract_all(F.lower(F.regexp_replace("sentence", r"[-_]", " ")), F.lit(r"[\p{L}\p{N}]+"), 0)).filter(F.size("_w") > 0)
+    own = texts.select(*keys, F.posexplode_outer(sentences(prose(F.coalesce(F.col(text), F.lit(""))))).alias("sentence_no", "sentence")).filter("sentence_no is not null")
+    return own.withColumn("_w", F.regexp_extract_all(F.lower(F.regexp_replace("sentence", r"[-_]", " ")), F.lit(r"[\p{L}\p{N}]+"), 0))
 
 
-def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str = "content", longest: int = 6, bound: int = 200_000) -> DataFrame:
-    """keys, sentence_no, sentence, _w, at, end, alias, source, filename: pages named in sentences.  Every run of up to
-    ``longest`` words is looked up by an equi-join; a mention within a longer one goes.
+#: Names that are looked up within a sentence, as a set that comes with the plan, and characters of these; beyond, by joins.
+FEW_NAMES, FEW_CHARS = 20_000, 1 << 20
 
-    A sentence's words are looked up as they are read where the aliases (at most ``bound`` names) fit a broadcast; then only hits leave
-    the scan.  Otherwise the places alone, without the sentence, meet the aliases by the name's hash, and the hits fetch their sentence."""
+
+def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str = "content", longest: int = 6, few: int = FEW_NAMES) -> DataFrame:
+    """keys, sentence_no, sentence, _w, at, end, alias, source, filename: pages named in sentences, by runs of up to ``longest`` words; a mention within, or
+    begun within, another goes.
+
+    Only at words that some name begins with are runs put together, of no more words than the longest such name has.  Up to ``few`` names are
+    looked up and settled sentence by sentence, without a shuffle, and sentences without a name end there.  More names than that meet the
+    places (not the sentences) by joins: first words first, then the runs, and the hits fetch their sentence."""
     own = _sentences(texts, keys, text)
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - at + 1)), lambda n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("_w", at, n), " ").alias("alias")))))
-    few = aliases.limit(bound + 1).count() <= bound
-    runs = own.select(*keys, "sentence_no", F.explode(every).alias("x")).select(*keys, "sentence_no", "x.at", (F.col("x.at") + F.col("x.n") - 1).alias("end"), "x.alias")
-    named = runs.join(F.broadcast(aliases) if few else aliases, "alias")
+    size = F.size(F.split("alias", " "))
+    found = aliases.select("alias", size.alias("n")).limit(few + 1).collect()
+    if len(found) <= few and sum(len(r["alias"]) for r in found) <= FEW_CHARS:
+        if not found:
+            own = own.limit(0)
+        most = min(longest, max((r["n"] for r in found), default=1))
+        names, first = [r["alias"] for r in found] or [""], sorted({r["alias"].split(" ")[0] for r in found}) or [""]
+        w = F.col("_w")
+        starts = F.filter(F.transform(w, lambda x, i: F.when(x.isin(first), i + 1)), lambda at: at.isNotNull())
+        runs = lambda at: F.transform(F.sequence(F.least(F.lit(most), F.size(w) - at + 1), F.lit(1), F.lit(-1)), lambda n: F.struct(at.alias("at"), (at + n - 1).alias("end"), F.array_join(F.slice(w, at, n), " ").alias("alias")))
+        hits = F.filter(F.flatten(F.transform(starts, runs)), lambda x: x["alias"].isin(names))
+        # of a start's hits the longest comes first; a hit goes if one before it, which cannot begin more than ``most`` words before, ends at its start or behind
+        within = lambda hs, x, i: F.exists(F.slice(hs, F.greatest(i + 1 - most * most, F.lit(1)), F.least(i, F.lit(most * most))), lambda y: y["end"] >= x["at"])
+        settled = let(hits, lambda hs: F.filter(hs, lambda x, i: ~within(hs, x, i))) if most > 1 else hits
+        named = own.select(*keys, "sentence_no", "sentence", "_w", F.explode_outer(settled).alias("x")).filter("x is not null").select(*keys, "sentence_no", "sentence", "_w", "x.at", "x.end", "x.alias")
+        return named.join(F.broadcast(aliases), "alias").select(*keys, "sentence_no", "sentence", "_w", "at", "end", "alias", "source", "filename")
+    heads = aliases.groupBy(F.split_part("alias", F.lit(" "), F.lit(1)).alias("head")).agg(F.max(size).alias("most"))
+    places = own.select(*keys, "sentence_no", F.posexplode("_w").alias("pos", "head")).join(heads, "head")
+    back = lambda left: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "sentence_no")]
+    sized = F.explode(F.sequence(F.lit(1), F.least(F.col("p.most"), F.lit(longest), F.size("s._w") - F.col("p.pos"))))
+    runs = places.alias("p").join(own.alias("s"), back("p")).select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.sentence_no").alias("sentence_no"), (F.col("p.pos") + 1).alias("at"), F.col("s._w").alias("_w"), sized.alias("n"))
+    named = runs.select(*keys, "sentence_no", "at", (F.col("at") + F.col("n") - 1).alias("end"), F.array_join(F.slice("_w", F.col("at"), F.col("n")), " ").alias("alias")).join(aliases, "alias")
     w = Window.partitionBy(*keys, "sentence_no").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     kept = named.withColumn("_far", F.max("end").over(w)).filter("_far is null or at > _far").drop("_far")
-    back = [F.col(f"k.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "sentence_no")]
-    return kept.alias("k").join(own.alias("s"), back).select(*[F.col(f"k.{k}").alias(k) for k in keys], F.col("k.sentence_no").alias("sentence_no"), "s.sentence", "s._w", "k.at", "k.end", "k.alias", "k.source", "k.filename")
+    return kept.alias("k").join(own.alias("s"), back("k")).select(*[F.col(f"k.{k}").alias(k) for k in keys], F.col("k.sentence_no").alias("sentence_no"), "s.sentence", "s._w", "k.at", "k.end", "k.alias", "k.source", "k.filename")
 
 
 def bridges(found: DataFrame, keys: list[str]) -> DataFrame:
     """Ordered pairs of different pages in a sentence with a connecting word between them, one for
-    each pair and text: the first sentence.  A connecting word has three letters and is neither glue nor another mention of the sentence."""
-    a, b = found.alias("a"), found.select(*keys, "sentence_no", "at", "end", "alias", "source", "filename").alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.sentence_no") == F.col("b.sentence_no"), F.col("a.end") < F.col("b.at")]
-    named = found.groupBy(*keys, "sentence_no").agg(F.collect_set("alias").alias("_named"))  # names of one sentence
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"n.{k}")) for k in (*keys, "sentence_no")]
-    pairs = a.join(b, on).filter((F.col("a.filename") != F.col("b.filename")) | (F.col("a.source") != F.col("b.source"))).join(named.alias("n"), same)
-    between = F.slice(F.col("a._w"), F.col("a.end") + 1, F.greatest(F.lit(0), F.col("b.at") - F.col("a.end") - 1))
-    linking = F.exists(between, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE) & ~F.array_contains(F.col("n._named"), x))
-    pairs = pairs.filter(linking).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.sentence_no").alias("sentence_no"), F.col("a.sentence").alias("evidence"), F.col("a.at").alias("at"), F.col("b.at").alias("at_b"), F.col("a.source").alias("subject_source"), F.col("a.filename").alias("subject_file"), F.col("b.source").alias("object_source"), F.col("b.filename").alias("object_file"), F.col("a.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
-    first = F.min_by(F.struct("evidence", "subject_match", "object_match"), F.struct("sentence_no", "at", "at_b"))
-    return pairs.groupBy(*keys, "subject_source", "subject_file", "object_source", "object_file").agg(first.alias("f")).select(*keys, "subject_source", "subject_file", "object_source", "object_file", F.left("f.evidence", F.lit(500)).alias("evidence"), "f.subject_match", "f.object_match")
+    each pair and text: the first sentence.  A connecting word has three letters and is neither glue nor another mention of the sentence.
+
+    Of a page that a sentence names again and again only the first mention can be a subject (what connects a later one connects it, too), and it meets
+    what is named after the first connecting word behind it."""
+    place = [*keys, "sentence_no"]
+    named = found.groupBy(*place).agg(F.collect_set("alias").alias("_named"))  # names of one sentence
+    subjects = found.groupBy(*place, "source", "filename").agg(F.min_by(F.struct("sentence", "_w", "at", "end", "alias"), "at").alias("f")).select(*place, "source", "filename", "f.*")
+    same = lambda x, y, cols: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in cols]
+    behind = F.slice(F.col("a._w"), F.col("a.end") + 1, F.size("a._w"))
+    connects = F.transform(behind, lambda x: x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE) & ~F.array_contains(F.col("n._named"), x))
+    first = F.array_position(connects, True)  # 0: none
+    begun = subjects.alias("a").join(named.alias("n"), same("a", "n", place)).select("a.*", F.when(first > 0, F.col("a.end") + first).alias("_after")).filter("_after is not null").drop("_w")
+    later = found.select(*place, "at", "alias", "source", "filename")
+    on = [*same("a", "b", place), F.col("b.at") > F.col("a._after")]
+    pairs = begun.alias("a").join(later.alias("b"), on).filter((F.col("a.filename") != F.col("b.filename")) | (F.col("a.source") != F.col("b.source")))
+    pairs = pairs.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.sentence_no").alias("sentence_no"), F.col("a.sentence").alias("evidence"), F.col("a.at").alias("at"), F.col("b.at").alias("at_b"), F.col("a.source").alias("subject_source"), F.col("a.filename").alias("subject_file"), F.col("b.source").alias("object_source"), F.col("b.filename").alias("object_file"), F.col("a.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
+    best = F.min_by(F.struct("evidence", "subject_match", "object_match"), F.struct("sentence_no", "at", "at_b"))
+    return pairs.groupBy(*keys, "subject_source", "subject_file", "object_source", "object_file").agg(best.alias("f")).select(*keys, "subject_source", "subject_file", "object_source", "object_file", F.left("f.evidence", F.lit(500)).alias("evidence"), "f.subject_match", "f.object_match")
 
 
 def mention_pattern(name: str) -> str:

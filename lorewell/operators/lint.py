@@ -33,7 +33,9 @@ def findings(chunks: DataFrame, edges: DataFrame, links: DataFrame | None, pages
 
 
 def shown(found: DataFrame, most: int = 15) -> DataFrame:
-    """The first ``most`` findings of each kind, and how many more there are."""
-    w = Window.partitionBy("finding")
-    ranked = found.withColumn("rank", F.row_number().over(w.orderBy("subject", "detail"))).withColumn("n_more", F.greatest(F.count("*").over(w) - most, F.lit(0)))
-    return ranked.filter(F.col("rank") <= most)
+    """The first ``most`` findings of each kind, and how many more there are.  Counts are summed within tasks first, and tasks keep their own first
+    ``most``, so that no task gets all findings of a kind."""
+    counts = found.groupBy("finding").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n_more"))
+    order = Window.partitionBy("finding").orderBy("subject", "detail")
+    first = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return first.join(F.broadcast(counts), "finding")  # a row for each kind

@@ -113,6 +113,26 @@ def page_bridges(spark, sf_dir):
     return links.bridges(found, ["doc_id"]).select("doc_id", "subject_file", "object_file")
 
 
+PHRASES = r"""b AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '[-_]', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ a AS (SELECT array_to_string(w[1:k], ' ') AS alias, min('wiki/b' || item_id || '.md') AS filename FROM b, (SELECT unnest([2, 3, 5]) AS k) WHERE len(w) >= k GROUP BY 1)"""
+
+
+def phrase_names(spark, sf_dir):
+    """The first two, three and five words of each benchmark item as names of its page."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace("text", "[-_]", " ")), F.lit(r"[\p{L}\p{N}]+"), 0)
+    b = read(spark, sf_dir, "benchmark").select("item_id", words.alias("w"), F.explode(F.array(F.lit(2), F.lit(3), F.lit(5))).alias("k")).filter(F.size("w") >= F.col("k"))
+    return b.groupBy(F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("alias")).agg(F.min(text("wiki/b", F.col("item_id"), ".md")).alias("filename")).withColumn("source", F.lit("knowledge"))
+
+
+@query("WITH " + WORDS_OF + ", " + PHRASES + """, k AS (SELECT unnest([2, 3, 5]) AS k), x AS (SELECT doc_id, no, pos, pos + k - 1 AS until, array_to_string(w[pos:pos + k - 1], ' ') AS alias FROM (SELECT doc_id, no, w, unnest(range(1, len(w) + 1)) AS pos FROM w), k WHERE pos + k - 1 <= len(w)),
+ m AS (SELECT x.*, filename FROM x JOIN a USING (alias)), f AS (SELECT *, max(until) OVER (PARTITION BY doc_id, no ORDER BY pos, until DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM m)
+ SELECT doc_id, alias, filename, count(*) AS n FROM f WHERE far IS NULL OR pos > far GROUP BY 1, 2, 3""")
+def phrase_mentions(spark, sf_dir):
+    """Names of two, three and five words in documents; those within a longer one do not count."""
+    found = links.mentions(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), ["doc_id"], phrase_names(spark, sf_dir))
+    return found.groupBy("doc_id", "alias", "filename").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'p' || p_partkey || '.md' WHEN 1 THEN '' WHEN 2 THEN 'a/p' || p_partkey || '.md' WHEN 3 THEN '' WHEN 4 THEN 'x.MD' ELSE 'canon:p' || p_partkey || '.md' END AS target FROM part")
 def link_targets(spark, sf_dir):
     k = F.col("p_partkey")
