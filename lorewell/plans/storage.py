@@ -12,6 +12,7 @@ from lorewell.operators import index, lifecycle
 from lorewell.plans.library import _files, num, read, text
 from lorewell.plans.library import FILES as FILES_SQL
 from lorewell.sources import files as S
+from lorewell.sources import snapshots
 
 QUERIES, SQL = {}, {}
 
@@ -75,6 +76,19 @@ def session_turns(spark, sf_dir):
     return S.turns_of_sessions(S.delete_session(sessions, "gone")).select("conv_id", "turn", "role", F.md5("text").alias("text"))
 
 
+@query("""WITH b AS (SELECT 'd' || doc_id || '.md' AS path, 1000 AS ms, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 7 <> 0),
+ a AS (SELECT 'd' || doc_id || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN 500 ELSE 1000 END AS ms, sha256(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' edited' ELSE '' END) AS digest FROM documents WHERE doc_id % 5 <> 0)
+ SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'created' WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS op, CAST(coalesce(a.ms, b.ms) AS BIGINT) AS mtime FROM b FULL JOIN a ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.digest <> b.digest""")
+def snapshot_changes(spark, sf_dir):
+    """Documents as the files of two snapshots; changed ones have an older time, or the same."""
+    d = read(spark, sf_dir, "documents")
+    own = F.coalesce("text", F.lit(""))
+    of = lambda rows, ms, content: rows.select(text("d", F.col("doc_id"), ".md").alias("path"), ms.cast("long").alias("ms"), F.length(content).cast("long").alias("size"), F.sha2(content, 256).alias("digest"))
+    before = of(d.filter("doc_id % 7 <> 0"), F.lit(1000), own)
+    after = of(d.filter("doc_id % 5 <> 0"), F.when(F.col("doc_id") % 2 == 0, 500).otherwise(1000), F.when(F.col("doc_id") % 3 == 0, F.concat(own, F.lit(" edited"))).otherwise(own))
+    return snapshots.difference(before, after)
+
+
 @query("SELECT event_type AS event, count(*) AS n, '## [2024-01-02 03:04:05] ' || event_type || ' | x.md' || CASE WHEN event_type = 'view' THEN ' | tags: t' ELSE '' END AS line FROM events GROUP BY 1")
 def event_log(spark, sf_dir):
     """Events appended to a log in two parts and read again, and the line of a change log."""

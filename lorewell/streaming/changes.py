@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lorewell.operators.policy import CLASS_BUDGETS, HARD_CAP, Admission
 
@@ -108,6 +109,39 @@ def suppress(changes: DataFrame, registered: DataFrame, ttl_ms: int = 5000) -> D
     return changes.join(own, hit, "left_anti") if not changes.isStreaming else changes.join(own, hit, "left").filter("_path is null").drop("_path", "at_ms")
 
 
+class Suppression(StatefulProcessor):
+    """For each path whether it was registered within the last ``ttl_ms`` by the clock of processing.  The state forgets a registration by itself when its
+    time is over, without further input; it lies in the stream's checkpoint, so it outlives a restart."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.registered = handle.getValueState("registered", "at long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values(["ms", "order"], kind="stable")  # the changes of one path in one batch
+        shown = []
+        for op, ms, order in zip(every["op"], every["ms"], every["order"]):
+            if order == 0:
+                self.registered.update((int(ms),))
+            elif not self.registered.exists():
+                shown.append((key[0], op, int(ms)))
+        yield pd.DataFrame(shown, columns=["path", "op", "mtime"])
+
+    def close(self) -> None:
+        pass
+
+
+def suppress_stream(changes: DataFrame, registered: DataFrame, ttl_ms: int = 5000) -> DataFrame:
+    """A stream of changes (path, op, mtime) without those of paths that a stream of registrations (path, at_ms) has named less than ``ttl_ms``
+    ago.  State with a time to live needs the RocksDB store, which the session is set to."""
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    told = registered.select("path", F.lit("registered").alias("op"), F.col("at_ms").alias("ms"), F.lit(0).alias("order"))
+    every = told.unionByName(changes.select("path", "op", F.col("mtime").alias("ms"), F.lit(1).alias("order")))
+    return every.groupBy("path").transformWithStateInPandas(Suppression(ttl_ms), CHANGE_SCHEMA, "Append", "ProcessingTime")
+
+
 def upsert(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
     """Each micro-batch of changed paths through ``apply`` (e.g. reindexing these files)."""
     w = changes.writeStream.foreachBatch(lambda batch, n: apply(batch.dropDuplicates(["path"]), n)).option("checkpointLocation", checkpoint)

@@ -4,6 +4,7 @@ import time
 
 from lorewell.operators import index
 from lorewell.sources import files as S
+from lorewell.sources.snapshots import SNAPSHOT_SCHEMA, ChangeFeed, difference, snapshot
 from lorewell.streaming import changes as ST
 
 
@@ -83,3 +84,59 @@ def test_streamed_admission_equals_the_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = {(r["turn_id"], r["seq"], r["decision"]) for r in policy.admit(calls).collect()}
     assert {(r["turn_id"], r["seq"], r["decision"]) for r in spark.table("admitted").collect()} == want
+
+
+def test_snapshots_see_what_times_hide(spark, tmp_path):
+    root = tmp_path / "kb"
+    for name in ("a.md", "b.md", "sub/c [x].md", "d.md"):
+        write(root / name, f"text of {name}")
+    write(root / "no.txt", "x")
+    feed = ChangeFeed(spark, str(root), str(tmp_path / "feed"))
+    seen = lambda: sorted((r["path"], r["op"]) for r in feed.changes().collect())
+    assert feed.poll() == 4 and seen() == [(n, "created") for n in ("a.md", "b.md", "d.md", "sub/c [x].md")]
+    assert feed.poll() == 0 and feed.log.versions() == [1]
+    write(root / "a.md", "other text, restored")
+    os.utime(root / "a.md", (1_000_000, 1_000_000))  # older than anything seen
+    (root / "b.md").unlink()
+    os.utime(root / "d.md", (2_000_000_000, 2_000_000_000))  # touched only
+    (root / "sub/c [x].md").rename(root / "sub/e.md")
+    assert feed.poll() == 4 and seen() == [("a.md", "modified"), ("b.md", "deleted"), ("sub/c [x].md", "deleted"), ("sub/e.md", "created")]
+    # killed between commit and publication: the next poll finishes it
+    (root / "a.md").unlink()
+    feed._publish, kept = lambda version: None, feed._publish
+    assert feed.poll() == 1
+    feed._publish = kept
+    assert feed.poll() == 0 and seen() == [("a.md", "deleted")]
+    got = []
+    for _ in range(2):  # every change once, restarts included
+        q = ST.upsert(feed.stream(), lambda batch, n: got.extend((r["path"], r["op"]) for r in batch.collect()), str(tmp_path / "cp"))
+        q.awaitTermination(120)
+    assert sorted(path for path, _ in got) == ["a.md", "b.md", "d.md", "sub/c [x].md", "sub/e.md"]  # each path once in a batch, and nothing again
+    assert difference(spark.createDataFrame([], SNAPSHOT_SCHEMA), snapshot(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_suppression_expires_without_input_and_outlives_a_restart(spark, tmp_path):
+    kinds = {"c": ST.CHANGE_SCHEMA, "r": "path string, at_ms long"}
+    for k, schema in kinds.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / k))
+
+    def put(k, *rows):
+        spark.createDataFrame(list(rows), kinds[k]).coalesce(1).write.mode("append").parquet(str(tmp_path / k))
+
+    def run(ttl_ms):
+        stream = lambda k: spark.readStream.schema(kinds[k]).parquet(str(tmp_path / k))
+        q = ST.suppress_stream(stream("c"), stream("r"), ttl_ms).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        return sorted(r["path"] for r in spark.read.schema(ST.CHANGE_SCHEMA).parquet(str(tmp_path / "out")).collect())
+
+    ttl = 45_000
+    put("r", ("own.md", 1))
+    put("c", ("own.md", "modified", 2), ("other.md", "modified", 2))
+    began = time.time()
+    assert run(ttl) == ["other.md"]
+    put("c", ("own.md", "modified", 3))
+    if time.time() - began < ttl / 1000 - 15:  # else this machine is too slow to tell
+        assert run(ttl) == ["other.md"]  # a new query from the checkpoint still knows
+    time.sleep(max(0, began + ttl / 1000 + 15 - time.time()))
+    put("c", ("own.md", "modified", 4))
+    assert "own.md" in run(ttl)
