@@ -16,13 +16,30 @@ from lorewell.operators.vector_search import search
 ENTITY_SCHEMA = "chunk_id string, kind string, name string, other string, relation string"
 
 
+def _grams(text: str, size: int) -> Column:
+    """The different runs of ``size`` characters of a text; none of a shorter one."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(F.col(text), i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def meeting(asked: DataFrame, needle: str, rows: DataFrame, hay: str) -> DataFrame:
+    """Pairs of ``asked`` (with a needle of three characters or more) and ``rows`` that share the needle's rarest run of three characters: each run's posting
+    list is as long as the rows that hold it, and a needle meets only its shortest list.  A needle with a run that no row holds meets nothing."""
+    runs = asked.filter(F.length(needle) >= 3).select(F.col(needle).alias("_needle")).distinct().select("_needle", F.explode(_grams("_needle", 3)).alias("_g"))
+    posted = rows.withColumn("_g", F.explode(_grams(hay, 3)))
+    sizes = posted.select("_g").join(runs.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_m"))
+    rarest = runs.join(sizes, "_g", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_m", F.lit(0)).alias("m"), "_g")).alias("r")).filter("r.m > 0").select("_needle", "r._g")
+    return asked.join(rarest, F.col(needle) == F.col("_needle")).drop("_needle").join(posted, "_g").drop("_g")
+
+
 def holding(asked: DataFrame, needle: str, rows: DataFrame, hay: str) -> DataFrame:
-    """Pairs of ``asked`` and ``rows`` whose ``hay`` holds the ``needle``, met by the needle's first three characters among those of the hay;
-    needles of one or two characters are held against all rows."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - 2, F.lit(1))), lambda i: F.substring(F.col(hay), i, F.lit(3))))
-    spread = rows.withColumn("_g", F.explode(grams))
-    met = asked.filter(F.length(needle) >= 3).withColumn("_g", F.left(F.col(needle), F.lit(3))).join(spread, "_g").filter(F.col(hay).contains(F.col(needle))).drop("_g")
-    return met.unionByName(asked.filter(F.length(needle) < 3).join(rows, F.col(hay).contains(F.col(needle))))
+    """Pairs of ``asked`` and ``rows`` whose ``hay`` holds the ``needle``.  Needles of one or two characters are looked up among the runs of their length; an
+    empty one is held by nothing."""
+    out = meeting(asked, needle, rows, hay).filter(F.col(hay).contains(F.col(needle)))
+    for size in (1, 2):
+        short = asked.filter(F.length(needle) == size).withColumn("_g", F.col(needle))
+        out = out.unionByName(short.join(rows.withColumn("_g", F.explode(_grams(hay, size))), "_g").drop("_g"))
+    return out
 
 
 def resolve_files(asked: DataFrame, files: DataFrame) -> DataFrame:

@@ -58,3 +58,14 @@ def test_trees_and_slices(spark):
     assert (part["content"], part["state"], part["next_offset"]) == ("two  ", "TRUNCATED", 2)
     part = R.load_slice(sections, 1, 5).first()
     assert (part["content"], part["state"], part["next_offset"]) == ("two  three", "COMPLETE", None)
+
+
+def test_a_needle_meets_its_rarest_run_only(spark):
+    names = [f"the chapter {i:04}" for i in range(1500)] + ["x", "ab", "the end"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, hay string")
+    needles = ["the chapter 0777", "chapter 14", "the ", "the chapters", "zzz", "ab", "x", ""]
+    asked = spark.createDataFrame([(n,) for n in needles], "needle string")
+    got = {(r["needle"], r["hay"]) for r in R.holding(asked, "needle", rows, "hay").collect()}
+    assert got == {(n, h) for n in needles if n for h in names if n in h}
+    met = {r["needle"]: r["n"] for r in R.meeting(asked, "needle", rows, "hay").groupBy("needle").count().withColumnRenamed("count", "n").collect()}
+    assert met["the chapter 0777"] <= 60 and met["chapter 14"] <= 150 and "the chapters" not in met and "zzz" not in met
