@@ -65,11 +65,13 @@ class WordTokens:
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.most = CACHE_WORDS
 
     @staticmethod
-    def of(path: str) -> WordTokens:
+    def of(path: str, most: int = CACHE_WORDS) -> WordTokens:
         if path not in _tokenizers:
             _tokenizers[path] = WordTokens(path)
+        _tokenizers[path].most = most
         return _tokenizers[path]
 
     def forget(self) -> None:
@@ -97,7 +99,7 @@ class WordTokens:
         missing = [w for w, ids in zip(words, out) if ids is None]
         if not missing:
             return out
-        if len(self.young) + len(missing) > CACHE_WORDS:
+        if len(self.young) + len(missing) > self.most:
             self.young, self.old, missing = {}, self.young, words
         back = {w: ids for w, ids in zip(missing, map(self.old.get, missing)) if ids is not None}
         self.young.update(back)
@@ -175,15 +177,15 @@ def plan_best_fit(counts: dict[int, int], seq_len: int) -> list[tuple[int, int,
     return plan
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, seq_len: int, end_id: int, keep_ids: bool) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, seq_len: int, end_id: int, keep_ids: bool, group_chars: int = GROUP_CHARS, cache_words: int = CACHE_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end, part = WordTokens.of(tokenizer_path), np.asarray([end_id], "<u4").tobytes(), task_number()
+        tokens, end, part = WordTokens.of(tokenizer_path, cache_words), np.asarray([end_id], "<u4").tobytes(), task_number()
         seen = np.zeros(seq_len + 1, np.int64)
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
         for batch in batches:
             names, size, lo = batch.column(0).to_pylist(), np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))), 0
             while lo < len(names):
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + GROUP_CHARS)))
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + group_chars)))
                 out: list[tuple] = []
                 for name, ids in zip(names[lo:hi], tokens.encode([t or "" for t in batch.column(1)[lo:hi].to_pylist()])):
                     ids += end
@@ -222,12 +224,13 @@ def place(plan: list[tuple[int, int, int, int, int, int]]) -> Callable:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 4096, end_id: int = 1, keep_ids: bool = False
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 4096, end_id: int = 1, keep_ids: bool = False, group_chars: int = GROUP_CHARS, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids (little-endian unsigned 32-bit,
-    when ``keep_ids``), sequence_id, offset.  Documents longer than ``seq_len`` are cut."""
+    when ``keep_ids``), sequence_id, offset.  Documents longer than ``seq_len`` are cut.  ``group_chars`` of text are tokenised at a time, and
+    ``cache_words`` words remembered: less of either needs less memory and more time."""
     store = Scratch(docs.sparkSession, "packing")
-    pieces = store.write(cut_pieces(docs, tokenizer_path, id_col, text_col, seq_len, end_id, keep_ids), "pieces")
+    pieces = store.write(cut_pieces(docs, tokenizer_path, id_col, text_col, seq_len, end_id, keep_ids, group_chars, cache_words), "pieces")
     runs = store.write(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "runs")
     counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
