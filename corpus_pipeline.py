@@ -84,7 +84,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null text is
     empty and has its closing id only; repeated rows are packed one by one; equal lengths may change places."""
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), group_chars=2 << 20, cache_words=200_000)  # earlier stages have grown the executors by now
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
