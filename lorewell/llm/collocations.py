@@ -6,7 +6,7 @@
    which decides alone) to hash buckets.  duckdb sums them in each bucket, out of core, and answers each block with those that
    reach the minimum.  A hash may let too much pass, never too little.
 3. The counts: each block writes out, as text, the n-grams that passed and the longer ones all of whose pairs passed (a phrase is no more
-   frequent than its pairs), one row for each and block.  duckdb sums them by the text itself, a hash bucket at a time and out of
+   frequent than its pairs), one row for each and block, sent sorted and compressed.  duckdb sums them by the text itself, a hash bucket at a time and out of
    core.  These counts are exact, whatever the hashes did.
 4. Each candidate asks for the counts of its first and last parts at every cut.  The requests are shuffled to the count table; nothing
    of it is broadcast.
@@ -33,12 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm.packed import REPLY_SCHEMA, chain, emit_batch, mix, mixed_hash, rows, squeeze, task_number, trim, unsqueeze, with_replies
+from lorewell.llm.packed import REPLY_SCHEMA, buckets_bits, chain, emit_batch, mix, mixed_hash, rows, squeeze, task_number, text_views, trim, unsqueeze, with_replies
 from lorewell.llm.scratch import Scratch
 
 BORDERS = "[.,;:!?\\x0A-\\x0D]"
-#: Bytes of pieces in a block; bits of hash buckets in the filter; duckdb's memory in a task before it spills.
-BLOCK_BYTES, FILTER_BITS, DUCKDB_MB = 2 << 20, 6, 128
+#: Bytes of pieces in a block; hashes in a bucket of the filter; duckdb's memory in a task before it spills.
+BLOCK_BYTES, BUCKET_ENTRIES, DUCKDB_MB = 2 << 20, 2_000_000, 128
 #: Rows handed to duckdb at a time.
 ROWS_AT_ONCE = 1 << 17
 
@@ -228,14 +228,35 @@ def frequent_hashes(emitted: DataFrame, least: int) -> DataFrame:
     return emitted.repartition("bucket").mapInArrow(run, REPLY_SCHEMA)
 
 
+def by_bucket(written: list[pa.RecordBatch], bits: int) -> pa.RecordBatch | None:
+    """(bucket, rows): the rows of a block by the hash of their phrase, sorted and compressed, as the shuffle sends them."""
+    if not written:
+        return None
+    table = pa.Table.from_batches(written)
+    phrase = table.column("phrase").combine_chunks()
+    raw, at = text_views(phrase)
+    bucket = (mixed_hash(raw, at[:-1], at[1:]) >> np.uint64(64 - bits)).astype(np.int64)
+    order = pc.sort_indices(pa.table({"bucket": bucket, "phrase": phrase}), [("bucket", "ascending"), ("phrase", "ascending")])
+    table, bucket = table.take(order), bucket[np.asarray(order)]
+    found, first = np.unique(bucket, return_index=True)
+    blobs = []
+    for lo, hi in zip(first, np.append(first[1:], len(bucket))):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.slice(lo, hi - lo).combine_chunks())
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+
 def count_phrases(emitted: DataFrame, least: int) -> DataFrame:
-    """Rows of _COUNTED summed by language and text; a hash bucket is a partition of the shuffle."""
+    """The rows of _COUNTED in (bucket, rows), summed by language and text, bucket by bucket."""
     schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def incoming() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(i).cast(f.type) for i, f in enumerate(schema)], schema=schema)
+            for row in rows(batches):
+                for batch in pa.ipc.open_stream(row["rows"]):
+                    yield batch.cast(schema)
 
         def ask(db) -> Iterator[pa.RecordBatch]:
             found = db.sql(f"SELECT lang, k, phrase, CAST(sum(n) AS BIGINT) AS n FROM incoming GROUP BY lang, k, phrase HAVING sum(n) >= {int(least)}")
@@ -244,12 +265,15 @@ def count_phrases(emitted: DataFrame, least: int) -> DataFrame:
         yield from in_duckdb(pa.RecordBatchReader.from_batches(schema, incoming()), "incoming", ask)
         trim()
 
-    return emitted.repartition("lang", "phrase").mapInArrow(run, _COUNTED)
+    return emitted.repartition("bucket").mapInArrow(run, _COUNTED)
 
 
-def phrase_counts(blocks: DataFrame, store: Scratch, longest: int = 5, least: int = 100, bits: int = FILTER_BITS) -> DataFrame:
+def phrase_counts(blocks: DataFrame, store: Scratch, longest: int = 5, least: int = 100) -> DataFrame:
     """(lang, k, phrase, n) of all phrases of up to ``longest`` words that occur ``least`` times."""
 
+    text_bytes = blocks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = buckets_bits(text_bytes // 4, BUCKET_ENTRIES)  # words and pairs of words
+
     def hashed(row: dict) -> Iterator[tuple[Grams, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         grams = Grams(row)
         for k in (1, 2):
@@ -274,15 +298,16 @@ def phrase_counts(blocks: DataFrame, store: Scratch, longest: int = 5, least: in
             trim()
 
     replies = store.write(frequent_hashes(blocks.mapInArrow(emit, "bucket long, block long, keys binary, vals binary"), least), "frequent")
+    store.release()
 
     def write(row: dict, answered: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(unsqueeze(r), np.uint32).astype(np.uint64) for b, r in answered])) if answered else np.zeros(0, np.uint64)
-        passes = None
+        passes, out = None, []
         for grams, k, at, numbers, first, sums in hashed(row):
             keys = short(grams, k, first)
             place = np.searchsorted(known, keys)
             there = np.zeros(len(keys), bool) if not len(known) else known[np.minimum(place, len(known) - 1)] == keys
-            yield from grams.written(k, first[there], sums[there])
+            out += grams.written(k, first[there], sums[there])
             if k == 2:
                 passes = np.zeros(len(grams.starts), bool)  # the pair that begins here
                 passes[at] = there[numbers]
@@ -290,11 +315,14 @@ def phrase_counts(blocks: DataFrame, store: Scratch, longest: int = 5, least: in
         for k in range(3, longest + 1):
             run = run[:-1] & passes[k - 2 :] if len(run) > 1 else run[:0]
             _, first, sums = grams.counted(k, np.flatnonzero(run))
-            yield from grams.written(k, first, sums)
-        del grams, at, numbers, first, sums, keys, place, there
+            out += grams.written(k, first, sums)
+        sent = by_bucket(out, bits)
+        del grams, at, numbers, first, sums, keys, place, there, out
+        if sent is not None:
+            yield sent
         trim()
 
-    return store.write(count_phrases(with_replies(blocks, replies, write, _COUNTED, numbered=True), least), "counts")
+    return store.write(count_phrases(with_replies(blocks, replies, write, "bucket long, rows binary", numbered=True), least), "counts")
 
 
 def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, share: int = 100, top: int = 2000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -304,6 +332,7 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     digits."""
     store = Scratch(docs.sparkSession, "collocations")
     blocks = store.write(pack_pieces(distinct_pieces(docs, text_col, lang_col), block_bytes), "blocks", "none")
+    store.release()  # the shuffle files of the pieces
     totals = store.few(blocks.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.words").alias("n")))
     counts = phrase_counts(blocks, store, longest, least)
 
