@@ -84,47 +84,76 @@ def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> Data
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(0, limit))
 
 
-def traverse(edges: DataFrame, starts: DataFrame, depth: int = 2, exclude: tuple[str, ...] = (), min_weight: float = 0.0) -> DataFrame:
-    """Breadth-first search: (start, node, depth, edge_type, parent, weight), every node once for each start,
-    by the discovering edge (heaviest, then smallest type and parent).  ``min_weight`` holds back
-    rows of the result, not the expansion.  ``starts``: column start."""
+def check_walk(depth: int, exclude: tuple[str, ...] = ()) -> None:
+    """Raises an error for what no traversal takes."""
     if not 1 <= depth <= 3:
         raise ValueError("depth must be 1, 2 or 3")
     unknown = set(exclude) - set(EDGE_TYPES)
     if unknown:
         raise ValueError(f"unknown edge types: {sorted(unknown)}")
-    near = neighbors(edges.filter(~F.col("edge_type").isin(*exclude)) if exclude else edges)
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), F.lit(None).cast("double").alias("weight"))
-    front = seen
+
+
+def walk(step: Callable[[DataFrame], DataFrame], starts: DataFrame, id_type: str, depth: int, min_weight: float = 0.0, keep: Callable[[DataFrame], DataFrame] = lambda front: front) -> DataFrame:
+    """Breadth-first search by ``step``, which gives the neighbours (start, node, p, edge_type, weight) of a frontier (start, node);
+    ``keep`` may write a frontier."""
+    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast(id_type).alias("parent"), F.lit(None).cast("double").alias("weight"))
+    front = seen = keep(seen)
     for d in range(1, depth + 1):
-        step = front.select("start", F.col("node").alias("p")).join(near, F.col("p") == near.node).select("start", F.col("neighbor").alias("node"), "p", "edge_type", "weight")
-        step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        found = step(front).join(seen.select("start", "node"), ["start", "node"], "left_anti")
         best = F.min(F.struct((-F.col("weight")).alias("w"), "edge_type", F.col("p").alias("parent")))
-        front = step.groupBy("start", "node").agg(best.alias("b")).select("start", "node", F.lit(d).alias("depth"), F.col("b.edge_type").alias("edge_type"), F.col("b.parent").alias("parent"), (-F.col("b.w")).alias("weight"))
+        found = found.groupBy("start", "node").agg(best.alias("b"))
+        front = keep(found.select("start", "node", F.lit(d).alias("depth"), F.col("b.edge_type").alias("edge_type"), F.col("b.parent").alias("parent"), (-F.col("b.w")).alias("weight")))
         seen = seen.unionByName(front)
     return seen.filter(f"depth > 0 and weight >= {float(min_weight)}")
 
 
-def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 2, allowed: tuple[str, ...] = EDGE_TYPES, max_nodes: int = 120, max_edges: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within reach of the seeds (column id, five at most).  Nodes are taken in order of discovery up to the cap,
-    seeds always; edges between taken nodes by weight up to their cap; column capped says that a cap bit."""
+def traverse(edges: DataFrame, starts: DataFrame, depth: int = 2, exclude: tuple[str, ...] = (), min_weight: float = 0.0) -> DataFrame:
+    """Breadth-first search: (start, node, depth, edge_type, parent, weight), every node once for each start,
+    by the discovering edge (heaviest, then smallest type and parent).  ``min_weight`` holds back
+    rows of the result, not the expansion.  ``starts``: column start.
+
+    Shuffles the edges at every step; ``adjacency.AdjacencyIndex`` keeps them in place."""
+    check_walk(depth, exclude)
+    near = neighbors(edges.filter(~F.col("edge_type").isin(*exclude)) if exclude else edges)
+    step = lambda front: front.select("start", F.col("node").alias("p")).join(near, F.col("p") == near.node).select("start", F.col("neighbor").alias("node"), "p", "edge_type", "weight")
+    return walk(step, starts, dict(edges.dtypes)["src"], depth, min_weight)
+
+
+def check_subgraph(depth: int, allowed: tuple[str, ...], max_nodes: int, max_edges: int) -> None:
+    """Raises an error for what no subgraph takes."""
     if not (1 <= depth <= 3 and 1 <= max_nodes <= 250 and 1 <= max_edges <= 800):
         raise ValueError("depth 1 to 3, max_nodes 1 to 250, max_edges 1 to 800")
     unknown = set(allowed) - set(EDGE_TYPES)
     if unknown:
         raise ValueError(f"unknown edge types: {sorted(unknown)}")
-    seeds = seeds.orderBy("id").limit(5)
-    own = edges.filter(F.col("edge_type").isin(*allowed))
-    reach = traverse(own, seeds.select(F.col("id").alias("start")), depth).groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"), F.max("weight").alias("w"))
+
+
+def first_nodes(reached: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """id, depth, capped: the seeds (five at most), and what was reached from them in order of discovery up to ``most``."""
+    reach = reached.groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"), F.max("weight").alias("w"))
     reach = reach.join(seeds, "id", "left_anti").unionByName(seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("double").alias("w")))
     # one row more than the cap shows whether it bites; these windows see so many rows at most
     order = ("depth", F.desc("w"), "id")
-    first = reach.orderBy(*order).limit(max_nodes + 6).withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.count("*").over(Window.partitionBy()))
-    nodes = first.filter(f"_n <= {max_nodes} or depth = 0").select("id", "depth", (F.col("_all") > max_nodes).alias("capped"))
-    within = own.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    first = reach.orderBy(*order).limit(most + 6).withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.count("*").over(Window.partitionBy()))
+    return first.filter(f"_n <= {most} or depth = 0").select("id", "depth", (F.col("_all") > most).alias("capped"))
+
+
+def first_edges(within: DataFrame, most: int) -> DataFrame:
+    """The heaviest edges up to ``most``, and whether there are more (capped)."""
     order = (F.desc("weight"), "edge_type", "src", "dst")
-    first = within.orderBy(*order).limit(max_edges + 1).withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.count("*").over(Window.partitionBy()))
-    return nodes, first.filter(f"_n <= {max_edges}").withColumn("capped", F.col("_all") > max_edges).drop("_n", "_all")
+    first = within.orderBy(*order).limit(most + 1).withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.count("*").over(Window.partitionBy()))
+    return first.filter(f"_n <= {most}").withColumn("capped", F.col("_all") > most).drop("_n", "_all")
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 2, allowed: tuple[str, ...] = EDGE_TYPES, max_nodes: int = 120, max_edges: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) within reach of the seeds (column id, five at most).  Nodes are taken in order of discovery up to the cap,
+    seeds always; edges between taken nodes by weight up to their cap; column capped says that a cap bit."""
+    check_subgraph(depth, allowed, max_nodes, max_edges)
+    seeds = seeds.orderBy("id").limit(5)
+    own = edges.filter(F.col("edge_type").isin(*allowed))
+    nodes = first_nodes(traverse(own, seeds.select(F.col("id").alias("start")), depth), seeds, max_nodes)
+    within = own.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return nodes, first_edges(within, max_edges)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from lorewell.functions.text import tier_weight
 from lorewell.functions.vectors import cosine
 from lorewell.operators import graph as G
 from lorewell.operators import vector_search as V
+from lorewell.operators.adjacency import AdjacencyIndex
 from lorewell.sources import files as S
 
 LIMITS = {"similar": 0.32, "inter": 0.30, "cross": 0.31}
@@ -172,6 +173,44 @@ def subgraph_bounded(spark, sf_dir):
     return within.select("src", "dst", "edge_type", "weight", "capped")
 
 
+ITEMS_SQL = """edges AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'references' AS edge_type, round(max(l_quantity) / 50, 2) AS weight FROM lineitem GROUP BY 1, 2
+   UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, 'similar', round(max(l_quantity) / 50, 2) FROM lineitem GROUP BY 1, 2),
+ nb AS (SELECT src AS node, dst AS neighbor, edge_type, weight FROM edges UNION ALL SELECT dst, src, edge_type, weight FROM edges),
+ starts AS (SELECT 'p' || p_partkey AS id FROM part ORDER BY p_partkey LIMIT 5),
+ one AS (SELECT s.id AS start, n.neighbor AS node, n.edge_type, s.id AS parent, n.weight FROM starts s JOIN nb n ON n.node = s.id QUALIFY row_number() OVER (PARTITION BY s.id, n.neighbor ORDER BY n.weight DESC, n.edge_type) = 1),
+ two AS (SELECT o.start, n.neighbor AS node, n.edge_type, o.node AS parent, n.weight FROM one o JOIN nb n ON n.node = o.node WHERE n.neighbor <> o.start AND NOT EXISTS (SELECT 1 FROM one x WHERE x.start = o.start AND x.node = n.neighbor)
+   QUALIFY row_number() OVER (PARTITION BY o.start, n.neighbor ORDER BY n.weight DESC, n.edge_type, o.node) = 1),
+ reached AS (SELECT start, node, 1 AS depth, edge_type, parent, weight FROM one UNION ALL SELECT start, node, 2, edge_type, parent, weight FROM two)"""
+
+
+def _item_index(spark: SparkSession, sf_dir: str) -> tuple[AdjacencyIndex, DataFrame]:
+    """The kept adjacency of orders, suppliers and their parts, and the first five parts to start from."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    named = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    pairs = lambda k, c, kind: items.groupBy(named(k, c).alias("src"), named("p", "l_partkey").alias("dst")).agg(F.round(F.max("l_quantity") / 50, 2).cast("double").alias("weight")).select("src", "dst", F.lit(kind).alias("edge_type"), "weight")
+    edges = pairs("o", "l_orderkey", "references").unionByName(pairs("s", "l_suppkey", "similar"))
+    own = AdjacencyIndex(spark, S.work_folder(spark, "adjacency"), buckets=16, per_slot=64).build(edges)
+    starts = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").limit(5).select(named("p", "p_partkey").alias("start"))
+    return own, starts
+
+
+@query("WITH " + ITEMS_SQL + " SELECT * FROM reached")
+def kept_traversal(spark, sf_dir):
+    """Orders and suppliers of five parts, and their other parts, by slots of a kept adjacency."""
+    own, starts = _item_index(spark, sf_dir)
+    return own.traverse(starts, 2)
+
+
+@query("WITH " + ITEMS_SQL + """, every AS (SELECT node AS id, min(depth) AS depth, max(weight) AS w FROM reached WHERE node NOT IN (SELECT id FROM starts) GROUP BY 1 UNION ALL SELECT id, 0, NULL FROM starts),
+ nodes AS (SELECT id FROM every QUALIFY row_number() OVER (ORDER BY depth, w DESC NULLS LAST, id) <= 120),
+ within AS (SELECT src, dst, edge_type, weight, row_number() OVER (ORDER BY weight DESC, edge_type, src, dst) AS n, count(*) OVER () > 400 AS capped FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))
+ SELECT src, dst, edge_type, weight, capped FROM within WHERE n <= 400""")
+def kept_subgraph(spark, sf_dir):
+    """What lies around five parts, by slots of a kept adjacency."""
+    own, starts = _item_index(spark, sf_dir)
+    return own.subgraph(starts.withColumnRenamed("start", "id"), 2)[1]
+
+
 @query("WITH " + EDGES_SQL + " SELECT edge_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM edges), 4) AS edge_share FROM edges GROUP BY 1")
 def graph_stats_edge_share(spark, sf_dir):
     return G.edge_shares(edges(spark, sf_dir))
