@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import MARKDOWN_LINK, WIKI_LINK, anchor, blank_code, leaf, let, link_anchor, link_target, page_name, prose, sentences, spans, stem, strip
+from lorewell.operators.resolve import holding
 
 #: Words that connect no two pages (fixed values).
 GLUE = ("and", "or", "the", "with", "for", "from", "into", "onto")
@@ -179,12 +180,12 @@ def hierarchy_edges(chunks: DataFrame) -> DataFrame:
     """parent_child edges of weight 1 from the first chunk of the file whose heading holds a chunk's heading path less its
     last part.
 
-    Sections are looked up once for each different upper path of a file, among its different headings: two hits are enough, as only the chunk
-    itself can be passed over."""
+    Sections are looked up once for each different upper path of a file, among those of its different headings that share the path's rarest run of
+    characters (``resolve.holding``): two hits are enough, as only the chunk itself can be passed over."""
     file = ["source", "filename"]
     kids = chunks.select(F.col("id").alias("dst"), *file, F.lower(F.regexp_extract("heading", "^(.*) > ", 1)).alias("up")).filter("up <> ''")
     heads = chunks.select(F.col("id").alias("src"), *file, F.lower("heading").alias("h"), "chunk_index")
     first_two = lambda rows, by: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*file, by).orderBy("chunk_index", "src"))).filter("_n <= 2").drop("_n")
-    pairs = kids.select(*file, "up").distinct().join(first_two(heads, "h"), file).filter(F.col("h").contains(F.col("up")))
+    pairs = holding(kids.select(*file, "up").distinct(), "up", first_two(heads, "h"), "h", tuple(file), sizes=(1, 2, 3, 8))
     met = kids.join(first_two(pairs, "up"), [*file, "up"]).filter(F.col("src") != F.col("dst"))
     return met.groupBy("dst").agg(F.min_by("src", F.struct("chunk_index", "src")).alias("src")).select("src", "dst", F.lit("parent_child").alias("edge_type"), F.lit(1.0).alias("weight"))

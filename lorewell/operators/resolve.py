@@ -22,24 +22,23 @@ def _grams(text: str, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def meeting(asked: DataFrame, needle: str, rows: DataFrame, hay: str) -> DataFrame:
-    """Pairs of ``asked`` (with a needle of three characters or more) and ``rows`` that share the needle's rarest run of three characters: each run's posting
-    list is as long as the rows that hold it, and a needle meets only its shortest list.  A needle with a run that no row holds meets nothing."""
-    runs = asked.filter(F.length(needle) >= 3).select(F.col(needle).alias("_needle")).distinct().select("_needle", F.explode(_grams("_needle", 3)).alias("_g"))
-    posted = rows.withColumn("_g", F.explode(_grams(hay, 3)))
-    sizes = posted.select("_g").join(runs.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_m"))
-    rarest = runs.join(sizes, "_g", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_m", F.lit(0)).alias("m"), "_g")).alias("r")).filter("r.m > 0").select("_needle", "r._g")
-    return asked.join(rarest, F.col(needle) == F.col("_needle")).drop("_needle").join(posted, "_g").drop("_g")
-
-
-def holding(asked: DataFrame, needle: str, rows: DataFrame, hay: str) -> DataFrame:
-    """Pairs of ``asked`` and ``rows`` whose ``hay`` holds the ``needle``.  Needles of one or two characters are looked up among the runs of their length; an
-    empty one is held by nothing."""
-    out = meeting(asked, needle, rows, hay).filter(F.col(hay).contains(F.col(needle)))
-    for size in (1, 2):
-        short = asked.filter(F.length(needle) == size).withColumn("_g", F.col(needle))
-        out = out.unionByName(short.join(rows.withColumn("_g", F.explode(_grams(hay, size))), "_g").drop("_g"))
-    return out
+def meeting(asked: DataFrame, needle: str, rows: DataFrame, hay: str, by: tuple[str, ...] = (), sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Pairs of ``asked`` and ``rows``, of equal columns ``by``, that share the needle's rarest run of characters.  A needle has the runs of the greatest of ``sizes``
+    that it is long enough for: each run's posting list is as long as the rows that hold it, and a needle meets only its shortest list.  An
+    empty needle, and one with a run that no row holds, meet nothing."""
+    own = F.array().cast("array<string>")
+    for size in sorted(sizes):
+        own = F.when(F.length("_needle") >= size, _grams("_needle", size)).otherwise(own)
+    runs = asked.select(*by, F.col(needle).alias("_needle")).distinct().select(*by, "_needle", F.explode(own).alias("_g"))
+    posted = rows.withColumn("_g", F.explode(F.concat(*[_grams(hay, size) for size in sizes])))
+    sizes_of = posted.select(*by, "_g").join(runs.select(*by, "_g").distinct(), [*by, "_g"], "left_semi").groupBy(*by, "_g").agg(F.count("*").alias("_m"))
+    rarest = runs.join(sizes_of, [*by, "_g"], "left").groupBy(*by, "_needle").agg(F.min(F.struct(F.coalesce("_m", F.lit(0)).alias("m"), "_g")).alias("r")).filter("r.m > 0").select(*by, "_needle", "r._g")
+    return asked.withColumn("_needle", F.col(needle)).join(rarest, [*by, "_needle"]).drop("_needle").join(posted, [*by, "_g"]).drop("_g")
+
+
+def holding(asked: DataFrame, needle: str, rows: DataFrame, hay: str, by: tuple[str, ...] = (), sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Pairs of ``asked`` and ``rows``, of equal columns ``by``, whose ``hay`` holds the ``needle``; an empty one is held by nothing."""
+    return meeting(asked, needle, rows, hay, by, sizes).filter(F.col(hay).contains(F.col(needle)))
 
 
 def resolve_files(asked: DataFrame, files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
-from lorewell.operators import conversations as C
+from lorewell.operators import conversations as C, resolve
 from lorewell.operators import fuzzy, index, links, markdown, pages, policy
 
 
@@ -117,6 +117,21 @@ def test_structure_and_hierarchy(spark):
     assert [(r["src"], r["dst"]) for r in links.hierarchy_edges(heads).collect()] == [("p", "q")]
 
 
+def test_hierarchy_of_a_long_file(spark):
+    """A file of 20,020 sections: each path meets few headings; one that holds a path in its middle and comes before is its parent."""
+    parts = [(f"guide > part {i}" + (f" > step {j}" if j else ""), 100 + 20 * i + j) for i in range(1000) for j in range(20)]
+    rows = [(f"c{n}", "s", "f", h, n) for h, n in [("x > Guide > Part 5", 0), ("a > z", 1), *parts, *((f"guide > part 7 > step {k}", 90_000 + k) for k in range(100, 118))]]
+    heads = spark.createDataFrame(rows, "id string, source string, filename string, heading string, chunk_index long")
+    got = {r["dst"]: r["src"] for r in links.hierarchy_edges(heads).collect()}
+    at = lambda i: "c0" if i == 5 else f"c{100 + 20 * i}"
+    want = {f"c{n}": at((n - 100) // 20) for h, n in parts if " > step" in h} | {f"c{90_000 + k}": at(7) for k in range(100, 118)}
+    # the path "guide" of the parts, and the path "a", are held by the first chunk; "x > guide" by no other chunk
+    want |= {f"c{n}": "c0" for h, n in parts if " > step" not in h} | {"c1": "c0"}
+    assert got == want
+    ups = heads.select(F.lower(F.regexp_extract("heading", "^(.*) > ", 1)).alias("up")).filter("up like '%part%'").distinct()
+    assert resolve.meeting(ups, "up", heads.select(F.lower("heading").alias("h")), "h", sizes=(1, 2, 3, 8)).count() < 100_000
+
+
 def test_embedding_failures_are_zero_vectors(spark):
     def embed(texts):
         if "bad" in texts:
