@@ -74,26 +74,51 @@ def rank_candidates(candidates: DataFrame, wanted: str, source: str | None = Non
     return scored.orderBy(F.desc("cos"), F.desc("exact"), F.desc("local"), F.desc("early"), "id")
 
 
+def _pooled(met: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, n, ids: of answers (by, n, ids) their sum and the ``most`` smallest different ids, each array of which is sorted and as long at most."""
+    ids = met.select(*by, F.explode("ids").alias("id")).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_n") <= most)
+    return met.groupBy(*by).agg(F.sum("n").alias("n")).join(ids.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("ids")), by)
+
+
+def _slugged(heads: DataFrame) -> DataFrame:
+    """Headings (_t) once for each slug (_s) that they go by: of the whole path and of its last part."""
+    return heads.withColumn("_s", F.explode(F.array_distinct(F.array(slug(F.col("_t")), slug(leaf(F.col("_t")))))))
+
+
 def resolve_sections(asked: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
     """asked (address: ``file > heading`` or a heading) with outcome found, ambiguous, narrow (more than ``most``) or
     missing, and the chunk ids of the first stage that has any: exact heading in the file, heading that holds it in the
-    file, then in any file."""
+    file, then in any file.  A chunk's id is its own; equal rows count once.
+
+    An address that names a file meets the different headings of that file, by any of the names the file goes by (its path and what follows a slash in it); what is looked
+    for in any file meets the different headings of all.  Of a heading only the number of its chunks and the ``most`` smallest ids are passed on, and each different
+    question is answered once, however many addresses ask it and chunks answer."""
     whole = F.col("address").contains(" > ") & F.lower(F.split_part("address", F.lit(" > "), F.lit(1))).rlike(r"\.md$|/|:")
     own = asked.select("address").distinct().withColumn("_file", F.when(whole, F.lower(F.regexp_replace(F.split_part("address", F.lit(" > "), F.lit(1)), "^(knowledge|canon):", "")))).withColumn("_head", F.when(whole, F.regexp_extract("address", "^.*? > (.*)$", 1)).otherwise(F.col("address")))
-    c = chunks.select("id", F.lower("filename").alias("_f"), slug(F.col("heading")).alias("_h"), slug(leaf(F.col("heading"))).alias("_l"), F.lower("heading").alias("_t"))
-    here = F.col("_file").isNull() | (F.col("_file") == F.col("_f")) | F.col("_f").endswith(F.concat(F.lit("/"), F.col("_file")))
-    own = own.withColumn("_s", slug(F.col("_head"))).withColumn("_low", F.lower("_head"))
-    same = (F.col("_h") == F.col("_s")) | (F.col("_l") == F.col("_s"))
-    held = F.col("_t").contains(F.col("_low"))
-    stage = F.when(here & same, 1).when(here & held, 2).when(held, 3)
-    # each way to meet is a join by equality; what met in several ways counts once
-    ways = own.join(c, F.col("_s") == F.col("_h")).unionByName(own.join(c, F.col("_s") == F.col("_l"))).unionByName(holding(own, "_low", c, "_t"))
-    met = ways.withColumn("stage", stage).filter("stage is not null").dropDuplicates(["address", "id"])
-    first = met.withColumn("_m", F.min("stage").over(Window.partitionBy("address"))).filter("stage = _m")
-    ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("address").orderBy("id"))).withColumn("n", F.count("*").over(Window.partitionBy("address")))
-    some = ranked.filter(F.col("_n") <= most).groupBy("address").agg(F.max("n").alias("n"), F.min("stage").alias("stage"), F.array_sort(F.collect_list("id")).alias("ids"))
+    own = own.select("address", "_file", slug(F.col("_head")).alias("_s"), F.lower("_head").alias("_low"))
+    within = own.filter("_file is not null")
+    c = chunks.select("id", F.lower("filename").alias("_f"), F.lower("heading").alias("_t")).filter("_t is not null").distinct().withColumns({"n": F.lit(1).cast("long"), "ids": F.array("id")})
+    parts = F.split("_f", "/")
+    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    inside = c.filter("_f is not null").withColumn("_file", F.explode(names)).join(within.select("_file").distinct(), "_file", "left_semi")
+    inside = _pooled(inside, ["_file", "_t"], most)
+    anywhere = _pooled(c.drop("_f").distinct(), ["_t"], most)
+    stage = lambda rows, answers, by, no: rows.join(answers, by).select("address", F.lit(no).alias("stage"), "n", "ids")
+
+    def held(rows: DataFrame, heads: DataFrame, by: list[str]) -> DataFrame:
+        found = holding(rows.select(*by, "_low").distinct(), "_low", heads.select(*by, "_t"), "_t", tuple(by)).select(*by, "_low", "_t")
+        return _pooled(found.join(heads, [*by, "_t"]), [*by, "_low"], most)
+
+    first = stage(within, _pooled(_slugged(inside), ["_file", "_s"], most), ["_file", "_s"], 1).unionByName(stage(within, held(within, inside, ["_file"]), ["_file", "_low"], 2))
+    by_slug = _pooled(_slugged(anywhere), ["_s"], most)
+    loose = own.filter("_file is null")
+    rest = within.join(first.select("address").distinct(), "address", "left_anti")
+    everywhere = held(loose.unionByName(rest), anywhere, [])
+    found = first.unionByName(stage(loose, by_slug, ["_s"], 1)).unionByName(stage(loose, everywhere, ["_low"], 2)).unionByName(stage(rest, everywhere, ["_low"], 3))
+    found = found.unionByName(stage(rest.filter("_low = ''"), by_slug, ["_s"], 3))  # an empty heading is the same as one without letters
+    best = found.groupBy("address").agg(F.min(F.struct("stage", "n", "ids")).alias("b")).select("address", "b.n", "b.stage", "b.ids")
     outcome = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "found").when(F.col("n") > most, "narrow").otherwise("ambiguous")
-    return asked.select("address").distinct().join(some, "address", "left").withColumn("outcome", outcome)
+    return asked.select("address").distinct().join(best, "address", "left").withColumn("outcome", outcome)
 
 
 def extract_entities(chunks: DataFrame, extract: Callable[[str], list[tuple[str, str, str | None, str | None]]] | None = None, most: int = 200) -> DataFrame:

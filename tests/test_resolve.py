@@ -69,3 +69,31 @@ def test_a_needle_meets_its_rarest_run_only(spark):
     assert got == {(n, h) for n in needles if n for h in names if n in h}
     met = {r["needle"]: r["n"] for r in R.meeting(asked, "needle", rows, "hay").groupBy("needle").count().withColumnRenamed("count", "n").collect()}
     assert met["the chapter 0777"] <= 60 and met["chapter 14"] <= 150 and "the chapters" not in met and "zzz" not in met
+
+
+def test_addresses_of_sections_meet_their_file_and_not_all_equal_headings(spark):
+    """Many files under one heading: the rows of the plan grow with the addresses, not with their square; odd addresses are answered as before."""
+    n = 1500
+    rows = [(f"{i:05}", f"deep/d{i}.md", "Top > Part 1") for i in range(n)] + [("x1", "q/x.md", "Alpha"), ("x2", "x.md", "alpha beta"), ("x2", "x.md", "alpha beta"), ("x3", "x.md", "!!"), ("x4", None, "Gamma")]
+    chunks = spark.createDataFrame(rows, "id string, filename string, heading string")
+    odd = {"x.md > ALPHA": ("ambiguous", 1, ["x1"]), "x.md > beta": ("found", 2, ["x2"]), "q/x.md > beta": ("found", 3, ["x2"]), "x.md > gamma": ("found", 3, ["x4"]), "part 1": ("narrow", 1, [f"{i:05}" for i in range(10)]), "top": ("narrow", 2, [f"{i:05}" for i in range(10)]),
+           "x.md > part": ("narrow", 3, [f"{i:05}" for i in range(10)]), "a": ("narrow", 2, [f"{i:05}" for i in range(10)]), "q/x.md > !": ("found", 3, ["x3"]), "q/x.md > ": ("found", 3, ["x3"]), "y.md > zz": ("missing", None, None), "d7.md > part-1": ("found", 1, ["00007"])}
+    odd["x.md > ALPHA"] = ("found", 1, ["x1"])
+    asked = spark.createDataFrame([(f"d{i}.md > part-1",) for i in range(n)] + [(a,) for a in odd] + [(None,)], "address string")
+    out = R.resolve_sections(asked, chunks)
+    got = {r["address"]: (r["outcome"], r["stage"], r["ids"]) for r in out.collect()}
+    assert {a: got[a] for a in odd} == odd and got[None][0] == "missing"
+    assert all(got[f"d{i}.md > part-1"] == ("found", 1, [f"{i:05}"]) for i in range(n))
+    met = []
+    plan = [out._jdf.queryExecution().executedPlan()]
+    while plan:
+        node = plan.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if "Join" in node.nodeName():
+            met.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+    assert met and max(met) < 100 * n
