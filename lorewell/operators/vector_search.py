@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import canonical, tier_weight
 from lorewell.functions.vectors import cosine
+from lorewell.sources import files as S
 
-#: Rows of one side that meet in a task of the neighbour join.
-BLOCK_ROWS = 4096
+#: Rows and bytes of a block of vectors; bytes of the blocks of one side that a task of the neighbour join goes through.
+BLOCK_ROWS, BLOCK_BYTES, SIDE_BYTES = 4096, 8 << 20, 64 << 20
 
 
 def search(chunks: DataFrame, query: list[float], k: int = 5, vector: str = "vector", key: str = "id") -> DataFrame:
@@ -66,17 +68,68 @@ def matrix(blobs: list[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), float).reshape(len(blobs), dim)
 
 
+class Best:
+    """The k rows seen that are most similar to each asked row: ties (of nine digits) to the smaller key, none to itself.  Products in single precision tell
+    which pairs may be among them, by more than these can be off; the cosines are of double precision."""
+
+    def __init__(self, asked: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None):
+        self.asked, self.x, self.k = asked, x, k
+        self.short, self.slack = x.astype(np.float32), 1e-9 + 1.2e-7 * (x.shape[1] + 8)
+        self.least = np.full(len(asked), -np.inf) if least is None else least  # the k-th cosine so far, or what is known not to be above it
+        self.row, self.key, self.cos = np.empty(0, np.int64), asked[:0], np.empty(0)
+
+    def see(self, keys: np.ndarray, y: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Rows in order of their keys, for all asked rows or those of the places ``which``."""
+        which = np.arange(len(self.asked)) if which is None else which
+        rows, cols, found, short = [], [], [], y.astype(np.float32)
+        for lo in range(0, len(which), 256):
+            some = which[lo : lo + 256]
+            near = self.short[some] @ short.T
+            first, last = (np.searchsorted(keys, self.asked[some], side) for side in ("left", "right"))
+            for i in np.flatnonzero(last > first):
+                near[i, first[i] : last[i]] = -np.inf
+            bound = self.least[some] - self.slack
+            if len(keys) > self.k and np.isneginf(bound).any():
+                bound = np.maximum(bound, np.partition(near, len(keys) - self.k, axis=1)[:, len(keys) - self.k] - 2 * self.slack)
+            at = np.flatnonzero(near >= np.nextafter(bound.astype(np.float32), np.float32(-np.inf))[:, None])
+            r, c = np.divmod(at[np.isfinite(near.ravel()[at])], len(keys))
+            crowd = np.flatnonzero(np.bincount(r, minlength=len(some)) > 16 * self.k)  # many ties, of which the first are enough
+            if len(crowd):
+                apart = ~np.isin(r, crowd)
+                r, c = r[apart], c[apart]
+                for i in crowd:
+                    value = y @ self.x[some[i]]
+                    value[first[i] : last[i]] = -np.inf
+                    top = np.argsort(-np.round(value, 9), kind="stable")[: self.k]
+                    r, c = np.append(r, np.full(len(top), i)), np.append(c, top)
+                apart = np.isfinite(near[r, c])
+                r, c = r[apart], c[apart]
+            rows.append(some[r])
+            cols.append(c)
+            found.append(np.einsum("ij,ij->i", self.x[some[r]], y[c]))
+        if sum(map(len, rows)):
+            self._take(np.concatenate(rows), keys[np.concatenate(cols)], np.concatenate(found))
+
+    def _take(self, row: np.ndarray, key: np.ndarray, cos: np.ndarray) -> None:
+        row, key, cos = np.concatenate([self.row, row]), np.concatenate([self.key, key]), np.concatenate([self.cos, cos])
+        order = np.lexsort((key, -np.round(cos, 9), row))
+        row, key, cos = row[order], key[order], cos[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kth = place == self.k - 1
+        self.least[row[kth]] = np.maximum(self.least[row[kth]], np.round(cos[kth], 9))
+        self.row, self.key, self.cos = (v[place < self.k] for v in (row, key, cos))
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        """src, dst, cos."""
+        return pa.RecordBatch.from_arrays([pa.array(self.asked[self.row], kind), pa.array(self.key, kind), pa.array(self.cos)], ["src", "dst", "cos"])
+
+
 def best_pairs(asked: np.ndarray, x: np.ndarray, keys: np.ndarray, y: np.ndarray, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """src, dst, cos: the k rows of y most similar to each of x, ties to the smaller key, none to itself."""
+    """src, dst, cos: the k rows of y most similar to each of x."""
     order = np.argsort(keys, kind="stable")
-    keys, y = keys[order], y[order]
-    for lo in range(0, len(asked), 512):
-        cos = x[lo : lo + 512] @ y.T
-        cos[asked[lo : lo + 512, None] == keys[None]] = -np.inf
-        top = np.argsort(-np.round(cos, 9), axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(cos, top, 1)
-        there = np.isfinite(value)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[lo : lo + 512], there.sum(1)), kind), pa.array(keys[top][there], kind), pa.array(value[there])], ["src", "dst", "cos"])
+    best = Best(asked, x, k)
+    best.see(keys[order], y[order])
+    yield best.rows(kind)
 
 
 def _meet(k: int, kind: str):
@@ -85,7 +138,7 @@ def _meet(k: int, kind: str):
 
     def flush(dim: int, a: list, b: list) -> Iterator[pa.RecordBatch]:
         if a and b:
-            yield from best_pairs(np.array([x[0] for x in a]), matrix([x[1] for x in a], dim), np.array([x[0] for x in b]), matrix([x[1] for x in b], dim), k, arrow)
+            yield from best_pairs(array_of([x[0] for x in a], arrow), matrix([x[1] for x in a], dim), array_of([x[0] for x in b], arrow), matrix([x[1] for x in b], dim), k, arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
@@ -106,31 +159,80 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _blocks(units: DataFrame) -> DataFrame:
-    """dim, blocks: how many blocks the rows of each vector length are dealt into."""
-    return units.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+def blocks(units: DataFrame, path: str) -> DataFrame:
+    """block, dim, n, keys, units: rows (key, dim, unit) in blocks of one vector length, each in order of its keys; written to ``path``."""
+    spark = units.sparkSession
+    kind = dict(units.dtypes)["key"]
+    arrow = pa.string() if kind == "string" else pa.int64()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count, now, keys, held = TaskContext.get().partitionId(), 0, None, [], []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}/{count}"]), pa.array([now], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([keys], pa.list_(arrow)), pa.array([b"".join(held)], pa.binary())], ["block", "dim", "n", "keys", "units"])
+
+        for batch in batches:
+            for key, dim, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                if keys and (dim != now or len(keys) >= min(BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * dim)))):
+                    yield flush()
+                    count, keys, held = count + 1, [], []
+                now = dim
+                keys.append(key)
+                held.append(unit)
+        if keys:
+            yield flush()
+
+    dealt = units.repartition(2 * spark.sparkContext.defaultParallelism, "key").sortWithinPartitions("dim", "key")
+    return S.stored(dealt.mapInArrow(pack, f"block string, dim int, n long, keys array<{kind}>, units binary"), path)
+
+
+def every_pair(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Every block asked (columns of ``blocks``, and maybe others) with every row of ``held`` (n, dim, ...) of its vector length, those of a block one after another.  Written
+    tables are read where they meet, and nothing is shuffled; a task goes through some SIDE_BYTES of ``held`` for each of its blocks."""
+    asked.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
+    size = held.agg(F.sum(F.col("n") * F.col("dim") * 8)).first()[0] or 0
+    other = held.coalesce(1 + size // SIDE_BYTES)
+    left = asked.drop("n").withColumnsRenamed({"keys": "asked", "units": "asked_units"})
+    return left.alias("a").join(other.alias("b").hint("shuffle_replicate_nl"), F.col("a.dim") == F.col("b.dim")).select("a.*", *[f"b.{c}" for c in held.columns if c not in ("block", "dim", "n")])
+
+
+def array_of(keys: list, kind: pa.DataType) -> np.ndarray:
+    return np.array(keys, str if kind == pa.string() else np.int64)
 
 
 def nearest(rows: DataFrame, k: int = 12, key: str = "id", vector: str = "vector", asked: DataFrame | None = None) -> DataFrame:
     """(src, dst, cos, rank): the k most similar other rows of every row, or of every row of ``asked``, ties to the smaller key.
 
     Vectors meet those of their own length; null, zero and otherwise unusable ones have no neighbours and are nobody's.  Exact, hence quadratic in
-    arithmetic (asked times all): rows are dealt into blocks, every pair of blocks is one
-    matrix product in a task, which passes on k rows for each of its left rows; memory is bounded by
-    the block size.  See ``neighbour_index`` for an index that skips what cannot hold neighbours."""
-    own = unit_rows(rows, key, vector)
-    ask = own if asked is None else unit_rows(asked, key, vector)
-    kind = dict(own.dtypes)["key"]
-
-    def dealt(these: DataFrame, mine: str, other: str, side: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("key"), F.col(f"{mine}_blocks")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-        both = these.join(parts, "dim").withColumn(mine, block).withColumn(other, every)
-        return both.select("dim", "i", "j", F.lit(side).alias("side"), "key", "unit")
+    arithmetic (asked times all): rows are written in blocks, and a task takes some blocks through a part of all others (``every_pair``), a matrix product
+    each, and passes on k rows for each row and part; memory is bounded by blocks and part, and a vector is shuffled once.  The result is
+    written, so that it is computed once however often it is read.  See ``neighbour_index`` for an index that skips what cannot hold neighbours."""
+    spark, work = rows.sparkSession, S.work_folder(rows.sparkSession, "nearest")
+    own = blocks(unit_rows(rows, key, vector), f"{work}/own")
+    ask = own if asked is None else blocks(unit_rows(asked, key, vector), f"{work}/asked")
+    kind = dict(own.dtypes)["keys"].removeprefix("array<").removesuffix(">")
+    arrow = pa.string() if kind == "string" else pa.int64()
 
-    parts = F.broadcast(_blocks(ask).withColumnRenamed("blocks", "i_blocks").join(_blocks(own).withColumnRenamed("blocks", "j_blocks"), "dim"))  # one row for each vector length
-    met = dealt(ask, "i", "j", 0).unionByName(dealt(own, "j", "i", 1)).repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j")
-    return ranked(met.mapInArrow(_meet(k, kind), f"src {kind}, dst {kind}, cos double"), k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, dim = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if block != now:
+                    if best is not None:
+                        yield best.rows(arrow)
+                    at = array_of(batch.column(2)[i].as_py(), arrow)
+                    now, best = block, Best(at, np.frombuffer(batch.column(3)[i].as_py(), float).reshape(len(at), dim), k)
+                keys = array_of(batch.column(4)[i].as_py(), arrow)
+                best.see(keys, np.frombuffer(batch.column(5)[i].as_py(), float).reshape(len(keys), dim))
+        if best is not None:
+            yield best.rows(arrow)
+
+    found = every_pair(ask, own).mapInArrow(run, f"src {kind}, dst {kind}, cos double")
+    out = S.stored(ranked(found, k), f"{work}/found")
+    for name in ("own", "asked"):
+        S.remove(spark, f"{work}/{name}")
+    return out
 
 
 def draw_centres(sample: np.ndarray, n: int, seed: int, rounds: int = 4) -> np.ndarray:

@@ -62,3 +62,29 @@ def test_empty(spark, tmp_path):
     own = NeighbourIndex(spark, str(tmp_path / "ix")).build(df)
     found, work = own.nearest(3)
     assert found.count() == 0 and work.count() == 0 and V.nearest(df, 3).count() == 0
+
+
+def test_blocks_meet_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Vectors are shuffled once, however many blocks there are."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(V, "SIDE_BYTES", 1 << 15)
+    own = rows()
+    df = spark.createDataFrame(own, "id string, vector array<double>")
+    blocks = V.blocks(V.unit_rows(df, "id", "vector"), str(tmp_path / "blocks"))
+    assert blocks.count() > 60 and blocks.agg({"n": "max"}).first()[0] == 16
+    plan = V.every_pair(blocks, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan.replace("BroadcastExchange", "Exchange")
+    assert {(r["src"], r["dst"], r["rank"]) for r in V.nearest(df, 5).collect()} == brute(own, 5)
+
+
+def test_best_rows_do_not_hang_on_the_order_of_blocks():
+    draw = np.random.default_rng(3)
+    base, unit = draw.standard_normal((5, 6)), lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    some = lambda n: unit(np.where(draw.random((n, 1)) < 0.6, base[draw.integers(0, 5, n)], draw.standard_normal((n, 6))))
+    x, y, asked, keys = some(300), some(500), draw.integers(0, 400, 300), np.sort(draw.permutation(1000)[:500])
+    best = V.Best(asked, x, 4)
+    for part in np.split(draw.permutation(500), (90, 350)):  # many copies, and both sides of a tie in different blocks
+        part = np.sort(part)
+        best.see(keys[part], y[part])
+    cos = np.round(x @ y.T, 9)
+    assert list(zip(best.row, best.key)) == [(i, keys[j]) for i in range(300) for j in sorted((j for j in range(500) if keys[j] != asked[i]), key=lambda j: (-cos[i, j], keys[j]))[:4]]
