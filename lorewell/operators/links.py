@@ -86,6 +86,28 @@ def _sentences(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 FEW_NAMES, FEW_CHARS = 20_000, 1 << 20
 
 
+def _settled(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str, longest: int, few: int) -> tuple[DataFrame, DataFrame] | None:
+    """Sentences with their settled mentions (_hits: at, end, alias, in order), and the names as a small table; nothing if there are more than ``few`` names."""
+    own = _sentences(texts, keys, text)
+    size = F.size(F.split("alias", " "))
+    found = aliases.select("alias", "source", "filename", size.alias("n")).limit(few + 1).collect()
+    if len(found) > few or sum(len(r["alias"]) for r in found) > FEW_CHARS:
+        return None
+    if not found:
+        own = own.limit(0)
+    most = min(longest, max((r["n"] for r in found), default=1))
+    names, first = [r["alias"] for r in found] or [""], sorted({r["alias"].split(" ")[0] for r in found}) or [""]
+    w = F.col("_w")
+    starts = F.filter(F.transform(w, lambda x, i: F.when(x.isin(first), i + 1)), lambda at: at.isNotNull())
+    runs = lambda at: F.transform(F.sequence(F.least(F.lit(most), F.size(w) - at + 1), F.lit(1), F.lit(-1)), lambda n: F.struct(at.alias("at"), (at + n - 1).alias("end"), F.array_join(F.slice(w, at, n), " ").alias("alias")))
+    hits = F.filter(F.flatten(F.transform(starts, runs)), lambda x: x["alias"].isin(names))
+    # of a start's hits the longest comes first; a hit goes if one before it, which cannot begin more than ``most`` words before, ends at its start or behind
+    within = lambda hs, x, i: F.exists(F.slice(hs, F.greatest(i + 1 - most * most, F.lit(1)), F.least(i, F.lit(most * most))), lambda y: y["end"] >= x["at"])
+    settled = let(hits, lambda hs: F.filter(hs, lambda x, i: ~within(hs, x, i))) if most > 1 else hits
+    pages = texts.sparkSession.createDataFrame([(r["alias"], r["source"], r["filename"]) for r in found], "alias string, source string, filename string")
+    return own.withColumn("_hits", settled), pages
+
+
 def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str = "content", longest: int = 6, few: int = FEW_NAMES) -> DataFrame:
     """keys, sentence_no, sentence, _w, at, end, alias, source, filename: pages named in sentences, by runs of up to ``longest`` words; a mention within, or
     begun within, another goes.
@@ -93,23 +115,13 @@ def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str =
     Only at words that some name begins with are runs put together, of no more words than the longest such name has.  Up to ``few`` names are
     looked up and settled sentence by sentence, without a shuffle, and sentences without a name end there.  More names than that meet the
     places (not the sentences) by joins: first words first, then the runs, and the hits fetch their sentence."""
+    known = _settled(texts, keys, aliases, text, longest, few)
+    if known is not None:
+        settled, pages = known
+        named = settled.select(*keys, "sentence_no", "sentence", "_w", F.explode_outer("_hits").alias("x")).filter("x is not null").select(*keys, "sentence_no", "sentence", "_w", "x.at", "x.end", "x.alias")
+        return named.join(F.broadcast(pages), "alias").select(*keys, "sentence_no", "sentence", "_w", "at", "end", "alias", "source", "filename")
     own = _sentences(texts, keys, text)
     size = F.size(F.split("alias", " "))
-    found = aliases.select("alias", size.alias("n")).limit(few + 1).collect()
-    if len(found) <= few and sum(len(r["alias"]) for r in found) <= FEW_CHARS:
-        if not found:
-            own = own.limit(0)
-        most = min(longest, max((r["n"] for r in found), default=1))
-        names, first = [r["alias"] for r in found] or [""], sorted({r["alias"].split(" ")[0] for r in found}) or [""]
-        w = F.col("_w")
-        starts = F.filter(F.transform(w, lambda x, i: F.when(x.isin(first), i + 1)), lambda at: at.isNotNull())
-        runs = lambda at: F.transform(F.sequence(F.least(F.lit(most), F.size(w) - at + 1), F.lit(1), F.lit(-1)), lambda n: F.struct(at.alias("at"), (at + n - 1).alias("end"), F.array_join(F.slice(w, at, n), " ").alias("alias")))
-        hits = F.filter(F.flatten(F.transform(starts, runs)), lambda x: x["alias"].isin(names))
-        # of a start's hits the longest comes first; a hit goes if one before it, which cannot begin more than ``most`` words before, ends at its start or behind
-        within = lambda hs, x, i: F.exists(F.slice(hs, F.greatest(i + 1 - most * most, F.lit(1)), F.least(i, F.lit(most * most))), lambda y: y["end"] >= x["at"])
-        settled = let(hits, lambda hs: F.filter(hs, lambda x, i: ~within(hs, x, i))) if most > 1 else hits
-        named = own.select(*keys, "sentence_no", "sentence", "_w", F.explode_outer(settled).alias("x")).filter("x is not null").select(*keys, "sentence_no", "sentence", "_w", "x.at", "x.end", "x.alias")
-        return named.join(F.broadcast(aliases), "alias").select(*keys, "sentence_no", "sentence", "_w", "at", "end", "alias", "source", "filename")
     heads = aliases.groupBy(F.split_part("alias", F.lit(" "), F.lit(1)).alias("head")).agg(F.max(size).alias("most"))
     places = own.select(*keys, "sentence_no", F.posexplode("_w").alias("pos", "head")).join(heads, "head")
     back = lambda left: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "sentence_no")]
@@ -121,6 +133,25 @@ def mentions(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str =
     return kept.alias("k").join(own.alias("s"), back("k")).select(*[F.col(f"k.{k}").alias(k) for k in keys], F.col("k.sentence_no").alias("sentence_no"), "s.sentence", "s._w", "k.at", "k.end", "k.alias", "k.source", "k.filename")
 
 
+def bridged(texts: DataFrame, keys: list[str], aliases: DataFrame, text: str = "content", longest: int = 6, few: int = FEW_NAMES) -> DataFrame:
+    """``bridges`` of the ``mentions`` in texts.  Up to ``few`` names are settled and paired sentence by sentence, and only pairs without their sentence's words are shuffled.
+    There every name's first mention is a subject, of which a page has several: the first of these is among them."""
+    known = _settled(texts, keys, aliases, text, longest, few)
+    if known is None:
+        return bridges(mentions(texts, keys, aliases, text, longest, few), keys)
+    settled, pages = known
+    connecting = lambda named: F.filter(F.transform("_w", lambda x, i: F.when(x.rlike("^[a-z]{3,}$") & ~x.isin(*GLUE) & ~F.array_contains(named, x), i + 1)), lambda at: at.isNotNull())
+    subject = lambda name, places: let(F.get(F.filter("_hits", lambda x: x["alias"] == name), 0), lambda x: F.struct(x["at"].alias("at"), name.alias("alias"), F.get(F.filter(places, lambda p: p > x["end"]), 0).alias("after")))
+    named = F.when(F.size("_hits") > 1, F.array_distinct(F.transform("_hits", lambda x: x["alias"])))
+    subjects = let(named, lambda names: F.when(F.size(names) > 1, let(connecting(names), lambda places: F.transform(names, lambda n: subject(n, places)))))
+    begun = settled.select(*keys, "sentence_no", "sentence", "_hits", F.explode_outer(subjects).alias("s")).filter("s.after is not null")
+    later = F.filter("_hits", lambda x: (x["at"] > F.col("s.after")) & (x["alias"] != F.col("s.alias")))
+    met = begun.select(*keys, "sentence_no", "sentence", "s", F.explode_outer(later).alias("b")).filter("b is not null").select(*keys, "sentence_no", F.left("sentence", F.lit(500)).alias("evidence"), F.col("s.at").alias("at"), F.col("b.at").alias("at_b"), F.col("s.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
+    side = lambda k: F.broadcast(pages.select(F.col("alias").alias(f"{k}_match"), F.col("source").alias(f"{k}_source"), F.col("filename").alias(f"{k}_file")))
+    pairs = met.join(side("subject"), "subject_match").join(side("object"), "object_match").filter((F.col("subject_file") != F.col("object_file")) | (F.col("subject_source") != F.col("object_source")))
+    return _first_of_pairs(pairs, keys)
+
+
 def bridges(found: DataFrame, keys: list[str]) -> DataFrame:
     """Ordered pairs of different pages in a sentence with a connecting word between them, one for
     each pair and text: the first sentence.  A connecting word has three letters and is neither glue nor another mention of the sentence.
@@ -139,6 +170,10 @@ def bridges(found: DataFrame, keys: list[str]) -> DataFrame:
     on = [*same("a", "b", place), F.col("b.at") > F.col("a._after")]
     pairs = begun.alias("a").join(later.alias("b"), on).filter((F.col("a.filename") != F.col("b.filename")) | (F.col("a.source") != F.col("b.source")))
     pairs = pairs.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.sentence_no").alias("sentence_no"), F.col("a.sentence").alias("evidence"), F.col("a.at").alias("at"), F.col("b.at").alias("at_b"), F.col("a.source").alias("subject_source"), F.col("a.filename").alias("subject_file"), F.col("b.source").alias("object_source"), F.col("b.filename").alias("object_file"), F.col("a.alias").alias("subject_match"), F.col("b.alias").alias("object_match"))
+    return _first_of_pairs(pairs, keys)
+
+
+def _first_of_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     best = F.min_by(F.struct("evidence", "subject_match", "object_match"), F.struct("sentence_no", "at", "at_b"))
     return pairs.groupBy(*keys, "subject_source", "subject_file", "object_source", "object_file").agg(best.alias("f")).select(*keys, "subject_source", "subject_file", "object_source", "object_file", F.left("f.evidence", F.lit(500)).alias("evidence"), "f.subject_match", "f.object_match")
 
@@ -154,7 +189,7 @@ def prose_edges(chunks: DataFrame, aliases: DataFrame, goals_in: DataFrame | Non
     ``chunks`` are some of all chunks."""
     keys = ["id", "own_source", "own_file"]
     own = chunks.select("id", F.col("source").alias("own_source"), F.col("filename").alias("own_file"), "content")
-    found = bridges(mentions(own, keys, aliases), keys)
+    found = bridged(own, keys, aliases)
     subject = (F.col("subject_file") == F.col("own_file")) & (F.col("subject_source") == F.col("own_source"))
     object_ = (F.col("object_file") == F.col("own_file")) & (F.col("object_source") == F.col("own_source"))
     other = F.when(subject, F.struct(F.col("object_source").alias("source"), F.col("object_file").alias("filename"))).when(object_, F.struct(F.col("subject_source").alias("source"), F.col("subject_file").alias("filename")))

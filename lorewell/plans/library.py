@@ -109,8 +109,8 @@ def page_mentions(spark, sf_dir):
  SELECT DISTINCT doc_id, 'wiki/' || s || '.md' AS subject_file, 'wiki/' || o || '.md' AS object_file FROM p""")
 def page_bridges(spark, sf_dir):
     """Pages that a document brings together in a sentence."""
-    found = links.mentions(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), ["doc_id"], page_names(spark, sf_dir))
-    return links.bridges(found, ["doc_id"]).select("doc_id", "subject_file", "object_file")
+    found = links.bridged(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), ["doc_id"], page_names(spark, sf_dir))
+    return found.select("doc_id", "subject_file", "object_file")
 
 
 PHRASES = r"""b AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '[-_]', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM benchmark),

@@ -108,6 +108,19 @@ def test_bridges(spark):
     assert {(r["target_file"], r["weight"]) for r in edges} == {("wiki/cortisol.md", 0.5)}
 
 
+def test_bridges_within_sentences_are_those_of_the_joins(spark):
+    """Pairs made sentence by sentence, and by joins; no word of a sentence is shuffled."""
+    names = spark.createDataFrame([("alpha", "k", "a.md"), ("first alpha", "k", "a.md"), ("beta", "k", "b.md"), ("gamma ray", "c", "b.md"), ("delta", "k", "d.md")], "alias string, source string, filename string")
+    texts = ["Alpha meets beta and alpha sees beta.", "First alpha or beta. Beta of `alpha` with delta near [[beta]] alpha.", "Gamma ray burns beta then alpha, first alpha met delta.", "beta", "alpha beta delta", "Delta, alpha then delta.", "Gamma-ray lights first-alpha lights gamma ray.", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    found = links.bridged(docs, ["id"], names)
+    want = rows(links.bridges(links.mentions(docs, ["id"], names), ["id"]))
+    assert rows(found) == want == rows(links.bridged(docs, ["id"], names, few=2)) and len(want) >= 6
+    plan = found.select("id", "subject_file", "object_file")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_structure_and_hierarchy(spark):
     files, rows = corpus(spark)
     nodes, edges = index.structure_nodes(rows, files)
