@@ -12,6 +12,8 @@ reaches nothing.  Other columns of the edges are kept for ``subgraph``; they may
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,29 +21,34 @@ from lorewell.operators import graph
 from lorewell.sources import bucketed
 from lorewell.sources import files as S
 
-#: Slots that are written into the scan.
-FEW_SLOTS = 256
+#: Slots that are written into the scan; edges for which there is one bucket at least.
+FEW_SLOTS, BUCKET_EDGES = 256, 1 << 20
 
 
 class AdjacencyIndex:
-    """``path``: a folder that all executors share, new for each build.  ``buckets``: files of each table, some 100 MB each at best."""
+    """``path``: a folder that all executors share, new for each build.  ``buckets``: files of each table at least; there are more where the edges are
+    many, so that none grows with the graph."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, per_slot: int = 50_000):
         self.spark, self.path, self.buckets, self.per_slot = spark, path.rstrip("/"), buckets, per_slot
 
     def build(self, edges: DataFrame) -> AdjacencyIndex:
-        ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).filter("node is not null")
+        edges = S.stored(edges, f"{self.path}/given")  # read once for each table
+        buckets = max(self.buckets, edges.count() // BUCKET_EDGES)
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).filter("node is not null")
         count = ends.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > self.per_slot)
         count.select("node", F.ceil(F.col("n") / self.per_slot).cast("int").alias("shards")).write.parquet(f"{self.path}/hubs")
         hubs = self.hubs()
-        self._write("near", graph.neighbors(edges).filter("node is not null"), "node", "neighbor", hubs)
-        self._write("edges", edges.filter("src is not null"), "src", "dst", hubs)
+        near = graph.adjacency(edges.select("src", "dst", "edge_type", "weight").filter("weight >= 0")).filter("node is not null")
+        self._write("near", near, "node", "neighbor", hubs, buckets, lambda dealt: graph.heaviest(dealt, "slot").select("node", "neighbor", "edge_type", "weight", "direction", "slot"))
+        self._write("edges", edges.filter("src is not null"), "src", "dst", hubs, buckets)
+        S.remove(self.spark, f"{self.path}/given")
         return self
 
-    def _write(self, name: str, rows: DataFrame, node: str, other: str, hubs: DataFrame) -> None:
+    def _write(self, name: str, rows: DataFrame, node: str, other: str, hubs: DataFrame, buckets: int, settle: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> None:
         sharded = rows.join(hubs.select(F.col("node").alias("_hub"), "shards"), F.col(node) == F.col("_hub"), "left")
         shard = F.when(F.col("shards").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("shards")))
-        bucketed.write(sharded.select(*rows.columns, _slot(shard, F.col(node)).alias("slot")), f"{self.path}/{name}", "slot", self.buckets)
+        bucketed.write(sharded.drop("_hub"), f"{self.path}/{name}", "slot", buckets, lambda dealt: settle(dealt.drop("shards")), _slot(shard, F.col(node)))
 
     def hubs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/hubs")

@@ -49,8 +49,14 @@ def neighbors(edges: DataFrame, nodes: DataFrame | None = None, edge_type: str |
     near = adjacency(edges.filter(F.col("weight") >= max(0.0, min_weight)))
     if nodes is not None:
         near = near.join(nodes.select(F.col("id").alias("neighbor")), "neighbor", "left_semi")
+    return heaviest(near)
+
+
+def heaviest(near: DataFrame, *by: str) -> DataFrame:
+    """Of rows of ``adjacency`` the heaviest for each of ``by``, node, neighbor and edge type; ties to the outgoing one."""
+    own = [*by, "node", "neighbor", "edge_type"]
     best = F.max(F.struct("weight", F.when(F.col("direction") == "out", 1).otherwise(0).alias("o"), "direction"))
-    return near.groupBy("node", "neighbor", "edge_type").agg(best.alias("b")).select("node", "neighbor", "edge_type", F.col("b.weight").alias("weight"), F.col("b.direction").alias("direction"))
+    return near.groupBy(*own).agg(best.alias("b")).select(*own, F.col("b.weight").alias("weight"), F.col("b.direction").alias("direction"))
 
 
 def parse_edge_types(text: str, known: tuple[str, ...] = EDGE_TYPES) -> tuple[tuple[str, ...], bool]:

@@ -187,7 +187,7 @@ def _item_index(spark: SparkSession, sf_dir: str) -> tuple[AdjacencyIndex, DataF
     """The kept adjacency of orders, suppliers and their parts, and the first five parts to start from."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     named = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
-    pairs = lambda k, c, kind: items.groupBy(named(k, c).alias("src"), named("p", "l_partkey").alias("dst")).agg(F.round(F.max("l_quantity") / 50, 2).cast("double").alias("weight")).select("src", "dst", F.lit(kind).alias("edge_type"), "weight")
+    pairs = lambda k, c, kind: items.groupBy(c, "l_partkey").agg(F.max("l_quantity").alias("most")).select(named(k, c).alias("src"), named("p", "l_partkey").alias("dst"), F.lit(kind).alias("edge_type"), F.round(F.col("most") / 50, 2).cast("double").alias("weight"))
     edges = pairs("o", "l_orderkey", "references").unionByName(pairs("s", "l_suppkey", "similar"))
     own = AdjacencyIndex(spark, S.work_folder(spark, "adjacency"), buckets=16, per_slot=64).build(edges)
     starts = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").limit(5).select(named("p", "p_partkey").alias("start"))

@@ -81,3 +81,22 @@ def test_a_step_shuffles_the_frontier_only(spark, wide, no_broadcast):
         if indent(line) < depth:
             depth = indent(line)
             assert "Exchange" not in line, text
+
+
+def test_a_build_reads_its_edges_once_and_has_buckets_by_their_number(spark, monkeypatch):
+    from lorewell.operators import adjacency
+
+    monkeypatch.setattr(adjacency, "BUCKET_EDGES", 50)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(1000).selectExpr("concat('n', id % 40) as src", "concat('m', id) as dst", "'similar' as edge_type", "0.5D as weight", "'x' as note")
+    own = kept(spark, edges.mapInArrow(count, edges.schema))
+    assert seen.value == 1000
+    files = own.read("near", starts(spark, *[f"m{i}" for i in range(1000)]).selectExpr("start as node", "concat('0:', start) as slot")).inputFiles()
+    assert len(files) > 8
+    assert rows(own.traverse(starts(spark, "n1"), 2)) == rows(G.traverse(edges, starts(spark, "n1"), 2))
