@@ -17,7 +17,8 @@ bounds the Jaccard distance by the two prefixes, then takes the whole sets.  Mem
 whatever shingles brought them there; the symmetric difference of two members is that of their differences from the
 centre, which are small, so a cluster is settled exactly in blocks of these differences, of which only
 links come out.  By the triangle inequality members near the centre cannot link with far ones, but for those in between;
-these and the far ones are compared in blocks, too, by the known parts of their prefixes, and what passes is compared whole.
+these and the far ones are compared in blocks, too, by the known parts of their prefixes.  What passes there leaves as rows, not as pairs, marked
+with the part of the block that hangs together by such pairs; the parts are settled by the whole sets, again in blocks of which only links come out.
 
 Shingles are told apart by 64-bit hashes of their words, in verification too: with s shingles in two compared sets
 a wrong match has a chance of about s**2 / 2**65.
@@ -278,10 +279,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # groups with the same centre go on as one
     rest = store.write(reached.join(going, "g", "left_semi").select("c", "rid", "n", "root", "away", "d").distinct(), "rest")
     store.drop(centre, placed, spots, rooted, reach, going)
-    more = _candidates(rest, active, store, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
-    known2 = _compare(more, active, blocks, by_block, store, width, percent, far + 1e-9)
-    roots = merged(roots, known2.filter("linked").select("a", "b"), store)
-    store.drop(blocks, rest, known, known2, active)
+    candidates = _candidates(rest, active, store, percent)
+    fetched = _texts(candidates.select("rid").distinct(), blocks, by_block, store)
+    roots = merged(roots, _settled(candidates, fetched, store, width, percent), store)
+    store.drop(blocks, rest, known, active, candidates, fetched)
     classes = store.write(reps.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "classes")
     least = store.few(classes.groupBy("root").agg(F.min("named").alias("k")))
     marked = store.write(classes.join(least, "root").select("s1", "s2", "n", F.col("k.doc_id").alias("component_id"), F.col("k.rid").alias("keeper")), "marked")
@@ -292,6 +293,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def _texts(wanted: DataFrame, blocks: DataFrame, by_block, store: Scratch) -> DataFrame:
+    """(rid, z): the squeezed texts of the rows ``wanted``."""
+
+    def texts(row: dict, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not replies:
+            return
+        data, ends = unsqueeze(row["data"]), np.cumsum(row["lens"])
+        at = sorted(int(x.partition(b":")[0]) for x in replies[0].split(b","))
+        yield pa.RecordBatch.from_arrays([pa.array([(row["block"] << 20) + i for i in at], pa.int64()), pa.array([squeeze(data[ends[i] - row["lens"][i] : ends[i]]) for i in at], pa.binary())], ["rid", "z"])
+
+    return store.write(with_replies(blocks, by_block(wanted), texts, "rid long, z binary"), "texts", "none")
+
+
 def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, store: Scratch, width: int, percent: int, near: float) -> DataFrame:
     """(a, b, d, linked, diff): the distance and, if that is at most ``near``, the symmetric difference; for
     pairs that by their prefixes neither can link nor seem near, a lower bound of the distance."""
@@ -317,15 +331,7 @@ def _compare(pairs: DataFrame, active: DataFrame, blocks: DataFrame, by_block, s
     asked = (F.col("low") <= far) | (F.col("guess") <= near)
     close = bounded.filter(asked)
 
-    def texts(row: dict, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if not replies:
-            return
-        data, ends = unsqueeze(row["data"]), np.cumsum(row["lens"])
-        at = sorted(int(x.partition(b":")[0]) for x in replies[0].split(b","))
-        yield pa.RecordBatch.from_arrays([pa.array([(row["block"] << 20) + i for i in at], pa.int64()), pa.array([squeeze(data[ends[i] - row["lens"][i] : ends[i]]) for i in at], pa.binary())], ["rid", "z"])
-
-    wanted = close.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    fetched = store.write(with_replies(blocks, by_block(wanted), texts, "rid long, z binary"), "texts", "none")
+    fetched = _texts(close.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), blocks, by_block, store)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -366,14 +372,14 @@ def _blocks(rows_: DataFrame, key: str, sizes: DataFrame, columns: list[str], st
     return dealt.select(F.col(key).alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _by_block(fn):
-    """``fn(rows of a pair of blocks, places of the left, places of the right)`` gives pairs (a, b)."""
+def _by_block(fn, names: tuple[str, ...] = ("a", "b")):
+    """``fn(rows of a pair of blocks, places of the left, places of the right)`` gives rows of ``names``, pairs of ids if not said otherwise."""
 
     def batch(held: list[dict]) -> pa.RecordBatch:
         side = np.array([r["own"] for r in held])
         left, right = (np.flatnonzero(side == held[0][k]) for k in ("i", "j"))
         found = fn(held, left, right) if len(left) and len(right) else []
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))], list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -452,9 +458,20 @@ def _within(spots: DataFrame, roots: DataFrame, store: Scratch, percent: int) ->
     return store.write(_blocks(rooted, "c", sizes, ["rid", "n", "root", "diff"], store).mapInArrow(_by_block(settle), "a long, b long"), "within")
 
 
+def parts_of(near: np.ndarray) -> np.ndarray:
+    """The connected parts of a symmetric matrix, each by its first row; -1 where a row has no other."""
+    label = np.full(len(near), -1)
+    for k in np.flatnonzero(near.any(1)):
+        front = np.array([k]) if label[k] < 0 else np.zeros(0, np.int64)
+        while len(front):
+            label[front] = k
+            front = np.flatnonzero(near[front].any(0) & (label < 0))
+    return label
+
+
 def _candidates(rest: DataFrame, active: DataFrame, store: Scratch, percent: int) -> DataFrame:
-    """Pairs (a < b) of the groups around a centre c, at least one of them away from the centre, that are not known to be too
-    far apart by their prefixes."""
+    """(part, rid, n, root): the rows of the groups around a centre c with others which they are not known to be too far from by their prefixes, one of
+    the two away from the centre.  A part hangs together by such pairs, within one pair of blocks; an equal part is listed once."""
     # a row with no other of about its set size in the group has no partner there; sizes are few, however many rows have them
     w = Window.partitionBy("c").orderBy("n")
     per = rest.groupBy("c", "n").agg(F.count("*").alias("k")).withColumns({"less": F.lag("n").over(w), "more": F.lead("n").over(w)})
@@ -486,15 +503,55 @@ def _candidates(rest: DataFrame, active: DataFrame, store: Scratch, percent: int
                 apart[np.ix_(l, r)] = _differences([np.unique(tops[k][tops[k] < cut]) for k in own], back[left[l]], back[right[r]])
         # by the triangle inequality: d bounds the distance from the centre, and is that of members near it
         low = np.array([r["d"] for r in held])
-        up, found = np.where(away, 1.0, low), []
+        up, near = np.where(away, 1.0, low), np.zeros((len(held), len(held)), bool)
         for lo in range(0, len(left), ROWS):
             own = left[lo : lo + ROWS]
             a, b, part = n[own][:, None], n[right][None], apart[lo : lo + ROWS].astype(np.int64)
             beyond = np.maximum(low[own][:, None] - up[right][None], low[right][None] - up[own][:, None]) > 1 - percent / 100 + 1e-9
             ok = ~beyond & (100 * (a + b - part) >= percent * (a + b + part)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (root[own][:, None] != root[right][None]) & (away[own][:, None] | away[right][None])
-            found += [(own[x], right[y]) for x, y in zip(*np.nonzero(ok))]
-        return list({(min(p, q), max(p, q)) for p, q in ((held[x]["rid"], held[y]["rid"]) for x, y in found)})
-
-    found = store.write(_blocks(tops, "g", sizes, ["rid", "n", "root", "away", "d", "top"], store).mapInArrow(_by_block(bound), "a long, b long").distinct(), "candidates")
+            near[np.ix_(own, right)] |= ok
+        near |= near.T
+        rid, label, found = np.array([r["rid"] for r in held]), parts_of(near), []
+        for k in np.unique(label[label >= 0]):
+            own = np.flatnonzero(label == k)
+            name = int(mix(mix(rid[own].astype(np.uint64)).sum(keepdims=True)).view(np.int64)[0])  # the same for the same rows
+            found += [(name, held[x]["rid"], held[x]["n"], held[x]["root"]) for x in own]
+        return found
+
+    listed = _blocks(tops, "g", sizes, ["rid", "n", "root", "away", "d", "top"], store).mapInArrow(_by_block(bound, ("part", "rid", "n", "root")), "part long, rid long, n long, root long")
+    found = store.write(listed.distinct(), "candidates")
     store.release()
     return found
+
+
+def _settled(parts: DataFrame, fetched: DataFrame, store: Scratch, width: int, percent: int) -> DataFrame:
+    """Links (a, b), enough to connect what is linked, among the rows (rid, n, root) of each part, by their whole sets; ``fetched``: their texts (rid, z)."""
+    sizes = parts.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.col("n") * 8).alias("size"))
+
+    def settle(held: list[dict], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        n = np.array([r["n"] for r in held])
+        root = np.unique([r["root"] for r in held], return_inverse=True)[1]
+        texts = [unsqueeze(r["z"]) for r in held]
+        sets = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts]), width)
+        token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        # partners are a run of the right ones by size, and so are their shingles
+        right = right[np.argsort(n[right], kind="stable")]
+        every = np.concatenate([token[ends[y] - n[y] : ends[y]] for y in right])
+        starts, own = np.concatenate(([0], np.cumsum(n[right]))), np.zeros(token.max() + 1, bool)
+        out = []
+        for x in left:
+            lo, hi = np.searchsorted(100 * n[right], percent * n[x]), np.searchsorted(percent * n[right], 100 * n[x], "right")
+            if lo == hi or (root[right[lo:hi]] == root[x]).all():
+                continue
+            mine = token[ends[x] - n[x] : ends[x]]
+            own[mine] = True
+            same = np.add.reduceat(own[every[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            own[mine] = False
+            for y in right[lo:hi][100 * same >= percent * (n[x] + n[right[lo:hi]] - same)]:
+                if root[x] != root[y]:
+                    root[root == root[y]] = root[x]
+                    out.append((held[x]["rid"], held[y]["rid"]))
+        return out
+
+    return store.write(_blocks(parts.join(fetched, "rid"), "part", sizes, ["rid", "n", "root", "z"], store).mapInArrow(_by_block(settle), "a long, b long"), "settled")

@@ -183,3 +183,37 @@ def test_words_of_two_letters_do_not_share_hashes(spark):
         word, other = word + other, other + word
     rows = similar_documents(spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 2, 3: 1}
+
+
+def test_rows_far_from_their_centre_do_not_leave_as_pairs(make_docs, monkeypatch):
+    """Copies, each with edits of its own: by their prefixes any two may link, of which none or a few do."""
+    from lorewell.llm import ngram_join
+
+    seen = []
+
+    def counted(rest, *args, f=ngram_join._candidates):
+        before = rest.count()
+        out = f(rest, *args)
+        seen.append((before, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    base = prose(1, 150)
+    rows = [(i, edited(base, 10, i)) for i in range(150)]
+    rows += [(200 + i, edited(rows[i][1], 1 + i % 3, 700 + i)) for i in range(0, 80, 8)]  # near some of them
+    check(make_docs, rows, 3, 90)
+    assert len(seen) == 1 and 150 < seen[0][0] and 100 < seen[0][1] <= 2 * seen[0][0]
+
+
+def test_parts_of_a_block_and_their_settling_in_several_blocks(make_docs, monkeypatch):
+    from lorewell.llm import ngram_join
+
+    near = np.zeros((7, 7), bool)
+    for a, b in [(0, 3), (3, 5), (1, 6)]:
+        near[a, b] = near[b, a] = True
+    assert ngram_join.parts_of(near).tolist() == [0, 1, -1, 0, -1, 0, 1]
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    base = prose(1, 150)
+    rows = [(i, edited(base, 16, i % 30)) for i in range(60)]
+    rows = [(i, edited(text, i % 4, 900 + i)) for i, text in rows]
+    check(make_docs, rows, 3, 90)
