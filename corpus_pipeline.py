@@ -20,6 +20,8 @@ from lorewell.llm.packing import pack_documents
 from lorewell.llm.queries import tokenizer_path
 from lorewell.llm.scratch import Scratch
 
+#: What packing holds at a time, in a worker: the executors' heaps have grown in the stages before, and what is left is shared by the workers.
+PACKING_MEMORY = {"group_chars": 1 << 19, "cache_words": 50_000, "batch_bytes": 2 << 20}
 #: Below this probability of the best language a document is rejected, as is one without letters.
 MIN_LANGUAGE_SCORE = 0.3
 
@@ -84,7 +86,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null text is
     empty and has its closing id only; repeated rows are packed one by one; equal lengths may change places."""
-    return pack_documents(docs, tokenizer_path(), group_chars=2 << 20, cache_words=200_000)  # earlier stages have grown the executors by now
+    return pack_documents(docs, tokenizer_path(), **PACKING_MEMORY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -172,6 +172,7 @@ def train(
                 n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], ["feature", "n"])
+        trim()
 
     counts = rows.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most 2**bits + 1 rows
     n_docs = sum(r["n"] for r in counts if r["feature"] < 0)
@@ -190,6 +191,7 @@ def train(
         for batch in batches:
             got = [feature_counts(t, bits, max_n) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0].astype("<u4").tobytes() for g in got], pa.binary()), pa.array([np.log1p(g[1]).astype("<f4").tobytes() for g in got], pa.binary())], ["h", "lang", "at", "x"])
+        trim()
 
     got = sorted(sample.mapInArrow(features, "h long, lang string, at binary, x binary").collect()) if n_docs else []
     langs = sorted({r["lang"] for r in got})

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.packed import task_number, trim
-from lorewell.llm.scratch import Scratch
+from lorewell.llm.scratch import BATCH_BYTES, Scratch, modest_batches
 
 #: Words of more characters are not cached; a cache of more words becomes the old generation.
 CACHE_WORD_CHARS, CACHE_WORDS = 64, 600_000
@@ -224,12 +224,13 @@ def place(plan: list[tuple[int, int, int, int, int, int]]) -> Callable:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 4096, end_id: int = 1, keep_ids: bool = False, group_chars: int = GROUP_CHARS, cache_words: int = CACHE_WORDS
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = 4096, end_id: int = 1, keep_ids: bool = False, group_chars: int = GROUP_CHARS, cache_words: int = CACHE_WORDS, batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids (little-endian unsigned 32-bit,
-    when ``keep_ids``), sequence_id, offset.  Documents longer than ``seq_len`` are cut.  ``group_chars`` of text are tokenised at a time, and
-    ``cache_words`` words remembered: less of either needs less memory and more time."""
+    when ``keep_ids``), sequence_id, offset.  Documents longer than ``seq_len`` are cut.  ``group_chars`` of text are tokenised at a time,
+    ``cache_words`` words remembered (twice that, with those of the old generation), and ``batch_bytes`` sent to a worker at a time: less of them needs less memory and more time."""
     store = Scratch(docs.sparkSession, "packing")
+    modest_batches(docs.sparkSession, batch_bytes)
     pieces = store.write(cut_pieces(docs, tokenizer_path, id_col, text_col, seq_len, end_id, keep_ids, group_chars, cache_words), "pieces")
     runs = store.write(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "runs")
     counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows

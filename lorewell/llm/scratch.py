@@ -35,10 +35,10 @@ def base_dir(spark: SparkSession) -> str:
 BATCH_BYTES = 8 << 20
 
 
-def modest_batches(spark: SparkSession) -> None:
+def modest_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Let this session's Arrow batches be small, as rows here may be large: a batch is held by the JVM and by
     each Python worker, besides what is made of it."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 class Scratch:

@@ -80,3 +80,22 @@ def test_registered():
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"]
     assert sorted(names, key=str)[-1] == "pipeline" and len(names) == 14
+
+
+def test_packing_holds_little_of_texts_of_ever_new_words():
+    """The stage's workers share an executor whose heap has grown: words and what a group needs stay below 64 MB (36; 166 with 2 MB of text and 200,000 words)."""
+    import tracemalloc
+
+    from lorewell.llm.packing import WordTokens
+
+    had = WordTokens.of(corpus_pipeline.tokenizer_path(), corpus_pipeline.PACKING_MEMORY["cache_words"])
+    had.forget()
+    tracemalloc.start()
+    try:
+        size = corpus_pipeline.PACKING_MEMORY["group_chars"]
+        for group in range(-(-(8 << 20) // size)):
+            had.encode([" ".join(f"w{group}x{i}" for i in range(size // 10))])
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+        had.forget()
