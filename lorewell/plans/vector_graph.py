@@ -184,10 +184,10 @@ ITEMS_SQL = """edges AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS ds
 
 
 def _item_index(spark: SparkSession, sf_dir: str) -> tuple[AdjacencyIndex, DataFrame]:
-    """The kept adjacency of orders, suppliers and their parts, and the first five parts to start from."""
+    """The kept adjacency of orders, suppliers and their parts, an edge a line, of which the heaviest counts, and the first five parts to start from."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     named = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
-    pairs = lambda k, c, kind: items.groupBy(c, "l_partkey").agg(F.max("l_quantity").alias("most")).select(named(k, c).alias("src"), named("p", "l_partkey").alias("dst"), F.lit(kind).alias("edge_type"), F.round(F.col("most") / 50, 2).cast("double").alias("weight"))
+    pairs = lambda k, c, kind: items.select(named(k, c).alias("src"), named("p", "l_partkey").alias("dst"), F.lit(kind).alias("edge_type"), F.round(F.col("l_quantity") / 50, 2).cast("double").alias("weight"))
     edges = pairs("o", "l_orderkey", "references").unionByName(pairs("s", "l_suppkey", "similar"))
     own = AdjacencyIndex(spark, S.work_folder(spark, "adjacency"), buckets=16, per_slot=64).build(edges)
     starts = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").limit(5).select(named("p", "p_partkey").alias("start"))
@@ -208,7 +208,7 @@ def kept_traversal(spark, sf_dir):
 def kept_subgraph(spark, sf_dir):
     """What lies around five parts, by slots of a kept adjacency."""
     own, starts = _item_index(spark, sf_dir)
-    return own.subgraph(starts.withColumnRenamed("start", "id"), 2)[1]
+    return own.subgraph(starts.withColumnRenamed("start", "id"), 2, merge=True)[1]
 
 
 @query("WITH " + EDGES_SQL + " SELECT edge_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM edges), 4) AS edge_share FROM edges GROUP BY 1")

@@ -100,3 +100,59 @@ def test_a_build_reads_its_edges_once_and_has_buckets_by_their_number(spark, mon
     files = own.read("near", starts(spark, *[f"m{i}" for i in range(1000)]).selectExpr("start as node", "concat('0:', start) as slot")).inputFiles()
     assert len(files) > 8
     assert rows(own.traverse(starts(spark, "n1"), 2)) == rows(G.traverse(edges, starts(spark, "n1"), 2))
+
+
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_build_shuffles_each_end_once_however_many_hubs(spark, no_broadcast):
+    """Where hubs are too many for Spark to send them to all by itself, they are sent all the same, and edges are not shuffled to meet them."""
+    edges = S.stored(spark.range(20000).selectExpr("concat('n', id % 40) as src", "concat('m', id % 50) as dst", "'similar' as edge_type", "0.5D as weight", "'x' as note"), S.work_folder(spark, "many"))
+    before = shuffled(spark)
+    own = kept(spark, edges, per_slot=100)
+    assert own.hubs().count() == 90
+    assert shuffled(spark) - before <= 2 * 20000 + 4000  # each edge at both ends, and counts by cell and node of each task
+
+
+def test_hubs_are_few_in_a_large_graph(spark, monkeypatch):
+    """So many that by per_slot each node were a hub; with few of them, and cells that nodes share, the rows are the same."""
+    from lorewell.operators import adjacency
+
+    monkeypatch.setattr(adjacency, "MOST_HUBS", 8)
+    monkeypatch.setattr(adjacency, "CELLS", 16)
+    edges = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hub' else concat('n', id % 100) end as src", "concat('m', id) as dst", "'similar' as edge_type", "(id % 7) / 7D as weight", "'x' as note")
+    own = kept(spark, edges)
+    assert [tuple(r) for r in own.hubs().collect()] == [("hub", 2)]  # 1000 edges, 750 a slot
+    assert rows(own.traverse(starts(spark, "m1", "n1", "hub"), 3)) == rows(G.traverse(edges, starts(spark, "m1", "n1", "hub"), 3))
+    nodes = spark.createDataFrame([("hub",), ("m0",), ("n1",), ("zz",)], "node string")
+    assert rows(own.neighbors(nodes)) == rows(G.neighbors(edges).join(nodes, "node", "left_semi").select("node", "neighbor", "edge_type", "weight", "direction"))
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(EDGE, max_size=25))
+def test_merged_edges_are_those_grouped_before(spark, edges):
+    df = spark.createDataFrame(edges, SCHEMA)
+    grouped = df.groupBy("src", "dst", "edge_type", "note").agg(S.F.max("weight").alias("weight")).select(*df.columns)
+    own = AdjacencyIndex(spark, S.work_folder(spark, "adjacency"), buckets=4, per_slot=3).build(df)
+    start = starts(spark, "a", "b", "zz")
+    assert rows(own.traverse(start, 3)) == rows(G.traverse(grouped, start, 3))
+    for got, want in zip(own.subgraph(start.withColumnRenamed("start", "id"), 2, max_edges=9, merge=True), G.subgraph(grouped, start.withColumnRenamed("start", "id"), 2, max_edges=9)):
+        assert rows(got.select(*want.columns)) == rows(want)
+
+
+def test_tasks_deal_few_edges_and_the_session_keeps_its_splits(spark, monkeypatch):
+    from lorewell.operators import adjacency
+
+    key, seen = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    write = adjacency.bucketed.write
+    monkeypatch.setattr(adjacency.bucketed, "write", lambda df, *more: (seen.append(df.rdd.getNumPartitions()), write(df, *more))[1])
+    monkeypatch.setattr(adjacency, "TASK_EDGES", 1000)
+    edges = spark.range(400_000).selectExpr("uuid() as src", "uuid() as dst", "'similar' as edge_type", "0.5D as weight").coalesce(1)
+    kept(spark, edges, per_slot=100)
+    assert seen[0] > 2 * 15 and spark.conf.get(key) == before  # splits of a MB, once for each end
